@@ -96,21 +96,21 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     now = Written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components"
     )
-    print_before = None
+    seen_before = None
     for _ in range(most_rounds):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct("b", "m"))).alias("e"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         after = Written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "components")
         now.drop()
         now = after
         # A star forest is a fixed point; equal fingerprints of the edge set mean that one is reached.
         row = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if row[0] == 0 or row == print_before:
+        if row[0] == 0 or row == seen_before:
             break
-        print_before = row
+        seen_before = row
     else:
         raise RuntimeError("components did not settle")
     return now.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
