@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import minhash, mixing, packing, quality
+from corpusmill.llm import ctph, minhash, mixing, packing, quality
 from corpusmill.llm.common import table
 
 
@@ -27,12 +27,17 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, similarity=0.8)
 
 
+def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
         "op4_quality": op4_quality,
         "op8_packing": op8_packing,
         "op9_minhash": op9_minhash,
+        "op10_ctph": op10_ctph,
     }
 
 
