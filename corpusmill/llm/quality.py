@@ -207,9 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "bad")
         .limit(most_labelled)
     )
-    known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).where(~base_failed())
-    wanted = known.select("doc_id", "bad", *[F.col(f"stat.{f}").alias(f) for f in FEATURES])
-    rows = sorted((r.asDict() for r in wanted.collect()), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, tuple(r.values())))
+    known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    # Rows that the base rules reject are left out here: as a filter in the plan it would
+    # move below the join, and statistics be worked out for every document.
+    wanted = known.select("doc_id", "bad", *[F.col(f"stat.{f}").alias(f) for f in FEATURES], base_failed().alias("failed"))
+    rows = sorted((r.asDict() for r in wanted.collect() if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, tuple(r.values())))
     return learn(rows)
 
 
