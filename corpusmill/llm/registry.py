@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctph, html, minhash, mixing, packing, pii, quality
+from corpusmill.llm import ctph, html, minhash, mixing, packing, pii, quality, urlfilter
 from corpusmill.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), list(urlfilter.RULES))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_html": op3_html,
         "op4_quality": op4_quality,
+        "op5_urlfilter": op5_urlfilter,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
         "op9_minhash": op9_minhash,
