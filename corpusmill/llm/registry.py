@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import ctph, html, minhash, mixing, packing, pii, quality, urlfilter
+from corpusmill.llm import ctph, html, minhash, mixing, packing, pii, quality, urlfilter, warc
 from corpusmill.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), list(urlfilter.RULES))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html": op3_html,
         "op4_quality": op4_quality,
         "op5_urlfilter": op5_urlfilter,
+        "op6_warc": op6_warc,
         "op7_pii": op7_pii,
         "op8_packing": op8_packing,
         "op9_minhash": op9_minhash,
@@ -57,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL}
+    return {"op2_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
