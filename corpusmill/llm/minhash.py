@@ -205,3 +205,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
     grouped = signed.join(reps.select("digest", "rep"), "digest", "left").join(final, F.col("rep") == final["node"], "left")
     result = grouped.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def apply(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group, with its columns; rows repeated in full count once."""
+    kept = near_duplicates(docs, shingle_words, similarity).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WORD, Written, running_sum
+from corpusmill.llm.common import SPACE, WORD, Written, running_sum
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -28,10 +28,10 @@ _UNIT, _GOLDEN = 1 << 31, 1_327_217_885
 _CELLS, _CHUNK = 4096, 1 << 16
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every document."""
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size (words) and further columns of every document."""
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n.alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n.alias("size"), *more)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -83,8 +83,9 @@ def schedule(quotas: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed stream: slot, source_no, block, row_no, doc_id, size, epoch, first and
-    last (words of the document that the block takes: first included, last not).
+    """The mixed stream: slot, source_no, block, row_no, epoch, first and last (words of
+    the document that the block takes: first included, last not), and the columns of
+    ``sized`` but its source.
 
     ``sized`` and ``aims`` come from ``sizes`` and ``targets`` and should be written
     tables. ``row_no`` tells repeated rows apart: the words of the source before it.
@@ -93,7 +94,8 @@ def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> Da
     known = sized.where("size > 0").join(
         aims, sized["source"].eqNullSafe(aims["source"])
     )
-    known = known.select("doc_id", "size", "source_no", "source_size", F.floor("target").alias("goal"))
+    own = [c for c in sized.columns if c != "source"]
+    known = known.select(*own, "source_no", "source_size", F.floor("target").alias("goal"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     known = known.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
     laid = running_sum(known, "source_no", "bucket", ["key", "doc_id", "size"], "size", "row_no")
@@ -107,8 +109,7 @@ def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> Da
         "source_no",
         "block",
         "row_no",
-        "doc_id",
-        "size",
+        *own,
         "epoch",
         (F.greatest("a", F.col("block") * block_words) - F.col("a")).alias("first"),
         (F.least("b", (F.col("block") + 1) * block_words) - F.col("a")).alias("last"),
@@ -140,6 +141,32 @@ def mix_report(docs: DataFrame) -> DataFrame:
     )
 
 
+def apply(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with their columns: a row for each epoch that
+    takes any of a document, with the words it takes (all of them, or one run joined by
+    single spaces); n_chars follows the text."""
+    same = F.xxhash64("text")
+    sized = sizes(docs.select("doc_id", "source", "text", same.alias("same")), "same")
+    sized = Written(sized, "sizes").df
+    aims = Written(targets(sized), "targets").df
+    taken = mix(sized, aims).groupBy("source_no", "row_no", "epoch", "doc_id", "same", "size")
+    taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("row_no", "epoch")
+    # A row of ``taken`` stands for one row of the documents, so equal rows are needed but once.
+    numbered = aims.select(F.col("source").alias("__source"), "source_no")
+    texts = docs.join(numbered, docs["source"].eqNullSafe(numbered["__source"])).withColumn("same", same)
+    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("no_id", F.col("doc_id").isNull())
+    keys = ["source_no", "id", "no_id", "same"]
+    taken = taken.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("no_id", F.col("doc_id").isNull()).drop("doc_id")
+    both = texts.dropDuplicates(keys).join(taken, keys)
+    words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
+    part = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
+    text = F.when((F.col("first") == 0) & (F.col("last") == F.col("size")), F.col("text")).otherwise(part)
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents

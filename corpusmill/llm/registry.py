@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from corpusmill.llm import chat, ctph, html, minhash, mixing, packing, pii, quality, urlfilter, warc
 from corpusmill.llm.common import table
 
@@ -67,8 +68,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_minhash": op9_minhash,
         "op10_ctph": op10_ctph,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
+    found = {"op2_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
