@@ -46,9 +46,10 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, url, captured (a timestamp that follows the id), payload and its digest."""
+    """page_id, url, captured (a timestamp that follows the id), payload, its bytes and
+    digest, and capture (id and digest)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    return pages.select(
+    rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(300_000_000))).alias("captured"),
@@ -56,18 +57,15 @@ def captures(pages: DataFrame) -> DataFrame:
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
     )
+    return rows.withColumn("capture", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), "payload_digest"))
 
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """Adds refers_to: for a revisit, the id of the response with its payload."""
-    owners = (
-        rows.where(f"payload_bytes >= {LEAST_REVISIT}")
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("owner"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
-    )
-    return rows.join(owners, "payload_digest", "left").withColumn("refers_to", F.expr("nullif(owner, page_id)")).drop("owner")
+def revisits(rows: DataFrame) -> DataFrame:
+    """(capture, refers_to) of the captures whose payload an earlier id holds, found without the payloads."""
+    small = rows.where(f"payload_bytes >= {LEAST_REVISIT}").select("capture", "payload_digest", "page_id")
+    owners = small.groupBy("payload_digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("copies")).where("copies > 1")
+    found = small.join(owners, "payload_digest").where("page_id is null or owner <> page_id")
+    return found.select("capture", F.col("owner").alias("refers_to")).distinct()
 
 
 def record(rows: DataFrame) -> Column:
@@ -100,12 +98,14 @@ def record(rows: DataFrame) -> Column:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Gzipped WARC files, each sorted by (url key, timestamp, id) and of bounded size."""
-    rows = deduplicated(captures(pages))
+    rows = captures(pages)
     n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
     archives = max(1, -(-(size or 0) // ARCHIVE_BYTES), -(-n // ARCHIVE_RECORDS))
-    sorted_runs = rows.repartition(archives, F.xxhash64("page_id", "payload_digest")).sortWithinPartitions(
-        url_key(F.col("url")), "captured", "page_id"
-    )
+    # One shuffle takes the payloads both to the join and to their archive; with fewer
+    # partitions than the session's, the join would deal them anew.
+    archives = max(archives, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = rows.repartition(archives, "capture").join(revisits(rows).repartition(archives, "capture"), "capture", "left")
+    sorted_runs = known.sortWithinPartitions(url_key(F.col("url")), "captured", "page_id")
     (
         sorted_runs.select(record(rows).alias("value"))
         .write.option("lineSep", _BREAK + _BREAK)
