@@ -60,7 +60,7 @@ def ladder(entries: DataFrame, budget: int) -> DataFrame:
 
     ``entries``: path, mode, score, full_tokens, slice_tokens. Steps in order: full files to
     slices, slices to codemaps, codemaps dropped, each from the least score up. A step is
-    taken while the total before it is over the budget. A selection is bounded by its
+    taken while no total before it fits the budget. A selection is bounded by its
     quotas, so the running sum stands in one window."""
     cost = F.when(F.col("mode") == "full", F.col("full_tokens")).when(F.col("mode") == "slices", F.col("slice_tokens")).otherwise(CODEMAP_TOKENS)
     steps = F.array(
@@ -73,7 +73,10 @@ def ladder(entries: DataFrame, budget: int) -> DataFrame:
     order = Window.orderBy("phase", "score", "path")
     table = table.withColumn("ord", F.row_number().over(order).cast("long"))
     table = table.withColumn("total", (F.lit(whole) + F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
-    return table.where(F.col("total") - F.col("delta") > budget).select("ord", "path", "step", F.col("delta").cast("long").alias("delta"), "total")
+    # A step may raise the total, so what counts is the least total before it.
+    before = F.least(F.lit(whole), F.min("total").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    table = table.withColumn("before", before)
+    return table.where(F.col("before") > budget).select("ord", "path", "step", F.col("delta").cast("long").alias("delta"), "total")
 
 
 def patch_cap(files: DataFrame, hunks: DataFrame, budget: int, most_files: int) -> DataFrame:

@@ -489,7 +489,7 @@ _LADDER_SQL = """entry as (
 )"""
 
 
-@query(f"with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000")
+@query(f"with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000 or ord > 1 qualify coalesce(min(total) over (order by ord rows between unbounded preceding and 1 preceding), total - delta) > 8000")
 def q_budget_ladder(spark, sf_dir):
     content = files(spark, sf_dir).select(
         "path", tokens(F.col("content")).alias("full_tokens"), tokens(F.col("content"), 7.0).alias("slice_tokens")
