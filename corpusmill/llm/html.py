@@ -3,7 +3,8 @@
 Streaming events of the standard library's parser turn a page into lines, one per
 block element, with the code points of their text (a link's count a quarter) and the
 tags they hold. The ratios of a page's lines are smoothed by a Gaussian, and lines
-above a threshold (the mean less half a standard deviation, within bounds) form
+above a threshold (the mean less half a standard deviation, within bounds; none at least where a page
+marks its content) form
 clusters; a cluster of little text next to a much larger one is dropped. Lines of the
 same container as a clustered line belong to the region too, so that headings and
 short paragraphs of an article stay. Lines inside menus, headers, footers, sidebars,
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, LEAST_RATIO, MOST_RATIO = 1.5, 2.0, 12.0
+SIGMA, LEAST_RATIO, MOST_RATIO = 1.5, 1.0, 12.0
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -146,7 +147,7 @@ class Lines(HTMLParser):
             self.link_chars += len(data)
 
 
-def regions(ratios: np.ndarray, chars: np.ndarray) -> np.ndarray:
+def regions(ratios: np.ndarray, chars: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
     """Which lines lie in content clusters."""
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
@@ -156,7 +157,7 @@ def regions(ratios: np.ndarray, chars: np.ndarray) -> np.ndarray:
         smooth = near @ ratios / near.sum(1)
     else:
         smooth = np.convolve(ratios, kernel, "same") / weight
-    threshold = min(max(smooth.mean() - 0.5 * smooth.std(), LEAST_RATIO), MOST_RATIO)
+    threshold = min(max(smooth.mean() - 0.5 * smooth.std(), least), MOST_RATIO)
     kept = smooth >= threshold
     edges = np.flatnonzero(np.diff(np.concatenate(([0], kept.view(np.int8), [0]))))
     clusters = list(zip(edges[::2], edges[1::2], strict=True))
@@ -176,11 +177,12 @@ def extract(html: str | None) -> str:
     parser.close_to(0)
     parser.flush()
     lines = parser.lines
-    if any(marked for *_, marked in lines):
+    content_marked = any(marked for *_, marked in lines)
+    if content_marked:
         lines = [x for x in lines if x[3]]
     if not lines:
         return ""
-    kept = regions(np.array([x[1] for x in lines]), np.array([len(x[0]) for x in lines]))
+    kept = regions(np.array([x[1] for x in lines]), np.array([len(x[0]) for x in lines]), 0.0 if content_marked else LEAST_RATIO)
     inside = {x[2] for x, k in zip(lines, kept, strict=True) if k}
     return "\n\n".join(x[0] for x in lines if x[2] in inside)
 
