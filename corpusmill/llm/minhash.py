@@ -10,10 +10,11 @@ share a key. (Five minima with one error in nine chunks: distance 17 of 45 is
 guaranteed; a pair of similarity 0.8 at any distance is missed about once in 150,000.)
 
 Pairs under a key are not enumerated. First each representative is compared on full
-sets with the least one it shares a key with, and components are found. Then only
-representatives outside a key's largest component are compared with the members of
-other components there: after that, no pair that shares a key is left unless a chain
-of confirmed links joins it already. So groups of copies cost links in proportion to
+sets with one that leads a key (the one it shares most keys with), and components are
+found. Then what a key holds outside its largest component is compared with all of
+that component and with what else is attached to it, inside a join whose condition is
+the exact test. After that, no pair that shares a key is left unless a chain of
+confirmed links joins it already, and groups of copies cost rows in proportion to
 their size.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
@@ -39,9 +40,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BITS, CHUNKS, CHUNK_VALUES, ERRORS = 16, 9, 5, 1
 N_VALUES = CHUNKS * CHUNK_VALUES
-#: Representatives whose signatures differ in more minima are not compared in full:
-#: ten standard deviations from what a similarity of 0.8 gives.
-MOST_DISTANCE = 36
+#: Representatives whose signatures differ in more minima are not compared in full; a
+#: similarity of 0.8 gives more about three times in ten million.
+MOST_DISTANCE = 24
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(1, 1 << 63, N_VALUES, dtype=np.uint64) | np.uint64(1)
@@ -150,6 +151,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def compared(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) between representatives outside a component and those inside it,
+    or others outside it; both sides: main (the component), rep, comp (its own).
+
+    Within a component sets are held as their difference from that of its centre, the
+    member of most links: the difference of two sets is the difference of these, and
+    far smaller to hold and compare. The exact test is the condition of the join, so
+    only links come out of it."""
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
+    degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
+    centre = inside.join(degree, "rep", "left").groupBy("main").agg(F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).alias("rep"))
+    centre = centre.join(sets, "rep").select("main", F.col("shingles").alias("c"))
+    rows = outside.withColumn("inner", F.lit(False)).unionByName(inside.withColumn("inner", F.lit(True)))
+    apart = F.concat(F.array_except("shingles", "c"), F.array_except("c", "shingles"))
+    held = rows.join(sets, "rep").join(centre, "main").select("main", "rep", "comp", "inner", F.size("shingles").alias("n"), apart.alias("d"))
+    held = Written(held, "differences").df
+    x = held.where("not inner").select("main", *[F.col(c).alias(f"{c}_x") for c in ("rep", "comp", "n", "d")])
+    y = held.select("main", "inner", *[F.col(c).alias(f"{c}_y") for c in ("rep", "comp", "n", "d")])
+    percent = round(similarity * 100)
+    limit = (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    least = F.abs(F.size("d_x") - F.size("d_y"))
+    whole = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
+    once = F.expr("comp_x <> comp_y and (inner or rep_x < rep_y)")
+    met = x.join(y, "main").where(once & ((100 + percent) * least <= limit)).where((100 + percent) * whole <= limit)
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (one document of each component)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -176,30 +204,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
         fits = (F.least("na", "nb") >= least) & (distance("sa", "sb") <= MOST_DISTANCE)
         return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b")
 
-    star = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    # A representative waits with its other leaders: most are in its component after this.
-    star = likely(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    star = Written(star, "star").df
     wanted = members.select("rep").distinct()
     sets = Written(
-        texts.join(wanted, texts["doc_id"] == wanted["rep"], "inner").select("rep", "text").mapInPandas(_sets(shingle_words), "rep long, shingles array<long>"),
+        texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInPandas(_sets(shingle_words), "rep long, shingles array<long>"),
         "sets",
     ).df
+    # First each representative and one that leads a key, the one that it shares most keys with.
+    led = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("keys"))
+    star = led.groupBy(F.col("rep").alias("b")).agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("a"))
+    star = Written(likely(star), "star").df
     links = Written(confirmed(star, sets, similarity), "links").df
     found = Written(components(links), "components").df
 
-    # What is left: pairs under a key that are not in one component yet.
+    # Then what a key holds outside its largest component is compared with all of that
+    # component, and with what else is attached to it: no pair that shares a key is left out.
     placed = members.select("key", "rep").join(found, members["rep"] == found["node"], "left")
     placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = Written(placed.join(main, "key"), "mixed").df
-    other = mixed.where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("x_comp"), "main")
-    member = mixed.select("key", F.col("rep").alias("y"), F.col("comp").alias("y_comp"))
-    # Two outside the main component meet once; the main component's members meet only those outside it.
-    meet = other.join(member, "key").where("x_comp <> y_comp and (y_comp = main or x < y)")
-    rest = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = Written(confirmed(likely(rest), sets, similarity), "more").df
+    several = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    outside = placed.join(several.select("key", F.col("main.comp").alias("main")), "key").where("comp <> main")
+    outside = Written(outside.select("main", "rep", "comp").distinct(), "outside").df
+    mains = outside.select("main").distinct()
+    inside = mains.join(found, mains["main"] == found["component"], "left").select("main", F.coalesce("node", "main").alias("rep"), F.col("main").alias("comp"))
+    more = Written(compared(outside, inside, links, sets, similarity), "more").df
     final = components(links.unionByName(more))
 
     grouped = signed.join(reps.select("digest", "rep"), "digest", "left").join(final, F.col("rep") == final["node"], "left")
@@ -211,3 +238,20 @@ def apply(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float
     """One document of each group, with its columns; rows repeated in full count once."""
     kept = near_duplicates(docs, shingle_words, similarity).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+#: Components by all pairs, for ``near_duplicates(docs, 2, 0.8)``.
+NEAR_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
+sides as (select x, y from links union all select y, x from links),
+reach(node, seen) as (select doc_id, doc_id from documents union select b.y, r.seen from reach r join sides b on b.x = r.node),
+least as (select node, min(seen) as component_id from reach group by node)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join least on node = d.doc_id left join sizes on sizes.doc_id = d.doc_id
+"""

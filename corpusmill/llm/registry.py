@@ -73,7 +73,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_mixing": mixing.MIX_SQL, "op6_warc": warc.WARC_SQL}
+    found = {
+        "op2_mixing": mixing.MIX_SQL,
+        "op5_urlfilter": urlfilter.JUDGE_SQL,
+        "op6_warc": warc.WARC_SQL,
+        "op9_minhash": minhash.NEAR_SQL,
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

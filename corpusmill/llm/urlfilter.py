@@ -134,3 +134,44 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
         F.coalesce("own", "brought", F.lit("allow")).alias("verdict"),
         F.when(F.col("own").isNotNull(), "rule").when(F.col("brought").isNotNull(), "alias").otherwise("default").alias("via"),
     )
+
+
+def _parsed_sql(source: str, url: str, columns: str) -> str:
+    """A query that adds host, path and node, as ``parsed`` does."""
+    return f"""select {columns}, host, path, case when contains({url}, '://') then host || case when tail like '/%' then '' else '/' end || tail end as node from (
+    select *, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path,
+      regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1) as tail
+    from (select *, case when contains({url}, '://') then substr({url}, instr({url}, '://') + 3) else '' end as rest from {source}))"""
+
+
+def _value_sql(name: str) -> str:
+    pattern = rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\s\"''>]+))"
+    return "trim(" + " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
+#: The verdicts of ``judge(pages, RULES)``.
+JUDGE_SQL = f"""
+with recursive rules(rule_host, rule_path, rule_verdict) as (values {', '.join(repr(r) for r in RULES)}),
+urls as ({_parsed_sql("(select page_id, coalesce(url, '') as url, html from pages)", "url", "page_id, url, html")}),
+tags as (select url, host as own_host, node as a, regexp_replace(path, '[^/]*$', '') as folder,
+  unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>|<meta\\b[^>]*>')) as tag from urls),
+links as (select *, replace(trim(case when regexp_matches({_value_sql('rel')}, '(?i)(^|\\s)canonical(\\s|$)') then {_value_sql('href')}
+  when lower({_value_sql('http-equiv')}) = 'refresh' then regexp_extract({_value_sql('content')}, '(?is)url\\s*=\\s*[''"]?([^''"]+)', 1) end), '&amp;', '&') as dest from tags),
+wholes as (select a, case when contains(dest, '://') then dest when dest like '//%' then 'x:' || dest when dest like '/%' then 'x://' || own_host || dest
+  else 'x://' || own_host || case when folder = '' then '/' else folder end || dest end as whole from links where dest <> ''),
+edges as (select a, node as b from ({_parsed_sql('wholes', 'whole', 'a')}) where a <> node),
+sides as (select a, b from edges union select b, a from edges),
+reach(node, seen) as (select a, a from sides union select b.b, r.seen from reach r join sides b on b.a = r.node),
+named as ({_parsed_sql("(select distinct node as start, seen, 'x://' || seen as whole from reach)", 'whole', 'start, seen')}),
+brought as (
+  select start, case when bool_or(verdict = 'allow') then 'allow' else 'block' end as verdict from (
+    select start, seen, arg_max(rule_verdict, (length(rule_host) + length(rule_path), length(rule_host))) as verdict from named
+    join rules on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by start, seen) group by start
+), own as (
+  select page_id, url, max((length(rule_host) + length(rule_path), length(rule_host), rule_verdict, rule_host || rule_path)) as r from urls
+  join rules on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by page_id, url
+)
+select u.page_id, u.host, u.path, own.r[4] as rule, coalesce(own.r[3], brought.verdict, 'allow') as verdict,
+  case when own.r is not null then 'rule' when brought.verdict is not null then 'alias' else 'default' end as via
+from urls u left join own on own.page_id = u.page_id and own.url = u.url left join brought on brought.start = u.node
+"""
