@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -36,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_tidy, spark, path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -44,6 +48,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _tidy(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        remove_path(spark, path)
+
+
 class Written:
     """A DataFrame written as Parquet in the shared folder and read back: its lineage
     ends there, so lost executors cost no recomputation. ``drop()`` deletes the files
