@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import base_name, lines_of, stable_hash, tokens
-from corpusmill.operators import index, rank, redact, scan, search, select, slices, transcript
+from corpusmill.operators import index, rank, redact, report, scan, search, select, slices, transcript
 from corpusmill.sources.corpus import FILES_SQL, files_of_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -726,3 +726,70 @@ def q_term_slices(spark, sf_dir):
 @query(f"with {FILES_SQL} select regexp_extract(path, '([^/]*)$', 1) as name, count(*)::bigint as files, max(size)::bigint as largest from files group by 1")
 def q_names(spark, sf_dir):
     return files(spark, sf_dir).groupBy(base_name(F.col("path")).alias("name")).agg(F.count("*").alias("files"), F.max("size").alias("largest"))
+
+
+@query(
+    """select event_type, count(value)::bigint as runs, round(avg(value), 4) as average, min(value) as least, max(value) as greatest,
+  quantile_disc(value, 0.95) as p95 from events group by event_type"""
+)
+def q_timing_stats(spark, sf_dir):
+    return report.timing_stats(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(
+    f"""with {FILES_SQL} select count(*)::bigint as files, sum(size)::bigint as bytes, ceil(sum(size) / 4.0::double)::bigint as tokens,
+  least(100, floor(100 * ceil(sum(size) / 4.0::double)::bigint / 5000000::double))::bigint as percent from files"""
+)
+def q_estimate(spark, sf_dir):
+    return report.estimate(files(spark, sf_dir), 5_000_000)
+
+
+@query(
+    f"""with {FILES_SQL}, s as (select path, (10 * (contains(lower(path), 'src1')::int + contains(lower(path), 'util')::int)
+  + regexp_matches(path, '(^|/)(main|index|app|server|cli)\\.[^/]*$')::int)::bigint as score from files)
+select path, score from s where score > 0 order by score desc, path limit 12"""
+)
+def q_likely_files(spark, sf_dir):
+    return report.likely_files(files(spark, sf_dir), ["src1", "util"])
+
+
+@query(f"with {FILES_SQL}, {_LINES_SQL} select path, 5::bigint as kept, (count(*) - 5)::bigint as omitted from hits group by path having count(*) > 5")
+def q_search_omitted(spark, sf_dir):
+    return report.omitted(search.hits(files(spark, sf_dir), TERM), 5)
+
+
+@query(f"with {FILES_SQL}, {_STATE_SQL} select f.path, s.path is not null as hit from files f left join state s on s.path = f.path and s.hash = f.hash")
+def q_cache_hits(spark, sf_dir):
+    return report.cached(files(spark, sf_dir), state(spark, sf_dir))
+
+
+@query("select text, min(doc_id) as doc_id from documents group by text")
+def q_first_of_each(spark, sf_dir):
+    return report.first_of_each(table(spark, sf_dir, "documents").select("text", "doc_id"), ["text"], ["doc_id"])
+
+
+@query(
+    f"""with {FILES_SQL} select path, case when regexp_matches(path, '^src2/en/') then false when regexp_matches(path, '^src2/') then true
+  when regexp_matches(path, '^src4/.*[.]md$') then true else false end as ignored from files"""
+)
+def q_ignored(spark, sf_dir):
+    rules = spark.createDataFrame(
+        [(0, 0, "", "^src2/.*$", False), (0, 1, "", "^src4/.*[.]md$", False), (1, 0, "src2", "^en/.*$", True)],
+        "layer int, ord int, base string, regex string, negated boolean",
+    )
+    return scan.ignored(files(spark, sf_dir).select("path"), rules)
+
+
+@query(
+    """select user_id, array_to_string(list_sort(list(distinct part)), '; ') as parts from (
+  select user_id, unnest([event_type, props]) as part from events) where part <> '' group by user_id"""
+)
+def q_distinct_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.concat_ws("; ", "event_type", "props").alias("x"))
+    return report.distinct_parts(rows, "user_id", "x")
+
+
+@query("select event_type, count(*)::bigint as events, sum(coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0))::bigint as k from events group by event_type")
+def q_json_fields(spark, sf_dir):
+    k = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') as bigint)"), F.lit(0).cast("long"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k"))
