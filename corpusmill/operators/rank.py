@@ -66,18 +66,29 @@ def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], ent
     """path, raw, hits and matched of the files of any score. The terms of a task are few,
     so each is one expression over the lower-cased text: no join."""
     weights, of_path = term_weights(terms), path_terms(terms)
-    low = files.select("path", F.lower(text).alias("low"), F.lower("path").alias("low_path"), (F.lit(False) if entry is None else entry).alias("entry"))
-    every = [(t, w, "low") for t, w in weights.items()] + [(t, PATH_WEIGHT, "low_path") for t in of_path]
-    counted = low.select("path", "entry", *[occurrences(F.col(c), t).alias(f"n{k}") for k, (t, _, c) in enumerate(every)])
+    every = [(t, w, "text") for t, w in weights.items()] + [(t, PATH_WEIGHT, "path") for t in of_path]
     zero = F.lit(0).cast("long")
-    total = sum((F.col(f"n{k}") * w for k, (_, w, _) in enumerate(every)), zero)
-    hits = sum((F.col(f"n{k}") for k in range(len(every))), zero)
-    seen = F.array(*[F.when(F.col(f"n{k}") > 0, t) for k, (t, _, _) in enumerate(every)]).cast("array<string>")
-    matched = F.array_sort(F.array_distinct(F.array_compact(seen)))
-    scored = counted.select("path", "entry", total.alias("terms"), hits.alias("hits"), matched.alias("matched"))
-    breadth = F.when(F.size("matched") > 1, BREADTH_WEIGHT * F.size("matched")).otherwise(0)
-    raw = F.col("terms") + breadth + F.when(F.col("entry"), ENTRYPOINT_WEIGHT).otherwise(0)
-    return scored.select("path", raw.cast("double").alias("raw"), "hits", "matched").where("raw > 0")
+
+    def counted(low: Column) -> Column:
+        return F.array(*[occurrences(low[where], t) for t, _, where in every]).cast("array<bigint>")
+
+    def scored(n: Column) -> Column:
+        terms_sum = sum((n[k] * w for k, (_, w, _) in enumerate(every)), zero)
+        hits = sum((n[k] for k in range(len(every))), zero)
+        seen = F.array(*[F.when(n[k] > 0, t) for k, (t, _, _) in enumerate(every)]).cast("array<string>")
+        return F.struct(terms_sum.alias("terms"), hits.alias("hits"), F.array_sort(F.array_distinct(F.array_compact(seen))).alias("matched"))
+
+    def raised(x: Column) -> Column:
+        breadth = F.when(F.size(x["matched"]) > 1, BREADTH_WEIGHT * F.size(x["matched"])).otherwise(0)
+        raw = x["terms"] + breadth + F.when(is_entry, ENTRYPOINT_WEIGHT).otherwise(0)
+        return F.struct(raw.cast("double").alias("raw"), x["hits"].alias("hits"), x["matched"].alias("matched"))
+
+    is_entry = F.lit(False) if entry is None else entry
+    # Each step is bound by a lambda, so that the text is lowered and searched once a term;
+    # a filter on the score in the plan would repeat that work.
+    lowered = F.array(F.struct(F.lower(text).alias("text"), F.lower("path").alias("path")))
+    found = F.transform(F.transform(F.transform(lowered, counted), scored), raised)
+    return files.select("path", F.explode(F.filter(found, lambda x: x["raw"] > 0)).alias("x")).select("path", "x.raw", "x.hits", "x.matched")
 
 
 def import_boost(scores: DataFrame, edges: DataFrame) -> DataFrame:
