@@ -37,14 +37,19 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 
+#: A spelled e-mail is tried at the start of a run of its characters, or where the last one ended.
+_START = r"(?<![A-Za-z0-9._%+-])"
+_SPELLED = r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++"
+_spelled = re.compile(_SPELLED)
+
 #: Generators: kind, characters one of which a text must hold, pattern.
 _GENERATORS = (
-    ("email_spelled", ("(at)", "[at]", " at "), re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}")),
+    ("email_spelled", ("(at)", "[at]", " at "), re.compile(_START + _SPELLED)),
     ("iban", ("digit",), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("phone_local", ("digit",), re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")),
-    ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})")),
+    ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;]{6,}+)")),
     ("secret", ("AKIA", "ASIA"), re.compile(r"(?<![A-Z0-9])A[KS]IA[0-9A-Z]{16}(?![0-9A-Z])")),
-    ("secret", ("eyJ",), re.compile(r"(?<![\w-])eyJ[\w-]{8,2000}\.[\w-]{8,2000}\.[\w-]{8,2000}")),
+    ("secret", ("eyJ",), re.compile(r"(?<![\w-])eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+")),
     ("ssn", ("digit",), re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9A-Za-z]|-[0-9])")),
 )
 _CONTEXT = (
@@ -90,12 +95,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _matches(pattern: re.Pattern, text: str, again: re.Pattern | None) -> Iterator[re.Match]:
+    """Matches from left to right; ``again`` is tried right where one ended."""
+    if again is None:
+        yield from pattern.finditer(text)
+        return
+    m = pattern.search(text)
+    while m:
+        yield m
+        m = again.match(text, m.end()) or pattern.search(text, m.end())
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Spans that the generators propose; they may overlap."""
     digit, out = _digit.search(text) is not None, []
     for kind, needs, pattern in _GENERATORS:
         if any(digit if need == "digit" else need in text for need in needs):
-            out += [(*m.span(m.lastindex or 0), kind) for m in pattern.finditer(text)]
+            again = _spelled if kind == "email_spelled" else None
+            out += [(*m.span(m.lastindex or 0), kind) for m in _matches(pattern, text, again)]
     return out
 
 
