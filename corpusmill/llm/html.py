@@ -59,7 +59,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, ratio, container, marked) of each block; ``dropped`` parts aside."""
+    """Collects (text, ratio, container, marked) of each block; text of ``dropped`` elements is never taken up."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -74,14 +74,14 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            dropped, marked, container = self.state()
+            _, marked, container = next((x[1:] for x in reversed(self.open) if not x[1]), (False, False, 0))
             weight = len(text) - 0.75 * min(self.link_chars, len(text))
-            if not dropped:
-                self.lines.append((text, weight / max(1, self.tags), container, marked))
+            self.lines.append((text, weight / max(1, self.tags), container, marked))
         self.parts, self.link_chars, self.tags = [], 0, 0
 
     def close_to(self, depth: int) -> None:
-        if any(tag in BLOCKS for tag, *_ in self.open[depth:]):
+        # A block within a dropped element parts no line.
+        if any(self.open[k][0] in BLOCKS and not (k and self.open[k - 1][1]) for k in range(depth, len(self.open))):
             self.flush()
         for tag, *_ in self.open[depth:]:
             self.links -= tag == "a"
@@ -93,10 +93,11 @@ class Lines(HTMLParser):
                 self.close_last(("p",), stop=BLOCKS - {"p"})
             if tag in _ALIKE:
                 self.close_last(_ALIKE[tag], stop={"ul", "ol", "dl", "table", "select", "menu"} | ({"tr"} if tag in ("td", "th") else set()))
-            self.flush()
-        self.tags += 1
+            if not self.state()[0]:
+                self.flush()
         dropped, marked, container = self.state()
-        if tag == "br":
+        self.tags += not dropped
+        if tag == "br" and not dropped:
             self.parts.append(" ")
         if tag in VOID:
             return
@@ -120,6 +121,8 @@ class Lines(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):  # the others stay open, as in browsers
+            self.close_to(len(self.open) - 1)
 
     def close_last(self, tags: tuple[str, ...], stop: set | frozenset) -> None:
         for depth in range(len(self.open) - 1, -1, -1):
@@ -130,18 +133,23 @@ class Lines(HTMLParser):
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        dropped = self.state()[0]
+        self.tags += not dropped
         if tag == "p" and not any(t == "p" for t, *_ in self.open):
-            self.flush()
+            if not dropped:
+                self.flush()
             return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 self.close_to(depth)
                 return
-            if tag not in BLOCKS and self.open[depth][0] in BLOCKS - {"p"}:
+            # A dropped element ends although blocks within it (an option in a select) are open.
+            if tag not in BLOCKS and self.open[depth][0] in BLOCKS - {"p"} and not (depth and self.open[depth - 1][1]):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.state()[0]:
+            return
         self.parts.append(data)
         if self.links > 0:
             self.link_chars += len(data)

@@ -3,7 +3,9 @@
 import random
 import string
 
-from corpusmill.llm import pii
+import pytest
+
+from corpusmill.llm import html, pii
 
 
 def test_secrets_of_any_length_are_redacted_whole():
@@ -27,3 +29,20 @@ def test_secrets_of_any_length_are_redacted_whole():
         "mail [EMAIL_SPELLED]",
         "[EMAIL_SPELLED][EMAIL_SPELLED]",
     ]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<script>var x = 1</script>", "<style>p { x: y }</style>", "<label>x</label>", "<button>x<br>y</button>", "<select><option>x</select>", "<textarea>x</textarea>"]
+    + ["<svg><title>x</title></svg>", "<svg/>", "<noscript>x</noscript>", "<title>x</title>", "<span class=ad>x</span>", "<span hidden>x</span>", "<b aria-hidden=true>x</b>"],
+)
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_inline_parts_are_dropped(part, outer):
+    a, b, c = (f"Enough words of part {k} to be found as the content of a page." for k in "abc")
+    page = f"<html><head><title>T</title><style>s</style></head><body><{outer}><p>{a}</p>{part}<p>{b} {part}{c}</p></{outer}></body></html>"
+    assert html.extract(page) == f"{a}\n\n{b} {c}"
+
+
+def test_text_before_a_dropped_element_stays():
+    a, b = (f"Enough words of part {k} to be found as the content of a page." for k in "ab")
+    assert html.extract(f"<div>{a}<span class=ad><div>x</div></span></div><p>{b}<button>x</p>") == f"{a}\n\n{b}"
