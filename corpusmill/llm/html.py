@@ -3,14 +3,13 @@
 Streaming events of the standard library's parser turn a page into lines, one per
 block element, with the code points of their text (a link's count a quarter) and the
 tags they hold. The ratios of a page's lines are smoothed by a Gaussian, and lines
-above a threshold (the mean less half a standard deviation, within bounds; none at least where a page
-marks its content) form
-clusters; a cluster of little text next to a much larger one is dropped. Lines of the
-same container as a clustered line belong to the region too, so that headings and
+above a threshold (the mean less half a standard deviation, within bounds; none at least
+in what a page marks as content) form clusters. Lines of the same container as a clustered line belong to the region too, so that headings and
 short paragraphs of an article stay. Lines inside menus, headers, footers, sidebars,
 forms, scripts and styles, or inside elements whose class, id or role names such a
 part, an advert, a notice or reader comments, never take part. Where a page marks its
-content (article or main), lines outside it do not take part either.
+content (article or main), lines outside it do not take part either, unless most of the
+whole page's largest cluster lies there: then its clusters join those of the marked lines.
 
 Character references are decoded, white space inside a block becomes one space.
 
@@ -155,7 +154,7 @@ class Lines(HTMLParser):
             self.link_chars += len(data)
 
 
-def regions(ratios: np.ndarray, chars: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
+def regions(ratios: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
     """Which lines lie in content clusters."""
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
@@ -166,14 +165,14 @@ def regions(ratios: np.ndarray, chars: np.ndarray, least: float = LEAST_RATIO) -
     else:
         smooth = np.convolve(ratios, kernel, "same") / weight
     threshold = min(max(smooth.mean() - 0.5 * smooth.std(), least), MOST_RATIO)
-    kept = smooth >= threshold
+    return smooth >= threshold
+
+
+def marks_hold(kept: np.ndarray, chars: np.ndarray, marked: np.ndarray) -> bool:
+    """Whether half of the largest cluster's characters at least are in marked lines; so it is without clusters."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], kept.view(np.int8), [0]))))
-    clusters = list(zip(edges[::2], edges[1::2], strict=True))
-    largest = max((chars[a:b].sum() for a, b in clusters), default=0)
-    for a, b in clusters:
-        if chars[a:b].sum() * 50 < largest:
-            kept[a:b] = False
-    return kept
+    a, b = max(zip(edges[::2], edges[1::2], strict=True), key=lambda c: chars[c[0] : c[1]].sum(), default=(0, 0))
+    return 2 * chars[a:b][marked[a:b]].sum() >= chars[a:b].sum()
 
 
 def extract(html: str | None) -> str:
@@ -185,12 +184,14 @@ def extract(html: str | None) -> str:
     parser.close_to(0)
     parser.flush()
     lines = parser.lines
-    content_marked = any(marked for *_, marked in lines)
-    if content_marked:
-        lines = [x for x in lines if x[3]]
     if not lines:
         return ""
-    kept = regions(np.array([x[1] for x in lines]), np.array([len(x[0]) for x in lines]), 0.0 if content_marked else LEAST_RATIO)
+    ratios, marked = np.array([x[1] for x in lines]), np.array([x[3] for x in lines])
+    kept = regions(ratios)
+    if marked.any():
+        if marks_hold(kept, np.array([len(x[0]) for x in lines]), marked):
+            kept = np.zeros(len(lines), bool)
+        kept[marked] |= regions(ratios[marked], 0.0)
     inside = {x[2] for x, k in zip(lines, kept, strict=True) if k}
     return "\n\n".join(x[0] for x in lines if x[2] in inside)
 

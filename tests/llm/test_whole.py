@@ -46,3 +46,21 @@ def test_inline_parts_are_dropped(part, outer):
 def test_text_before_a_dropped_element_stays():
     a, b = (f"Enough words of part {k} to be found as the content of a page." for k in "ab")
     assert html.extract(f"<div>{a}<span class=ad><div>x</div></span></div><p>{b}<button>x</p>") == f"{a}\n\n{b}"
+
+
+def test_a_closing_section_stays_on_a_long_page():
+    body = "".join(f"<p>Paragraph {k} has enough words to be found as the content of a page.</p>" for k in range(200))
+    menu = "<div>" + "<a href=x>go</a><br>" * 30 + "</div>"
+    last = "The closing section is short, and still content of the page."
+    for n in (1, 200):
+        page = f"<body><div>{'</p>'.join(body.split('</p>')[:n])}</div>{menu * 12}<div><p>{last}</p></div>"
+        assert html.extract(page).endswith(last)
+
+
+def test_unmarked_text_stays_beside_marked_teasers():
+    text = [f"Paragraph {k} of the page's own text, with enough words to be its content." for k in range(12)]
+    teasers = "".join(f"<article><h2>Teaser {k}</h2><p>A short teaser.</p></article>" for k in range(3))
+    page = f"<body><div>{''.join(f'<p>{x}</p>' for x in text)}</div><div>{teasers}</div>"
+    found = html.extract(page).split("\n\n")
+    assert found[:12] == text
+    assert html.extract(f"<body><div><p>Outside.</p></div><article>{''.join(f'<p>{x}</p>' for x in text)}</article>").split("\n\n") == text
