@@ -53,7 +53,8 @@ def parsed(df: DataFrame, url: str) -> DataFrame:
     return out.withColumn("node", node).drop("rest", "tail")
 
 
-_TAGS = r"(?is)<link\b[^>]{0,2000}>|<meta\b[^>]{0,2000}>"
+#: Tags of any length; one without an end takes the rest of the page, so that no later start reads it again.
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*+(?:>|\z)"
 
 
 def _value(tag: Column, name: str) -> Column:
@@ -64,7 +65,7 @@ def _value(tag: Column, name: str) -> Column:
 def edges_of(pages: DataFrame) -> DataFrame:
     """(a, b): nodes joined by a canonical link or a redirect; null where a url has no scheme."""
     linked = pages.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", "html")
-    tags = linked.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag"))
+    tags = linked.select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag")).where(F.endswith("tag", F.lit(">")))
     for name in ("rel", "href", "http-equiv", "content"):
         tags = tags.withColumn(name, _value(F.col("tag"), name))
     canonical = F.when(F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href"))

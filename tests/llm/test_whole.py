@@ -5,7 +5,7 @@ import string
 
 import pytest
 
-from corpusmill.llm import html, pii
+from corpusmill.llm import html, pii, urlfilter
 
 
 def test_secrets_of_any_length_are_redacted_whole():
@@ -64,3 +64,20 @@ def test_unmarked_text_stays_beside_marked_teasers():
     found = html.extract(page).split("\n\n")
     assert found[:12] == text
     assert html.extract(f"<body><div><p>Outside.</p></div><article>{''.join(f'<p>{x}</p>' for x in text)}</article>").split("\n\n") == text
+
+
+def test_long_tags_give_edges(spark):
+    filler = "x" * 3000
+    rows = [
+        (1, "http://a.org/x", f'<link data-x="{filler}" rel="canonical" href="http://b.net/es/1">'),
+        (2, "http://c.org/y", f"<meta http-equiv=refresh content='0; url=http://b.net/es/2?{filler}'>"),
+        (3, "http://d.org/z", '<link rel="canonical" href="http://b.net/es/3"'),
+        (4, "http://e.org/z", "<link canonical " * 60_000),
+    ]
+    found = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {x.page_id: (x.verdict, x.via) for x in found.collect()} == {
+        1: ("block", "alias"),
+        2: ("block", "alias"),
+        3: ("allow", "default"),
+        4: ("allow", "default"),
+    }
