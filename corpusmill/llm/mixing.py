@@ -14,7 +14,7 @@ gives an empty mix; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import SPACE, WORD, Written, running_sum
@@ -23,6 +23,8 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_EPOCHS = 2
 BLOCK_WORDS = 1024
+#: Slots in one partition of the applied mix.
+PART_SLOTS = 2048
 #: Golden ratio in units of 2**-31; t times it stays below 2**62.
 _UNIT, _GOLDEN = 1 << 31, 1_327_217_885
 _CELLS, _CHUNK = 4096, 1 << 16
@@ -82,6 +84,15 @@ def schedule(quotas: DataFrame, n_slots: int) -> DataFrame:
     return running_sum(hit, "source_no", "chunk", ["slot"], "one", "block").where("block < quota").select("slot", "source_no", "block")
 
 
+def _quota(block_words: int) -> Column:
+    return F.ceil(F.floor("target") / block_words)
+
+
+def slots(aims: DataFrame, block_words: int = BLOCK_WORDS) -> int:
+    """How many slots are drawn: some more than there are blocks."""
+    return (aims.agg(F.sum(_quota(block_words))).first()[0] or 0) * 101 // 100 + 64
+
+
 def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mixed stream: slot, source_no, block, row_no, epoch, first and last (words of
     the document that the block takes: first included, last not), and the columns of
@@ -114,12 +125,10 @@ def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> Da
         (F.greatest("a", F.col("block") * block_words) - F.col("a")).alias("first"),
         (F.least("b", (F.col("block") + 1) * block_words) - F.col("a")).alias("last"),
     )
-    quota = F.ceil(F.floor("target") / block_words)
-    quotas = aims.select("source_no", quota.alias("quota")).withColumn(
+    quotas = aims.select("source_no", _quota(block_words).alias("quota")).withColumn(
         "upto", F.sum("quota").over(Window.orderBy("source_no"))
     )
-    n_slots = (quotas.agg(F.sum("quota")).first()[0] or 0) * 101 // 100 + 64
-    return pieces.join(schedule(quotas, n_slots), ["source_no", "block"], "left")
+    return pieces.join(schedule(quotas, slots(aims, block_words)), ["source_no", "block"], "left")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -144,13 +153,17 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with their columns: a row for each epoch that
     takes any of a document, with the words it takes (all of them, or one run joined by
-    single spaces); n_chars follows the text."""
+    single spaces); n_chars follows the text. The rows come in the order of the first slot
+    that reaches them: a partition is a run of slots, sorted; those without a slot come last."""
     same = F.xxhash64("text")
     sized = sizes(docs.select("doc_id", "source", "text", same.alias("same")), "same")
     sized = Written(sized, "sizes").df
     aims = Written(targets(sized), "targets").df
     taken = mix(sized, aims).groupBy("source_no", "row_no", "epoch", "doc_id", "same", "size")
-    taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("row_no", "epoch")
+    n_slots = slots(aims)
+    slot = F.coalesce(F.min("slot"), F.lit(n_slots)).alias("slot")
+    taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last"), slot)
+    taken = taken.withColumn("__at", F.struct("slot", "source_no", "epoch", "row_no")).drop("slot", "row_no", "epoch")
     # A row of ``taken`` stands for one row of the documents, so equal rows are needed but once.
     numbered = aims.select(F.col("source").alias("__source"), "source_no")
     texts = docs.join(numbered, docs["source"].eqNullSafe(numbered["__source"])).withColumn("same", same)
@@ -164,7 +177,10 @@ def apply(docs: DataFrame) -> DataFrame:
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    # Slots are even, so runs of them need no sample of the rows.
+    part = F.floor(F.col("__at.slot") / PART_SLOTS).cast("int")
+    placed = out.select(*docs.columns, "__at").repartitionById(n_slots // PART_SLOTS + 1, part)
+    return placed.sortWithinPartitions("__at").select(*docs.columns)
 
 
 MIX_SQL = r"""

@@ -4,8 +4,9 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusmill.llm import html, pii, urlfilter
+from corpusmill.llm import common, html, mixing, pii, urlfilter
 
 
 def test_secrets_of_any_length_are_redacted_whole():
@@ -81,3 +82,18 @@ def test_long_tags_give_edges(spark):
         3: ("allow", "default"),
         4: ("allow", "default"),
     }
+
+
+def test_applied_mix_comes_in_the_order_of_the_schedule(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_SLOTS", 16)
+    docs = common.table(spark, sf_dir, "documents")
+    sized = common.Written(mixing.sizes(docs), "sizes").df
+    aims = common.Written(mixing.targets(sized), "targets").df
+    first = mixing.mix(sized, aims).groupBy("source_no", "epoch", "row_no", "doc_id").agg(F.min("slot").alias("slot")).collect()
+    first.sort(key=lambda r: (r.slot is None, r.slot or 0, r.source_no, r.epoch, r.row_no))
+    out = mixing.apply(docs)
+    out.write.parquet(path := common.new_path(spark, "mixed"))
+    assert [r.doc_id for r in out.collect()] == [r.doc_id for r in first]
+    ordered = spark.read.parquet(path).select("doc_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).collect()
+    assert len({r.file for r in ordered}) > 1
+    assert [r.doc_id for r in sorted(ordered, key=lambda r: (r.file, r.n))] == [r.doc_id for r in first]
