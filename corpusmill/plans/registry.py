@@ -537,9 +537,6 @@ def q_merge_discovery(spark, sf_dir):
     return select.keep_first(part, selection(spark, sf_dir), 30)
 
 
-_DRIVER_PATTERNS = redact.PATTERNS[5:]
-
-
 @query(
     r"""with a as (select len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) as t, regexp_replace(text, 'token = "[0-9a-f]{40}"', '‹REDACTED:token_assignment›', 'g') as text from documents),
 b as (select t, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) as e,
@@ -548,7 +545,7 @@ c as (select t, e, len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]
 select * from (select 'token' as category, sum(t)::bigint as spans from c union all select 'email', sum(e)::bigint from c union all select 'ip', sum(i)::bigint from c) where spans > 0"""
 )
 def q_redact_counts(spark, sf_dir):
-    return redact.counts(files(spark, sf_dir), _DRIVER_PATTERNS)
+    return redact.counts(files(spark, sf_dir))
 
 
 @query(
@@ -557,7 +554,7 @@ def q_redact_counts(spark, sf_dir):
   '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '‹REDACTED:ip_address›', 'g')) as digest from documents"""
 )
 def q_redact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.redacted(F.col("text"), _DRIVER_PATTERNS), 256).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.redacted(F.col("text")), 256).alias("digest"))
 
 
 @query(
