@@ -1,17 +1,25 @@
 """Main text of web pages by text-to-tag ratio.
 
 Streaming events of the standard library's parser turn a page into lines, one per
-block element, with the code points of their text (a link's count a quarter) and the
-tags they hold. The ratios of a page's lines are smoothed by a Gaussian, and lines
-above a threshold (the mean less half a standard deviation, within bounds; none at least
-in what a page marks as content) form clusters. Lines of the same container as a clustered line belong to the region too, so that headings and
-short paragraphs of an article stay. Lines inside menus, headers, footers, sidebars,
-forms, scripts and styles, or inside elements whose class, id or role names such a
-part, an advert, a notice or reader comments, never take part. Where a page marks its
-content (article or main), lines outside it do not take part either, unless most of the
-whole page's largest cluster lies there: then its clusters join those of the marked lines.
-
-Character references are decoded, white space inside a block becomes one space.
+block element, with the code points of their text and the tags they hold. A link's
+code points count a quarter; those in parts that are never main text (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) count nothing, so that
+their lines have a ratio of zero; scripts, styles and titles are no text at all. The
+ratios are smoothed by a Gaussian, and runs of lines above a threshold (the mean less
+half a standard deviation, within bounds; none at least in what a page marks as
+content) form clusters, without lines of ratio zero and without lines of links at
+their ends. The clusters decide, inside marked content as outside: a line stays if it
+is in a cluster, or if its container holds lines of one and it is not mostly links, so
+that short paragraphs and lists of an article stay. Where a page marks its content
+(article or main), lines outside it do not take part, unless most of the whole page's
+largest cluster lies there: then its clusters join those of the marked lines.
+
+A part is known by its element, role, or by what a class or id names: ``cookie-notice``
+and ``comment-list`` name a notice and comments, ``notice-period`` a period. Headings
+are no such part.
+
+Character references are decoded, white space inside a block becomes one space. A page
+takes time in proportion to its length.
 
 Defined results: a null or empty page, or one without content, gives an empty text;
 unclosed and misnested elements end with their container; repeated rows are extracted
@@ -21,7 +29,9 @@ each; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,126 +46,167 @@ BLOCKS = frozenset(
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never content.
-DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe label map math menu nav noscript object "
-    "script select style svg template textarea title".split()
-)
+#: Elements whose text is no text of the page.
+UNSEEN = frozenset("canvas datalist head iframe noscript script style svg template title".split())
+#: Elements that are parts beside the main text.
+ASIDE = frozenset("aside button dialog footer form label menu nav select textarea".split())
 #: A header is a page's banner outside an article, and a title block inside one.
 MARKED = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks whose lines belong to the container around them.
+_PLAIN = HEADINGS | frozenset("p li tr td th dt dd".split())
 #: Elements that an unclosed paragraph ends with.
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 _ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+_LISTS = ("ul", "ol", "dl", "table", "select", "menu")
+#: What a class or id names: menus, sidebars, notices, adverts, forms, footers, comments.
+_PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
+    "footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion replies respond share sharing "
+    "sidebar social sponsor sponsored sponsors subscribe toolbar widget".split()
+)
 #: Names of a page's own head; inside an article they may hold its title.
-_HEAD = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead)(?:$|[\s_-])", re.I)
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|consent|cookies?|disqus|footer|menu|modal|nav|navbar|navigation|"
-    r"newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side-bar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+_HEAD = frozenset(("banner", "header", "masthead"))
+#: Words after a part's name that only tell its place or shape.
+_SHAPES = frozenset(
+    "area bar block bottom box container form group holder inner item items left links list outer panel region right section slot thread top unit wrap wrapper".split()
 )
+_name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _SPACE = re.compile(r"\s+")
 
 
+@cache
+def named(name: str) -> str:
+    """The part that a class or id names: its last word but those of place and shape."""
+    words = [w.lower() for w in _name_words.findall(name) if len(w) > 1]
+    while len(words) > 1 and words[-1] in _SHAPES:
+        words.pop()
+    return words[-1] if words else ""
+
+
 class Lines(HTMLParser):
-    """Collects (text, ratio, container, marked) of each block; text of ``dropped`` elements is never taken up."""
+    """Collects (text, ratio, container, marked, links) of each block; ``links`` tells
+    whether most of its text is links and it is no heading."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, float, int, bool]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, marked, container
+        self.lines: list[tuple[str, float, int, bool, bool]] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, kind (0 text, 1 aside, 2 unseen), marked, container
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of each tag
+        self.blocks: list[int] = []  # depths of the open blocks but paragraphs
+        self.walls: list[int] = []  # those of them that no inline end tag closes
         self.parts: list[str] = []
+        self.beside: list[str] = []
         self.link_chars = self.tags = self.links = self.made = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> tuple[int, bool, int]:
+        return self.open[-1][1:] if self.open else (0, False, 0)
+
+    def last(self, *tags: str) -> int:
+        """Depth of the innermost open element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, marked, container = next((x[1:] for x in reversed(self.open) if not x[1]), (False, False, 0))
-            weight = len(text) - 0.75 * min(self.link_chars, len(text))
-            self.lines.append((text, weight / max(1, self.tags), container, marked))
+            _, marked, container = next((x[1:] for x in reversed(self.open) if not x[1]), (0, False, 0))
+            links = min(self.link_chars, len(text))
+            heading = bool(self.open) and self.open[-1][0] in HEADINGS
+            self.lines.append((text, (len(text) - 0.75 * links) / max(1, self.tags), container, marked, not heading and 2 * links > len(text)))
         self.parts, self.link_chars, self.tags = [], 0, 0
 
+    def flush_beside(self) -> None:
+        if text := _SPACE.sub(" ", "".join(self.beside)).strip():
+            _, marked, container = self.state()
+            self.lines.append((text, 0.0, container, marked, False))
+        self.beside = []
+
     def close_to(self, depth: int) -> None:
         # A block within a dropped element parts no line.
         if any(self.open[k][0] in BLOCKS and not (k and self.open[k - 1][1]) for k in range(depth, len(self.open))):
             self.flush()
+        if self.beside:
+            self.flush_beside()
         for tag, *_ in self.open[depth:]:
             self.links -= tag == "a"
+            self.at[tag].pop()
+        for depths in (self.blocks, self.walls):
+            while depths and depths[-1] >= depth:
+                depths.pop()
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            if tag in CLOSES_P:
-                self.close_last(("p",), stop=BLOCKS - {"p"})
-            if tag in _ALIKE:
-                self.close_last(_ALIKE[tag], stop={"ul", "ol", "dl", "table", "select", "menu"} | ({"tr"} if tag in ("td", "th") else set()))
-            if not self.state()[0]:
+            if tag in CLOSES_P and (depth := self.last("p")) > (self.blocks[-1] if self.blocks else -1):
+                self.close_to(depth)
+            if tag in _ALIKE and (depth := self.last(*_ALIKE[tag])) > self.last(*_LISTS, *(("tr",) if tag in ("td", "th") else ())):
+                self.close_to(depth)
+            if self.state()[0]:
+                self.flush_beside()
+            else:
                 self.flush()
-        dropped, marked, container = self.state()
-        self.tags += not dropped
-        if tag == "br" and not dropped:
+        kind, marked, container = self.state()
+        self.tags += not kind
+        if tag == "br" and not kind:
             self.parts.append(" ")
         if tag in VOID:
             return
+        dropped = kind > 0
         found = {k: v or "" for k, v in attrs}
-        if tag in DROPPED or (tag == "header" and not marked):
-            dropped = True
-        elif tag not in ("html", "body") and tag not in MARKED:
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            if (names != " " and (_NAMED.search(names) or (not marked and _HEAD.search(names)))) or found.get("role", "").lower() in _ROLES:
-                dropped = True
+        if tag in UNSEEN:
+            kind = 2
+        elif tag in ASIDE or (tag == "header" and not marked):
+            kind = max(kind, 1)
+        elif attrs and tag not in HEADINGS and tag not in MARKED and tag not in ("html", "body"):
+            names = {named(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split()}
+            if names & _PARTS or (not marked and names & _HEAD) or found.get("role", "").lower() in _ROLES:
+                kind = max(kind, 1)
         if "hidden" in found or found.get("aria-hidden") == "true":
-            dropped = True
-        if tag in BLOCKS and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "dt", "dd"):
-            if not marked or tag in MARKED:
-                self.made += 1
-                container = self.made
-        if tag in MARKED and not dropped:
+            kind = 2
+        if tag in BLOCKS and tag not in _PLAIN:
+            self.made += 1
+            container = self.made
+        if tag in MARKED and not kind:
             marked = True
         self.links += tag == "a"
-        self.open.append((tag, dropped, marked, container))
+        depth = len(self.open)
+        self.at[tag].append(depth)
+        if tag in BLOCKS and tag != "p":
+            self.blocks.append(depth)
+            if not dropped:
+                self.walls.append(depth)
+        self.open.append((tag, kind, marked, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "math"):  # the others stay open, as in browsers
             self.close_to(len(self.open) - 1)
 
-    def close_last(self, tags: tuple[str, ...], stop: set | frozenset) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] in tags:
-                self.close_to(depth)
-                return
-            if self.open[depth][0] in stop:
-                return
-
     def handle_endtag(self, tag: str) -> None:
-        dropped = self.state()[0]
-        self.tags += not dropped
-        if tag == "p" and not any(t == "p" for t, *_ in self.open):
-            if not dropped:
+        kind = self.state()[0]
+        self.tags += not kind
+        depth = self.last(tag)
+        if depth < 0:
+            if tag == "p" and not kind:
                 self.flush()
-            return
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                self.close_to(depth)
-                return
-            # A dropped element ends although blocks within it (an option in a select) are open.
-            if tag not in BLOCKS and self.open[depth][0] in BLOCKS - {"p"} and not (depth and self.open[depth - 1][1]):
-                return
+        # A dropped element ends although blocks within it (an option in a select) are open.
+        elif tag in BLOCKS or depth > (self.walls[-1] if self.walls else -1):
+            self.close_to(depth)
 
     def handle_data(self, data: str) -> None:
-        if self.state()[0]:
-            return
-        self.parts.append(data)
-        if self.links > 0:
-            self.link_chars += len(data)
+        kind = self.state()[0]
+        if kind == 0:
+            self.parts.append(data)
+            if self.links > 0:
+                self.link_chars += len(data)
+        elif kind == 1:
+            self.beside.append(data)
 
 
-def regions(ratios: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
-    """Which lines lie in content clusters."""
+def regions(ratios: np.ndarray, links: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
+    """Which lines lie in content clusters: runs of smoothed ratios above the threshold,
+    without lines of ratio zero and without lines of links at their ends."""
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel, "same") if len(ratios) > 2 * reach else None
@@ -165,7 +216,15 @@ def regions(ratios: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
     else:
         smooth = np.convolve(ratios, kernel, "same") / weight
     threshold = min(max(smooth.mean() - 0.5 * smooth.std(), least), MOST_RATIO)
-    return smooth >= threshold
+    kept = (smooth >= threshold) & (ratios > 0)
+    if (kept & links).any():
+        # From both sides, a line of links needs a line of text between it and its run's end.
+        text = np.cumsum(kept & ~links)
+        number = np.cumsum(~kept)  # the same for all lines of a run
+        first, last = np.searchsorted(number, number, "left"), np.searchsorted(number, number, "right") - 1
+        before = text - np.where(first > 0, text[first - 1], 0)
+        kept &= ~links | ((before > 0) & (text[last] - text > 0))
+    return kept
 
 
 def marks_hold(kept: np.ndarray, chars: np.ndarray, marked: np.ndarray) -> bool:
@@ -186,14 +245,14 @@ def extract(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios, marked = np.array([x[1] for x in lines]), np.array([x[3] for x in lines])
-    kept = regions(ratios)
+    ratios, marked, links = (np.array([x[k] for x in lines]) for k in (1, 3, 4))
+    kept = regions(ratios, links)
     if marked.any():
         if marks_hold(kept, np.array([len(x[0]) for x in lines]), marked):
             kept = np.zeros(len(lines), bool)
-        kept[marked] |= regions(ratios[marked], 0.0)
+        kept[marked] |= regions(ratios[marked], links[marked], 0.0)
     inside = {x[2] for x, k in zip(lines, kept, strict=True) if k}
-    return "\n\n".join(x[0] for x in lines if x[2] in inside)
+    return "\n\n".join(x[0] for x, k in zip(lines, kept, strict=True) if k or (x[2] in inside and x[1] > 0 and not x[4]))
 
 
 def _extracted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
