@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +33,19 @@ PRECISION = 0.99
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_ip = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 
 #: A spelled e-mail is tried at the start of a run of its characters, or where the last one ended.
 _START = r"(?<![A-Za-z0-9._%+-])"
-_SPELLED = r"[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++"
+_SPELLED = r"[A-Za-z0-9._%+-]++ ?(?i:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?i:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]++)++"
 _spelled = re.compile(_SPELLED)
 
 #: Generators: kind, characters one of which a text must hold, pattern.
 _GENERATORS = (
-    ("email_spelled", ("(at)", "[at]", " at "), re.compile(_START + _SPELLED)),
+    ("email_spelled", tuple(x for at in ("at", "AT", "At", "aT") for x in (f"({at})", f"[{at}]", f" {at} ")), re.compile(_START + _SPELLED)),
     ("iban", ("digit",), re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("phone_local", ("digit",), re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])")),
     ("secret", ("=", ":"), re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;]{6,}+)")),
@@ -83,7 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     if not _digit.search(text):
         return found
     for m in _ip.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(x := part.lstrip("0")) < 4 and int(x or 0) <= 255 for part in m[0].split(".")):
             found.append((m.start(), m.end(), "ip"))
     for m in _card.finditer(text):
         if 14 <= m.end() - m.start() and 14 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
@@ -271,22 +272,52 @@ def fit_model() -> tuple[Trees, dict[str, float]]:
     return trees, limits
 
 
+def free_of(base: list[tuple[int, int, str]], scored: list[tuple[float, tuple[int, int, str]]]) -> list[tuple[int, int, str]]:
+    """Of (score, span) the spans that stand: best first, each free of ``base`` and of those
+    before it. A sweep parts the spans into runs that overlap; each run is decided by itself."""
+    spans = sorted([(a, b, 0.0, None) for a, b, _ in base] + [(a, b, -s, kind) for s, (a, b, kind) in scored], key=lambda x: x[:3])
+    out, k = [], 0
+    while k < len(spans):
+        end, start = spans[k][1], k
+        while k < len(spans) and spans[k][0] < max(end, spans[start][0] + 1):
+            end, k = max(end, spans[k][1]), k + 1
+        run = spans[start:k]
+        if run[0][3] is not None and len(run) == 1:
+            out.append((*run[0][:2], run[0][3]))
+            continue
+        # What stands in the run, as disjoint intervals sorted by start.
+        starts, ends = [], []
+        for a, b, _, kind in run:
+            if kind is None:
+                if starts and a < ends[-1]:
+                    ends[-1] = max(ends[-1], b)
+                else:
+                    starts.append(a)
+                    ends.append(b)
+        for a, b, _, kind in sorted((x for x in run if x[3] is not None), key=lambda x: (x[2], x[0], x[1], x[3])):
+            at = bisect_left(starts, b)  # those before it start before this span ends
+            if not at or ends[at - 1] <= a:
+                starts.insert(at, a)
+                ends.insert(at, b)
+                out.append((a, b, kind))
+    return out
+
+
 def find(texts: list[str], model: tuple[Trees, dict[str, float]]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, both by start, then kind."""
     trees, limits = model
     bases = [base_spans(t) for t in texts]
-    proposed = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
-    added: dict[int, list] = {}
-    if proposed:
-        p = trees.probability(np.array([features(texts[i], *c) for i, c in proposed]))
-        for k in sorted(range(len(proposed)), key=lambda k: (-p[k], proposed[k][1])):
-            i, (a, b, kind) = proposed[k]
-            taken = bases[i] + added.get(i, [])
-            if p[k] >= limits[kind] and not any(a < y and x < b for x, y, _ in taken):
-                added.setdefault(i, []).append((a, b, kind))
+    proposed = [candidates(t) for t in texts]
+    added: list[list] = [[] for _ in texts]
+    if any(proposed):
+        p = trees.probability(np.array([features(t, *c) for t, found in zip(texts, proposed, strict=True) for c in found]))
+        scores = iter(p.tolist())
+        for base, found, out in zip(bases, proposed, added, strict=True):
+            scored = [(s, c) for c in found for s in (next(scores),) if s >= limits[c[2]]]
+            out += free_of(base, scored)
     rank = {kind: k for k, kind in enumerate(KINDS)}
     order = lambda s: (s[0], rank[s[2]], s[1])
-    return [(sorted(b, key=order), sorted(b + added.get(i, []), key=order)) for i, b in enumerate(bases)]
+    return [(sorted(b, key=order), sorted(b + added[i], key=order)) for i, b in enumerate(bases)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
