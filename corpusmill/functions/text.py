@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 CHARS_PER_TOKEN = 3.5
 
 # Words that task terms leave out.
-STOP_WORDS = ("a", "an", "and", "as", "at", "be", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "up", "via", "with")
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "the", "this", "that", "to", "with",
+)
 
 # File endings that name a language.
 LANGUAGES = {

@@ -8,25 +8,28 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import lines_of
 
 
-def plan(scan: DataFrame, state: DataFrame) -> DataFrame:
-    """path and action: upsert, touch (only the time changed), unchanged or delete."""
-    a = scan.select("path", F.col("mtime").alias("m"), F.col("hash").alias("h"))
-    b = state.select("path", F.col("mtime").alias("old_m"), F.col("hash").alias("old_h"))
+def _delta(scan: DataFrame, state: DataFrame, *columns: str) -> DataFrame:
+    """path, new, old (null where a side lacks the path) and action, by one full outer join."""
+    new = scan.select("path", F.struct(*columns).alias("new"))
+    both = new.join(state.select("path", F.struct(*columns).alias("old")), "path", "full_outer")
     action = (
-        F.when(F.col("m").isNull(), "delete")
-        .when(F.col("old_m").isNull(), "upsert")
-        .when(F.col("m") == F.col("old_m"), "unchanged")
-        .when((F.col("h") != "") & (F.col("h") == F.col("old_h")), "touch")
+        F.when(F.col("new").isNull(), "delete")
+        .when(F.col("old").isNull(), "upsert")
+        .when(F.col("new.mtime") == F.col("old.mtime"), "unchanged")
+        .when((F.col("new.hash") != "") & (F.col("new.hash") == F.col("old.hash")), "touch")
         .otherwise("upsert")
     )
-    return a.join(b, "path", "full_outer").select("path", action.alias("action"))
+    return both.withColumn("action", action)
+
+
+def plan(scan: DataFrame, state: DataFrame) -> DataFrame:
+    """path and action: upsert, touch (only the time changed), unchanged or delete."""
+    return _delta(scan, state, "mtime", "hash").select("path", "action")
 
 
 def merged(scan: DataFrame, state: DataFrame) -> DataFrame:
     """The state after the plan: path, size, mtime, hash. Touched files keep size and hash."""
-    new = scan.select("path", F.struct("size", "mtime", "hash").alias("new"))
-    old = state.select("path", F.struct("size", "mtime", "hash").alias("old"))
-    both = new.join(plan(scan, state), "path").join(old, "path", "left")
+    both = _delta(scan, state, "size", "mtime", "hash").where("action <> 'delete'")
     keeps = F.col("action").isin("touch", "unchanged")
     return both.select(
         "path",
@@ -104,7 +107,8 @@ def symbols(files: DataFrame, most: int = 1000) -> DataFrame:
 
 def headings(files: DataFrame) -> DataFrame:
     """Symbols of prose: lines that start with a capital letter, named by their first word."""
-    lines = files.select("path", F.size(lines_of(F.col("content"))).alias("n"), F.posexplode(lines_of(F.col("content"))).alias("at", "text"))
+    split = files.select("path", lines_of(F.col("content")).alias("all"))
+    lines = split.select("path", F.size("all").alias("n"), F.posexplode("all").alias("at", "text"))
     named = lines.where(F.col("text").rlike("^[A-Z]"))
     return named.select(
         "path", F.regexp_extract("text", "^([A-Za-z]+)", 1).alias("name"), (F.col("at") + 1).cast("long").alias("line"), F.col("n").cast("long").alias("n")
@@ -118,7 +122,23 @@ def symbol_ranges(marks: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For each (path, at) the containing symbol of least span, then start, then name."""
-    hit = points.join(ranges, "path").where("at between line and last")
-    best = F.min(F.struct((F.col("last") - F.col("line")).alias("span"), "line", "name", "last")).alias("s")
-    return hit.groupBy("path", "at").agg(best).select("path", "at", "s.name", "s.line", "s.last")
+    """For each (path, at) the symbol that contains it. ``ranges`` do not overlap within a
+    file, so the last one that starts at or before a point is the only one that may."""
+    starts = ranges.where("last >= line").select("path", F.col("line").alias("at"), F.lit(0).alias("kind"), F.struct("name", "line", "last").alias("s"))
+    asked = points.select("path", "at").distinct().select("path", "at", F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["s"].dataType).alias("s"))
+    before = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = starts.unionByName(asked).withColumn("s", F.last("s", ignorenulls=True).over(before))
+    return found.where("kind = 1 and at <= s.last").select("path", "at", "s.name", "s.line", "s.last")
+
+
+def enclosing_ranges(spans: DataFrame, marks: DataFrame, cell: int = 64) -> DataFrame:
+    """For each span (path, first, last) the symbol (name, line, last_line, signature) that
+    contains it, else one that overlaps it: of least extent, then start, then signature.
+    Symbols may nest; both sides are spread over cells of lines, so the join is an equal one."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(a, b) / cell))).alias("cell")
+    left = spans.select("path", "first", "last").distinct().select("path", "first", "last", cells("first", "last"))
+    right = marks.select("path", "name", "line", "last_line", "signature", cells("line", "last_line"))
+    met = left.join(right, ["path", "cell"]).where("line <= last and last_line >= first")
+    outside = ~((F.col("line") <= F.col("first")) & (F.col("last_line") >= F.col("last")))
+    best = F.min(F.struct(outside.alias("outside"), (F.col("last_line") - F.col("line")).alias("extent"), "line", "signature", "name", "last_line")).alias("s")
+    return met.groupBy("path", "first", "last").agg(best).select("path", "first", "last", "s.name", "s.line", "s.last_line", (~F.col("s.outside")).alias("contained"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import LANGUAGES, STOP_WORDS, base_name, occurrences, words_of_identifier
@@ -27,7 +27,7 @@ _IDENTIFIER = re.compile(r"\w+[A-Z]\w*|[A-Za-z]\w*_\w+|[A-Za-z]\w*(?:\.\w+)+")
 def task_terms(text: str) -> dict[str, list[str]]:
     """Terms of a task by category, each once, in order."""
     found: dict[str, dict[str, None]] = {k: {} for k in ("identifier", "path", "config", "endpoint", "search")}
-    for token in re.findall(r"[A-Za-z0-9_./:\-]+", text):
+    for token in re.findall(r"[A-Za-z0-9_./:\-]+", text):  # a fixed pattern
         token = token.rstrip(".,;:!?")
         if len(token) < 2:
             continue
@@ -121,9 +121,11 @@ def finished(scores: DataFrame, *boosts: DataFrame, limit: int = 200) -> DataFra
     for boost in boosts:
         total = total.unionByName(boost.select("path", F.col("boost").cast("double").alias("raw")))
     total = total.groupBy("path").agg(F.round(F.sum("raw"), 6).alias("raw")).where("raw > 0")
-    best = total.agg(F.max("raw")).first()[0] or 1.0
-    score = F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(F.col("raw") / F.lit(best) * 1000 + 0.5))).cast("long")
-    return total.withColumn("score", score).orderBy(F.desc("score"), F.desc("raw"), "path").limit(limit)
+    # The score follows raw, so the limited rows hold the best; the window runs over them alone.
+    top = total.orderBy(F.desc("raw"), "path").limit(limit)
+    best = F.max("raw").over(Window.partitionBy())
+    score = F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(F.col("raw") / best * 1000 + 0.5))).cast("long")
+    return top.withColumn("score", score).orderBy(F.desc("score"), F.desc("raw"), "path")
 
 
 # Confidence of each sign that a file is an entry point.

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import lines_of, truncate
@@ -13,25 +11,28 @@ PER_FILE, OVERALL = 20, 100
 
 
 def hits(files: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = False, context: int = 0) -> DataFrame:
-    """path, line, col, excerpt, before and after of every line that holds the pattern (once a line)."""
-    lines = files.select("path", lines_of(F.col("content")).alias("all")).select("path", "all", F.posexplode("all").alias("at", "excerpt"))
-    if regex:
-        whole = pattern if case_sensitive else f"(?i){pattern}"
-        col = F.regexp_instr("excerpt", F.lit(whole))
-    elif case_sensitive:
-        col = F.locate(pattern, F.col("excerpt"))
-    else:
-        col = F.locate(pattern.lower(), F.lower("excerpt"))
-    found = lines.withColumn("col", col).where("col > 0")
-    first = F.greatest(F.col("at") - context, F.lit(0))
-    return found.select(
-        "path",
-        (F.col("at") + 1).cast("long").alias("line"),
-        F.col("col").cast("long").alias("col"),
-        "excerpt",
-        F.slice("all", first + 1, F.col("at") - first).alias("before"),
-        F.slice("all", F.col("at") + 2, F.lit(context)).alias("after"),
-    )
+    """path, line, col, excerpt, before and after of every line that holds the pattern (once
+    a line). Lines are filtered and given their context within a file, before they are rows."""
+
+    def place(line: Column) -> Column:
+        if regex:
+            return F.regexp_instr(line, F.lit(pattern if case_sensitive else f"(?i){pattern}"))
+        return F.position(F.lit(pattern), line) if case_sensitive else F.position(F.lit(pattern.lower()), F.lower(line))
+
+    def shown(x: Column) -> Column:
+        first = F.greatest(x["at"] - context, F.lit(0))
+        return F.struct(
+            (x["at"] + 1).cast("long").alias("line"),
+            x["col"].cast("long").alias("col"),
+            x["excerpt"].alias("excerpt"),
+            F.slice("all", first + 1, x["at"] - first).alias("before"),
+            F.slice("all", x["at"] + 2, F.lit(context)).alias("after"),
+        )
+
+    split = files.select("path", lines_of(F.col("content")).alias("all"))
+    marked = F.transform("all", lambda line, at: F.struct(at.alias("at"), place(line).alias("col"), line.alias("excerpt")))
+    found = F.transform(F.filter(marked, lambda x: x["col"] > 0), shown)
+    return split.select("path", F.inline(found))
 
 
 def capped(found: DataFrame, per_file: int = PER_FILE, overall: int = OVERALL) -> DataFrame:
@@ -76,7 +77,3 @@ def snippet(files: DataFrame, anchor: str, around: int = 8) -> DataFrame:
     first = F.greatest(F.col("at") - around, F.lit(1))
     text = F.array_join(F.slice("all", first.cast("int"), (F.col("at") + around - first + 1).cast("int")), "\n")
     return found.where("at > 0").select("path", F.col("at").cast("long").alias("line"), text.alias("text"))
-
-
-def literal(pattern: str) -> str:
-    return re.escape(pattern)

@@ -81,12 +81,14 @@ def ladder(entries: DataFrame, budget: int) -> DataFrame:
 
 def patch_cap(files: DataFrame, hunks: DataFrame, budget: int, most_files: int) -> DataFrame:
     """path, hunks and tokens kept of patches in order of relevance: whole files while they
-    fit, then the longest prefix of hunks of the first that does not.
+    fit (those without hunks by their header alone), then the longest prefix of hunks of
+    the first that does not.
 
     files: path, relevance, header (characters); hunks: path, ord, chars. A kept file has a
     token at least, so no more than ``most_files`` rows enter the window over all."""
     sized = hunks.groupBy("path").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
-    top = files.join(sized, "path").orderBy(F.desc("relevance"), F.desc("chars"), "path").limit(most_files)
+    every = files.join(sized, "path", "left").fillna(0, ["chars", "n"])
+    top = every.orderBy(F.desc("relevance"), F.desc("chars"), "path").limit(most_files)
     tokens = F.ceil((F.col("header") + F.col("chars")) / 3.5).cast("long")
     order = Window.orderBy(F.desc("relevance"), F.desc("chars"), "path")
     run = top.withColumn("tokens", tokens).withColumn("upto", F.sum("tokens").over(order)).withColumn("nth", F.row_number().over(order))

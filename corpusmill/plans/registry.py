@@ -46,8 +46,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import edges by position among the files: (src, dst) paths."""
     ids = files(spark, sf_dir).select("doc_id", "path")
     n = ids.count()
-    pairs = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    pairs = pairs.select((F.col("l_orderkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).where("a <> b").distinct()
+    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).where("a <> b").distinct()
     src, dst = ids.select(F.col("doc_id").alias("a"), F.col("path").alias("src")), ids.select(F.col("doc_id").alias("b"), F.col("path").alias("dst"))
     return pairs.join(src, "a").join(dst, "b").select("src", "dst")
 
@@ -55,7 +54,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES_SQL = """edges as (
   select distinct s.path as src, d.path as dst
   from (select distinct l_orderkey % (select count(*) from documents) as a, l_partkey % (select count(*) from documents) as b
-        from lineitem where l_linenumber = 1) p
+        from lineitem) p
   join files s on s.doc_id = p.a join files d on d.doc_id = p.b where p.a <> p.b
 )"""
 
@@ -180,9 +179,13 @@ def _base_sql() -> str:
 )"""
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_of(every: DataFrame) -> DataFrame:
     entry = F.col("path").rlike(r"(^|/)(main|index|app|routes|server|cli)\.[^/]*$")
-    return rank.base_scores(files(spark, sf_dir), F.concat_ws("\n", "path", "content"), _TERMS, entry)
+    return rank.base_scores(every, F.concat_ws("\n", "path", "content"), _TERMS, entry)
+
+
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_of(files(spark, sf_dir))
 
 
 @query(f"with {FILES_SQL}, {_base_sql()} select path, raw, hits, matched from base")
@@ -445,8 +448,9 @@ _PRIORITY_SQL = """sig as (
 
 
 def priorities(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
-    docs = files(spark, sf_dir).select("path", "doc_id")
-    every = chosen.select("path").join(docs, "path").join(base(spark, sf_dir).select("path", "hits"), "path", "left")
+    # Only the chosen files, whose number the quotas bound, are scored again.
+    own = files(spark, sf_dir).join(F.broadcast(chosen.select("path")), "path", "left_semi")
+    every = own.select("path", "doc_id").join(base_of(own).select("path", "hits"), "path", "left")
     at = lambda k: F.col("doc_id") % k == 0
     signals = every.select(
         "path",
@@ -491,10 +495,9 @@ _LADDER_SQL = """entry as (
 
 @query(f"with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000 or ord > 1 qualify coalesce(min(total) over (order by ord rows between unbounded preceding and 1 preceding), total - delta) > 8000")
 def q_budget_ladder(spark, sf_dir):
-    content = files(spark, sf_dir).select(
-        "path", tokens(F.col("content")).alias("full_tokens"), tokens(F.col("content"), 7.0).alias("slice_tokens")
-    )
     chosen = selection(spark, sf_dir)
+    own = files(spark, sf_dir).join(F.broadcast(chosen), "path", "left_semi")
+    content = own.select("path", tokens(F.col("content")).alias("full_tokens"), tokens(F.col("content"), 7.0).alias("slice_tokens"))
     entries = chosen.join(priorities(spark, sf_dir, chosen), "path").join(content, "path")
     return select.ladder(small(entries.select("path", "mode", "score", "full_tokens", "slice_tokens")), 8000)
 
@@ -503,7 +506,8 @@ def q_budget_ladder(spark, sf_dir):
     """with hunks as (select l_orderkey as path, l_linenumber as ord, (l_quantity * 10)::bigint as chars from lineitem),
 f as (select o_orderkey as path, floor(o_totalprice)::bigint as relevance, 60 as header from orders),
 s as (select path, sum(chars)::bigint as chars, count(*) as n from hunks group by path),
-r as (select f.*, s.chars, s.n, ceil((header + s.chars) / 3.5::double)::bigint as tokens from f join s using (path) order by relevance desc, s.chars desc, path limit 2000),
+r as (select path, relevance, header, coalesce(s.chars, 0) as chars, coalesce(s.n, 0) as n, ceil((header + coalesce(s.chars, 0)) / 3.5::double)::bigint as tokens
+  from f left join s using (path) order by relevance desc, coalesce(s.chars, 0) desc, path limit 2000),
 run as (select *, sum(tokens) over w as upto, row_number() over w as nth from r window w as (order by relevance desc, chars desc, path rows unbounded preceding)),
 one as (select path, header, 20000 - upto + tokens as room from run where upto > 20000 order by nth limit 1),
 part as (select h.path, ceil((o.header + sum(h.chars) over (partition by h.path order by h.ord, h.chars rows unbounded preceding)) / 3.5::double)::bigint as cost, o.room from hunks h join one o using (path))
@@ -663,10 +667,10 @@ def q_symbols_extract(spark, sf_dir):
 
 @query(
     f"""with {FILES_SQL}, {_LINES_SQL} select path, line, lpad(line::varchar, greatest(4, length(line::varchar))::int, ' ') || ' | ' || excerpt as text
-from lines where line between 3 and 7 and path in (select path from files where doc_id % 50 = 0)"""
+from lines where line between 3 and 7"""
 )
 def q_read_lines(spark, sf_dir):
-    return search.numbered_lines(files(spark, sf_dir).where("doc_id % 50 = 0"), 3, 7)
+    return search.numbered_lines(files(spark, sf_dir), 3, 7)
 
 
 @query(
