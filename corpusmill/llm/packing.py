@@ -11,15 +11,23 @@ number of tokens; each group is packed by itself:
    first; when none fits, a piece is cut to close the gap.
 4. A last open window becomes windows of powers of two where it can, and is padded
    only below the smallest tier.
-5. Windows are dealt to step groups of equal token budgets, tier by tier.
+5. Windows are dealt to step groups, each of exactly the same number of padded tokens:
+   of one tier each, and what the tiers leave over at a task's end is joined, longest
+   windows first, so that only a task's last group falls short. Step groups are numbered
+   apart over all tasks.
 
-Defined results: a null text is an empty one and packs as its end id alone; repeated
-rows are packed each; other columns are ignored; an empty table gives no pieces.
+Ids are those of the tokenizer file, its control string in a text included.
+
+Defined results: a null text is an empty one and packs as its end id alone; a text longer
+than a window gives windows of its own and a rest; pieces of equal length go in the order
+of their documents; repeated rows are packed each; other columns are ignored; an empty
+table gives no pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,13 +39,15 @@ from pyspark.sql import functions as F
 
 #: Id that ends each document.
 END_ID = 1
+#: Fixed value of the tokenizer file: its control string and that one's id.
+CONTROL, CONTROL_ID = "<|endoftext|>", 50256
 #: Context sizes, smallest first; all are powers of two.
 TIERS = (256, 512, 1024, 2048)
 #: A group is packed once it holds so many tokens; bounds a task's memory.
 GROUP_TOKENS = 4_000_000
 #: Documents tokenised together.
 BATCH_DOCS = 2000
-#: Tokens in a step group.
+#: Padded tokens in a step group; a power of two.
 STEP_TOKENS = 65_536
 
 PIECES = (
@@ -47,7 +57,7 @@ PIECES = (
 
 #: White space other than a word's own leading space, for Arrow's regular expressions.
 _BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_AWKWARD = f"{_BLANK} |^{_BLANK}|{_BLANK}$|^$"
+_AWKWARD = f"{_BLANK} |^{_BLANK}|{_BLANK}$|^$|" + re.escape(CONTROL)
 
 
 def default_tokenizer() -> str:
@@ -61,7 +71,8 @@ class Tokens:
 
     Splits before spaces that follow other characters, where this vocabulary's word
     pattern always splits too, then encodes each distinct word of the batch once.
-    Control strings of the vocabulary are ordinary text."""
+    ``batch`` gives the vocabulary's control string its own id, ``encoding`` takes it as
+    ordinary text by ``encode_ordinary``."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -69,7 +80,7 @@ class Tokens:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={CONTROL: CONTROL_ID})
         self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
@@ -77,7 +88,8 @@ class Tokens:
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         encode = self.encoding.encode_ordinary
         awkward = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False)
-        out: list = [np.array(encode(t.as_py()), np.uint32) if odd else None for t, odd in zip(texts, awkward, strict=True)]
+        whole = lambda text: np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
+        out: list = [whole(t.as_py()) if odd else None for t, odd in zip(texts, awkward, strict=True)]
         easy = np.flatnonzero(~awkward)
         if not len(easy):
             return out
@@ -169,43 +181,68 @@ def _packer(path: str, tiers: tuple[int, ...], group_tokens: int, step_tokens: i
         from pyspark import TaskContext
 
         tokens = Tokens(path)
-        # Ids of sequences are unique over tasks and gapless within one.
-        sequence = TaskContext.get().partitionId() << 40
-        step = dict.fromkeys(tiers, 0)
-        spent = dict.fromkeys(tiers, 0)
+        # Ids of sequences and step groups are unique over tasks and gapless within one.
+        sequence = step = TaskContext.get().partitionId() << 40
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        # Rows of the windows of each padded length that no step group holds yet, and their tokens.
+        waiting: dict[int, list[list[tuple]]] = {}
+
+        def grouped(windows: list[list[tuple]]) -> list[tuple]:
+            nonlocal step
+            rows = [(*row, step) for window in windows for row in window]
+            step += 1
+            return rows
 
-        def flush(docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
+        def batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+
+        def flush(docs: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows = []
-            for size, window in pack_group([len(x) for x in ids], tiers):
-                offset, total = 0, sum(x[2] for x in window)
+            for size, pieces in pack_group([len(x) for x in ids], tiers):
+                offset, total, window = 0, sum(x[2] for x in pieces), []
                 padded = total if total & (total - 1) == 0 else tiers[-1]
-                if spent[size] + size > step_tokens:
-                    step[size] += 1
-                    spent[size] = 0
-                spent[size] += size
-                for doc, start, length in window:
+                for doc, start, length in pieces:
                     crc = zlib.crc32(ids[doc][start : start + length].tobytes())
-                    rows.append((docs[doc], start, length, crc, len(ids[doc]), sequence, offset, padded, size, step[size]))
+                    window.append((docs[doc], start, length, crc, len(ids[doc]), sequence, offset, padded, size))
                     offset += length
                 sequence += 1
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+                held = waiting.setdefault(padded, [])
+                held.append(window)
+                if len(held) * padded >= step_tokens:
+                    rows += grouped(held)
+                    held.clear()
+            yield from batch(rows)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows, group, spent = [], [], 0
+            for padded in sorted(waiting, reverse=True):
+                for window in waiting[padded]:
+                    group.append(window)
+                    spent += padded
+                    if spent >= step_tokens:
+                        rows += grouped(group)
+                        group, spent = [], 0
+            if group:
+                rows += grouped(group)
+            yield from batch(rows)
 
         docs, ids, total = [], [], 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH_DOCS):
-                part = batch.slice(a, BATCH_DOCS)
+        for rows in batches:
+            for a in range(0, rows.num_rows, BATCH_DOCS):
+                part = rows.slice(a, BATCH_DOCS)
                 texts = pc.fill_null(part["text"], "")
                 docs += part["doc_id"].to_pylist()
                 got = [np.append(x, END_ID).astype("<u4") for x in tokens.batch(texts)]
                 ids += got
                 total += sum(map(len, got))
                 if total >= group_tokens:
-                    yield flush(docs, ids)
+                    yield from flush(docs, ids)
                     docs, ids, total = [], [], 0
         if docs:
-            yield flush(docs, ids)
+            yield from flush(docs, ids)
+        yield from close()
 
     return run
 
@@ -217,6 +254,7 @@ def pack(
     group_tokens: int = GROUP_TOKENS,
     step_tokens: int = STEP_TOKENS,
 ) -> DataFrame:
-    """One row per piece of a document in a packed sequence (columns: ``PIECES``)."""
+    """One row per piece of a document in a packed sequence (columns: ``PIECES``).
+    ``step_tokens`` is a power of two, at least the largest tier."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_packer(tokenizer_path or default_tokenizer(), tiers, group_tokens, step_tokens), PIECES)
