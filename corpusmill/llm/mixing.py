@@ -5,7 +5,10 @@ of words; no target exceeds a multiple of its source's size, and what lies above
 shared again by weight. Each source's documents are shuffled by a digest of their id
 into one stream that repeats in epochs, cut into blocks of equal words. Slot t has
 the golden-ratio point frac(t * phi), which the cumulative targets map to a source;
-the n-th slot of a source takes the n-th block of its stream.
+the n-th slot of a source takes the n-th block of its stream. What the mix takes is what
+its slots reach, and nothing else. N points leave no gap of 1.9 / N or more, so that
+twice as many slots as blocks reach every block; a source of many blocks has its
+own after a hundredth more, and later slots are drawn for small sources alone.
 
 Defined results: a null text has no words and is never taken; documents of equal id
 are shuffled by size; rows repeated in full are taken each by itself; an empty table
@@ -25,9 +28,12 @@ MOST_EPOCHS = 2
 BLOCK_WORDS = 1024
 #: Slots in one partition of the applied mix.
 PART_SLOTS = 2048
-#: Golden ratio in units of 2**-31; t times it stays below 2**62.
-_UNIT, _GOLDEN = 1 << 31, 1_327_217_885
+#: The golden ratio as two Fibonacci numbers in a row, so that the points stay even over all of them.
+_GOLDEN, _UNIT = 956_722_026_041, 1_548_008_755_920
+_LOW = 1 << 21
 _CELLS, _CHUNK = 4096, 1 << 16
+#: Sources of fewer blocks may need slots beyond the first hundredth over all blocks.
+SMALL_QUOTA = 2048
 
 
 def sizes(docs: DataFrame, *more: str) -> DataFrame:
@@ -59,9 +65,16 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def schedule(quotas: DataFrame, n_slots: int) -> DataFrame:
+def _point(slot: Column) -> Column:
+    """slot * _GOLDEN modulo _UNIT, in two parts that fit a long."""
+    t = slot % _UNIT
+    return (F.floor(t / _LOW) * (_GOLDEN * _LOW % _UNIT) + (t % _LOW) * _GOLDEN) % _UNIT
+
+
+def schedule(quotas: DataFrame, n_slots: int, n_drawn: int = 0) -> DataFrame:
     """slot, source_no, block: golden-ratio points through the cumulative quotas,
-    ranked per source. ``quotas``: source_no, quota (blocks), upto (of it and those before)."""
+    ranked per source. ``quotas``: source_no, quota (blocks), upto (of it and those before).
+    Slots from ``n_slots`` up to ``n_drawn`` are those of sources below SMALL_QUOTA."""
     total = F.max("upto").over(Window.partitionBy())
     ends = quotas.select(
         "source_no",
@@ -74,12 +87,12 @@ def schedule(quotas: DataFrame, n_slots: int) -> DataFrame:
     cells = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     spark = quotas.sparkSession
     points = (
-        spark.range(n_slots)
+        spark.range(max(n_slots, n_drawn))
         .withColumnRenamed("id", "slot")
-        .withColumn("point", ((F.col("slot") % _UNIT) * _GOLDEN) % _UNIT)
+        .withColumn("point", _point(F.col("slot")))
         .withColumn("cell", F.floor(F.col("point") / width))
     )
-    hit = points.join(cells, "cell").where("point >= lo and point < hi")
+    hit = points.join(cells, "cell").where(f"point >= lo and point < hi and (slot < {n_slots} or quota < {SMALL_QUOTA})")
     hit = hit.select("slot", "source_no", "quota", F.floor(F.col("slot") / _CHUNK).alias("chunk"), F.lit(1).alias("one"))
     return running_sum(hit, "source_no", "chunk", ["slot"], "one", "block").where("block < quota").select("slot", "source_no", "block")
 
@@ -88,9 +101,10 @@ def _quota(block_words: int) -> Column:
     return F.ceil(F.floor("target") / block_words)
 
 
-def slots(aims: DataFrame, block_words: int = BLOCK_WORDS) -> int:
-    """How many slots are drawn: some more than there are blocks."""
-    return (aims.agg(F.sum(_quota(block_words))).first()[0] or 0) * 101 // 100 + 64
+def slots(aims: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, int]:
+    """How many slots are drawn for all sources, and for small ones."""
+    blocks = aims.agg(F.sum(_quota(block_words))).first()[0] or 0
+    return blocks * 101 // 100 + 64, blocks * 2 + 64
 
 
 def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -99,9 +113,7 @@ def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> Da
     ``sized`` but its source.
 
     ``sized`` and ``aims`` come from ``sizes`` and ``targets`` and should be written
-    tables. ``row_no`` tells repeated rows apart: the words of the source before it.
-    The few blocks of a source that the schedule ends too early for come last, slot
-    null."""
+    tables. ``row_no`` tells repeated rows apart: the words of the source before it."""
     known = sized.where("size > 0").join(
         aims, sized["source"].eqNullSafe(aims["source"])
     )
@@ -128,11 +140,12 @@ def mix(sized: DataFrame, aims: DataFrame, block_words: int = BLOCK_WORDS) -> Da
     quotas = aims.select("source_no", _quota(block_words).alias("quota")).withColumn(
         "upto", F.sum("quota").over(Window.orderBy("source_no"))
     )
-    return pieces.join(schedule(quotas, slots(aims, block_words)), ["source_no", "block"], "left")
+    return pieces.join(schedule(quotas, *slots(aims, block_words)), ["source_no", "block"])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words) of every document."""
+    """doc_id, size, source_size, target and taken (words in the slots that reach it) of
+    every document."""
     sized = Written(sizes(docs), "sizes").df
     aims = Written(targets(sized), "targets").df
     taken = mix(sized, aims).groupBy("source_no", "row_no", "doc_id", "size").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
@@ -154,15 +167,14 @@ def apply(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with their columns: a row for each epoch that
     takes any of a document, with the words it takes (all of them, or one run joined by
     single spaces); n_chars follows the text. The rows come in the order of the first slot
-    that reaches them: a partition is a run of slots, sorted; those without a slot come last."""
+    that reaches them: a partition is a run of slots, sorted."""
     same = F.xxhash64("text")
     sized = sizes(docs.select("doc_id", "source", "text", same.alias("same")), "same")
     sized = Written(sized, "sizes").df
     aims = Written(targets(sized), "targets").df
     taken = mix(sized, aims).groupBy("source_no", "row_no", "epoch", "doc_id", "same", "size")
-    n_slots = slots(aims)
-    slot = F.coalesce(F.min("slot"), F.lit(n_slots)).alias("slot")
-    taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last"), slot)
+    n_slots, _ = slots(aims)
+    taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("slot").alias("slot"))
     taken = taken.withColumn("__at", F.struct("slot", "source_no", "epoch", "row_no")).drop("slot", "row_no", "epoch")
     # A row of ``taken`` stands for one row of the documents, so equal rows are needed but once.
     numbered = aims.select(F.col("source").alias("__source"), "source_no")
@@ -177,13 +189,13 @@ def apply(docs: DataFrame) -> DataFrame:
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    # Slots are even, so runs of them need no sample of the rows.
-    part = F.floor(F.col("__at.slot") / PART_SLOTS).cast("int")
+    # Slots are even, so runs of them need no sample of the rows; the few late ones of small sources are the last run.
+    part = F.floor(F.least("__at.slot", F.lit(n_slots)) / PART_SLOTS).cast("int")
     placed = out.select(*docs.columns, "__at").repartitionById(n_slots // PART_SLOTS + 1, part)
     return placed.sortWithinPartitions("__at").select(*docs.columns)
 
 
-MIX_SQL = r"""
+MIX_SQL = rf"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
 ), totals as (
@@ -195,13 +207,29 @@ with sized as (
     (sum(weight) over (order by cap / weight, source_no rows between current row and unbounded following))::bigint as rest from capped
 ), aims as (
   select source, source_no, source_size, least(cap::double, weight * max((1.5::double * total - above) / rest) over ()) as target from levels
+), quotas as (
+  select source_no, ceil(floor(target) / {BLOCK_WORDS})::bigint as quota from aims
+), ends as (
+  select *, (sum(quota) over (order by source_no))::bigint as upto, (sum(quota) over ())::bigint as blocks from quotas
+), slots as (
+  select slot, ((slot // {_LOW}) * {_GOLDEN * _LOW % _UNIT} + (slot % {_LOW}) * {_GOLDEN}) % {_UNIT} as point
+  from (select unnest(range((select max(blocks) * 2 + 64 from ends))) as slot)
+), scheduled as (
+  select slot, source_no, quota, row_number() over (partition by source_no order by slot) - 1 as block from slots join ends
+  on point >= floor((upto - quota) * {_UNIT}::double / blocks)::bigint and point < floor(upto * {_UNIT}::double / blocks)::bigint
+  where slot < blocks * 101 // 100 + 64 or quota < {SMALL_QUOTA}
 ), laid as (
-  select doc_id, size, source_size, target, floor(target)::bigint as goal,
+  select row_number() over () as id, doc_id, size, source_no, source_size, target, floor(target)::bigint as goal,
     coalesce(sum(size) over (partition by source_no order by md5(coalesce(doc_id::varchar, '')), doc_id, size
-      rows between unbounded preceding and 1 preceding), 0)::bigint as a
+      rows between unbounded preceding and 1 preceding), 0)::bigint as row_no
   from sized join aims on sized.source is not distinct from aims.source
+), seen as (
+  select id, source_no, epoch * source_size + row_no as a, least(epoch * source_size + row_no + size, goal) as b from laid, (values (0), (1)) e(epoch)
+), pieces as (
+  select id, source_no, a, b, unnest(range(a // {BLOCK_WORDS}, (b - 1) // {BLOCK_WORDS} + 1)) as block from seen where b > a
+), taken as (
+  select id, sum(least(b, (block + 1) * {BLOCK_WORDS}) - greatest(a, block * {BLOCK_WORDS}))::bigint as taken
+  from pieces join scheduled using (source_no, block) where block < quota group by id
 )
-select doc_id, size, source_size, target,
-  (greatest(0, least(a + size, goal) - a) + greatest(0, least(source_size + a + size, goal) - source_size - a))::bigint as taken
-from laid
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from laid left join taken using (id)
 """
