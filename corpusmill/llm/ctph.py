@@ -2,16 +2,18 @@
 
 A rolling hash over seven bytes marks chunk boundaries where its remainder by the
 block size is the block size less one, so that an edit moves only the boundaries near
-it. Each chunk gives one base-64 character of its checksum; a fingerprint is
+it. Each chunk gives one base-64 character of its checksum, 64 at most: the last covers
+all that is left, so that signatures and their comparison are bounded whatever the text
+(a run of one character may end a chunk at every byte). A fingerprint is
 ``block:signature:signature at twice the block``. The block size is the least of
 3 * 2^k whose signature should fit 64 characters, halved while the signature is
 shorter than half of that. Fingerprints are compared at equal block sizes by edit
 distance (bit-parallel), and only if their signatures share a run of ``RUN``
 characters (of half the shorter one, if that is less) or are equal.
 
-Texts meet their neighbours by a range partitioning on the id with bounds worked out
-beforehand; the first document of each range also goes to the range before it, so one
-shuffle of the texts is enough and each task streams through its range.
+Texts meet their neighbours by one range shuffle on descending id and digest, so that
+rows of one id are spread too. Each task streams through its sorted range and hands on
+its first and its last text; these, two a range, are paired in a second small step.
 
 Defined results: a null text is empty, and an empty text has the fingerprint ``3::``;
 equal texts have equal fingerprints and likeness 1; rows of equal id follow each other
@@ -27,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import Written
+
 WINDOW, LEAST_BLOCK, MOST_CHARS, RUN = 7, 3, 64, 4
 #: Documents in one range of ids, about; the number of ranges grows with the input.
 RANGE_DOCS = 1024
-#: Ranges at most; bounds what the driver and a broadcast hold.
+#: Ranges at most; bounds the rows that put the ranges in order.
 MOST_RANGES = 1 << 16
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -53,7 +57,7 @@ def rolling(data: bytes) -> np.ndarray:
 
 
 def _signature(data: bytes, rolled: np.ndarray, block: int) -> str:
-    ends = (np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1).tolist()
+    ends = (np.flatnonzero(rolled % np.uint32(block) == block - 1)[: MOST_CHARS - 1] + 1).tolist()
     if not ends or ends[-1] != len(data):
         ends.append(len(data))
     view, start, out = memoryview(data), 0, []
@@ -115,58 +119,67 @@ def likeness(a: str, b: str) -> float:
     return max((_alike(s, left[size]) for k, s in enumerate(others) if (size := int(size_b) << k) in left), default=0.0)
 
 
-def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (range, order); a row's next is the row after it in its range."""
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    before = None
+def _pair(text: str, print_: str, following: str, next_print: str) -> tuple:
+    half = len(text) // 2
+    edited = (text[: len(text) - half] + following[:half]).encode("utf-8", "surrogatepass")
+    other = fingerprint(edited)
+    return len(text), hashlib.sha256(edited).hexdigest(), print_, other, likeness(print_, other), likeness(print_, next_print)
+
+
+_NAMES = [x.split()[0] for x in RESULT.split(", ")]
+#: Results, and the first and last text of a range for the step between ranges.
+_RANGED = f"{RESULT}, range int, end string, text string"
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
+
+def _within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows of one range: a row's next is the row after it."""
+    from pyspark import TaskContext
+
+    at, names, before = TaskContext.get().partitionId(), [*_NAMES, "range", "end", "text"], None
+    blank = (None,) * 6
     for frame in frames:
         rows = []
-        for at, doc, text, guest in zip(frame["range"], frame["doc_id"], frame["text"], frame["guest"], strict=True):
+        for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
             text = text or ""
-            now = (at, None if pd.isna(doc) else int(doc), text, fingerprint(text.encode("utf-8", "surrogatepass")))
-            if before and before[0] == at:
-                _, own, mine, print_ = before
-                half = len(mine) // 2
-                edited = (mine[: len(mine) - half] + text[:half]).encode("utf-8", "surrogatepass")
-                other = fingerprint(edited)
-                digest = hashlib.sha256(edited).hexdigest()
-                rows.append((own, len(mine), digest, print_, other, likeness(print_, other), likeness(print_, now[3])))
-            before = None if guest else now
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-
-def _count_up_to(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted bounds do not exceed the value: first among every k-th, then within k."""
-    k = max(1, int(len(bounds) ** 0.5))
-    below = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + (x <= value).cast("int"))
-    blocks = F.array(*[F.array(*[F.lit(x) for x in bounds[i : i + k]]) for i in range(0, len(bounds), k)])
-    block = below(F.array(*[F.lit(x) for x in bounds[k::k]]).cast("array<bigint>"))
-    return block * k + below(F.get(blocks, block))
+            now = (None if pd.isna(doc) else int(doc), text, fingerprint(text.encode("utf-8", "surrogatepass")))
+            if before:
+                rows.append((before[0], *_pair(*before[1:], *now[1:]), at, None, None))
+            else:
+                rows.append((now[0], *blank, at, "first", text))
+            before = now
+        yield _frame(rows, names)
+    if before:
+        yield _frame([(before[0], *blank, at, "last", before[1])], names)
+
+
+def _between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = []
+        for doc, text, following in zip(frame["doc_id"], frame["text"], frame["following"], strict=True):
+            prints = [fingerprint(t.encode("utf-8", "surrogatepass")) for t in (text, following)]
+            rows.append((None if pd.isna(doc) else int(doc), *_pair(text, prints[0], following, prints[1])))
+        yield _frame(rows, _NAMES)
 
 
 def compare_neighbours(docs: DataFrame, range_docs: int = RANGE_DOCS, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Fingerprints of each text, of its edited text (the last half replaced by the
     start of the next document, by descending id), and their likeness."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Descending ids ascend in ``order``; null ids come last.
-    ordered = texts.withColumn("order", F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1)))
-    n = ordered.count()
-    n_ranges = min(most_ranges, max(1, -(-n // range_docs)))
-    shares = [k / n_ranges for k in range(1, n_ranges)]
-    found = ordered.agg(F.percentile_approx("order", shares, 20 * n_ranges)).first()[0] if n and shares else []
-    bounds = sorted(set(found))
-    ranged = ordered.withColumn("range", _count_up_to(bounds, F.col("order")) if bounds else F.lit(0))
-    firsts = sorted(tuple(r) for r in ranged.groupBy("range").agg(F.min("order")).collect())
-    # The first document of each range is a guest in the range before it (the very first, in the last).
-    # Both lists have a row for each range, of which there are MOST_RANGES at most.
-    hosts = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "order long, host int")
-    own = F.struct(F.col("range"), F.lit(False).alias("guest"))
-    guest = F.struct(F.col("host").alias("range"), F.lit(True).alias("guest"))
-    placed = (
-        ranged.join(F.broadcast(hosts), "order", "left")
-        .withColumn("at", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))))
-        .select("at.range", "at.guest", "order", "doc_id", "text")
-    )
-    keys = ["range", "guest", "order", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text"]
-    return placed.repartition(n_ranges, "range").sortWithinPartitions(*keys).mapInPandas(_compared, RESULT)
+    keys = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    n_ranges = min(most_ranges, max(1, -(-texts.count() // range_docs)))
+    ranged = texts.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys, "text")
+    found = Written(ranged.mapInPandas(_within, _RANGED), "ranges").df
+    ends = found.where("end is not null").select("range", "end", "doc_id", "text")
+    # Ranges that hold rows, in order, each with the one after it (the first after the last): a row each.
+    order = Window.orderBy("range")
+    known = ends.where("end = 'first'").select("range")
+    after = F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy()))
+    pairs = known.withColumn("after", after)
+    lasts = ends.where("end = 'last'").select("range", "doc_id", "text").join(pairs, "range")
+    firsts = ends.where("end = 'first'").select(F.col("range").alias("after"), F.col("text").alias("following"))
+    between = lasts.join(firsts, "after").select("doc_id", "text", "following").mapInPandas(_between, RESULT)
+    return found.where("end is null").select(*_NAMES).unionByName(between)
