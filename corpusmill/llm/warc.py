@@ -2,14 +2,18 @@
 
 Captures are written as WARC/1.1 records by Spark's text writer (a record ends in two
 line breaks, which is the writer's line separator), gzip-compressed, in the shared
-folder, and read back as whole files of bounded size by a streaming reader. Of captures
+folder, and read back by a reader that decompresses them piece by piece; a task holds
+one compressed archive, whose size is bounded on average, and one record. Of captures
 with equal payloads that are long enough, the least id is a response and the others
-are revisits without a payload.
+are revisits without a payload. A url with control characters or blanks is written
+form-encoded, under a header that says so, and is read back as it was.
 
 The index: each archive is a run of captures sorted by (url key, timestamp, id). Runs
-are dealt to ranges of that key, and each range merges its parts of the runs with a
-tree of losers, giving one globally ordered history; a url with a third of all
-captures is spread over ranges by timestamp and id.
+are dealt to ranges of that key of bounded size. Within a range the entries of a run
+are brought together in the order in which its archive holds them (by offset: they are not sorted
+anew, and the merge checks that order), and a tree of losers merges the runs into one
+globally ordered history; a url with a third of all captures is spread over ranges by
+timestamp and id.
 
 Defined results: a null html is an empty payload; a null url has an empty key; rows of
 equal id are written each, with equal payloads as responses each; other columns are ignored;
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +40,8 @@ ARCHIVE_RECORDS, ARCHIVE_BYTES = 20_000, 32 << 20
 #: Captures in one range of the merged index, about.
 RANGE_CAPTURES = 100_000
 _BREAK = "\r\n"
+#: Header of records whose url is form-encoded, and bytes decompressed at a time.
+_ENCODED, _PIECE = "X-Target-URI-Encoding", 1 << 18
 
 
 def url_key(url: Column) -> Column:
@@ -70,7 +77,7 @@ def revisits(rows: DataFrame) -> DataFrame:
 
 def record(rows: DataFrame) -> Column:
     """A WARC record without its closing line breaks."""
-    safe = F.regexp_replace("url", r"[\x00-\x20\x7f]", "_")
+    odd = F.col("url").rlike(r"[\x00-\x20\x7f\x{85}\x{2028}\x{2029}]")
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, *value: F.concat(F.lit(f"{name}: "), *value, F.lit(_BREAK))
     identity = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
@@ -79,7 +86,8 @@ def record(rows: DataFrame) -> Column:
         F.when(revisit, line("WARC-Type", F.lit("revisit"))).otherwise(line("WARC-Type", F.lit("response"))),
         line("WARC-Record-ID", identity),
         line("WARC-Date", F.date_format(F.to_utc_timestamp("captured", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        line("WARC-Target-URI", safe),
+        line("WARC-Target-URI", F.when(odd, F.url_encode("url")).otherwise(F.col("url"))),
+        F.when(odd, line(_ENCODED, F.lit("form"))).otherwise(""),
         line("WARC-Payload-Digest", F.lit("sha256:"), "payload_digest"),
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(
@@ -115,21 +123,67 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
 
 
+class _Stream:
+    """The decompressed bytes of an archive, of which no more is held than asked for."""
+
+    def __init__(self, data: bytes):
+        self.packed, self.unpack = data, zlib.decompressobj(47)
+        self.held, self.at, self.begin = bytearray(), 0, 0
+
+    def more(self) -> bool:
+        """Decompresses another piece; false at the end."""
+        if self.unpack.eof:
+            if not (rest := self.unpack.unused_data):
+                return False
+            self.packed, self.unpack = rest, zlib.decompressobj(47)
+        piece = self.unpack.decompress(self.packed, _PIECE)
+        self.packed = self.unpack.unconsumed_tail
+        if not piece and not self.packed and not self.unpack.eof:
+            return False
+        if self.begin > _PIECE:
+            del self.held[: self.begin]
+            self.begin = 0
+        self.held += piece
+        return True
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """Takes what stands before ``mark``, and the mark; null at the end."""
+        seen = self.begin
+        while (found := self.held.find(mark, seen)) < 0:
+            left = max(0, len(self.held) - len(mark) + 1 - self.begin)
+            if not self.more():
+                return None
+            seen = self.begin + left
+        return self.take(found + len(mark) - self.begin)[: -len(mark)]
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.begin < n and self.more():
+            pass
+        out = bytes(self.held[self.begin : self.begin + n])
+        self.begin, self.at = self.begin + len(out), self.at + len(out)
+        return out
+
+
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of each record of a gzipped archive."""
-    data, at = zlib.decompress(data, 47), 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:head_end].decode().split("\r\n")
+    stream = _Stream(data)
+    while True:
+        at = stream.at
+        head = stream.upto(b"\r\n\r\n")
+        if head is None:
+            if stream.take(1):
+                raise ValueError(f"no record at byte {at}")
+            return
+        first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = dict(line.split(": ", 1) for line in lines)
-        start = head_end + 4
-        end = start + int(headers["Content-Length"])
-        if data[end : end + 4] != b"\r\n\r\n":
+        block = stream.take(int(headers["Content-Length"]))
+        if stream.take(4) != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end as one")
-        yield at, headers, data[start:end]
-        at = end + 4
+        if headers.pop(_ENCODED, None):
+            headers["WARC-Target-URI"] = unquote_plus(headers["WARC-Target-URI"])
+        yield at, headers, block
 
 
 CAPTURES = (
@@ -176,7 +230,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 class Losers:
     """Merges sorted runs of (key, value): each inner node keeps the loser of its match, so that the next
-    least entry takes one match per level."""
+    least entry takes one match per level. A run that is out of order is an error."""
 
     def __init__(self, runs: list[list]):
         self.runs, self.at = runs, [0] * len(runs)
@@ -208,8 +262,11 @@ class Losers:
             run = self.tree[0]
             if self.at[run] >= len(self.runs[run]):
                 return
-            yield self.runs[run][self.at[run]]
+            entry = self.runs[run][self.at[run]]
+            yield entry
             self.at[run] += 1
+            if self.at[run] < len(self.runs[run]) and self.runs[run][self.at[run]][0] < entry[0]:
+                raise ValueError("a run is not sorted")
             self._play(run)
 
 
@@ -234,13 +291,13 @@ def _merge(columns: list[str]):
 
 def merge_index(entries: DataFrame, n_captures: int) -> DataFrame:
     """The entries in global order of (url key, timestamp, id), with their url_key.
-    Ranges hold ``RANGE_CAPTURES`` entries, about."""
+    Ranges hold ``RANGE_CAPTURES`` entries, about, which bounds what a merge holds."""
     first = ["url_key", "captured", "page_id", "archive"]
     keyed = entries.withColumn("url_key", url_key(F.col("url")))
     keyed = keyed.select(*first, *[c for c in entries.columns if c not in first])
     ranges = max(1, -(-n_captures // RANGE_CAPTURES))
     dealt = keyed.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "offset")
-    parts = dealt.sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    parts = dealt.sortWithinPartitions("archive", "offset")
     return parts.mapInPandas(_merge(keyed.columns), keyed.schema)
 
 
