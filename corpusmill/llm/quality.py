@@ -26,7 +26,7 @@ WINDOW = 8
 MOST_LABELLED = 4000
 #: Precision that a rule must reach on the rows held out.
 LEAST_PRECISION = 0.95
-MOST_CONDITIONS, MOST_RULES, THRESHOLDS = 3, 12, 32
+MOST_CONDITIONS, MOST_RULES, MOST_TRIES, THRESHOLDS = 3, 12, 36, 32
 
 FEATURES = ("mean_word", "symbols_per_word", "dup_lines_share", "repeat_share", "distinct_share", "upper_share", "shouts_per_word", "bars_per_word")
 
@@ -169,11 +169,14 @@ def _best_condition(rows: list[dict]) -> Condition | None:
 
 def learn(rows: list[dict], least_precision: float = LEAST_PRECISION) -> list[Rule]:
     """Sequential covering over rows with the features and ``bad`` (0 or 1), in order:
-    every third row is held out for pruning."""
+    every third row is held out for pruning. A rule that is not precise enough there is
+    set aside with the bad rows it covers, and the search goes on without these."""
     grow = [r for k, r in enumerate(rows) if k % 3]
     held = [r for k, r in enumerate(rows) if not k % 3]
     rules: list[Rule] = []
-    while len(rules) < MOST_RULES and any(r["bad"] for r in grow):
+    tries = 0
+    while len(rules) < MOST_RULES and tries < MOST_TRIES and any(r["bad"] for r in grow):
+        tries += 1
         conditions: list[Condition] = []
         covered = grow
         while len(conditions) < MOST_CONDITIONS and (c := _best_condition(covered)):
@@ -190,7 +193,11 @@ def learn(rows: list[dict], least_precision: float = LEAST_PRECISION) -> list[Ru
         hit = [r["bad"] for r in held if all(c.holds(r) for c in rule_conditions)]
         precision = (sum(hit) + 1) / (len(hit) + 2)
         if len(hit) < 5 or sum(hit) < least_precision * len(hit):
-            break
+            left = [r for r in grow if not (r["bad"] and all(c.holds(r) for c in rule_conditions))]
+            if len(left) == len(grow):
+                break
+            grow = left
+            continue
         rules.append(Rule(rule_conditions, precision))
         grow = [r for r in grow if not rules[-1].holds(r)]
         held = [r for r in held if not rules[-1].holds(r)]
@@ -200,19 +207,23 @@ def learn(rows: list[dict], least_precision: float = LEAST_PRECISION) -> list[Ru
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> list[Rule]:
     """The decision list for ``labels`` (doc_id, quality: 0 is to be rejected).
 
-    The sample is bounded before the join, so its broadcast is too."""
+    The sample is bounded before the join, so its broadcast is too; of the rows of one
+    id a single one is learned from, so that no more than the sample comes back."""
     sample = (
         labels.where("doc_id is not null and quality is not null")
-        .select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "bad")
+        .groupBy("doc_id")
+        .agg(F.max((F.col("quality") == 0).cast("int")).alias("bad"))
+        .withColumn("place", F.xxhash64("doc_id"))
+        .orderBy("place", "doc_id")
         .limit(most_labelled)
     )
     known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     # Rows that the base rules reject are left out here: as a filter in the plan it would
     # move below the join, and statistics be worked out for every document.
-    wanted = known.select("doc_id", "bad", *[F.col(f"stat.{f}").alias(f) for f in FEATURES], base_failed().alias("failed"))
-    rows = sorted((r.asDict() for r in wanted.collect() if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, tuple(r.values())))
-    return learn(rows)
+    wanted = F.struct(base_failed().alias("failed"), *[F.col(f"stat.{f}").alias(f) for f in FEATURES])
+    each = known.select("place", "doc_id", "bad", wanted.alias("x")).groupBy("place", "doc_id", "bad").agg(F.min("x").alias("x"))
+    rows = [{"bad": r["bad"], **r["x"].asDict()} for r in each.orderBy("place", "doc_id").collect()]
+    return learn([r for r in rows if not r["failed"]])
 
 
 def verdict(rules: list[Rule]) -> Column:
