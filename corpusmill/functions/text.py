@@ -144,3 +144,49 @@ def words_of_identifier(name: str) -> list[str]:
     """Lower-case parts of a camel, snake or dotted name, of two characters or more."""
     split = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name)
     return [w for w in re.split(r"[^a-z0-9]+", split.lower()) if len(w) > 1]
+
+
+def symbol_name(signature: Column) -> Column:
+    """The first identifier of a signature that is no reserved word, else its first, else ``symbol``."""
+    # Reserved words of declarations.
+    reserved = (
+        "as", "async", "class", "const", "def", "enum", "export", "fn", "function", "from", "if", "impl", "import", "interface",
+        "let", "module", "private", "protected", "pub", "public", "record", "static", "struct", "trait", "type", "use", "var",
+    )
+    words = F.regexp_extract_all(signature, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    return F.coalesce(F.get(F.filter(words, lambda w: ~w.isin(*reserved)), F.lit(0)), F.get(words, F.lit(0)), F.lit("symbol"))
+
+
+def is_test_path(path: Column, code_only: bool = False) -> Column:
+    """Below a folder of tests, or named so by its ending; ``code_only`` takes script endings alone."""
+    low = F.lower(path)
+    ending = r"\.(?:test|spec)\.(?:[cm]?[jt]sx?)$" if code_only else r"\.(?:test|spec)\.[a-z0-9]+$"
+    return low.rlike(r"(?:^|/)tests?/") | low.rlike(ending)
+
+
+def import_names(names: Column) -> Column:
+    """Imported names of a list in braces: trimmed, without ``as`` names, sorted, none empty."""
+    each = F.transform(F.split(names, ","), lambda n: F.trim(F.regexp_replace(n, r"\s+as\s+.*$", "")))
+    return F.array_sort(F.array_distinct(F.filter(each, lambda n: n != "")))
+
+
+def slice_terms(terms: Column) -> Column:
+    """Terms for slices: trimmed, lower case, two characters or more, each once, sorted."""
+    each = F.transform(terms, lambda t: F.lower(F.trim(t)))
+    return F.array_sort(F.array_distinct(F.filter(each, lambda t: F.length(t) >= 2)))
+
+
+def run_id(root: Column, at: Column) -> Column:
+    """UTC time and a digest of the root."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyyMMdd'T'HHmmss"), F.lit("-"), stable_hash(root, 8))
+
+
+def valid_run_id(value: Column) -> Column:
+    return value.rlike(r"^[A-Za-z0-9._-]+$") & ~value.isin(".", "..")
+
+
+def largest_first(values: Column) -> Column:
+    """The entries of a map from label to number: greatest value first, then by label."""
+    entries = F.transform(F.map_entries(values), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("label"), e["value"].alias("value")))
+    return F.transform(F.array_sort(entries), lambda e: F.struct(e["label"].alias("label"), e["value"].alias("value")))

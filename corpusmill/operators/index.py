@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import lines_of
+from corpusmill.functions.text import import_names, lines_of, symbol_name
 
 
 def _delta(scan: DataFrame, state: DataFrame, *columns: str) -> DataFrame:
@@ -80,6 +80,20 @@ def raw_imports(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("src_path"), F.explode(found).alias("x")).select("src_path", "x.target", "x.reexport").distinct()
 
 
+def imported_names(files: DataFrame) -> DataFrame:
+    """src_path, target, names and reexport of script imports: the names in braces without
+    their ``as`` names, and the default one, sorted; ordered by source, target, names."""
+    clause = r"(?m)^\s*(import|export)\s+(?:type\s+)?([^'\"\n;]*?)\s*\bfrom\s*['\"]([^'\"\n]+)['\"]"
+    part = lambda k: F.regexp_extract_all("content", F.lit(clause), F.lit(k))
+    scripts = files.where(F.col("language").isin("typescript", "tsx", "javascript"))
+    rows = scripts.select(F.col("path").alias("src_path"), F.inline(F.arrays_zip(part(1).alias("word"), part(2).alias("what"), part(3).alias("target"))))
+    braces = F.regexp_extract("what", r"\{([^}]*)\}", 1)
+    default = F.regexp_extract("what", r"^([A-Za-z_$][\w$]*)\s*(?:,|$)", 1)
+    names = import_names(F.concat_ws(",", braces, default))
+    found = rows.select("src_path", "target", names.alias("names"), (F.col("word") == "export").alias("reexport")).distinct()
+    return found.orderBy("src_path", "target", "names", "reexport")
+
+
 _SYMBOL = (
     r"^\s*(export\s+)?(?:default\s+)?(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?"
     r"(class|function|interface|type|enum|def|func|fn|struct|trait|impl|mod)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)"
@@ -105,6 +119,33 @@ def symbols(files: DataFrame, most: int = 1000) -> DataFrame:
     return found.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
 
+def outline(files: DataFrame, detail: str = "complete") -> DataFrame:
+    """Symbols of files: all (1,000 a file at most), or as a summary those at the margin
+    (200 at most); their names follow from their signatures."""
+    summary = detail == "summary"
+    found = symbols(files.withColumn("content", F.regexp_replace("content", r"(?m)^[ \t].*$", "")) if summary else files, 200 if summary else 1000)
+    return found.withColumn("name", symbol_name(F.col("signature")))
+
+
+def lookup(files: DataFrame, marks: DataFrame, paths: list[str]) -> DataFrame:
+    """path, hash and symbols (in order) of single indexed files; paths not indexed have no row."""
+    own = files.where(F.col("path").isin(paths)).select("path", "hash")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "signature", "kind")))
+    each = marks.where(F.col("path").isin(paths)).groupBy("path").agg(F.transform(ordered, lambda x: F.concat_ws(":", x["line"], x["kind"], x["signature"])).alias("symbols"))
+    return own.join(each, "path", "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
+
+
+#: Layout of the stored index; another one is rebuilt.
+VERSION = 1
+
+
+def status(state: DataFrame, version: int = VERSION) -> DataFrame:
+    """One row: files, bytes, the latest time of a file, and whether the layout is current."""
+    return state.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("mtime").alias("latest")).withColumn(
+        "current", F.lit(version == VERSION)
+    )
+
+
 def headings(files: DataFrame) -> DataFrame:
     """Symbols of prose: lines that start with a capital letter, named by their first word."""
     split = files.select("path", lines_of(F.col("content")).alias("all"))

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import LANGUAGES, STOP_WORDS, base_name, occurrences, words_of_identifier
+from corpusmill.functions.text import (
+    LANGUAGES,
+    STOP_WORDS,
+    base_name,
+    directory,
+    extension,
+    is_test_path,
+    normal_path,
+    occurrences,
+    words_of_identifier,
+)
 
 # Weights of a term by where it comes from, and of the other signals.
 WEIGHTS = {"search": 6, "identifier": 10, "config": 8, "endpoint": 7, "path": 9}
@@ -159,6 +171,140 @@ def entrypoints(files: DataFrame, limit: int = 64) -> DataFrame:
     return top.select("path", "score", F.floor(F.col("score") * 100 / best + 0.5).cast("long").alias("confidence"), "signs")
 
 
+# Endings tried for a package's target without one.
+TARGET_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs")
+# Confidence of a package's own entry points.
+PACKAGE = {"package_main": 120, "package_bin": 110, "package_exports": 95}
+
+
+def _texts(value: object) -> list[str]:
+    """The texts within a JSON value, at any depth."""
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [text for one in inner for text in _texts(one)]
+
+
+def _targets(content: str | None) -> list[tuple[str, str]]:
+    try:
+        body = json.loads(content or "")
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(body, dict):
+        return []
+    bins = body.get("bin")
+    named = {
+        "package_main": [body["main"]] if isinstance(body.get("main"), str) else [],
+        "package_bin": [bins] if isinstance(bins, str) else [b for b in bins.values() if isinstance(b, str)] if isinstance(bins, dict) else [],
+        "package_exports": _texts(body.get("exports")),
+    }
+    return [(sign, target) for sign, targets in named.items() for target in targets]
+
+
+def package_targets(files: DataFrame) -> DataFrame:
+    """package, sign and target of the targets that package.json files name: ``main``,
+    ``bin`` (a text or the texts of an object) and ``exports`` (any text within). Broken
+    files name none."""
+
+    @F.pandas_udf("array<struct<sign:string,target:string>>")
+    def read(contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"sign": s, "target": t} for s, t in _targets(c)] for c in contents])
+
+    own = files.where(base_name(F.col("path")) == "package.json")
+    return own.select(F.col("path").alias("package"), F.inline(read("content"))).distinct()
+
+
+def package_entrypoints(files: DataFrame) -> DataFrame:
+    """path, sign and confidence of the files that packages name: the first that exists of the
+    target, and, if it has no ending, the target with each ending and as a folder's index."""
+    folder = F.regexp_extract("package", r"^(.*/)?[^/]*$", 1)
+    joined = F.concat(folder, F.regexp_replace(F.replace("target", F.lit("\\"), F.lit("/")), r"^(\./)+", ""))
+    # Steps up are taken one by one; a path above the root is none of the files.
+    path = joined
+    for _ in range(4):
+        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    tails = [tail for ending in TARGET_ENDINGS for tail in (ending, f"/index{ending}")]
+    longer = F.when(extension(F.col("base")) == "", F.array(*[F.concat("base", F.lit(t)) for t in tails])).otherwise(F.array().cast("array<string>"))
+    wanted = package_targets(files).select("package", "sign", "target", F.regexp_replace(path, "/+$", "").alias("base")).where("base <> ''")
+    tried = wanted.select("package", "sign", "target", F.posexplode(F.concat(F.array("base"), longer)).alias("pos", "path"))
+    found = tried.join(files.select("path").distinct(), "path").groupBy("package", "sign", "target").agg(F.min_by("path", "pos").alias("path"))
+    confidence = F.create_map(*[F.lit(x) for item in PACKAGE.items() for x in item])[F.col("sign")]
+    return found.select("path", "sign", confidence.cast("long").alias("confidence")).distinct()
+
+
+def evidence(*signs: DataFrame, limit: int = 64) -> DataFrame:
+    """path, score, confidence (percent of the best) and signs from evidence rows (path, sign,
+    confidence): the greatest of each sign counts."""
+    every = signs[0]
+    for more in signs[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("path", "sign").agg(F.max("confidence").alias("n"))
+    per = best.groupBy("path").agg(F.sum("n").alias("score"), F.array_sort(F.collect_list("sign")).alias("signs"))
+    top = per.orderBy(F.desc("score"), F.desc(F.size("signs")), "path").limit(limit)
+    percent = F.floor(F.col("score") * 100 / F.max("score").over(Window.partitionBy()) + 0.5)  # over the limited rows
+    return top.select("path", "score", percent.cast("long").alias("confidence"), F.array_join("signs", ",").alias("signs"))
+
+
+def search_text(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """path and text: the path, names and signatures of its symbols, paths and names of its
+    imports, a line each in lower case. symbols: path, name, signature, line; imports: path,
+    target, names."""
+    part = lambda df, rank, *values: df.select("path", F.struct(F.lit(rank).alias("rank"), *values).alias("x"))
+    line = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("at")
+    none = F.lit(0).cast("long").alias("at")
+    rows = part(files, 0, none, F.col("path").alias("text"))
+    rows = rows.unionByName(part(symbols, 1, line("line"), F.concat_ws("\n", "name", "signature").alias("text")))
+    rows = rows.unionByName(part(imports, 2, none, F.concat_ws("\n", "target", F.array_join("names", "\n")).alias("text")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "\n")
+    known = files.select("path").distinct()
+    return rows.join(known, "path", "left_semi").groupBy("path").agg(F.lower(text).alias("text"))
+
+
+def mentioned(files: DataFrame, task: str) -> DataFrame:
+    """The paths that a task's text holds."""
+    return files.select("path").distinct().where(F.contains(F.lit(task.lower().replace("\\", "/")), F.lower("path")))
+
+
+# Endings of tests beside a changed file's own.
+TEST_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs")
+
+
+def changed_paths(raw: DataFrame) -> DataFrame:
+    """Changed paths, normalised, each once."""
+    return raw.select(normal_path(F.trim("path")).alias("path")).where("path <> ''").distinct()
+
+
+def tests_of(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """(test_path, path): the tests of changed files. Those at the places where tests of a
+    file lie; for a changed file without any, all test paths that hold its stem and, if it
+    lies in named folders, the name of one of these.
+
+    The stem meets a test path by a gram of it (its first three characters, or all), so the
+    fallback is an equal join, not a product."""
+    known = files.select("path").distinct()
+    stem = F.regexp_replace("path", r"\.[^./]*$", "")
+    own = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    more = F.filter(F.array(*map(F.lit, TEST_ENDINGS)), lambda e: e != F.col("own"))
+    endings = F.when(F.col("own") == "", F.array(*map(F.lit, TEST_ENDINGS))).otherwise(F.concat(F.array("own"), more))
+    rows = changed.select("path", stem.alias("stem"), own.alias("own")).withColumn("endings", endings)
+    name, folder = base_name(F.col("stem")), F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    inner = F.regexp_replace("stem", "^src/", "")
+    starts = [F.concat(F.lit("test/"), inner), F.concat(F.lit("tests/"), inner), F.col("stem"), F.concat(folder, F.lit("__tests__/"), name)]
+    made = F.transform("endings", lambda e: F.array(*[F.concat(a, F.lit(kind), e) for a in starts for kind in (".test", ".spec")]))
+    placed = rows.select("path", F.explode(F.array_distinct(F.flatten(made))).alias("test_path"))
+    direct = placed.join(known.withColumnRenamed("path", "test_path"), "test_path").select("test_path", "path").distinct()
+    left = changed.join(direct.select("path").distinct(), "path", "left_anti")
+    low = F.lower(base_name(F.regexp_replace("path", r"\.[^./]*$", "")))
+    words = F.filter(F.split(F.lower(directory(F.col("path"))), "/"), lambda w: (F.length(w) > 1) & (w != "src"))
+    left = left.select("path", low.alias("stem"), words.alias("words")).where("stem <> ''").withColumn("gram", F.substring("stem", 1, 3))
+    tests = known.where(is_test_path(F.col("path"))).select(F.col("path").alias("test_path"), F.lower("path").alias("low"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - (k - 1))), lambda i: F.substring("low", i, F.lit(k)))
+    tests = tests.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
+    met = tests.join(left, "gram").where(F.contains("low", "stem"))
+    met = met.where((F.size("words") == 0) | F.exists("words", lambda w: F.contains(F.col("low"), w)))
+    return direct.unionByName(met.select("test_path", "path").distinct())
+
+
 def test_candidates(changed: DataFrame) -> DataFrame:
     """(test_path, path): where the tests of a changed file may be."""
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)

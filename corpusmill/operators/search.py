@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import lines_of, truncate
+from corpusmill.functions.text import extension, lines_of, matches_any, truncate
 
 PER_FILE, OVERALL = 20, 100
 
@@ -59,6 +59,34 @@ def content_and_paths(files: DataFrame, term: str) -> DataFrame:
     return both.select("path", (F.coalesce("c", F.lit(0)) + F.coalesce("p", F.lit(0))).cast("long").alias("hits"))
 
 
+def paths(files: DataFrame, pattern: str, regex: bool = False, endings=(), include=(), exclude=(), under: str = ".", limit: int = 50) -> DataFrame:
+    """The first paths that hold the pattern (a literal of any case, or a regex as given),
+    of the given endings, named by any include glob and by no exclude glob, below a folder."""
+    p = F.col("path")
+    hit = p.rlike(pattern) if regex else F.contains(F.lower(p), F.lit(pattern.lower()))
+    kept = files.select("path").where(hit & subtree(p, under))
+    if endings:
+        kept = kept.where(extension(p).isin([e.lower().lstrip(".") for e in endings]))
+    if include:
+        kept = kept.where(matches_any(p, list(include)))
+    return kept.where(~matches_any(p, list(exclude))).distinct().orderBy("path").limit(limit)
+
+
+def subtree(path: Column, under: str) -> Column:
+    """Whether a path is the given one or lies below it; ``.`` holds all."""
+    under = under.rstrip("/")
+    return F.lit(True) if under in ("", ".") else (path == under) | path.startswith(f"{under}/")
+
+
+def expanded(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked and path: the files that each asked path names or holds, or path null if none.
+    Each file meets the folders above it by an equal join."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    spread = files.select("path", F.explode(F.concat(F.array(F.lit(".")), above)).alias("asked"))
+    return asked.select(F.regexp_replace("asked", "(?<=.)/$", "").alias("asked")).distinct().join(spread, "asked", "left").select("asked", "path")
+
+
 def numbered_lines(files: DataFrame, first: int, last: int, width: int = 4) -> DataFrame:
     """path, line and text with a padded number, for the lines first to last."""
     lines = files.select("path", F.posexplode(lines_of(F.col("content"))).alias("at", "text"))

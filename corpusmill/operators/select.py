@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import matches_any
+
 # How many ranked files are taken in each mode, and limits of a selection.
 QUOTAS = (("full", 8), ("slices", 15), ("codemap_only", 30))
 MOST_FILES, MOST_FULL, MOST_BYTES = 80, 10, 1_500_000
@@ -79,6 +84,147 @@ def ladder(entries: DataFrame, budget: int) -> DataFrame:
     return table.where(F.col("before") > budget).select("ord", "path", "step", F.col("delta").cast("long").alias("delta"), "total")
 
 
+#: What a selection's parts cost beside its files, and the tree at each verbosity.
+TREE = ("full", "selected", "none")
+SLICE_CONTEXT = (30, 20, 10)
+
+
+def full_ladder(entries: DataFrame, budget: int, reserve: int = 0, fixed: int = 0, tree: dict[str, int] | None = None, verbosity: str = "full") -> DataFrame:
+    """ord, path, step, reason, delta and total of all six kinds of degradation, in order:
+    full files to slices, slices to codemaps, codemaps dropped (each from the least score
+    up), codemap detail from complete to summary by path, slice context from 30 to 20 to 10,
+    tree listing from full to selected to none. Steps are taken while the least total before
+    them exceeds the budget less the reserve.
+
+    ``entries``: path, mode, score, full_tokens, slice_tokens, detail. By the fourth kind no
+    entry is left, so only steps of the tree still change the total. A selection is bounded
+    by its quotas, so one window holds all steps."""
+    spark, tree = entries.sparkSession, tree or {}
+    fit = max(0, budget - reserve)
+    path = F.col("path")
+    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    step = lambda phase, name, reason, delta: F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("step"), reason.alias("reason"), delta.cast("long").alias("delta"))
+    steps = F.array(
+        F.when(F.col("mode") == "full", step(1, "full_to_slices", said("degrade ", path, " full->slices"), F.col("slice_tokens") - F.col("full_tokens"))),
+        F.when(F.col("mode") != "codemap_only", step(2, "slices_to_codemap_only", said("degrade ", path, " slices->codemap_only"), F.lit(CODEMAP_TOKENS) - F.col("slice_tokens"))),
+        step(3, "drop_codemap_only", said("drop ", path, " codemap_only"), F.lit(-CODEMAP_TOKENS)),
+        F.when(F.coalesce("detail", F.lit("complete")) == "complete", step(4, "codemap_complete_to_summary", said("shrink codemap detail for ", path, " complete->summary"), F.lit(0))),
+    )
+    table = entries.select("path", "score", F.inline(F.filter(steps, lambda s: s.isNotNull())))
+    table = table.withColumn("score", F.when(F.col("phase") == 4, 0).otherwise(F.col("score")).cast("long"))
+    late = [(5, k, "shrink_slice_windows", f"shrink slice context +/-{a}->+/-{b}", 0) for k, (a, b) in enumerate(zip(SLICE_CONTEXT, SLICE_CONTEXT[1:], strict=False))]
+    shown = TREE[TREE.index(verbosity) :]
+    late += [(6, k, "reduce_tree_verbosity", f"reduce tree verbosity {a}->{b}", tree.get(b, 0) - tree.get(a, 0)) for k, (a, b) in enumerate(zip(shown, shown[1:], strict=False))]
+    more = spark.createDataFrame(late, "phase int, score long, step string, reason string, delta long").withColumn("path", F.lit(None).cast("string"))
+    cost = F.when(F.col("mode") == "full", F.col("full_tokens")).when(F.col("mode") == "slices", F.col("slice_tokens")).otherwise(CODEMAP_TOKENS)
+    whole = (entries.agg(F.sum(cost)).first()[0] or 0) + fixed + tree.get(verbosity, 0)
+    order = Window.orderBy("phase", "score", "path")
+    table = table.unionByName(more).withColumn("ord", F.row_number().over(order).cast("long"))
+    table = table.withColumn("total", (F.lit(whole) + F.sum("delta").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    before = F.least(F.lit(whole), F.min("total").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return table.withColumn("before", before).where(F.col("before") > fit).select("ord", "path", "step", "reason", "delta", "total")
+
+
+def replayed(steps: DataFrame) -> DataFrame:
+    """ord, action, path, before, after and saved of degradation rows, read from their reasons."""
+    get = lambda pattern, k: F.nullif(F.regexp_extract("reason", pattern, k), F.lit(""))
+    degrade, drop = r"^degrade (.+) ([a-z_]+)->([a-z_]+)$", r"^drop (.+) codemap_only$"
+    detail, context, listing = r"^shrink codemap detail for (.+) complete->summary$", r"^shrink slice context (\S+)->(\S+)$", r"^reduce tree verbosity ([a-z_]+)->([a-z_]+)$"
+    at = lambda pattern: F.col("reason").rlike(pattern)
+    return steps.select(
+        "ord",
+        F.col("step").alias("action"),
+        F.coalesce(get(degrade, 1), get(drop, 1), get(detail, 1)).alias("path"),
+        F.when(at(drop), "codemap_only").when(at(detail), "complete").otherwise(F.coalesce(get(degrade, 2), get(context, 1), get(listing, 1))).alias("before"),
+        F.when(at(detail), "summary").otherwise(F.coalesce(get(degrade, 3), get(context, 2), get(listing, 2))).alias("after"),
+        F.col("delta").alias("saved"),
+    )
+
+
+def token_report(entries: DataFrame, sections: dict[str, int]) -> DataFrame:
+    """part, name and tokens: of each file, of each section, of the files of each mode with
+    their number, and in total. ``entries``: path, mode, tokens."""
+    row = lambda df, part, name, tokens, n: df.select(F.lit(part).alias("part"), name.alias("name"), tokens.cast("long").alias("tokens"), n.cast("long").alias("files"))
+    files = row(entries, "file", F.col("path"), F.col("tokens"), F.lit(1))
+    modes = entries.groupBy("mode").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    given = entries.sparkSession.createDataFrame(sorted(sections.items()), "name string, tokens long")
+    every = row(given, "section", F.col("name"), F.col("tokens"), F.lit(0)).unionByName(row(entries.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.count("*").alias("n")), "section", F.lit("files"), F.col("t"), F.col("n")))
+    total = row(every.agg(F.sum("tokens").alias("t"), F.sum("files").alias("n")), "total", F.lit("total"), F.col("t"), F.col("n"))
+    return files.unionByName(row(modes, "mode", F.col("mode"), F.col("t"), F.col("n"))).unionByName(every).unionByName(total)
+
+
+def estimated(entries: DataFrame, chars_per_token: float = 3.5) -> DataFrame:
+    """path and tokens by metadata alone: the size of full files, 80 characters a line of
+    slices, 120 tokens a codemap. ``entries``: path, mode, size, slices (array of first, last)."""
+    spread = F.aggregate("slices", F.lit(0).cast("long"), lambda acc, s: acc + F.greatest(F.lit(1), s["last"] - s["first"] + 1))
+    n = F.when(F.col("mode") == "full", F.ceil(F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)) / chars_per_token)).when(F.col("mode") == "codemap_only", 120)
+    return entries.select("path", n.otherwise(F.ceil(F.coalesce(spread, F.lit(0)) * 80 / chars_per_token)).cast("long").alias("tokens"))
+
+
+def admitted(requests: DataFrame, most_files: int = MOST_FILES, most_full: int = MOST_FULL, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """session, ord, path, mode and error of requests to add files, each judged after those before it:
+    a path already there is replaced and needs no further place. Requests that fail on their
+    own (invalid, never included, binary, too large) never enter; the rest of a session are folded in
+    order, with a state that the caps bound. requests: session, ord, path, mode, size, never, binary."""
+    bad = F.trim(F.coalesce("path", F.lit(""))) == ""
+    bad = bad | ~F.coalesce(F.col("mode").isin("full", "slices", "codemap_only"), F.lit(False))
+    alone = (
+        F.when(bad, "INVALID_SELECTION_ENTRY")
+        .when(F.coalesce("never", F.lit(False)), "NEVER_INCLUDE_MATCH")
+        .when(F.coalesce("binary", F.lit(False)), "BINARY_FILE_EXCLUDED")
+        .when(F.col("size") > most_bytes, "FILE_TOO_LARGE")
+    )
+    judged = requests.withColumn("error", alone)
+    columns = "session", "ord", "path", "mode", "error"
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, held = None, {}
+        for batch in batches:
+            errors = []
+            for who, path, mode in zip(batch["session"], batch["path"], batch["mode"], strict=True):
+                if who != session:
+                    session, held = who, {}
+                full = sum(m == "full" for p, m in held.items() if p != path) + (mode == "full")
+                if path not in held and len(held) >= most_files:
+                    errors.append("MAX_FILES_EXCEEDED")
+                elif full > most_full:
+                    errors.append("MAX_FULL_FILES_EXCEEDED")
+                else:
+                    errors.append(None)
+                    held[path] = mode
+            yield batch.assign(error=errors)[list(columns)]
+
+    fine = judged.where("error is null").select(*columns).repartition("session").sortWithinPartitions("session", "ord")
+    return fine.mapInPandas(folded, fine.schema).unionByName(judged.where("error is not null").select(*columns))
+
+
+def explicit(files: DataFrame, includes: DataFrame, entrypoints: DataFrame, globs=()) -> DataFrame:
+    """The files asked for by name, as an entry point, or by a glob, each once."""
+    named = includes.select("path").unionByName(entrypoints.select("path"))
+    if globs:
+        named = named.unionByName(files.where(matches_any(F.col("path"), list(globs))).select("path"))
+    return named.distinct()
+
+
+def path_numbers(rows: DataFrame) -> DataFrame:
+    """path (lower case) and value (whole) of the finite values of zero or more; of paths alike but for case the last by name counts."""
+    fine = rows.where("value is not null and not isnan(value) and value >= 0 and value < double('infinity')")
+    return fine.groupBy(F.lower("path").alias("path")).agg(F.max_by(F.floor("value"), F.struct("path", "value")).alias("value"))
+
+
+def rationale(scores: DataFrame) -> DataFrame:
+    """path and text on why a file was ranked: score, hits, and the boosts that it got."""
+    boost = lambda name: F.when(F.col(name) > 0, F.concat(F.lit(f"{name}="), F.col(name)))
+    said = F.concat_ws(
+        ", ",
+        F.concat(F.lit("offline score="), "score"),
+        F.concat(F.lit("content_hits="), "content_hits"),
+        F.concat(F.lit("path_hits="), "path_hits"),
+        *[boost(b) for b in ("import_boost", "entrypoint_boost", "git_bias")],
+    )
+    return scores.select("path", said.alias("rationale"))
+
+
 def patch_cap(files: DataFrame, hunks: DataFrame, budget: int, most_files: int) -> DataFrame:
     """path, hunks and tokens kept of patches in order of relevance: whole files while they
     fit (those without hunks by their header alone), then the longest prefix of hunks of

@@ -87,3 +87,47 @@ def parse_status(texts: DataFrame) -> DataFrame:
         .when(kind == "u", F.regexp_extract("l", r"^u (?:\S+ ){9}(.+)$", 1))
     )
     return lines.where(F.col("l").rlike("^[12u?] ")).select("status_id", path.alias("path"), status.alias("status"))
+
+
+def parse_hunks(diffs: DataFrame) -> DataFrame:
+    """diff_id, path, nth, first lines and counts of both sides, and content of the hunks of
+    unified diffs (diff_id, text)."""
+    sections = diffs.select("diff_id", F.explode(F.split("text", r"(?m)^(?=diff --git )")).alias("s")).where(F.col("s").startswith("diff --git "))
+    get = lambda pattern: F.nullif(F.regexp_extract("s", pattern, 1), F.lit(""))
+    path = F.coalesce(get(r"(?m)^\+\+\+ b/(.+)$"), get(r"(?m)^--- a/(.+)$"), get(r"(?m)^diff --git a/.+ b/(.+)$"))
+    parts = sections.select("diff_id", path.alias("path"), F.posexplode(F.split("s", r"(?m)^(?=@@ )")).alias("nth", "content")).where(F.col("content").startswith("@@ "))
+    number = lambda k: F.coalesce(F.expr(f"try_cast(regexp_extract(content, r'^@@ -(\\d+)(?:,(\\d+))? \\+(\\d+)(?:,(\\d+))? @@', {k}) as bigint)"), F.lit(1))
+    names = ("old_first", "old_lines", "new_first", "new_lines")
+    return parts.select(
+        "diff_id", "path", F.col("nth").cast("long").alias("nth"), *[number(k).cast("long").alias(n) for k, n in enumerate(names, 1)], F.regexp_replace("content", r"\n$", "").alias("content")
+    )
+
+
+def branch_header(texts: DataFrame) -> DataFrame:
+    """status_id, branch, upstream, ahead and behind of porcelain v2 texts."""
+    get = lambda pattern: F.nullif(F.trim(F.regexp_extract("text", pattern, 1)), F.lit(""))
+    head = F.coalesce(get(r"(?m)^# branch\.head (.*)$"), F.lit("HEAD"))
+    count = lambda pattern: F.coalesce(get(pattern).cast("long"), F.lit(0).cast("long"))
+    return texts.select(
+        "status_id",
+        F.when(head == "(detached)", "HEAD (detached)").otherwise(head).alias("branch"),
+        get(r"(?m)^# branch\.upstream (.*)$").alias("upstream"),
+        count(r"(?m)^# branch\.ab \+(\d+) -\d+$").alias("ahead"),
+        count(r"(?m)^# branch\.ab \+\d+ -(\d+)$").alias("behind"),
+    )
+
+
+def status_text(headers: DataFrame) -> DataFrame:
+    """status_id and text of branch headers."""
+    ahead = F.concat(F.lit("upstream: "), "upstream", F.lit(" (ahead "), "ahead", F.lit(", behind "), "behind", F.lit(")"))
+    return headers.select("status_id", F.concat_ws("\n", F.concat(F.lit("branch: "), "branch"), ahead, F.lit("changes: omitted")).alias("text"))
+
+
+def diff_text(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """diff_id and text of parsed diffs: a title and the hunks of each file, by path."""
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda h: h["content"]), "\n")
+    own = hunks.groupBy("diff_id", "path").agg(each.alias("body"))
+    titled = files.join(own, ["diff_id", "path"], "left").select(
+        "diff_id", F.struct("path", F.concat(F.lit("--- "), "path", F.lit(" ["), "status", F.lit("] ---\n"), F.coalesce("body", F.lit("(no textual hunks)"))).alias("x")).alias("f")
+    )
+    return titled.groupBy("diff_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["x"]), "\n").alias("text"))

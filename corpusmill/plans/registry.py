@@ -214,11 +214,11 @@ _BIAS_SQL = """changed as (select path from files where doc_id % 17 = 0), bias a
 )"""
 
 
-def bias(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bias(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> DataFrame:
     every = files(spark, sf_dir)
     changed = every.where("doc_id % 17 = 0").select("path")
     tests = rank.test_candidates(changed).join(every.select(F.col("path").alias("test_path")), "test_path")
-    return rank.change_bias(changed, edges(spark, sf_dir), tests, every.select("path", "size"))
+    return rank.change_bias(changed, links or edges(spark, sf_dir), tests, every.select("path", "size"))
 
 
 @query(f"with {FILES_SQL}, {EDGES_SQL}, {_BIAS_SQL} select path, boost, reasons, mode from bias")
@@ -237,9 +237,10 @@ _RANKED = f"{FILES_SQL}, {EDGES_SQL}, {_base_sql()}, {_BOOST_SQL}, {_BIAS_SQL},
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = base(spark, sf_dir).select("path", "raw").persist()  # read by each of the parts
-    found = small(rank.finished(scores, rank.import_boost(scores, edges(spark, sf_dir)), bias(spark, sf_dir)))
+    scores, links = base(spark, sf_dir).select("path", "raw").persist(), edges(spark, sf_dir).persist()  # read by several parts
+    found = small(rank.finished(scores, rank.import_boost(scores, links), bias(spark, sf_dir, links)))
     scores.unpersist()
+    links.unpersist()
     return found
 
 
@@ -794,3 +795,6 @@ def q_distinct_parts(spark, sf_dir):
 def q_json_fields(spark, sf_dir):
     k = F.coalesce(F.expr("try_cast(get_json_object(props, '$.k') as bigint)"), F.lit(0).cast("long"))
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k"))
+
+
+from corpusmill.plans import more  # noqa: E402, F401  (registers the rest)

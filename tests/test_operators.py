@@ -1,9 +1,10 @@
 """Small cases with results worked out by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text
-from corpusmill.operators import index, rank, redact, scan, search, select, slices, transcript
+from corpusmill.operators import index, rank, redact, runs, scan, search, select, slices, transcript
 from corpusmill.sources.corpus import read_folder
 from corpusmill.streaming import incremental
 
@@ -133,3 +134,50 @@ def test_stream_of_scans(spark, tmp_path):
     run = incremental.follow(stream, target).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert incremental.version(spark, target, 1).count() == 2
+
+
+def test_a_missing_time_is_no_missing_file(spark):
+    schema = "path string, size long, mtime double, hash string"
+    scanned = spark.createDataFrame([("a", 1, None, "h"), ("b", 1, None, "new")], schema)
+    old = spark.createDataFrame([("a", 1, 1.0, "h"), ("b", 1, None, "old"), ("c", 1, None, "h")], schema)
+    assert {r.path: r.action for r in index.plan(scanned, old).collect()} == {"a": "touch", "b": "upsert", "c": "delete"}
+    assert {r.path: r.hash for r in index.merged(scanned, old).collect()} == {"a": "h", "b": "new"}
+
+
+def test_patches_without_hunks_count_by_their_header(spark):
+    files = spark.createDataFrame([("renamed", 9, 7), ("big", 5, 0), ("small", 1, 7)], "path string, relevance long, header long")
+    hunks = spark.createDataFrame([("big", 1, 14), ("big", 2, 700), ("small", 1, 7)], "path string, ord long, chars long")
+    got = {r.path: (r.hunks, r.tokens) for r in select.patch_cap(files, hunks, 10, 9).collect()}
+    assert got == {"renamed": (0, 2), "big": (1, 4)}
+
+
+def test_ignore_rules():
+    assert scan.ignore_regex("# x") is None and scan.ignore_regex("  ") is None
+    assert scan.ignore_regex("!a/b") == ("^a/b(?:/.*)?$", True)
+    assert scan.ignore_regex("build/") == ("^(?:.*/)?build/.*$", False)
+
+
+def test_run_records_are_stored_and_read(spark, tmp_path):
+    folder = f"{tmp_path}/runs"
+    row = lambda run, n: (run, "task", 10, n, [("a", "full", "core", "r", 1, {"x": 1.0})], [], [])
+    runs.persist(spark.createDataFrame([row("20240101T000000-a", 1), row("20240102T000000-b", 2)], runs.RECORD), folder)
+    runs.persist(spark.createDataFrame([row("20240101T000000-a", 3)], runs.RECORD), folder)
+    assert runs.read(spark, folder).first().run_id == "20240102T000000-b"
+    assert [r.estimated for r in runs.read(spark, folder, "20240101T000000-a").collect()] == [3]
+    with pytest.raises(ValueError, match="safe"):
+        runs.persist(spark.createDataFrame([row("../x", 1)], runs.RECORD), folder)
+
+
+def test_imprecise_intervals_meet_by_cells(spark):
+    marks = spark.createDataFrame([("a", f"s{k}", k * 50 + 1, k * 50 + 49, "") for k in range(40)], "path string, name string, line long, last_line long, signature string")
+    spans = spark.createDataFrame([("a", k * 50 + 10, k * 50 + 55) for k in range(39)], "path string, first long, last long")
+    got = {r.first: (r.name, r.contained) for r in index.enclosing_ranges(spans, marks).collect()}
+    assert got == {k * 50 + 10: (f"s{k}", False) for k in range(39)}
+
+
+def test_empty_inputs(spark):
+    files = spark.createDataFrame([], "path string, size long, hash string, language string, content string")
+    assert scan.classify(files, 10, rules=scan.ignore_rules(files)).count() == 0
+    assert rank.package_entrypoints(files).count() == 0
+    assert redact.swept(files).count() == 0
+    assert scan.capped_tree(files).count() == 0
