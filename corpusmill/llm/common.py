@@ -67,6 +67,31 @@ class Written:
         remove_path(self.spark, self.path)
 
 
+class Scratch:
+    """Written tables that are dropped together when the block of ``with`` ends."""
+
+    def __init__(self):
+        self.tables: list[Written] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(Written(df, name))
+        return self.tables[-1].df
+
+    def __exit__(self, *_) -> None:
+        for one in self.tables:
+            one.drop()
+
+
+def in_ranges(df: DataFrame, bucket: str, *order: str) -> Written:
+    """``df`` written with a column ``bucket``: the number of the range of ``order`` that a
+    row lies in. Spark picks the bounds from a sample, so that ranges hold about as many
+    rows each; rows equal in ``order`` share one."""
+    return Written(df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id()), "ranges")
+
+
 def and_all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -92,36 +117,35 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list, value: str,
     )
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, most_rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b; any orderable type):
     (node, component), where component is the least node. Nodes without an edge to
-    another node are absent.
+    another node are absent. The result reads a table that ``scratch`` drops.
 
     Alternates large-star and small-star steps: each node hangs its larger
     neighbours, then its smaller ones, on its least neighbour. Every step is an
     aggregation with map-side combine and one join on its result, so that a node
     with a third of all edges is spread by the aggregation and by skew-join
     splitting. Each round is written to the shared folder."""
-    now = Written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components"
-    )
+    scratch = scratch or Scratch()
+    once = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now = scratch(once, "components")
     seen_before = None
     for _ in range(most_rounds):
-        both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        after = Written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "components")
-        now.drop()
-        now = after
+        now = scratch(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "components")
+        scratch.tables.pop(-2).drop()
         # A star forest is a fixed point; equal fingerprints of the edge set mean that one is reached.
-        row = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row[0] == 0 or row == seen_before:
             break
         seen_before = row
     else:
         raise RuntimeError("components did not settle")
-    return now.df.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        now.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -11,11 +11,22 @@ guaranteed; a pair of similarity 0.8 at any distance is missed about once in 150
 
 Pairs under a key are not enumerated. First each representative is compared on full
 sets with one that leads a key (the one it shares most keys with), and components are
-found. Then what a key holds outside its largest component is compared with all of
-that component and with what else is attached to it, inside a join whose condition is
-the exact test. After that, no pair that shares a key is left unless a chain of
-confirmed links joins it already, and groups of copies cost rows in proportion to
-their size.
+found. What a key still holds outside its largest component is unresolved: in rounds, it
+is compared with a leader of that component and with a new leader of its own, for as long as
+that joins a tenth of it. What then is left is settled exactly:
+
+* Within a component sets are held as their difference from that of its centre, the
+  member of most links. An unresolved set close enough to the centre is linked to it.
+* Any other, x, can only be linked to a y whose difference shares elements with its own:
+  with g = size of the difference - (1 - s) / (1 + s) * size of the set, at least
+  (g(x) + g(y)) / 2 of them, where g(x) > -g(centre) and g(y) >= g(centre). In any common
+  order of the elements the first shared one then lies in a prefix of both; the order
+  is by how many differences hold an element, so that prefixes are of rare ones. Prefixes are
+  joined on (component, element), so that a component with a third of all documents is
+  spread over its elements, and pairs that meet are confirmed on whole differences.
+
+After that, no pair that shares a key is left unless a chain of confirmed links joins
+it already.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
 linked with nothing; with fewer words than a shingle has, the whole sequence is the
@@ -31,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Written, components
+from corpusmill.llm.common import Scratch, Written, components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -43,6 +54,8 @@ N_VALUES = CHUNKS * CHUNK_VALUES
 #: Representatives whose signatures differ in more minima are not compared in full; a
 #: similarity of 0.8 gives more about three times in ten million.
 MOST_DISTANCE = 24
+#: Rounds of new leaders at most; what they leave is settled exactly.
+MOST_ROUNDS = 6
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(1, 1 << 63, N_VALUES, dtype=np.uint64) | np.uint64(1)
@@ -151,31 +164,90 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
-def compared(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) between representatives outside a component and those inside it,
-    or others outside it; both sides: main (the component), rep, comp (its own).
-
-    Within a component sets are held as their difference from that of its centre, the
-    member of most links: the difference of two sets is the difference of these, and
-    far smaller to hold and compare. The exact test is the condition of the join, so
-    only links come out of it."""
+def differences(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """main (a component), rep, comp (its own), inner, n (size of its set), d (the set's
+    difference from that of the component's centre), centre and n_centre, for those outside
+    a component and those inside it."""
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
-    centre = inside.join(degree, "rep", "left").groupBy("main").agg(F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).alias("rep"))
-    centre = centre.join(sets, "rep").select("main", F.col("shingles").alias("c"))
+    most = F.max_by("rep", F.struct(F.coalesce("degree", F.lit(0)), -F.col("rep"))).alias("rep")
+    centre = inside.join(degree, "rep", "left").groupBy("main").agg(most)
+    # An id of several texts has several sets; one of them is the centre.
+    centre = centre.join(sets, "rep").groupBy("main", F.col("rep").alias("centre")).agg(F.min("shingles").alias("c"))
     rows = outside.withColumn("inner", F.lit(False)).unionByName(inside.withColumn("inner", F.lit(True)))
     apart = F.concat(F.array_except("shingles", "c"), F.array_except("c", "shingles"))
-    held = rows.join(sets, "rep").join(centre, "main").select("main", "rep", "comp", "inner", F.size("shingles").alias("n"), apart.alias("d"))
-    held = Written(held, "differences").df
-    x = held.where("not inner").select("main", *[F.col(c).alias(f"{c}_x") for c in ("rep", "comp", "n", "d")])
-    y = held.select("main", "inner", *[F.col(c).alias(f"{c}_y") for c in ("rep", "comp", "n", "d")])
+    held = rows.join(sets, "rep").join(centre, "main")
+    return held.select("main", "rep", "comp", "inner", F.size("shingles").alias("n"), apart.alias("d"), "centre", F.size("c").alias("n_centre"))
+
+
+def candidates(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """main, rep_x, rep_y: pairs of different components whose prefixes meet, x outside and
+    not linked to the centre."""
+    percent = round(similarity * 100)
+    share = (100 - percent) / (100 + percent)
+    held = held.withColumn("size_d", F.size("d")).withColumn("g", F.col("size_d") - F.lit(share) * F.col("n"))
+    probe = F.expr(f"not inner and {100 + percent} * size_d > {100 - percent} * (n + n_centre)")
+    held = held.withColumn("probe", probe)
+    held = held.join(held.where("probe").select("main").distinct(), "main", "left_semi")
+    # The least number of elements shared with any other; a little less, for rounding: a longer prefix does no harm.
+    of_centre = F.lit(-share) * F.col("n_centre")
+    least = lambda g: F.greatest(F.lit(1), F.ceil(g / 2 - 1e-6))
+    known = held.select("main", "rep", "comp", "n", "size_d", "g", "probe", least(F.col("g") + of_centre).alias("as_x"), least(F.col("g") - of_centre).alias("as_y"), "d")
+    # Elements held once meet nothing; they only come first in the order.
+    elements = held.select("main", F.explode("d").alias("element"))
+    common = elements.groupBy("main", "element").agg(F.count("*").alias("holders")).where("holders > 1")
+    spread = known.withColumn("element", F.explode("d")).drop("d").join(common, ["main", "element"])
+    own = Window.partitionBy("main", "rep")
+    alone = F.col("size_d") - F.count("*").over(own)
+    placed = spread.withColumn("pos", F.row_number().over(own.orderBy("holders", "element")) + alone)
+    longest = F.col("size_d") + 1 - F.when(F.col("probe"), F.least("as_x", "as_y")).otherwise(F.col("as_y"))
+    prefixes = scratch(placed.where(F.col("pos") <= longest).drop("holders"), "prefixes")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("main", "element", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "size_d", "g", "pos")])
+
+    x = side(prefixes.where("probe and pos <= size_d + 1 - as_x"), "x")
+    y = side(prefixes.where("pos <= size_d + 1 - as_y"), "y")
+    shared = least(F.col("g_x") + F.col("g_y"))
+    sizes = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("comp_x") != F.col("comp_y"))
+    inside = (F.col("pos_x") <= F.col("size_d_x") + 1 - shared) & (F.col("pos_y") <= F.col("size_d_y") + 1 - shared)
+    met = x.join(y, ["main", "element"]).where(sizes & inside)
+    return met.select("main", "rep_x", "rep_y").distinct()
+
+
+def settled(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links (a, b) between ``held`` sets outside a component and those inside it, or
+    others outside it, exactly but for those that a chain of links joins."""
     percent = round(similarity * 100)
-    limit = (100 - percent) * (F.col("n_x") + F.col("n_y"))
-    least = F.abs(F.size("d_x") - F.size("d_y"))
+    near = held.where(F.expr("not inner and rep <> centre") & ((100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("n_centre"))))
+    side = lambda s: held.select("main", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "d")])
+    both = candidates(held, similarity, scratch).join(side("x"), ["main", "rep_x"]).join(side("y"), ["main", "rep_y"])
     whole = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
-    once = F.expr("comp_x <> comp_y and (inner or rep_x < rep_y)")
-    met = x.join(y, "main").where(once & ((100 + percent) * least <= limit)).where((100 + percent) * whole <= limit)
-    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+    met = both.where((100 + percent) * whole <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
+    pairs = met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+    return pairs.unionByName(near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))).distinct()
+
+
+def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, main (the largest component under the key), rep and comp of what lies outside
+    it, with ``leaders``: the least of the main and of the next largest component there."""
+    placed = members.select("key", "rep").join(comps, "rep")
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("rep").alias("leader"))
+    first = F.max(F.struct("k", "comp", "leader")).alias("first")
+    several = per.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first")
+    second = per.join(several, "key").where("comp <> first.comp").groupBy("key", "first").agg(F.max(F.struct("k", "comp", "leader")).alias("second"))
+    return placed.join(second, "key").where("comp <> first.comp").select(
+        "key", F.col("first.comp").alias("main"), "rep", "comp", F.array("first", "second").alias("leaders")
+    )
+
+
+def joined_up(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``comps`` (rep, comp) after further ``links`` (a, b): components of the components."""
+    left = comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    right = comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    now = components(between, scratch)
+    return comps.join(now, comps["comp"] == now["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -190,10 +262,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
         .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     )
     reps = Written(reps, "classes").df
+    with Scratch() as scratch:
+        comps = Written(linked(texts, reps, shingle_words, similarity, scratch), "components").df
+    grouped = signed.join(reps.select("digest", "rep"), "digest", "left").join(comps, "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
+    result = grouped.select("doc_id", "n_shingles", component.alias("component_id"))
+    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(rep, comp) of the representatives that share a key with another one."""
     # Members of keys with company, with signature and size for the filters before full comparison.
     keyed = reps.select("rep", F.explode(index_keys("signature")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("leader")).where("members > 1")
-    members = Written(keyed.join(shared, "key").select("key", "rep", "leader"), "members").df
+    members = scratch(keyed.join(shared, "key").select("key", "rep", "leader"), "members")
 
     sized = reps.select("rep", "signature", "n")
     left = sized.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
@@ -205,33 +287,42 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similar
         return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b")
 
     wanted = members.select("rep").distinct()
-    sets = Written(
+    sets = scratch(
         texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInPandas(_sets(shingle_words), "rep long, shingles array<long>"),
         "sets",
-    ).df
+    )
     # First each representative and one that leads a key, the one that it shares most keys with.
     led = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("keys"))
     star = led.groupBy(F.col("rep").alias("b")).agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("a"))
-    star = Written(likely(star), "star").df
-    links = Written(confirmed(star, sets, similarity), "links").df
-    found = Written(components(links), "components").df
-
-    # Then what a key holds outside its largest component is compared with all of that
-    # component, and with what else is attached to it: no pair that shares a key is left out.
-    placed = members.select("key", "rep").join(found, members["rep"] == found["node"], "left")
-    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    several = per.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    outside = placed.join(several.select("key", F.col("main.comp").alias("main")), "key").where("comp <> main")
-    outside = Written(outside.select("main", "rep", "comp").distinct(), "outside").df
+    tried = scratch(likely(star), "star")
+    links = scratch(confirmed(tried, sets, similarity), "links")
+    comps = scratch(joined_up(wanted.withColumn("comp", F.col("rep")), links, scratch), "joined")
+    outside = scratch(unresolved(members, comps), "outside")
+
+    # Then rounds of new leaders, for as long as they join a tenth of what is left.
+    for _ in range(MOST_ROUNDS):
+        left_over = outside.select("rep").distinct().count()
+        if not left_over:
+            break
+        met = outside.select("rep", "comp", F.posexplode("leaders").alias("which", "other")).where("comp <> other.comp")
+        per = met.groupBy("rep", "which", F.col("other.leader").alias("leader")).agg(F.count("*").alias("keys"))
+        best = per.groupBy("rep", "which").agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("leader"))
+        pairs = best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        pairs = scratch(likely(pairs.join(tried, ["a", "b"], "left_anti")), "tried")
+        found = scratch(confirmed(pairs, sets, similarity), "links")
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if n := found.count():
+            comps = scratch(joined_up(comps, found, scratch), "joined")
+            outside = scratch(unresolved(members, comps), "outside")
+        if 10 * n < left_over:
+            break
+
+    # Last, exactly, what a key still holds outside its largest component.
+    outside = outside.select("main", "rep", "comp").distinct()
     mains = outside.select("main").distinct()
-    inside = mains.join(found, mains["main"] == found["component"], "left").select("main", F.coalesce("node", "main").alias("rep"), F.col("main").alias("comp"))
-    more = Written(compared(outside, inside, links, sets, similarity), "more").df
-    final = components(links.unionByName(more))
-
-    grouped = signed.join(reps.select("digest", "rep"), "digest", "left").join(final, F.col("rep") == final["node"], "left")
-    result = grouped.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    inside = mains.join(comps, mains["main"] == comps["comp"]).select("main", "rep", F.col("main").alias("comp"))
+    held = scratch(differences(outside, inside, links, sets), "differences")
+    return joined_up(comps, scratch(settled(held, similarity, scratch), "more"), scratch)
 
 
 def apply(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
