@@ -7,14 +7,18 @@ emitted once, depth first within their tree, with
 
 * ``position``: of their first token within any conversation through them;
 * ``start`` and ``end``: where their tokens stand in the tree, depth first;
+* ``segment``: where their own segment starts (see below);
 * ``attend``: intervals of the tree's tokens that hold their ancestors, besides
   the tokens from their own segment's start.
 
+A conversation is read back from its last node alone, by the intervals that this one
+attends to.
+
 Chains of nodes that the same conversations pass through are one segment, and the
 digests of the segments' heads along a path are a key whose byte order is depth first
 (a segment branches only at its end). Sums along that order are worked out in two
-levels, so that a first turn shared by a third of all conversations is spread over the
-branches below it. The turns of one conversation stream through one task in order, as
+levels, within ranges of the whole key and over them, so that a tree with a third of all
+conversations is spread evenly however it branches. The turns of one conversation stream through one task in order, as
 the digest over them needs.
 
 Defined results: a null text or role is empty; turns sort by number (null first), then
@@ -27,13 +31,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Written, running_sum
+from corpusmill.llm.common import Written, in_ranges, running_sum
 from corpusmill.llm.packing import Tokens, default_tokenizer
 
 LEARNED_ROLE = "assistant"
@@ -59,9 +63,16 @@ def formatted(role: str, text: str) -> tuple[str, str, str]:
 PATHS = "conv_id long, depth long, node binary, root binary, ids array<int>, loss_start int, loss_end int"
 
 
+def _values(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, ends = column.values.to_numpy(), column.offsets.to_pylist()  # ids are never null
+    return [flat[a:b].tolist() for a, b in pairwise(ends)]
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield from zip(*map(_values, batch.columns), strict=True)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -136,7 +147,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefix_tree(walked: DataFrame) -> DataFrame:
     """The nodes of all trees: node, root, depth, conversations, position, start, end,
-    attend, ids, loss_start, loss_end. ``walked`` comes from ``paths``, written."""
+    segment, attend, ids, loss_start, loss_end; written. ``walked`` comes from ``paths``, written."""
     passing = walked.groupBy("node").agg(
         F.count("*").alias("conversations"), F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("owner")
     )
@@ -148,18 +159,21 @@ def prefix_tree(walked: DataFrame) -> DataFrame:
         .sortWithinPartitions("conv_id", "depth")
         .mapInArrow(_keyed, "node binary, root binary, depth long, key binary, position long, n_tokens long, conversations long")
     )
-    nodes = nodes.withColumn("branch", F.substring("key", 9, 2))
-    laid = Written(running_sum(nodes, "root", "branch", ["key", "depth"], "n_tokens", "start"), "nodes").df
+    ranged = in_ranges(nodes, "range", "root", "key", "depth")
+    summed = Written(running_sum(ranged.df, "root", "range", ["key", "depth"], "n_tokens", "start"), "nodes")
+    ranged.drop()
+    laid = summed.df
     segments = laid.groupBy("root", "key").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n_tokens")).alias("b"))
     above = segments.where(F.octet_length("key") > 8).select(
         "root", F.col("key").alias("of"), F.explode(F.sequence(F.lit(8), F.octet_length("key") - 8, F.lit(8))).alias("n")
     )
     above = above.withColumn("key", F.substring("of", F.lit(1), F.col("n")))
     attend = above.join(segments, ["root", "key"]).groupBy("root", "of").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("attend"))
+    attend = segments.select("root", "key", F.col("a").alias("segment")).join(attend.withColumnRenamed("of", "key"), ["root", "key"], "left")
     contents = walked.select("node", "ids", "loss_start", "loss_end", "conv_id").join(passing, "node").where(owned)
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return (
-        laid.join(attend.withColumnRenamed("of", "key"), ["root", "key"], "left")
+    tree = (
+        laid.join(attend, ["root", "key"])
         .join(contents.select("node", "ids", "loss_start", "loss_end"), "node")
         .select(
             "node",
@@ -169,12 +183,16 @@ def prefix_tree(walked: DataFrame) -> DataFrame:
             "position",
             "start",
             (F.col("start") + F.col("n_tokens")).alias("end"),
+            "segment",
             F.coalesce("attend", none).alias("attend"),
             "ids",
             "loss_start",
             "loss_end",
         )
     )
+    written = Written(tree, "tree")
+    summed.drop()
+    return written.df
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
@@ -188,8 +206,8 @@ def _read(tokenizer_path: str):
         def rows() -> Iterator[tuple]:
             for conv, turns in groupby(_rows(batches), key=lambda r: r[0]):
                 whole, loss, n, loss_chars, chars, tokens = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
-                for _, depth, position, ids, a, b in turns:
-                    if position != tokens or depth != n:
+                for _, depth, position, turns_there, ids, a, b in turns:
+                    if position != tokens or depth != n or n >= turns_there:
                         raise ValueError(f"conversation {conv}: turn {n} is not where the tree says")
                     text = decode(ids)
                     role, body = map(unescape, _turn.fullmatch(text).groups())
@@ -197,6 +215,8 @@ def _read(tokenizer_path: str):
                     learned = unescape(decode(ids[a:b]))
                     loss.update(learned.encode("utf-8", "surrogatepass"))
                     n, loss_chars, chars, tokens = n + 1, loss_chars + len(learned), chars + len(text), tokens + len(ids)
+                if n != turns_there:
+                    raise ValueError(f"conversation {conv}: the tree holds {n} turns of {turns_there}")
                 yield conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens
 
         schema = pa.schema(
@@ -208,12 +228,19 @@ def _read(tokenizer_path: str):
 
 
 def read_back(walked: DataFrame, tree: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """Each conversation as its path through the tree holds it (``READ``)."""
-    steps = walked.select("conv_id", "depth", "node").join(tree.select("node", "position", "ids", "loss_start", "loss_end"), "node")
-    ordered = steps.select("conv_id", "depth", "position", "ids", "loss_start", "loss_end").repartition("conv_id")
+    """Each conversation as the tree holds it (``READ``): of its last node, the tokens in
+    the intervals that this one attends to and those of its own segment up to it."""
+    leaves = walked.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"), F.count("*").alias("turns"))
+    own = F.struct(F.col("segment").alias("a"), F.col("end").alias("b"))
+    spans = leaves.join(tree.select("node", "root", "segment", "end", "attend"), "node").select(
+        "conv_id", "turns", "root", F.inline(F.concat("attend", F.array(own)))
+    )
+    nodes = tree.select("root", F.col("segment").alias("a"), "end", "depth", "position", "ids", "loss_start", "loss_end")
+    steps = spans.join(nodes, ["root", "a"]).where(F.col("end") <= F.col("b"))
+    ordered = steps.select("conv_id", "depth", "position", "turns", "ids", "loss_start", "loss_end").repartition("conv_id")
     return ordered.sortWithinPartitions("conv_id", "depth").mapInArrow(_read(tokenizer_path or default_tokenizer()), READ)
 
 
 def format_and_read(turns: DataFrame) -> DataFrame:
     walked = Written(paths(turns), "paths").df
-    return read_back(walked, Written(prefix_tree(walked), "tree").df)
+    return read_back(walked, prefix_tree(walked))
