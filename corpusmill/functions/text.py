@@ -41,6 +41,42 @@ LANGUAGES = {
 }
 
 
+# Endings that name a language in the stored index.
+INDEX_LANGUAGES = {
+    "bash": "shell",
+    "c": "c",
+    "cc": "cpp",
+    "cpp": "cpp",
+    "cs": "csharp",
+    "css": "css",
+    "go": "go",
+    "h": "c",
+    "hpp": "cpp",
+    "html": "html",
+    "java": "java",
+    "js": "javascript",
+    "json": "json",
+    "jsx": "javascriptreact",
+    "kt": "kotlin",
+    "kts": "kotlin",
+    "md": "markdown",
+    "mjs": "javascript",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
+    "sh": "shell",
+    "sql": "sql",
+    "swift": "swift",
+    "toml": "toml",
+    "ts": "typescript",
+    "tsx": "typescriptreact",
+    "txt": "text",
+    "xml": "xml",
+    "yaml": "yaml",
+    "yml": "yaml",
+}
+
+
 def tokens(text: Column, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
     """Estimated tokens: 0 for nothing, else characters by ratio, rounded up."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / F.lit(chars_per_token)).cast("long")
@@ -79,11 +115,12 @@ def module(path: Column) -> Column:
     return F.when(directory(path) == "", ".").otherwise(F.array_join(F.slice(parts, 1, 2), "/"))
 
 
-def language(path: Column) -> Column:
+def language(path: Column, known: dict[str, str] = LANGUAGES) -> Column:
+    """The language that a path's ending names in a map of endings, else ``text``."""
     found = F.lit("text")
     ext = extension(path)
-    for name in sorted(set(LANGUAGES.values())):
-        found = F.when(ext.isin([e for e, lang in LANGUAGES.items() if lang == name]), name).otherwise(found)
+    for name in sorted(set(known.values())):
+        found = F.when(ext.isin([e for e, lang in known.items() if lang == name]), name).otherwise(found)
     return found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterable
@@ -108,6 +109,36 @@ def swept(files: DataFrame, patterns=PATTERNS + ASSIGNED, entropy: tuple[int, fl
     return files.withColumn("__swept", run(F.col("content"))).withColumns({"spans": F.col("__swept.spans"), "redacted": F.col("__swept.redacted")}).drop("__swept")
 
 
+def json_redacted(rows: DataFrame, column: str, patterns=PATTERNS + ASSIGNED) -> DataFrame:
+    """Every text within a JSON column redacted as by ``swept``, keys sorted; null where it is no JSON."""
+    given = [(name, category, pattern) for name, category, pattern in patterns]
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        known = [(name, category, re.compile(pattern)) for name, category, pattern in given]
+
+        def clean(value: object) -> object:
+            if isinstance(value, str):
+                parts, done = [], 0
+                for a, b, name, _ in _swept(value, known, None):
+                    parts += [value[done:a], f"‹REDACTED:{name}›", "\n" * value.count("\n", a, b)]
+                    done = b
+                return "".join([*parts, value[done:]])
+            if isinstance(value, dict):
+                return {k: clean(value[k]) for k in sorted(value)}
+            return [clean(v) for v in value] if isinstance(value, list) else value
+
+        def whole(text: str | None) -> str | None:
+            try:
+                return json.dumps(clean(json.loads(text or "")), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(whole)
+
+    return rows.withColumn(column, run(F.col(column)))
+
+
 def reason_counts(found: DataFrame) -> DataFrame:
     """category, reason and n over the spans of ``swept``, with totals of each category
     (reason null) and of all (both null)."""

@@ -57,3 +57,8 @@ def distinct_parts(rows: DataFrame, by: str, column: str) -> DataFrame:
     """``; ``-joined texts of a group as one, each part once, sorted."""
     parts = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split(column, "; "), lambda x: x != "")))))
     return rows.groupBy(by).agg(F.array_join(parts, "; ").alias("parts"))
+
+
+def dispatch_stats(calls: DataFrame) -> DataFrame:
+    """tool, calls, ms and tokens of each tool and of all (tool null). calls: tool (not null), ms, tokens."""
+    return calls.rollup("tool").agg(F.count("*").alias("calls"), F.sum("ms").alias("ms"), F.sum("tokens").alias("tokens"))

@@ -87,6 +87,17 @@ def expanded(files: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select(F.regexp_replace("asked", "(?<=.)/$", "").alias("asked")).distinct().join(spread, "asked", "left").select("asked", "path")
 
 
+#: Lines that strict privacy shows of a file at most.
+STRICT_LINES = 20
+
+
+def shown_lines(first: int, limit: int | None, strict: bool = False) -> tuple[int, int]:
+    """First and last line of a read; strict privacy caps its length."""
+    if strict:
+        limit = min(STRICT_LINES if limit is None else limit, STRICT_LINES)
+    return max(1, first), 2**31 - 1 if limit is None else max(1, first) + max(0, limit) - 1
+
+
 def numbered_lines(files: DataFrame, first: int, last: int, width: int = 4) -> DataFrame:
     """path, line and text with a padded number, for the lines first to last."""
     lines = files.select("path", F.posexplode(lines_of(F.col("content"))).alias("at", "text"))

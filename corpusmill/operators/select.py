@@ -31,6 +31,39 @@ def modes(ranked: DataFrame, sizes: DataFrame, quotas=QUOTAS, most_bytes: int =
     return taken.select("path", F.col("nth").cast("long").alias("nth"), "size", "mode", priority.alias("priority"))
 
 
+def suggested_modes(ranked: DataFrame, quotas=QUOTAS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, mode and priority of the first ranked files (score, raw, path, size, hint) in
+    order: the mode that a review suggests while its quota lasts, else full, slices or
+    codemap, whichever is first to be free; too large files are never full. Ends at the first file
+    without a free mode, so no more files than all quotas together are looked at, in one task."""
+    limits = dict(quotas)
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left, open_ = dict(limits), True
+        for batch in batches:
+            rows = []
+            for path, size, hint in zip(batch["path"], batch["size"], batch["hint"], strict=True):
+                free = [m for m in limits if left[m] > 0 and not (m == "full" and size > most_bytes)]
+                mode = hint if hint in free and hint != "codemap_only" else free[0] if free else None
+                open_ = open_ and mode is not None
+                if open_:
+                    left[mode] -= 1
+                    rows.append((path, mode, {"full": "core", "slices": "support"}.get(mode, "ref")))
+            yield pd.DataFrame(rows, columns=["path", "mode", "priority"])
+
+    top = ranked.orderBy(F.desc("score"), F.desc("raw"), "path").limit(sum(limits.values())).select("path", F.coalesce("size", F.lit(0)).alias("size"), "hint")
+    return top.coalesce(1).mapInPandas(chosen, "path string, mode string, priority string")
+
+
+def patch_marker(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: the text on what a patch cap left out; null if nothing. files: path, tokens;
+    kept: path, tokens."""
+    both = files.join(kept.select("path", F.col("tokens").alias("kept")), "path", "left")
+    n = both.agg(F.count_if(F.col("kept").isNull()).alias("files"), F.sum(F.col("tokens") - F.coalesce("kept", F.lit(0))).alias("tokens"))
+    said = F.concat(F.lit("... ‹TRUNCATED: "), "files", F.lit(" more files, ~"), "tokens", F.lit(" tokens›"))
+    return n.select(F.when(F.col("tokens") > 0, said).alias("marker"))
+
+
 def priority_scores(selection: DataFrame, signals: DataFrame, review: bool = False) -> DataFrame:
     """path and score from signals: path, explicit, mentioned, changed (booleans), hits, hops (null: unreachable)."""
     most = signals.agg(F.max("hits")).first()[0] or 0

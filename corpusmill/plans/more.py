@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text
 from corpusmill.functions.text import tokens
-from corpusmill.operators import index, payload, rank, redact, runs, scan, search, select, slices, transcript
+from corpusmill.operators import index, payload, rank, redact, report, runs, scan, search, select, slices, transcript
 from corpusmill.plans.registry import (
     _DIFF,
     _HINT_SQL,
@@ -19,7 +19,6 @@ from corpusmill.plans.registry import (
     _STATE_SQL,
     _SYMBOLS_SQL,
     REASON_SQL,
-    TERM,
     files,
     priorities,
     query,
@@ -640,3 +639,74 @@ def q_section_lists(spark, sf_dir):
 def q_slice_terms(spark, sf_dir):
     rows = made(spark, [(1, [" CD", "ab", "cd ", "x"]), (2, [])], "id long, terms array<string>")
     return rows.select("id", F.array_join(text.slice_terms(F.col("terms")), ",").alias("terms"))
+
+
+# --- further forms
+
+
+@query(
+    f"""with {FILES_SQL}, {_LINES_SQL} select path, line, instr(excerpt, regexp_extract(excerpt, 'th[ae]+ [a-z]*ing', 0))::bigint as col from lines where regexp_matches(excerpt, 'th[ae]+ [a-z]*ing')"""
+)
+def q_search_regex(spark, sf_dir):
+    return search.hits(files(spark, sf_dir), "th[ae]+ [a-z]*ing", regex=True, case_sensitive=True).select("path", "line", "col")
+
+
+@query("select event_type as tool, count(*)::bigint as calls, sum(event_id % 97)::bigint as ms, sum(user_id)::bigint as tokens from events group by rollup (event_type)")
+def q_dispatch_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), (F.col("event_id") % 97).alias("ms"), F.col("user_id").alias("tokens"))
+    return report.dispatch_stats(rows)
+
+
+@query("select * from (values ('a', 1::bigint, 9::bigint), ('a', 14, 15), ('b', 1, 2), ('b', 6, 6)) t(path, first, last)")
+def q_slice_gap(spark, sf_dir):
+    rows = [("a", 1, 3), ("a", 6, 7), ("a", 9, 9), ("a", 14, 15), ("b", 1, 2), ("b", 6, 6)]
+    return slices.merged(made(spark, rows, "path string, first long, last long"), slices.budget_gap(30))
+
+
+_TOKEN = "ghp_" + "a1" * 18
+
+
+@query("""select * from (values (1::bigint, '{"a":["‹REDACTED:github_token›",1,null],"b":{"c":"x ‹REDACTED:github_token›","d":true}}'), (2, null), (3, '"plain"')) t(id, body)""")
+def q_json_redacted(spark, sf_dir):
+    rows = [(1, f'{{"b": {{"d": true, "c": "x {_TOKEN}"}}, "a": ["{_TOKEN}", 1, null]}}'), (2, "{broken"), (3, '"plain"')]
+    return redact.json_redacted(made(spark, rows, "id long, body string"), "body")
+
+
+@query("select * from (values ('b', 'slices'), ('c', 'full')) t(path, mode)")
+def q_selection_clear(spark, sf_dir):
+    rows = [(1, "a", "add", "full"), (2, "b", "add", "full"), (3, None, "clear", None), (4, "b", "add", "full"), (5, "c", "add", "full"), (6, "b", "add", "slices"), (7, "d", "add", "full"), (8, "d", "remove", None)]
+    return select.last_events(made(spark, rows, "ord long, path string, action string, mode string"))
+
+
+@query("select * from (values ('src', 'src/m.ts', 1::bigint, 'Foo'), ('src/m.ts', 'src/m.ts', 1, 'Foo'), ('none', null, null, null)) t(asked, path, line, name)")
+def q_codemap(spark, sf_dir):
+    code = made(spark, [("src/m.ts", "export class Foo {\n  bar() {}\n}"), ("p.py", "def run(): pass")], "path string, content string")
+    asked = search.expanded(code, made(spark, [("src/",), ("src/m.ts",), ("none",)], "asked string"))
+    return asked.join(index.outline(code, "summary").select("path", "line", "name"), "path", "left").select("asked", "path", "line", "name")
+
+
+@query("select * from (values ('a.TSX', 'typescriptreact'), ('b.kt', 'kotlin'), ('c', 'text'), ('d.bash', 'shell'), ('e.png', 'text')) t(path, language)")
+def q_index_languages(spark, sf_dir):
+    rows = made(spark, [(p,) for p in ("a.TSX", "b.kt", "c", "d.bash", "e.png")], "path string")
+    return rows.select("path", text.language(F.col("path"), text.INDEX_LANGUAGES).alias("language"))
+
+
+@query("select * from (values ('... ‹TRUNCATED: 2 more files, ~17 tokens›')) t(marker)")
+def q_patch_marker(spark, sf_dir):
+    every = made(spark, [("a", 5), ("b", 9), ("c", 7), ("d", 6)], "path string, tokens long")
+    return select.patch_marker(every, made(spark, [("a", 5), ("b", 5)], "path string, tokens long"))
+
+
+@query(
+    """select * from (values ('a', 'slices', 'support'), ('b', 'full', 'core'), ('big', 'slices', 'support'), ('c', 'codemap_only', 'ref')) t(path, mode, priority)"""
+)
+def q_suggested_modes(spark, sf_dir):
+    rows = [("a", 9, 9.0, 1, "slices"), ("b", 8, 8.0, 1, None), ("big", 7, 7.0, 99, "full"), ("c", 6, 6.0, 1, "full"), ("d", 5, 5.0, 1, None)]
+    ranked = made(spark, rows, "path string, score long, raw double, size long, hint string")
+    return select.suggested_modes(ranked, (("full", 1), ("slices", 2), ("codemap_only", 1)), most_bytes=50)
+
+
+@query(f"with {FILES_SQL}, {_LINES_SQL} select path, count(*)::bigint as lines from lines where line between 2 and 21 group by path")
+def q_strict_read(spark, sf_dir):
+    first, last = search.shown_lines(2, 500, strict=True)
+    return search.numbered_lines(files(spark, sf_dir), first, last).groupBy("path").agg(F.count("*").alias("lines"))
