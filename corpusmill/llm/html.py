@@ -67,9 +67,10 @@ _PARTS = frozenset(
 )
 #: Names of a page's own head; inside an article they may hold its title.
 _HEAD = frozenset(("banner", "header", "masthead"))
-#: Words after a part's name that only tell its place or shape.
+#: Words after a part's name that tell its place or shape.
 _SHAPES = frozenset(
-    "area bar block bottom box container form group holder inner item items left links list outer panel region right section slot thread top unit wrap wrapper".split()
+    "area banner bar block body bottom box button buttons container content form group holder inner item items left links list message outer panel "
+    "region right section signup slot thread top unit wrap wrapper".split()
 )
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -77,12 +78,13 @@ _SPACE = re.compile(r"\s+")
 
 
 @cache
-def named(name: str) -> str:
-    """The part that a class or id names: its last word but those of place and shape."""
+def named(name: str) -> frozenset[str]:
+    """What a class or id may name: its last word, and its last but those of place and shape."""
     words = [w.lower() for w in _name_words.findall(name) if len(w) > 1]
+    last = words[-1:]
     while len(words) > 1 and words[-1] in _SHAPES:
         words.pop()
-    return words[-1] if words else ""
+    return frozenset(last + words[-1:])
 
 
 class Lines(HTMLParser):
@@ -159,7 +161,7 @@ class Lines(HTMLParser):
         elif tag in ASIDE or (tag == "header" and not marked):
             kind = max(kind, 1)
         elif attrs and tag not in HEADINGS and tag not in MARKED and tag not in ("html", "body"):
-            names = {named(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split()}
+            names = frozenset().union(*map(named, f"{found.get('class', '')} {found.get('id', '')}".split()))
             if names & _PARTS or (not marked and names & _HEAD) or found.get("role", "").lower() in _ROLES:
                 kind = max(kind, 1)
         if "hidden" in found or found.get("aria-hidden") == "true":
