@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+#: Rows that a key may have in one part of a join, and keys that are broadcast at most.
+HOT_ROWS, MOST_BROADCAST = 512, 100_000
+
 _own_dir: list[str] = []
 
 
@@ -92,6 +95,26 @@ def in_ranges(df: DataFrame, bucket: str, *order: str) -> Written:
     return Written(df.repartitionByRange(*order).withColumn(bucket, F.spark_partition_id()), "ranges")
 
 
+def hot_keys(counts: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame | None:
+    """The keys of ``counts`` (keys, n) with over HOT_ROWS rows, and the parts to split
+    each into; null if there are none. They are broadcast if they are few."""
+    parts = F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__parts")
+    found = scratch(counts.where(F.col("n") > HOT_ROWS).select(*keys, parts), "hot")
+    n = found.count()
+    return F.broadcast(found) if 0 < n <= MOST_BROADCAST else found if n else None
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of ``many`` rows with the few rows of ``one`` on ``keys``, where hot keys are
+    split: rows of ``many`` go to a part by the digest of ``by``, those of ``one`` to all."""
+    if hot is None:
+        return many.join(one, keys, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = many.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = one.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
 def and_all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

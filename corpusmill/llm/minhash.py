@@ -11,7 +11,7 @@ guaranteed; a pair of similarity 0.8 at any distance is missed about once in 150
 
 Pairs under a key are not enumerated. First each representative is compared on full
 sets with one that leads a key (the one it shares most keys with), and components are
-found. What a key still holds outside its largest component is unresolved: in rounds, it
+found (a leader of many is split over parts of a join). What a key still holds outside its largest component is unresolved: in rounds, it
 is compared with a leader of that component and with a new leader of its own, for as long as
 that joins a tenth of it. What then is left is settled exactly:
 
@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Scratch, Written, components
+from corpusmill.llm.common import Scratch, Written, components, hot_keys, spread_join
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -150,21 +150,22 @@ def distance(a: str, b: str) -> Column:
     return sum(differ[1:], differ[0])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def hot_sides(pairs: DataFrame, scratch: Scratch) -> dict[str, DataFrame | None]:
+    """Representatives in many of the pairs (a, b), for each side."""
+    return {side: hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), [side], scratch) for side in "ab"}
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, hot: dict[str, DataFrame | None]) -> DataFrame:
     """The pairs (a, b) of representatives whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     enough = round(similarity * 100)
-    return (
-        pairs.join(right, "b")
-        .join(left, "a")
-        .where(100 * both >= enough * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-    )
+    joined = spread_join(spread_join(pairs, right, ["b"], "a", hot["b"]), left, ["a"], "b", hot["a"])
+    return joined.where(100 * both >= enough * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def differences(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def differences(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: DataFrame, hot: DataFrame | None) -> DataFrame:
     """main (a component), rep, comp (its own), inner, n (size of its set), d (the set's
     difference from that of the component's centre), centre and n_centre, for those outside
     a component and those inside it."""
@@ -176,11 +177,11 @@ def differences(outside: DataFrame, inside: DataFrame, links: DataFrame, sets: D
     centre = centre.join(sets, "rep").groupBy("main", F.col("rep").alias("centre")).agg(F.min("shingles").alias("c"))
     rows = outside.withColumn("inner", F.lit(False)).unionByName(inside.withColumn("inner", F.lit(True)))
     apart = F.concat(F.array_except("shingles", "c"), F.array_except("c", "shingles"))
-    held = rows.join(sets, "rep").join(centre, "main")
+    held = spread_join(rows.join(sets, "rep"), centre, ["main"], "rep", hot)
     return held.select("main", "rep", "comp", "inner", F.size("shingles").alias("n"), apart.alias("d"), "centre", F.size("c").alias("n_centre"))
 
 
-def candidates(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def candidates(held: DataFrame, similarity: float, scratch: Scratch, hot: DataFrame | None = None) -> DataFrame:
     """main, rep_x, rep_y: pairs of different components whose prefixes meet, x outside and
     not linked to the centre."""
     percent = round(similarity * 100)
@@ -188,7 +189,7 @@ def candidates(held: DataFrame, similarity: float, scratch: Scratch) -> DataFram
     held = held.withColumn("size_d", F.size("d")).withColumn("g", F.col("size_d") - F.lit(share) * F.col("n"))
     probe = F.expr(f"not inner and {100 + percent} * size_d > {100 - percent} * (n + n_centre)")
     held = held.withColumn("probe", probe)
-    held = held.join(held.where("probe").select("main").distinct(), "main", "left_semi")
+    held = spread_join(held, held.where("probe").select("main").distinct(), ["main"], "rep", hot)
     # The least number of elements shared with any other; a little less, for rounding: a longer prefix does no harm.
     of_centre = F.lit(-share) * F.col("n_centre")
     least = lambda g: F.greatest(F.lit(1), F.ceil(g / 2 - 1e-6))
@@ -215,13 +216,13 @@ def candidates(held: DataFrame, similarity: float, scratch: Scratch) -> DataFram
     return met.select("main", "rep_x", "rep_y").distinct()
 
 
-def settled(held: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def settled(held: DataFrame, similarity: float, scratch: Scratch, hot: DataFrame | None) -> DataFrame:
     """The links (a, b) between ``held`` sets outside a component and those inside it, or
     others outside it, exactly but for those that a chain of links joins."""
     percent = round(similarity * 100)
     near = held.where(F.expr("not inner and rep <> centre") & ((100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("n_centre"))))
     side = lambda s: held.select("main", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "d")])
-    both = candidates(held, similarity, scratch).join(side("x"), ["main", "rep_x"]).join(side("y"), ["main", "rep_y"])
+    both = candidates(held, similarity, scratch, hot).join(side("x"), ["main", "rep_x"]).join(side("y"), ["main", "rep_y"])
     whole = F.size("d_x") + F.size("d_y") - 2 * F.size(F.array_intersect("d_x", "d_y"))
     met = both.where((100 + percent) * whole <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
     pairs = met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
@@ -246,8 +247,9 @@ def joined_up(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame
     left = comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
     right = comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
     between = links.join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    now = components(between, scratch)
-    return comps.join(now, comps["comp"] == now["node"], "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+    now = components(between, scratch).withColumnRenamed("node", "comp")
+    hot = hot_keys(comps.groupBy("comp").agg(F.count("*").alias("n")), ["comp"], scratch)
+    return spread_join(comps, now, ["comp"], "rep", hot, "left").select("rep", F.coalesce("component", "comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -281,10 +283,11 @@ def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: fl
     left = sized.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
     right = sized.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
         least = similarity * F.greatest("na", "nb") - 1e-6
         fits = (F.least("na", "nb") >= least) & (distance("sa", "sb") <= MOST_DISTANCE)
-        return pairs.join(right, "b").join(left, "a").where(fits).select("a", "b")
+        joined = spread_join(spread_join(pairs, right, ["b"], "a", hot["b"]), left, ["a"], "b", hot["a"])
+        return joined.where(fits).select("a", "b")
 
     wanted = members.select("rep").distinct()
     sets = scratch(
@@ -294,8 +297,10 @@ def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: fl
     # First each representative and one that leads a key, the one that it shares most keys with.
     led = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("keys"))
     star = led.groupBy(F.col("rep").alias("b")).agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("a"))
-    tried = scratch(likely(star), "star")
-    links = scratch(confirmed(tried, sets, similarity), "links")
+    star = scratch(star, "star")
+    hot = hot_sides(star, scratch)
+    tried = scratch(likely(star, hot), "tried")
+    links = scratch(confirmed(tried, sets, similarity, hot), "links")
     comps = scratch(joined_up(wanted.withColumn("comp", F.col("rep")), links, scratch), "joined")
     outside = scratch(unresolved(members, comps), "outside")
 
@@ -308,8 +313,10 @@ def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: fl
         per = met.groupBy("rep", "which", F.col("other.leader").alias("leader")).agg(F.count("*").alias("keys"))
         best = per.groupBy("rep", "which").agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("leader"))
         pairs = best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-        pairs = scratch(likely(pairs.join(tried, ["a", "b"], "left_anti")), "tried")
-        found = scratch(confirmed(pairs, sets, similarity), "links")
+        pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        hot = hot_sides(pairs, scratch)
+        pairs = scratch(likely(pairs, hot), "tried")
+        found = scratch(confirmed(pairs, sets, similarity, hot), "links")
         tried, links = tried.unionByName(pairs), links.unionByName(found)
         if n := found.count():
             comps = scratch(joined_up(comps, found, scratch), "joined")
@@ -318,11 +325,14 @@ def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: fl
             break
 
     # Last, exactly, what a key still holds outside its largest component.
-    outside = outside.select("main", "rep", "comp").distinct()
-    mains = outside.select("main").distinct()
-    inside = mains.join(comps, mains["main"] == comps["comp"]).select("main", "rep", F.col("main").alias("comp"))
-    held = scratch(differences(outside, inside, links, sets), "differences")
-    return joined_up(comps, scratch(settled(held, similarity, scratch), "more"), scratch)
+    outside = scratch(outside.select("main", "rep", "comp").distinct(), "outside")
+    mains = outside.groupBy("main").agg(F.count("*").alias("n"))
+    sizes = comps.groupBy(F.col("comp").alias("main")).agg(F.count("*").alias("own")).join(mains, "main")
+    hot = hot_keys(sizes.select("main", (F.col("own") + F.col("n")).alias("n")), ["main"], scratch)
+    inside = spread_join(comps.select(F.col("comp").alias("main"), "rep"), mains.select("main"), ["main"], "rep", hot)
+    inside = inside.select("main", "rep", F.col("main").alias("comp"))
+    held = scratch(differences(outside, inside, links, sets, hot), "differences")
+    return joined_up(comps, scratch(settled(held, similarity, scratch, hot), "more"), scratch)
 
 
 def apply(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
