@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Written(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        written = Written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            before.drop()
+        docs, before = written.df, written
     return docs
