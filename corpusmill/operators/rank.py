@@ -103,9 +103,11 @@ def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], ent
     return files.select("path", F.explode(F.filter(found, lambda x: x["raw"] > 0)).alias("x")).select("path", "x.raw", "x.hits", "x.matched")
 
 
-def import_boost(scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """path and boost: every file that a scored one imports gets a share of its score."""
-    clean = edges.where("src <> dst").select("src", "dst").distinct()
+def import_boost(scores: DataFrame, edges: DataFrame, distinct: bool = True) -> DataFrame:
+    """path and boost: every file that a scored one imports gets a share of its score.
+    ``distinct=False`` says that no edge comes twice."""
+    clean = edges.where("src <> dst").select("src", "dst")
+    clean = clean.distinct() if distinct else clean
     fan = clean.groupBy("src").agg(F.count("*").alias("k"))
     given = clean.join(fan, "src").join(scores.select(F.col("path").alias("src"), "raw"), "src")
     return given.groupBy("dst").agg(F.sum(F.col("raw") * IMPORT_FACTOR / F.col("k")).alias("boost")).withColumnRenamed("dst", "path")

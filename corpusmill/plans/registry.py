@@ -15,6 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+#: Files whose ids and paths are broadcast at most.
+MOST_BROADCAST = 100_000
+
 TASK = "Find that handler with ThingList from src/auth/login.ts"
 TERM = "tion"
 
@@ -47,6 +50,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = files(spark, sf_dir).select("doc_id", "path")
     n = ids.count()
     pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).where("a <> b").distinct()
+    if n <= MOST_BROADCAST:  # ids and paths of so many files take some 10 MB
+        ids = F.broadcast(ids)
     src, dst = ids.select(F.col("doc_id").alias("a"), F.col("path").alias("src")), ids.select(F.col("doc_id").alias("b"), F.col("path").alias("dst"))
     return pairs.join(src, "a").join(dst, "b").select("src", "dst")
 
@@ -238,7 +243,7 @@ _RANKED = f"{FILES_SQL}, {EDGES_SQL}, {_base_sql()}, {_BOOST_SQL}, {_BIAS_SQL},
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, links = base(spark, sf_dir).select("path", "raw").persist(), edges(spark, sf_dir).persist()  # read by several parts
-    found = small(rank.finished(scores, rank.import_boost(scores, links), bias(spark, sf_dir, links)))
+    found = small(rank.finished(scores, rank.import_boost(scores, links, distinct=False), bias(spark, sf_dir, links)))
     scores.unpersist()
     links.unpersist()
     return found
