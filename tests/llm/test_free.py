@@ -200,7 +200,11 @@ def test_redaction_and_edges(spark):
 
 
 def check_pieces(rows, texts):
-    encode = packing.Tokens(packing.default_tokenizer()).encoding.encode_ordinary
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = lambda text: slow.encode(text, add_special_tokens=False).ids
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -228,18 +232,32 @@ def test_packing_pieces(spark):
     docs = common.table(spark, SF, "documents")
     padded, total = check_pieces(packing.pack(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
     assert padded <= 1.01 * total
-    made = {1: None, 2: "", 3: " a  b\n", 4: "x " * 30_000, 5: "<|endoftext|>", 6: "ab　c d"}
+    made = {1: None, 2: "", 3: " a  b\n", 4: "x " * 30_000, 5: "<|endoftext|>", 7: "a <|endoftext|>  b<|endoftext|>", 6: "ab　c d"}
     small = spark.createDataFrame(list(made.items()), "doc_id long, text string").withColumn("offset", F.lit(1))
     check_pieces(packing.pack(small).collect(), made)
     assert packing.pack(small.limit(0)).count() == 0
 
 
+def test_step_groups_are_equal_and_unique(spark):
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents").repartition(8)
+    rows = packing.pack(docs.withColumn("step_group", F.lit(1)), group_tokens=300_000).collect()
+    windows = {r.sequence_id: (r.step_group, r.sequence_length) for r in rows}
+    groups, sizes = collections.Counter(), collections.defaultdict(set)
+    for group, length in windows.values():
+        groups[group] += length
+        sizes[group].add(length)
+    short = [g for g, n in groups.items() if n < packing.STEP_TOKENS]
+    assert max(groups.values()) == packing.STEP_TOKENS
+    assert len(short) == len({g >> 40 for g in short}) <= 8 < len(groups) // 4
+    assert sum(len(s) == 1 for s in sizes.values()) > 0.5 * len(sizes)
+
+
 def test_tokens_equal_the_tokenizer_file():
     import public_tokenizers
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    texts = ["Hello there, it's 3 o'clock.\n\nNew  line ", "äöü ß 你好 🙂", "a", "tabs\tand spaces x"]
+    texts = ["x<|endoftext|>y", "a <|endoftext|> b", "<|endoftext|>", "Hello there, it's 3 o'clock.\n\nNew  line ", "äöü ß 你好 🙂", "a", "tabs\tand spaces x"]
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     fast = packing.Tokens(packing.default_tokenizer()).batch(pa.array(texts))
     assert [list(x) for x in fast] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
