@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Written, in_ranges, running_sum
+from corpusmill.llm.common import Scratch, Written, hot_keys, in_ranges, running_sum, spread_join
 from corpusmill.llm.packing import Tokens, default_tokenizer
 
 LEARNED_ROLE = "assistant"
@@ -152,7 +152,11 @@ def prefix_tree(walked: DataFrame) -> DataFrame:
         F.count("*").alias("conversations"), F.min(F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")).alias("owner")
     )
     owned = F.col("owner.conv_id").eqNullSafe(F.col("conv_id"))
-    spine = walked.select("conv_id", "depth", "node", "root", F.size("ids").cast("long").alias("n_tokens")).join(passing, "node")
+    scratch = Scratch()
+    passing = scratch(passing, "passing")
+    hot = hot_keys(passing.select("node", F.col("conversations").alias("n")), ["node"], scratch)
+    spine = walked.select("conv_id", "depth", "node", "root", F.size("ids").cast("long").alias("n_tokens"))
+    spine = spread_join(spine, passing, ["node"], "conv_id", hot)
     spine = spine.select("conv_id", "depth", "node", "root", "n_tokens", "conversations", owned.alias("owned"))
     nodes = (
         spine.repartition("conv_id")
@@ -160,17 +164,20 @@ def prefix_tree(walked: DataFrame) -> DataFrame:
         .mapInArrow(_keyed, "node binary, root binary, depth long, key binary, position long, n_tokens long, conversations long")
     )
     ranged = in_ranges(nodes, "range", "root", "key", "depth")
-    summed = Written(running_sum(ranged.df, "root", "range", ["key", "depth"], "n_tokens", "start"), "nodes")
+    laid = scratch(running_sum(ranged.df, "root", "range", ["key", "depth"], "n_tokens", "start"), "nodes")
     ranged.drop()
-    laid = summed.df
-    segments = laid.groupBy("root", "key").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n_tokens")).alias("b"))
+    segments = scratch(laid.groupBy("root", "key").agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("n_tokens")).alias("b")), "segments")
     above = segments.where(F.octet_length("key") > 8).select(
         "root", F.col("key").alias("of"), F.explode(F.sequence(F.lit(8), F.octet_length("key") - 8, F.lit(8))).alias("n")
     )
     above = above.withColumn("key", F.substring("of", F.lit(1), F.col("n")))
-    attend = above.join(segments, ["root", "key"]).groupBy("root", "of").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("attend"))
+    hot = hot_keys(above.groupBy("root", "key").agg(F.count("*").alias("n")), ["root", "key"], scratch)
+    attend = spread_join(above.drop("n"), segments, ["root", "key"], "of", hot).groupBy("root", "of").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("attend"))
     attend = segments.select("root", "key", F.col("a").alias("segment")).join(attend.withColumnRenamed("of", "key"), ["root", "key"], "left")
-    contents = walked.select("node", "ids", "loss_start", "loss_end", "conv_id").join(passing, "node").where(owned)
+    # A node's owner has a single row of it, so this join meets a node once.
+    owners = passing.select("node", F.col("owner.conv_id").alias("conv_id"))
+    texts = walked.select("node", "ids", "loss_start", "loss_end", "conv_id")
+    contents = texts.join(owners, (texts["node"] == owners["node"]) & texts["conv_id"].eqNullSafe(owners["conv_id"])).drop(owners["node"])
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     tree = (
         laid.join(attend, ["root", "key"])
@@ -191,7 +198,8 @@ def prefix_tree(walked: DataFrame) -> DataFrame:
         )
     )
     written = Written(tree, "tree")
-    summed.drop()
+    for one in scratch.tables:
+        one.drop()
     return written.df
 
 
@@ -230,13 +238,16 @@ def _read(tokenizer_path: str):
 def read_back(walked: DataFrame, tree: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """Each conversation as the tree holds it (``READ``): of its last node, the tokens in
     the intervals that this one attends to and those of its own segment up to it."""
+    scratch = Scratch()  # read by the result, so dropped with the driver's process
     leaves = walked.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"), F.count("*").alias("turns"))
     own = F.struct(F.col("segment").alias("a"), F.col("end").alias("b"))
-    spans = leaves.join(tree.select("node", "root", "segment", "end", "attend"), "node").select(
-        "conv_id", "turns", "root", F.inline(F.concat("attend", F.array(own)))
-    )
+    hot = hot_keys(tree.select("node", F.col("conversations").alias("n")), ["node"], scratch)
+    ends = spread_join(leaves, tree.select("node", "root", "segment", "end", "attend"), ["node"], "conv_id", hot)
+    spans = ends.select("conv_id", "turns", "root", F.inline(F.concat("attend", F.array(own))))
+    shared = tree.where("start = segment").select("root", F.col("segment").alias("a"), F.col("conversations").alias("n"))
+    hot = hot_keys(shared, ["root", "a"], scratch)
     nodes = tree.select("root", F.col("segment").alias("a"), "end", "depth", "position", "ids", "loss_start", "loss_end")
-    steps = spans.join(nodes, ["root", "a"]).where(F.col("end") <= F.col("b"))
+    steps = spread_join(spans, nodes, ["root", "a"], "conv_id", hot).where(F.col("end") <= F.col("b"))
     ordered = steps.select("conv_id", "depth", "position", "turns", "ids", "loss_start", "loss_end").repartition("conv_id")
     return ordered.sortWithinPartitions("conv_id", "depth").mapInArrow(_read(tokenizer_path or default_tokenizer()), READ)
 
