@@ -12,8 +12,8 @@ guaranteed; a pair of similarity 0.8 at any distance is missed about once in 150
 Pairs under a key are not enumerated. First each representative is compared on full
 sets with one that leads a key (the one it shares most keys with), and components are
 found (a leader of many is split over parts of a join). What a key still holds outside its largest component is unresolved: in rounds, it
-is compared with a leader of that component and with a new leader of its own, for as long as
-that joins a tenth of it. What then is left is settled exactly:
+is compared with members of that component and with one of the next largest, others in
+each round, for as long as that resolves a tenth of it. What then is left is settled exactly:
 
 * Within a component sets are held as their difference from that of its centre, the
   member of most links. An unresolved set close enough to the centre is linked to it.
@@ -56,6 +56,8 @@ N_VALUES = CHUNKS * CHUNK_VALUES
 MOST_DISTANCE = 24
 #: Rounds of new leaders at most; what they leave is settled exactly.
 MOST_ROUNDS = 6
+#: Members of the largest component that one outside is compared with in a round.
+MAIN_PARTNERS = 3
 
 _rng = np.random.default_rng(20_240_229)
 _MULTIPLY = _rng.integers(1, 1 << 63, N_VALUES, dtype=np.uint64) | np.uint64(1)
@@ -229,11 +231,13 @@ def settled(held: DataFrame, similarity: float, scratch: Scratch, hot: DataFrame
     return pairs.unionByName(near.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))).distinct()
 
 
-def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
+def unresolved(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
     """key, main (the largest component under the key), rep and comp of what lies outside
-    it, with ``leaders``: the least of the main and of the next largest component there."""
+    it, with ``leaders``: one of the main and one of the next largest component there, by a
+    digest that differs in each turn."""
     placed = members.select("key", "rep").join(comps, "rep")
-    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("rep").alias("leader"))
+    leader = F.min_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("leader")
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), leader)
     first = F.max(F.struct("k", "comp", "leader")).alias("first")
     several = per.groupBy("key").agg(first, F.count("*").alias("n")).where("n > 1").select("key", "first")
     second = per.join(several, "key").where("comp <> first.comp").groupBy("key", "first").agg(F.max(F.struct("k", "comp", "leader")).alias("second"))
@@ -302,26 +306,27 @@ def linked(texts: DataFrame, reps: DataFrame, shingle_words: int, similarity: fl
     tried = scratch(likely(star, hot), "tried")
     links = scratch(confirmed(tried, sets, similarity, hot), "links")
     comps = scratch(joined_up(wanted.withColumn("comp", F.col("rep")), links, scratch), "joined")
-    outside = scratch(unresolved(members, comps), "outside")
+    outside = scratch(unresolved(members, comps, 0), "outside")
+    remain = outside.select("rep").distinct().count()
 
-    # Then rounds of new leaders, for as long as they join a tenth of what is left.
-    for _ in range(MOST_ROUNDS):
-        left_over = outside.select("rep").distinct().count()
-        if not left_over:
+    # Then rounds of new leaders, for as long as they resolve a tenth of what is left.
+    for turn in range(1, MOST_ROUNDS + 1):
+        if not remain:
             break
         met = outside.select("rep", "comp", F.posexplode("leaders").alias("which", "other")).where("comp <> other.comp")
         per = met.groupBy("rep", "which", F.col("other.leader").alias("leader")).agg(F.count("*").alias("keys"))
-        best = per.groupBy("rep", "which").agg(F.max_by("leader", F.struct("keys", -F.col("leader"))).alias("leader"))
+        nth = F.row_number().over(Window.partitionBy("rep", "which").orderBy(F.desc("keys"), "leader"))
+        best = per.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("which") == 0, MAIN_PARTNERS).otherwise(1))
         pairs = best.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         hot = hot_sides(pairs, scratch)
         pairs = scratch(likely(pairs, hot), "tried")
         found = scratch(confirmed(pairs, sets, similarity, hot), "links")
         tried, links = tried.unionByName(pairs), links.unionByName(found)
-        if n := found.count():
-            comps = scratch(joined_up(comps, found, scratch), "joined")
-            outside = scratch(unresolved(members, comps), "outside")
-        if 10 * n < left_over:
+        comps = scratch(joined_up(comps, found, scratch), "joined")
+        outside = scratch(unresolved(members, comps, turn), "outside")
+        before, remain = remain, outside.select("rep").distinct().count()
+        if 10 * remain > 9 * before:
             break
 
     # Last, exactly, what a key still holds outside its largest component.
