@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusmill.llm import chat, chunks, ctph, html, minhash, mixing, packing, pii, quality, urlfilter, warc
+from corpusmill.llm import chat, chunks, ctph, html, minhash, mixing, packing, pii, quality, resample, urlfilter, warc
 from corpusmill.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_minhash": op9_minhash,
         "op10_ctph": op10_ctph,
+        "op11_resample": op11_resample,
         "op13_exact": op13_exact,
         "pipeline": corpus_pipeline.run,
     }
@@ -83,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_urlfilter": urlfilter.JUDGE_SQL,
         "op6_warc": warc.WARC_SQL,
         "op9_minhash": minhash.NEAR_SQL,
+        "op11_resample": resample.IMPORTANCE_SQL,
         "op13_exact": chunks.EXACT_SQL,
     }
     if corpus_pipeline.ORACLE_SQL:
