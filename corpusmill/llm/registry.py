@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from corpusmill.llm import chat, chunks, ctph, html, minhash, mixing, packing, pii, quality, resample, urlfilter, warc
+from corpusmill.llm import chat, chunks, ctph, html, minhash, mixing, packing, pii, quality, resample, search, urlfilter, warc
 from corpusmill.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_ctph": op10_ctph,
         "op11_resample": op11_resample,
+        "op12_search": op12_search,
         "op13_exact": op13_exact,
         "pipeline": corpus_pipeline.run,
     }
@@ -89,6 +94,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.WARC_SQL,
         "op9_minhash": minhash.NEAR_SQL,
         "op11_resample": resample.IMPORTANCE_SQL,
+        "op12_search": search.RANKED_SQL,
         "op13_exact": chunks.EXACT_SQL,
     }
     if corpus_pipeline.ORACLE_SQL:
