@@ -134,7 +134,9 @@ def q_tree_rollup(spark, sf_dir):
   union all
   select array_to_string(list_transform(p[1:len(p) - 1], lambda x: '0' || x), '/') || '/1' || p[-1], (len(p) - 1)::bigint, p[-1]
   from (select string_split(path, '/') as p from files)
-) select row_number() over (order by key)::bigint as ord, depth, text from nodes order by key limit 500"""
+), placed as (select row_number() over (order by key)::bigint as ord, count(*) over () as n, depth, text from nodes)
+select ord, case when ord = 500 and n > 500 then 0 else depth end as depth, case when ord = 500 and n > 500 then '... ' || (n - 499) || ' more' else text end as text
+from placed where ord <= 500"""
 )
 def q_tree_lines(spark, sf_dir):
     return scan.tree_lines(files(spark, sf_dir))
@@ -802,4 +804,4 @@ def q_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k"))
 
 
-from corpusmill.plans import more  # noqa: E402, F401  (registers the rest)
+from corpusmill.plans import changes, more  # noqa: E402, F401  (registers the rest)
