@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import stable_hash
+from corpusmill.functions.text import lines_of, stable_hash
 from corpusmill.operators import diff, transcript
 from corpusmill.plans.registry import files, query
 from corpusmill.sources.corpus import FILES_SQL
+from corpusmill.sources.shared import shared_folder
+from corpusmill.streaming import stateful
 
 #: Files of fewer lines stay as they are in the edited version.
 LEAST_LINES = 4
@@ -78,3 +80,86 @@ def q_diff_ranges(spark, sf_dir):
 def q_diff_applied(spark, sf_dir):
     after = diff.applied(files(spark, sf_dir).select("path", "content"), found_hunks(spark, sf_dir))
     return after.select("path", stable_hash(F.col("content")).alias("digest"))
+
+
+def _marks(content: Column) -> Column:
+    """Lines that start with a capital letter, as symbols named by their first word."""
+    numbered = F.transform(lines_of(content), lambda x, at: F.struct(x.alias("text"), at.alias("at")))
+    capital = F.filter(numbered, lambda x: x["text"].rlike("^[A-Z]"))
+    return F.transform(
+        capital,
+        lambda x: F.struct(F.lit("heading").alias("kind"), F.regexp_extract(x["text"], "^([A-Za-z]+)", 1).alias("name"), x["text"].alias("signature"), (x["at"] + 1).cast("long").alias("line")),
+    )
+
+
+def _mentions(content: Column) -> Column:
+    """Words after ``from``, as imports."""
+    words = F.array_distinct(F.regexp_extract_all(content, F.lit("from ([a-z]+)"), F.lit(1)))
+    return F.transform(words, lambda w: F.struct(w.alias("target"), F.lit(False).alias("reexport")))
+
+
+def file_events(every: DataFrame) -> list[DataFrame]:
+    """Three batches of events of the files, by id: first three quarters of them; then some touched, some
+    changed, and the rest; then some gone, some changed and gone and back, and all others sent again."""
+    case = F.col("doc_id") % 12
+
+    def batch(n: int, rows: DataFrame, gone: bool = False, touched: Column = F.lit(0), more: Column = F.lit("")) -> DataFrame:
+        content = F.concat("content", more)
+        changed = rows.withColumn("content", content).withColumn("hash", stable_hash(F.col("content"))).withColumn("size", F.octet_length("content").cast("long"))
+        changed = changed.withColumn("mtime", F.col("mtime") + touched).withColumn("gone", F.lit(gone)).withColumn("ord", F.lit(n).cast("long"))
+        return stateful.as_events(changed, _marks(F.col("content")), _mentions(F.col("content")))
+
+    later, edit = F.when(case.isin(0, 1), 1).otherwise(0), F.when(case == 1, F.lit("\nFinal from here")).otherwise("")
+    second = batch(20, every.where(case.isin(0, 1) | (case >= 9)), touched=later, more=edit)
+    again = batch(31, every.where((case < 9) & ~case.isin(2, 3)), touched=later, more=edit)
+    back = batch(33, every.where(case == 3), touched=F.lit(2), more=F.lit("\nBack from there"))
+    return [batch(10, every.where(case < 9)), second, batch(32, every.where(case.isin(2, 3)), gone=True).unionByName(again).unionByName(back)]
+
+
+def _run_index(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Checkpoint and changes of the index after the three batches, one micro-batch each."""
+    top = shared_folder(spark, "index")
+    for k, events in enumerate(file_events(files(spark, sf_dir))):
+        events.coalesce(1).write.parquet(f"{top}/events/{k}")  # a file each, so that one is a batch
+    checkpoint, _ = stateful.opened(spark, f"{top}/state")
+    stream = spark.readStream.schema(stateful.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/events")
+    stateful.follow(stream, checkpoint, f"{top}/changes").awaitTermination()
+    return checkpoint, f"{top}/changes"
+
+
+_INDEXED_SQL = f"""{FILES_SQL}, last as (
+  select path, doc_id % 12 as c, mtime + case when doc_id % 12 in (0, 1) then 1 when doc_id % 12 = 3 then 2 else 0 end as mtime,
+    content || case doc_id % 12 when 1 then chr(10) || 'Final from here' when 3 then chr(10) || 'Back from there' else '' end as content from files where doc_id % 12 <> 2
+), parts as (select *, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) as p from last)"""
+
+
+@query(
+    f"""with {_INDEXED_SQL} select path, strlen(content)::bigint as size, mtime, substr(sha256(content), 1, 12) as hash,
+  len(list_filter(p, lambda x: regexp_matches(x, '^[A-Z]')))::bigint as symbols,
+  coalesce(list_max(list_transform(range(1, len(p) + 1), lambda k: case when regexp_matches(p[k], '^[A-Z]') then k else 0 end)), 0)::bigint as last_line,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(content, 'from ([a-z]+)', 1))), ',') as imports from parts"""
+)
+def q_state_index(spark, sf_dir):
+    checkpoint, _ = _run_index(spark, sf_dir)
+    held = stateful.indexed(spark, checkpoint)
+    symbols = held["symbols"].groupBy("path").agg(F.count("*").alias("symbols"), F.max("line").alias("last_line"))
+    imports = held["imports"].groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("target")), ",").alias("imports"))
+    every = held["files"].join(symbols, "path", "left").join(imports, "path", "left").fillna({"symbols": 0, "last_line": 0, "imports": ""})
+    return every.select("path", "size", "mtime", "hash", "symbols", "last_line", "imports")
+
+
+@query(
+    f"""with {FILES_SQL}, c as (select doc_id % 12 as c from files), e as (
+  select 10 as ord, 'upsert' as action from c where c < 9 union all select 20, case c when 0 then 'touch' else 'upsert' end from c where c in (0, 1) or c >= 9
+  union all select 31, 'unchanged' from c where c < 9 and c not in (2, 3) union all select 32, 'delete' from c where c in (2, 3) union all select 33, 'upsert' from c where c = 3)
+select ord::bigint as ord, action, count(*)::bigint as files from e group by all"""
+)
+def q_state_changes(spark, sf_dir):
+    _, changes = _run_index(spark, sf_dir)
+    return spark.read.parquet(changes).groupBy("ord", "action").agg(F.count("*").alias("files"))
+
+
+@query(f"with {_INDEXED_SQL} select count(*)::bigint as files, sum(strlen(content))::bigint as bytes, max(mtime) as latest, true as current from last")
+def q_state_status(spark, sf_dir):
+    checkpoint, _ = _run_index(spark, sf_dir)
+    return stateful.status(stateful.indexed(spark, checkpoint)["files"])
