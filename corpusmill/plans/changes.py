@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import lines_of, stable_hash
-from corpusmill.operators import diff, transcript
+from corpusmill.operators import diff, grams, transcript
 from corpusmill.plans.registry import files, query
 from corpusmill.sources.corpus import FILES_SQL
 from corpusmill.sources.shared import shared_folder
@@ -163,3 +165,40 @@ def q_state_changes(spark, sf_dir):
 def q_state_status(spark, sf_dir):
     checkpoint, _ = _run_index(spark, sf_dir)
     return stateful.status(stateful.indexed(spark, checkpoint)["files"])
+
+
+#: Patterns searched for by way of the index: (pattern, a regular expression, case counts).
+PATTERNS = (("tion", False, False), ("token = ", False, True), ("Thereon", False, True), ("th[ae]+ [a-z]*ing", True, True), (r"[0-9]+\.[0-9]+\.[0-9]+", True, True))
+
+
+def _searched(found: grams.GramIndex) -> DataFrame:
+    every = [found.hits(p, regex, case).select(F.lit(k).cast("long").alias("k"), "path", "line", "col") for k, (p, regex, case) in enumerate(PATTERNS)]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _searched_sql(of: str) -> str:
+    place = lambda p, regex, case: (
+        f"case when regexp_matches(x, '{p}') then instr(x, regexp_extract(x, '{p}', 0)) else 0 end" if regex else f"instr({'x' if case else 'lower(x)'}, '{p}')"
+    )
+    each = " union all ".join(f"select {k}::bigint as k, path, line, ({place(*p)})::bigint as col from each_line" for k, p in enumerate(PATTERNS))
+    return f"""split as (select path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) as p from {of}),
+each_line as (select path, k as line, p[k] as x from (select path, p, unnest(range(1, len(p) + 1)) as k from split)),
+found as ({each}) select k, path, line, col from found where col > 0"""
+
+
+@query(f"with {FILES_SQL}, {_searched_sql('files')}")
+def q_gram_search(spark, sf_dir):
+    found = grams.GramIndex(spark, shared_folder(spark, "grams"))
+    found.add(files(spark, sf_dir).select("path", "content"))
+    return _searched(found)
+
+
+@query(f"with {_EDITED_SQL}, {_searched_sql('edited')}")
+def q_gram_updated(spark, sf_dir):
+    every = files(spark, sf_dir)
+    found = grams.GramIndex(spark, shared_folder(spark, "grams"))
+    found.add(every.select("path", "content"))
+    pairs = diff.paired(every.select("path", "content"), edited(every))
+    gone = pairs.where("status = 'deleted'").select("path").unionByName(pairs.where("old_path is not null").select(F.col("old_path").alias("path")))
+    found.add(pairs.where("status <> 'deleted'").select("path", F.col("new").alias("content")), gone)
+    return _searched(found)
