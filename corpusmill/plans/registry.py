@@ -804,4 +804,4 @@ def q_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k"))
 
 
-from corpusmill.plans import changes, more  # noqa: E402, F401  (registers the rest)
+from corpusmill.plans import changes, more, signals  # noqa: E402, F401  (registers the rest)
