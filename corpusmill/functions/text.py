@@ -130,10 +130,10 @@ def normal_path(path: Column) -> Column:
 
 
 def occurrences(text: Column, term: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
+    """Non-overlapping occurrences of a literal (searched for as a pattern: faster than replacing it)."""
     if not term:
         return F.lit(0).cast("long")
-    return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
+    return F.regexp_count(text, F.lit(re.escape(term))).cast("long")
 
 
 def lines_of(text: Column) -> Column:

@@ -21,6 +21,7 @@ from corpusmill.functions.text import (
     occurrences,
     words_of_identifier,
 )
+from corpusmill.sources.shared import shared_folder, written
 
 # Weights of a term by where it comes from, and of the other signals.
 WEIGHTS = {"search": 6, "identifier": 10, "config": 8, "endpoint": 7, "path": 9}
@@ -74,9 +75,9 @@ def path_terms(terms: dict[str, list[str]]) -> list[str]:
     return sorted({part for path in terms.get("path", ()) for part in words_of_identifier(path)})
 
 
-def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], entry: Column | None = None) -> DataFrame:
-    """path, raw, hits and matched of the files of any score. The terms of a task are few,
-    so each is one expression over the lower-cased text: no join."""
+def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], entry: Column | None = None, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """path, raw, hits and matched of the files of any score (or of all of them), with the
+    columns to ``keep``. The terms of a task are few, so each is one expression over the lower-cased text: no join."""
     weights, of_path = term_weights(terms), path_terms(terms)
     every = [(t, w, "text") for t, w in weights.items()] + [(t, PATH_WEIGHT, "path") for t in of_path]
     zero = F.lit(0).cast("long")
@@ -100,7 +101,8 @@ def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], ent
     # a filter on the score in the plan would repeat that work.
     lowered = F.array(F.struct(F.lower(text).alias("text"), F.lower("path").alias("path")))
     found = F.transform(F.transform(F.transform(lowered, counted), scored), raised)
-    return files.select("path", F.explode(F.filter(found, lambda x: x["raw"] > 0)).alias("x")).select("path", "x.raw", "x.hits", "x.matched")
+    shown = found if every else F.filter(found, lambda x: x["raw"] > 0)
+    return files.select("path", *keep, F.explode(shown).alias("x")).select("path", "x.raw", "x.hits", "x.matched", *keep)
 
 
 def import_boost(scores: DataFrame, edges: DataFrame, distinct: bool = True) -> DataFrame:
@@ -113,6 +115,30 @@ def import_boost(scores: DataFrame, edges: DataFrame, distinct: bool = True) ->
     return given.groupBy("dst").agg(F.sum(F.col("raw") * IMPORT_FACTOR / F.col("k")).alias("boost")).withColumnRenamed("dst", "path")
 
 
+#: Hops that a search of the import graph goes at most.
+MOST_HOPS = 6
+
+
+def import_hops(sources: DataFrame, edges: DataFrame, wanted: DataFrame | None = None, most: int = MOST_HOPS) -> DataFrame:
+    """path and hops: how many imports lead from the nearest of some files (path) to each that
+    they reach, 0 for themselves. A search by levels from all of them at once: each level is what the last one imports
+    and none before has reached, written down before the next. It ends where nothing new is reached, after
+    ``most`` levels, or as soon as all of the ``wanted`` paths (few; they are broadcast by size) are."""
+    spark = edges.sparkSession
+    top = shared_folder(spark, "hops")
+    level = written(sources.select("path", F.lit(0).cast("long").alias("hops")).distinct(), f"{top}/0")
+    seen = level
+    for k in range(1, most + 1):
+        if wanted is not None and wanted.join(seen, "path", "left_anti").isEmpty():
+            break
+        met = edges.join(level.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
+        level = written(met.join(seen, "path", "left_anti").withColumn("hops", F.lit(k).cast("long")), f"{top}/{k}")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
 def change_bias(changed: DataFrame, edges: DataFrame, tested: DataFrame, sizes: DataFrame, review: bool = False) -> DataFrame:
     """path, boost, reasons and mode from changed files, files that import them, and tests
     (test_path, path) of them."""

@@ -20,6 +20,7 @@ from corpusmill.plans.registry import (
     _SYMBOLS_SQL,
     REASON_SQL,
     files,
+    measured,
     priorities,
     query,
     scanned,
@@ -286,7 +287,7 @@ def q_index_status(spark, sf_dir):
 
 
 @query(
-    f"""with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL}, all_steps as (
+    f"""with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL}, all_steps as (
   select path, score, 1 as phase, 'full_to_slices' as step, 'degrade ' || path || ' full->slices' as reason, st - ft as delta from entry where mode = 'full'
   union all select path, score, 2, 'slices_to_codemap_only', 'degrade ' || path || ' slices->codemap_only', 220 - st from entry where mode <> 'codemap_only'
   union all select path, score, 3, 'drop_codemap_only', 'drop ' || path || ' codemap_only', -220 from entry
@@ -301,9 +302,8 @@ def q_index_status(spark, sf_dir):
 )
 def q_full_ladder(spark, sf_dir):
     chosen = selection(spark, sf_dir)
-    own = files(spark, sf_dir).join(F.broadcast(chosen), "path", "left_semi")
-    content = own.select("path", tokens(F.col("content")).alias("full_tokens"), tokens(F.col("content"), 7.0).alias("slice_tokens"))
-    entries = small(chosen.join(priorities(spark, sf_dir, chosen), "path").join(content, "path").select("path", "mode", "score", "full_tokens", "slice_tokens"))
+    own = measured(spark, sf_dir, chosen)
+    entries = small(chosen.join(priorities(spark, sf_dir, chosen, own), "path").join(own, "path").select("path", "mode", "score", "full_tokens", "slice_tokens"))
     return select.full_ladder(entries.withColumn("detail", F.lit(None).cast("string")), 1000, reserve=200, fixed=480, tree={"full": 900, "selected": 300, "none": 0})
 
 

@@ -186,9 +186,9 @@ def _base_sql() -> str:
 )"""
 
 
-def base_of(every: DataFrame) -> DataFrame:
+def base_of(of: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
     entry = F.col("path").rlike(r"(^|/)(main|index|app|routes|server|cli)\.[^/]*$")
-    return rank.base_scores(every, F.concat_ws("\n", "path", "content"), _TERMS, entry)
+    return rank.base_scores(of, F.concat_ws("\n", "path", "content"), _TERMS, entry, keep, every)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,9 +251,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query(f"with {_RANKED} select path, round(raw, 4) as raw, score from ranked")
+@query(f"with {_RANKED} select path, raw, score from ranked")
 def q_rank_full(spark, sf_dir):
-    return ranked(spark, sf_dir).select("path", F.round("raw", 4).alias("raw"), "score")
+    return ranked(spark, sf_dir).select("path", "raw", "score")
 
 
 @query(
@@ -444,9 +444,19 @@ def q_selection_summary(spark, sf_dir):
     return select.summary(selection(spark, sf_dir))
 
 
-_PRIORITY_SQL = """sig as (
-  select m.path, m.priority, f.doc_id % 19 = 0 as explicit, f.doc_id % 23 = 0 as mentioned, f.doc_id % 17 = 0 as changed, b.hits, case when f.doc_id % 3 <> 0 then f.doc_id % 3 end as hops
-  from modes m join files f on f.path = m.path left join base b on b.path = m.path
+_HOPS_SQL = f"""reach(path, hops) as (
+  select path, 0::bigint from files where doc_id % 19 = 0 union select e.dst, hops + 1 from reach join edges e on e.src = reach.path where hops < {rank.MOST_HOPS}
+), hops as (select path, min(hops) as hops from reach group by path)"""
+
+
+@query(f"with recursive {FILES_SQL}, {EDGES_SQL}, {_HOPS_SQL} select path, hops from hops")
+def q_import_hops(spark, sf_dir):
+    return rank.import_hops(files(spark, sf_dir).where("doc_id % 19 = 0"), edges(spark, sf_dir).persist())
+
+
+_PRIORITY_SQL = f"""{_HOPS_SQL}, sig as (
+  select m.path, m.priority, f.doc_id % 19 = 0 as explicit, f.doc_id % 23 = 0 as mentioned, f.doc_id % 17 = 0 as changed, b.hits, h.hops
+  from modes m join files f on f.path = m.path left join base b on b.path = m.path left join hops h on h.path = m.path
 ), prio as (
   select path, (case when explicit then 1000 else 0 end + case when mentioned then 500 else 0 end + case when changed then 100 else 0 end
     + case when regexp_matches(path, '(^|/)(main|index|app|routes|server|cli)(\\.[^/]*)?$') then 300 else 0 end
@@ -455,29 +465,31 @@ _PRIORITY_SQL = """sig as (
 )"""
 
 
-def priorities(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
-    # Only the chosen files, whose number the quotas bound, are scored again.
+def measured(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+    """path, id, hits and tokens of the chosen files, whose number the quotas bound: one scan."""
     own = files(spark, sf_dir).join(F.broadcast(chosen.select("path")), "path", "left_semi")
-    every = own.select("path", "doc_id").join(base_of(own).select("path", "hits"), "path", "left")
+    own = own.withColumns({"full_tokens": tokens(F.col("content")), "slice_tokens": tokens(F.col("content"), 7.0)})
+    return small(base_of(own, ("doc_id", "full_tokens", "slice_tokens"), every=True).drop("raw", "matched"))
+
+
+def priorities(spark: SparkSession, sf_dir: str, chosen: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    own = measured(spark, sf_dir, chosen) if own is None else own
+    links = edges(spark, sf_dir).persist()
+    hops = rank.import_hops(files(spark, sf_dir).where("doc_id % 19 = 0"), links, wanted=chosen.select("path"))
     at = lambda k: F.col("doc_id") % k == 0
-    signals = every.select(
-        "path",
-        at(19).alias("explicit"),
-        at(23).alias("mentioned"),
-        at(17).alias("changed"),
-        F.coalesce("hits", F.lit(0)).alias("hits"),
-        F.when(~at(3), F.col("doc_id") % 3).alias("hops"),
-    )
-    return select.priority_scores(chosen, small(signals))
+    signals = own.join(hops, "path", "left").select("path", at(19).alias("explicit"), at(23).alias("mentioned"), at(17).alias("changed"), "hits", "hops")
+    signals = small(signals)
+    links.unpersist()
+    return select.priority_scores(chosen, signals)
 
 
-@query(f"with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL} select path, score from prio")
+@query(f"with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL} select path, score from prio")
 def q_priority(spark, sf_dir):
     return priorities(spark, sf_dir, selection(spark, sf_dir))
 
 
 @query(
-    f"""with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, fine as (select m.path, m.mode, m.size, p.score from modes m join prio p on p.path = m.path where m.size <= 20000)
+    f"""with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, fine as (select m.path, m.mode, m.size, p.score from modes m join prio p on p.path = m.path where m.size <= 20000)
 select path, case when mode = 'full' and row_number() over (partition by mode order by score desc, path desc) > 5 then 'slices' else mode end as mode, size, score
 from fine order by score desc, path desc limit 40"""
 )
@@ -501,12 +513,11 @@ _LADDER_SQL = """entry as (
 )"""
 
 
-@query(f"with {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000 or ord > 1 qualify coalesce(min(total) over (order by ord rows between unbounded preceding and 1 preceding), total - delta) > 8000")
+@query(f"with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000 or ord > 1 qualify coalesce(min(total) over (order by ord rows between unbounded preceding and 1 preceding), total - delta) > 8000")
 def q_budget_ladder(spark, sf_dir):
     chosen = selection(spark, sf_dir)
-    own = files(spark, sf_dir).join(F.broadcast(chosen), "path", "left_semi")
-    content = own.select("path", tokens(F.col("content")).alias("full_tokens"), tokens(F.col("content"), 7.0).alias("slice_tokens"))
-    entries = chosen.join(priorities(spark, sf_dir, chosen), "path").join(content, "path")
+    own = measured(spark, sf_dir, chosen)
+    entries = chosen.join(priorities(spark, sf_dir, chosen, own), "path").join(own.select("path", "full_tokens", "slice_tokens"), "path")
     return select.ladder(small(entries.select("path", "mode", "score", "full_tokens", "slice_tokens")), 8000)
 
 

@@ -181,3 +181,16 @@ def test_empty_inputs(spark):
     assert rank.package_entrypoints(files).count() == 0
     assert redact.swept(files).count() == 0
     assert scan.capped_tree(files).count() == 0
+
+
+def test_import_hops(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "d"), ("d", "e"), ("e", "f"), ("z", "z")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    at = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
+    hops = lambda *a, **k: {r.path: r.hops for r in rank.import_hops(*a, **k).collect()}
+    assert hops(at("a"), edges) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5}
+    assert hops(at("axx"), edges) == {"a": 0, "x": 0, "b": 1, "d": 1, "c": 2, "e": 2, "f": 3}
+    assert hops(at("a"), edges, most=2) == {"a": 0, "b": 1, "c": 2}
+    assert hops(at("a"), edges, wanted=at("b")) == {"a": 0, "b": 1}
+    assert hops(at("q"), edges, wanted=at("b")) == {"q": 0}
+    assert hops(at(""), edges) == {}
