@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.operators import rank, tasks
+from corpusmill.operators import rank, scopes, tasks
 from corpusmill.plans.registry import _RANKED, files, query, table
 from corpusmill.sources.corpus import FILES_SQL
 
@@ -33,3 +34,70 @@ def q_rank_tasks(spark, sf_dir):
     every = items.select(F.col("item_id").alias("task_id"), F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("text"))
     entry = F.col("path").rlike(r"(^|/)(main|index|app|routes|server|cli)\.[^/]*$")
     return tasks.ranked(every, files(spark, sf_dir), F.concat_ws("\n", "path", "content"), entry, limit=BEST)
+
+
+def code_of_orders(spark, sf_dir):
+    """A source file for each order, of a language by its key: a class or heading, and in it a method or heading for each line item."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    key, case = F.col("l_orderkey").cast("string"), F.col("l_orderkey") % 3
+
+    def text(top: str, after: str, before: str, between: str, end: str, last: str = "") -> Column:
+        each = F.transform("items", lambda x, k: F.concat(F.lit(before), (k + 1).cast("string"), F.lit(between), x["l_partkey"].cast("string"), F.lit(end)))
+        return F.concat(F.lit(top), key, F.lit(after), F.array_join(each, ""), F.lit(last))
+
+    content = (
+        F.when(case == 0, text("export class Order", " {\n", "  line", "(part) {\n    return ", ";\n  }\n", "}\n"))
+        .when(case == 1, text("class Order", ":\n", "    def line", "(self):\n        return ", "\n"))
+        .otherwise(text("# Order", "\n", "## line", "\npart ", "\n"))
+    )
+    language = F.when(case == 0, "typescript").when(case == 1, "python").otherwise("markdown")
+    return rows.select(F.concat(F.lit("orders/"), key).alias("path"), language.alias("language"), content.alias("content"))
+
+
+_SCOPES_SQL = """items as (
+  select l_orderkey as k, 'orders/' || l_orderkey as path, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as j, case when l_orderkey % 3 = 0 then 3 else 2 end as step from lineitem
+), found as (
+  select path, case when k % 3 = 2 then 'section' else 'class' end as kind, 'Order' || k as name, 1 as line, any_value(step) * count(*) + case when k % 3 = 0 then 2 else 1 end as last, 0 as depth, null as parent from items group by path, k
+  union all select path, case when k % 3 = 2 then 'section' else 'method' end, 'line' || j, 2 + step * (j - 1), 1 + step * j, 1, 1 from items
+)"""
+
+
+@query(f"with {_SCOPES_SQL} select path, kind, name, line::bigint as line, last::bigint as last, depth::int as depth, parent::bigint as parent from found")
+def q_code_scopes(spark, sf_dir):
+    return scopes.scopes(code_of_orders(spark, sf_dir)).drop("signature")
+
+
+@query(
+    f"""with {_SCOPES_SQL}, points as (select distinct 'orders/' || l_orderkey as path, 1 + l_partkey % 20 as at from lineitem)
+select p.path, p.at, max_by(name, depth) as name, max_by(line, depth)::bigint as line from points p left join found f on f.path = p.path and p.at between f.line and f.last group by all"""
+)
+def q_code_enclosing(spark, sf_dir):
+    points = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("orders/"), "l_orderkey").alias("path"), (1 + F.col("l_partkey") % 20).alias("at"))
+    return scopes.innermost(points, scopes.scopes(code_of_orders(spark, sf_dir))).select("path", "at", "name", "line")
+
+
+_PAGES_SQL = """pieces as (select page_id::varchar as path, p, k from (select page_id, p, unnest(range(1, len(p) + 1)) as k from (select page_id, string_split(html, '<') as p from pages))),
+heads as (select path, k as line, regexp_extract(p[k], '(?is)^h([1-6])\\b[^>]*>(.*)', 1)::int as level, regexp_extract(p[k], '(?is)^h([1-6])\\b[^>]*>(.*)', 2) as name, len(p) as n from pieces where regexp_matches(p[k], '(?is)^h([1-6])\\b[^>]*>')),
+found as (select path, line, level, name, coalesce((select min(o.line) - 1 from heads o where o.path = h.path and o.line > h.line and o.level <= h.level), n) as last from heads h)"""
+
+
+@query(
+    f"""with {_PAGES_SQL} select path, name, line::bigint as line, last::bigint as last,
+  (select count(*) from found o where o.path = f.path and o.line < f.line and o.last >= f.line)::int as depth, (select max(o.line) from found o where o.path = f.path and o.line < f.line and o.last >= f.line)::bigint as parent from found f"""
+)
+def q_page_outline(spark, sf_dir):
+    return scopes.scopes(pages(spark, sf_dir)).drop("kind", "signature")
+
+
+@query(
+    f"""with {_PAGES_SQL}, points as (select path, k as at from pieces where contains(p[k], 'tion'))
+select p.path, p.at, max_by(name, line) as name from points p left join found f on f.path = p.path and p.at between f.line and f.last group by all"""
+)
+def q_page_sections(spark, sf_dir):
+    every = pages(spark, sf_dir)
+    points = every.select("path", F.posexplode(F.split("content", "<")).alias("k", "x")).where("contains(x, 'tion')").select("path", (F.col("k") + 1).cast("long").alias("at"))
+    return scopes.innermost(points, scopes.scopes(every)).select("path", "at", "name")
+
+
+def pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
