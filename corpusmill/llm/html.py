@@ -5,14 +5,14 @@ block element, with the code points of their text and the tags they hold. A link
 code points count a quarter; those in parts that are never main text (menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments) count nothing, so that
 their lines have a ratio of zero; scripts, styles and titles are no text at all. The
-ratios are smoothed by a Gaussian, and runs of lines above a threshold (the mean less
-half a standard deviation, within bounds; none at least in what a page marks as
-content) form clusters, without lines of ratio zero and without lines of links at
-their ends. The clusters decide, inside marked content as outside: a line stays if it
-is in a cluster, or if its container holds lines of one and it is not mostly links, so
-that short paragraphs and lists of an article stay. Where a page marks its content
-(article or main), lines outside it do not take part, unless most of the whole page's
-largest cluster lies there: then its clusters join those of the marked lines.
+logarithms of the ratios, so that long paragraphs do not outweigh short ones, are smoothed by a Gaussian, and runs of
+lines above a threshold (the mean less half a standard deviation, within bounds)
+form clusters, without lines of ratio zero and without lines of links at
+their ends. A line stays if it is in a cluster, or if its container holds lines of one and it is not mostly links.
+What a page marks as its content (article or main) stays whole, but for such parts and for lists of links: three lines or
+more in a row that are mostly links and whose smoothed ratios lie below a bound, as menus' short entries do and linked references don't.
+Lines outside the marks do not take part, unless most of the whole page's
+largest cluster lies there: then its clusters join the marked lines.
 
 A part is known by its element, role, or by what a class or id names: ``cookie-notice``
 and ``comment-list`` name a notice and comments, ``notice-period`` a period. Headings
@@ -39,7 +39,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, LEAST_RATIO, MOST_RATIO = 1.5, 1.0, 12.0
+SIGMA, LEAST_RATIO, MOST_RATIO = 1.5, 1.0, 3.0
+#: Ratio below which lines of links are a list of links, and how many in a row make one.
+LIST_RATIO, LIST_LINES = 2.5, 3
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -62,7 +64,7 @@ _LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 #: What a class or id names: menus, sidebars, notices, adverts, forms, footers, comments.
 _PARTS = frozenset(
     "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion replies respond share sharing "
+    "footer menu modal nav navbar navigation newsletter notice notices pagination popup promo respond share sharing "
     "sidebar social sponsor sponsored sponsors subscribe toolbar widget".split()
 )
 #: Names of a page's own head; inside an article they may hold its title.
@@ -206,19 +208,35 @@ class Lines(HTMLParser):
             self.beside.append(data)
 
 
+def smoothed(ratios: np.ndarray) -> np.ndarray:
+    """Logarithms of the ratios, each the Gaussian mean of its neighbours."""
+    ratios = np.log1p(ratios)
+    reach = int(3 * SIGMA)
+    if len(ratios) > 2 * reach:
+        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
+        return np.convolve(ratios, kernel, "same") / np.convolve(np.ones(len(ratios)), kernel, "same")
+    near = np.exp(-0.5 * ((np.arange(len(ratios))[:, None] - np.arange(len(ratios))) / SIGMA) ** 2)
+    return near @ ratios / near.sum(1)
+
+
+def runs(flags: np.ndarray) -> np.ndarray:
+    """First and last (not included) of every run of true flags."""
+    return np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0])))).reshape(-1, 2)
+
+
 def regions(ratios: np.ndarray, links: np.ndarray, least: float = LEAST_RATIO) -> np.ndarray:
     """Which lines lie in content clusters: runs of smoothed ratios above the threshold,
-    without lines of ratio zero and without lines of links at their ends."""
-    reach = int(3 * SIGMA)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    weight = np.convolve(np.ones(len(ratios)), kernel, "same") if len(ratios) > 2 * reach else None
-    if weight is None:
-        near = np.exp(-0.5 * ((np.arange(len(ratios))[:, None] - np.arange(len(ratios))) / SIGMA) ** 2)
-        smooth = near @ ratios / near.sum(1)
-    else:
-        smooth = np.convolve(ratios, kernel, "same") / weight
-    threshold = min(max(smooth.mean() - 0.5 * smooth.std(), least), MOST_RATIO)
-    kept = (smooth >= threshold) & (ratios > 0)
+    without lines of ratio zero and without lines of links at their ends. Without a least
+    ratio (marked content) all lines do but those of ratio zero and lists of links."""
+    smooth, kept = smoothed(ratios), ratios > 0
+    if not least:
+        at = np.flatnonzero(kept)  # parts of ratio zero do not divide a list
+        for a, b in runs(links[at]):
+            if b - a >= LIST_LINES and np.median(smooth[at[a:b]]) < np.log1p(LIST_RATIO):
+                kept[at[a:b]] = False
+        return kept
+    threshold = min(max(smooth.mean() - 0.5 * smooth.std(), np.log1p(least)), np.log1p(MOST_RATIO))
+    kept &= smooth >= threshold
     if (kept & links).any():
         # From both sides, a line of links needs a line of text between it and its run's end.
         text = np.cumsum(kept & ~links)
@@ -231,16 +249,53 @@ def regions(ratios: np.ndarray, links: np.ndarray, least: float = LEAST_RATIO) -
 
 def marks_hold(kept: np.ndarray, chars: np.ndarray, marked: np.ndarray) -> bool:
     """Whether half of the largest cluster's characters at least are in marked lines; so it is without clusters."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], kept.view(np.int8), [0]))))
-    a, b = max(zip(edges[::2], edges[1::2], strict=True), key=lambda c: chars[c[0] : c[1]].sum(), default=(0, 0))
+    a, b = max(runs(kept), key=lambda c: chars[c[0] : c[1]].sum(), default=(0, 0))
     return 2 * chars[a:b][marked[a:b]].sum() >= chars[a:b].sum()
 
 
+_OPENER = re.compile(r"<(?:!--|[!?/]|[a-zA-Z])")
+_COMMENT_END = re.compile(r"--!?>")
+#: A whole tag; its parts never give back what they took, so that a tag is read once.
+_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:'[^']*+'|"[^"]*+"|(?!['"])[^\s>]*+))?+|=)*+>""")
+#: Elements that hold no tags, and no text of the page.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "title")}
+
+
+def tokens(html: str) -> Iterator[str]:
+    """Tags and the texts between them, each whole, in one pass. What is never closed takes
+    the rest of the page: a tag, a comment, or an element without tags in it."""
+    at = 0
+    while found := _OPENER.search(html, at):
+        start = found.start()
+        if start > at:
+            yield html[at:start].replace("<", "&lt;")
+        if found[0] == "<!--":
+            end = _COMMENT_END.search(html, start + 2)
+        elif found[0] in ("<!", "<?") or (found[0] == "</" and not html[start + 2 : start + 3].isalpha()):
+            end = re.compile(">").search(html, start)
+        elif end := _TAG.match(html, start):
+            yield end[0]
+            name = end[1].lower()
+            if name in _RAW and found[0] != "</":
+                if not (end := _RAW[name].search(html, end.end())):
+                    return
+                at = end.start()
+                continue
+        if not end:
+            return
+        at = end.end()
+    if at < len(html):
+        yield html[at:].replace("<", "&lt;")
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    for token in tokens(html):
+        parser.feed(token)
+        if token[0] == "<" and parser.rawdata:  # a tag that the parser does not take
+            parser.reset()
     parser.close()
     parser.close_to(0)
     parser.flush()

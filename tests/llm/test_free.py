@@ -375,3 +375,61 @@ def test_pipeline_stages(spark):
     encode = packing.Tokens(packing.default_tokenizer()).encoding.encode_ordinary
     assert sum(r.length for r in rows) == sum(len(encode(r.text)) + 1 for r in mixed)
     assert len({r.doc_id for r in rows}) == len({r.doc_id for r in mixed})
+
+
+PARAGRAPH = "Ten long paragraphs should not outweigh the short ones that follow them. " * 28
+
+
+def test_short_sections_of_an_article_stay():
+    short = "".join(f"<section><h2>Head {k}</h2><p>Tiny <b>a</b> <i>b</i>.</p></section>" for k in range(10))
+    page = f"<body><nav><a href=/>Home</a></nav><article>{''.join(f'<p>{PARAGRAPH}</p>' for _ in range(10))}{short}</article><footer>{PARAGRAPH}</footer>"
+    expected = [PARAGRAPH.strip()] * 10 + [x for k in range(10) for x in (f"Head {k}", "Tiny a b.")]
+    assert html.extract(page).split("\n\n") == expected
+
+
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ("<p>Hello world</p><details><summary>Sum</summary>Body</details><address>Addr</address>", ["Hello world", "Sum", "Body", "Addr"]),
+        ("<p><a href=x>See the full statement here</a></p>", ["See the full statement here"]),
+        ("<p>Text of it.</p><section class='promotion'><p>Promotion rules for officers</p></section><section id='replies'><p>Replies of the board</p></section>", ["Text of it.", "Promotion rules for officers", "Replies of the board"]),
+        ("<p>See</p><ol>" + "".join(f"<li><a href=/{k}>A linked reference {k} with its author, title and the year of its printing</a></li>" for k in range(6)) + "</ol>", ["See"] + [f"A linked reference {k} with its author, title and the year of its printing" for k in range(6)]),
+        ("<p>it's <a title=it's>a > b</a> a<b and c < d &amp; &lt;p&gt; &#x41;</p><!-- <p>no --><p>z</p>", ["it's a > b a<b and c < d & <p> A", "z"]),
+        ("<p a='x>y' b=\">\" c=>q</p><p/>r<![CDATA[s]]>t</><?u?>v", ["q", "rtv"]),
+    ],
+)
+def test_all_of_an_article_stays(inner, expected):
+    found = html.extract(f"<body><div class=menu><a href=/>Home</a></div><article>{inner}</article><div id=comments><p>{PARAGRAPH}</p></div>")
+    if "a<b" in inner:  # what follows is a tag's name, as in browsers
+        assert found.startswith("it's a > b a") and found.endswith("z")
+    else:
+        assert found.split("\n\n") == expected
+
+
+def templates():
+    body = [f"Paragraph {k} of the text is long enough to be told from what stands around it on the page." for k in range(5)]
+    p = "".join(f"<p>{x}</p>" for x in body)
+    menu = "".join(f"<li><a href=/{k}>Entry {k}</a>" for k in range(9))
+    yield f"<main><h1>T</h1>{p}</main>", ["T", *body]
+    yield f"<div><table><tr>{''.join(f'<td><a href=/{k}>Go {k}</a>' for k in range(7))}</table></div><div>{p}</div><div><a href=/>Imprint</a> <a href=/>Terms</a></div>", body
+    yield f"<ul>{menu}</ul><div><div>{p}</div></div><ul>{menu}</ul>", body
+    yield f"<div role=navigation>{PARAGRAPH}</div><section>{p}</section><div class='ad-slot'><p>{PARAGRAPH}</p></div>", body
+    yield f"<article><header><h1>T</h1></header>{p}<ul>{menu}</ul></article><aside>{PARAGRAPH}</aside>", ["T", *body]
+    yield "<div>" + "<br>".join(f"<a href=/{k}>x{k}</a>" for k in range(20)) + f"</div>{p}", body
+
+
+def test_page_templates(monkeypatch):
+    every = list(templates())
+    assert [html.extract(page).split("\n\n") for page, _ in every] == [text for _, text in every]
+    monkeypatch.setattr(html, "regions", lambda ratios, links, least=0: ratios > 0)
+    assert sum(html.extract(page).split("\n\n") != text for page, text in every) >= 4
+
+
+@pytest.mark.parametrize("piece", ["<a b='", '<a b="', "<a ", "<!--", "<", "</", "<script", "<script>", "</p", "<![", "&", "<a b=c", "<a='", "<p title=it's>", "<textarea><", "<p/>", "&#", "<!-", "'", "<a\n=\"'"])
+@pytest.mark.parametrize("end", ["", ">", "'>", "\">-->"])
+def test_pages_of_unclosed_tags_take_linear_time(piece, end):
+    import time
+
+    start = time.process_time()
+    html.extract("<p>text " + piece * (1_000_000 // len(piece)) + end)
+    assert time.process_time() - start < 6
