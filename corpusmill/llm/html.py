@@ -292,10 +292,14 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    for token in tokens(html):
-        parser.feed(token)
-        if token[0] == "<" and parser.rawdata:  # a tag that the parser does not take
-            parser.reset()
+    parser.feed("".join(tokens(html)))
+    if parser.rawdata[:1] == "<":  # a tag that the parser does not take: it goes, the rest comes piece by piece
+        rest = parser.rawdata
+        parser.reset()
+        for token in tokens(rest):
+            parser.feed(token)
+            if token[0] == "<" and parser.rawdata:
+                parser.reset()
     parser.close()
     parser.close_to(0)
     parser.flush()
