@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import lines_of, stable_hash
 from corpusmill.operators import diff, grams, transcript
-from corpusmill.plans.registry import files, query
+from corpusmill.plans.registry import files, query, table
 from corpusmill.sources.corpus import FILES_SQL
 from corpusmill.sources.shared import shared_folder
-from corpusmill.streaming import stateful
+from corpusmill.streaming import sessions, stateful
 
 #: Files of fewer lines stay as they are in the edited version.
 LEAST_LINES = 4
@@ -202,3 +202,67 @@ def q_gram_updated(spark, sf_dir):
     gone = pairs.where("status = 'deleted'").select("path").unionByName(pairs.where("old_path is not null").select(F.col("old_path").alias("path")))
     found.add(pairs.where("status <> 'deleted'").select("path", F.col("new").alias("content")), gone)
     return _searched(found)
+
+
+#: Sessions over events: idle for a day they end; events come up to eight days late.
+CAPS = sessions.Caps(files=3, full=1, bytes=60_000, turns=6, idle_ms=86_400_000)
+
+
+def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of each user's selection, from events."""
+    at = lambda k: (F.col("event_id") % k).cast("int")
+    action = F.when(at(29) == 0, "clear").when(F.col("event_type") == "error", "remove").otherwise("add")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("ord"), "ts", action.alias("action"), F.concat(F.lit("f"), at(5).cast("string")).alias("path"),
+        F.get(F.array(F.lit("full"), F.lit("slices"), F.lit("codemap_only"), F.lit("odd")), F.when(at(31) == 0, 3).otherwise(at(3))).alias("mode"), F.floor(F.coalesce("value", F.lit(0)) * 1000).cast("long").alias("size"),
+    )
+    return rows.to(spark.createDataFrame([], sessions.EVENTS).schema)
+
+
+def _run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in files of eight days each, every tenth of them a file late, and at last one that moves the watermark beyond all."""
+    top = shared_folder(spark, "sessions")
+    every = edit_events(spark, sf_dir)
+    file = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8) + (F.col("ord") % 10 == 0).cast("int")
+    numbers = [r.file for r in every.select(file.alias("file")).distinct().orderBy("file").collect()]  # a few for each month
+    for k in numbers:
+        every.where(file == k).coalesce(1).write.parquet(f"{top}/events/{k:05d}")
+    end = spark.createDataFrame([("", 0, None, None, None, None, None)], sessions.EVENTS).withColumn("ts", F.to_timestamp(F.lit("2100-01-01")))
+    end.coalesce(1).write.parquet(f"{top}/events/99999")
+    stream = spark.readStream.schema(sessions.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/events")
+    sessions.follow(sessions.sessions(stream, CAPS, "9 days"), f"{top}/state", f"{top}/found").awaitTermination()
+    return spark.read.parquet(f"{top}/found").where("session <> ''")
+
+
+_SESSIONS_SQL = f"""e as (
+  select user_id::varchar as session, event_id as ord, epoch_us(ts) // 1000 as ms, case when event_id % 29 = 0 then 'clear' when event_type = 'error' then 'remove' else 'add' end as action,
+    'f' || event_id % 5 as path, case when event_id % 31 = 0 then 'odd' else ['full', 'slices', 'codemap_only'][(event_id % 3 + 1)::int] end as mode, floor(coalesce(value, 0) * 1000)::bigint as size from events
+), parted as (select *, sum(case when ms - before > {CAPS.idle_ms} then 1 else 0 end) over (partition by session order by ms, ord) as part
+  from (select *, lag(ms) over (partition by session order by ms, ord) as before from e)),
+numbered as (select *, row_number() over (partition by session, part order by ms, ord) as n from parted),
+run(session, part, n, ord, ms, path, mode, error, held) as (
+  select distinct session, part, 0::bigint, null::bigint, null::bigint, null::varchar, null::varchar, null::varchar, []::struct(p varchar, m varchar)[] from numbered
+  union all
+  select session, part, n, ord, ms, path, mode, error, case when error is not null then held when action = 'clear' then [] when action = 'remove' then list_filter(held, lambda x: x.p <> path)
+    else list_append(list_filter(held, lambda x: x.p <> path), {{'p': path, 'm': mode}}) end
+  from (select e.session, e.part, e.n, e.ord, e.ms, e.path, e.mode, e.action, r.held,
+      case when e.n > {CAPS.turns} then 'TURN_LIMIT' when e.action = 'clear' then null
+        when e.action = 'remove' then case when len(list_filter(r.held, lambda x: x.p = e.path)) = 0 then 'NOT_SELECTED' end
+        when e.mode = 'odd' then 'INVALID_SELECTION_ENTRY' when e.size > {CAPS.bytes} then 'FILE_TOO_LARGE'
+        when len(list_filter(r.held, lambda x: x.p = e.path)) = 0 and len(r.held) >= {CAPS.files} then 'MAX_FILES_EXCEEDED'
+        when len(list_filter(r.held, lambda x: x.p <> e.path and x.m = 'full')) + case when e.mode = 'full' then 1 else 0 end > {CAPS.full} then 'MAX_FULL_FILES_EXCEEDED' end as error
+    from run r join numbered e on e.session = r.session and e.part = r.part and e.n = r.n + 1)
+)"""
+
+
+@query(f"with recursive {_SESSIONS_SQL} select session, ord, ms as at_ms, n::int as turn, path, mode, error from run where n > 0")
+def q_session_events(spark, sf_dir):
+    return _run_sessions(spark, sf_dir).where("kind = 'event'").drop("kind", "held")
+
+
+@query(
+    f"""with recursive {_SESSIONS_SQL} select session, ms as at_ms, n::int as turn,
+  '{{' || coalesce(array_to_string(list_transform(list_sort(held), lambda x: '"' || x.p || '": "' || x.m || '"'), ', '), '') || '}}' as held from run where n > 0 qualify n = max(n) over (partition by session, part)"""
+)
+def q_session_ends(spark, sf_dir):
+    return _run_sessions(spark, sf_dir).where("kind = 'closed'").select("session", "at_ms", "turn", "held")
