@@ -26,6 +26,8 @@ from corpusmill.plans.registry import (
     scanned,
     selection,
     small,
+    spread,
+    spread_sql,
     state,
     table,
 )
@@ -54,12 +56,12 @@ _IGNORED = [
 ]
 
 
-@query(
+@query(spread_sql(
     """select * from (values ('.gitignore', null), ('a/.gitignore', null), ('x.log', 'ignored'), ('keep.log', null), ('a/x.log', null), ('dist/m.js', 'ignored'), ('a/dist/m.js', 'excluded'),
-  ('a/tmp/one.txt', null), ('a/tmp/two.txt', 'ignored'), ('a/vendor/keep.log', 'ignored'), ('b/vendor.txt', null)) t(path, reason)"""
-)
+  ('a/tmp/one.txt', null), ('a/tmp/two.txt', 'ignored'), ('a/vendor/keep.log', 'ignored'), ('b/vendor.txt', null)) t(path, reason)""", heads=('path',),
+))
 def q_ignore_files(spark, sf_dir):
-    every = made(spark, _IGNORED, "path string, content string").withColumn("size", F.octet_length("content").cast("long"))
+    every = spread(spark, sf_dir, {"heads": ('path',)}, _IGNORED, "path string, content string").withColumn("size", F.octet_length("content").cast("long"))
     return scan.classify(every, 1000, exclude=["**/*.js"], rules=scan.ignore_rules(every)).select("path", "reason")
 
 
@@ -85,24 +87,16 @@ def q_listing(spark, sf_dir):
     return scan.listing(files(spark, sf_dir), 40)
 
 
-_MARKS = [
-    ("src/auth/a.ts", "function", 4, "export function login()"),
-    ("src/auth/a.ts", "class", 9, "export class Auth"),
-    ("src/auth/a.ts", "class", 9, "export class Auth"),
-    ("src/auth/b.ts", "class", 1, "class Hidden"),
-    ("src/auth/b.ts", "module", 7, "mod util"),
-    ("src/api/deep/c.ts", "type", 2, "export type T"),
-    ("root.ts", "enum", 3, "enum E"),
-]
-
-
 @query(
-    """select * from (values ('src/auth', 1::bigint, 'class', 'src/auth/a.ts', 9::bigint, 'export class Auth'), ('src/auth', 2, 'function', 'src/auth/a.ts', 4, 'export function login()'),
-  ('src/auth', 3, 'module', 'src/auth/b.ts', 7, 'mod util'), ('src/api', 1, 'type', 'src/api/deep/c.ts', 2, 'export type T'), ('.', 1, 'enum', 'root.ts', 3, 'enum E'))
-  t(module, nth, kind, path, line, signature)"""
+    f"""with {FILES_SQL}, {_LINES_SQL}, {_SYMBOLS_SQL}, m as (
+  select distinct array_to_string(string_split(path, '/')[1:2], '/') as module, ['class', 'function', 'module', 'type', 'odd'][(line % 5 + 1)::int] as kind, path, line, name as signature from ranges),
+r as (select *, row_number() over (partition by module order by kind <> 'module', case kind when 'class' then 1 when 'function' then 2 when 'type' then 4 when 'module' then 6 else 9 end, path, line, signature) as nth from m)
+select module, nth, kind, path, line, signature from r where nth <= 3"""
 )
 def q_module_symbols(spark, sf_dir):
-    return scan.module_symbols(made(spark, _MARKS, "path string, kind string, line long, signature string"), 3)
+    kinds = F.array(*map(F.lit, ("class", "function", "module", "type", "odd")))
+    marks = index.headings(files(spark, sf_dir)).select("path", F.get(kinds, (F.col("line") % 5).cast("int")).alias("kind"), "line", F.col("name").alias("signature"))
+    return scan.module_symbols(marks, 3)
 
 
 @query(f"with {FILES_SQL} select count(distinct m)::bigint as modules, greatest(0, count(distinct m) - 5)::bigint as omitted from (select array_to_string(string_split(path, '/')[1:2], '/') as m from files)")
@@ -123,9 +117,10 @@ def q_repository(spark, sf_dir):
     return scan.repository(every, state(spark, sf_dir), scanned(spark, sf_dir).where("reason is not null"), scan.build_hints(every))
 
 
-@query("select g::varchar as module, count(*)::bigint as files from (select 'group' || (i % 7) || '/layer' || ((i // 7) % 5) as g from range(1000) t(i)) group by g")
+@query("select g::varchar as module, count(*)::bigint as files from (select 'group' || (i % 7) || '/layer' || ((i // 7) % 5) as g from range((select count(*) from documents)) t(i)) group by g")
 def q_synthetic(spark, sf_dir):
-    return scan.synthetic(spark, 1000).groupBy(text.module(F.col("path")).alias("module")).agg(F.count("*").alias("files"))
+    made_up = scan.synthetic(spark, table(spark, sf_dir, "documents").count())
+    return made_up.groupBy(text.module(F.col("path")).alias("module")).agg(F.count("*").alias("files"))
 
 
 # --- search and paths
@@ -177,21 +172,29 @@ _PACKAGE = [
 ]
 
 
-@query(
+@query(spread_sql(
     """select * from (values ('dist/run/index.ts', 'package_main', 120::bigint), ('bin/a.js', 'package_bin', 110), ('lib/index.mjs', 'package_exports', 95),
-  ('src/old/index.tsx', 'package_exports', 95), ('shared/x.ts', 'package_main', 120), ('pkg/cli.ts', 'package_bin', 110)) t(path, sign, confidence)"""
-)
+  ('src/old/index.tsx', 'package_exports', 95), ('shared/x.ts', 'package_main', 120), ('pkg/cli.ts', 'package_bin', 110)) t(path, sign, confidence)""", heads=('path',),
+))
 def q_package_entrypoints(spark, sf_dir):
-    return rank.package_entrypoints(made(spark, _PACKAGE, "path string, content string"))
+    return rank.package_entrypoints(spread(spark, sf_dir, {"heads": ('path',)}, _PACKAGE, "path string, content string"))
 
 
 @query(
-    """select * from (values ('a.ts', 220::bigint, 100::bigint, 'cli_bin_dir,package_bin,shebang'), ('b.ts', 120, 55, 'package_main')) t(path, score, confidence, signs)"""
+    f"""with {FILES_SQL}, signs as (
+  select path, 'package_bin' as sign, 110 as n from files where doc_id % 3 = 0 union all select path, 'package_bin', 90 from files where doc_id % 2 = 0
+  union all select path, 'package_main', 120 from files where doc_id % 5 = 0 union all select path, 'config', 55 from files where doc_id % 7 <> 0
+  union all select path, 'shebang', 100 from files where doc_id % 11 = 0 union all select path, 'cli_bin_dir', 10 from files where doc_id % 4 = 0
+), best as (select path, sign, max(n) as n from signs group by all), per as (select path, sum(n)::bigint as score, list_sort(list(sign)) as signs from best group by path),
+top as (select * from per order by score desc, len(signs) desc, path limit 64)
+select path, score, floor(score * 100 / (max(score) over ())::double + 0.5)::bigint as confidence, array_to_string(signs, ',') as signs from top"""
 )
 def q_evidence(spark, sf_dir):
-    one = made(spark, [("a.ts", "package_bin", 110), ("a.ts", "package_bin", 90), ("b.ts", "package_main", 120), ("c.ts", "config", 55)], "path string, sign string, confidence long")
-    two = made(spark, [("a.ts", "shebang", 100), ("a.ts", "cli_bin_dir", 10)], "path string, sign string, confidence long")
-    return rank.evidence(one, two, limit=2)
+    every = files(spark, sf_dir)
+    signs = lambda rule, sign, n: every.where(rule).select("path", F.lit(sign).alias("sign"), F.lit(n).cast("long").alias("confidence"))
+    one = signs("doc_id % 3 = 0", "package_bin", 110).unionByName(signs("doc_id % 2 = 0", "package_bin", 90)).unionByName(signs("doc_id % 5 = 0", "package_main", 120)).unionByName(signs("doc_id % 7 <> 0", "config", 55))
+    two = signs("doc_id % 11 = 0", "shebang", 100).unionByName(signs("doc_id % 4 = 0", "cli_bin_dir", 10))
+    return rank.evidence(one, two)
 
 
 @query(
@@ -209,24 +212,35 @@ def q_search_text(spark, sf_dir):
 
 
 @query(
-    """select * from (values ('test/auth/login.test.ts', 'src/auth/login.ts'), ('src/auth/login.spec.js', 'src/auth/login.ts'), ('tests/tools/parser.py', 'tools/parse.py'),
-  ('tests/x/io.py', 'io.py')) t(test_path, path)"""
+    f"""with {FILES_SQL}, changed as (select path, regexp_replace(path, '\\.[^./]*$', '') as stem, regexp_extract(path, '(\\.[^./]+)$', 1) as ending, doc_id from files where doc_id % 17 = 0),
+tests as (select regexp_replace(path, '\\.[^./]*$', '') || '.test' || regexp_extract(path, '(\\.[^./]+)$', 1) as test_path from files where doc_id % 2 = 0
+  union all select 'tests/' || split_part(path, '/', 1) || '/' || regexp_extract(path, '([^/]*)\\.[^./]*$', 1) || '_' || doc_id || '.py' from files where doc_id % 5 = 0),
+direct as (select stem || '.test' || ending as test_path, path from changed where doc_id % 2 = 0),
+words as (select path, regexp_extract(stem, '([^/]*)$', 1) as name, list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda w: len(w) > 1 and w <> 'src') as words from changed where doc_id % 2 = 1)
+select test_path, path from direct union all select distinct test_path, path from words, (select distinct test_path from tests) where contains(test_path, name) and len(list_filter(words, lambda w: contains(test_path, w))) > 0"""
 )
 def q_tests_of(spark, sf_dir):
-    known = ("test/auth/login.test.ts", "src/auth/login.spec.js", "tests/login_old.ts", "tests/test_parse_tokens.py", "tests/tools/parser.py", "src/parse/tools.py", "tests/x/io.py", "src/auth/login.ts")
-    changed = made(spark, [("src/auth/login.ts",), ("tools/parse.py",), ("io.py",), ("src/none.go",)], "path string")
-    return rank.tests_of(changed, made(spark, [(p,) for p in known], "path string"))
+    every = files(spark, sf_dir)
+    stem, ending = F.regexp_replace("path", r"\.[^./]*$", ""), F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    beside = every.where("doc_id % 2 = 0").select(F.concat(stem, F.lit(".test"), ending).alias("path"))
+    apart = every.where("doc_id % 5 = 0").select(F.concat(F.lit("tests/"), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1), F.lit("_"), "doc_id", F.lit(".py")).alias("path"))
+    return rank.tests_of(every.where("doc_id % 17 = 0").select("path"), every.select("path").unionByName(beside).unionByName(apart))
+
+
+_MENTIONS = "Look at SRC0\\\\FR\\\\D000000000000/main.ts first, then at src1/en/d000000000001/Util.py"
 
 
-@query("select * from (values ('src/auth/login.ts')) t(path)")
+@query(f"with {FILES_SQL} select path from files where contains(lower(replace('{_MENTIONS}', chr(92), '/')), lower(path))")
 def q_mentioned(spark, sf_dir):
-    known = made(spark, [("src/auth/login.ts",), ("src/auth/logout.ts",)], "path string")
-    return rank.mentioned(known, "Look at SRC\\auth\\Login.ts first")
+    return rank.mentioned(files(spark, sf_dir), _MENTIONS)
 
 
-@query("select * from (values ('a/b.ts'), ('c.ts')) t(path)")
+@query(f"with {FILES_SQL} select path from files")
 def q_changed_paths(spark, sf_dir):
-    return rank.changed_paths(made(spark, [("./a\\b.ts",), ("a/b.ts",), (" c.ts ",), ("",), (None,)], "path string"))
+    every = files(spark, sf_dir)
+    odd = every.select(F.concat(F.lit(" ./"), F.replace("path", F.lit("/"), F.lit("\\")), F.lit(" ")).alias("path"))
+    none = every.select(F.when(F.col("doc_id") % 2 == 0, "").alias("path"))
+    return rank.changed_paths(every.select("path").unionByName(odd).unionByName(none))
 
 
 # --- index
@@ -235,34 +249,40 @@ def q_changed_paths(spark, sf_dir):
 _SCRIPT = 'import def, { b as c, a } from "./x";\nimport type { T } from "./t";\nexport { z } from "./z";\nexport * from "./all";\nimport "./side";\n'
 
 
-@query("select * from (values ('m.ts', './all', '', true), ('m.ts', './t', 'T', false), ('m.ts', './x', 'a,b,def', false), ('m.ts', './z', 'z', true)) t(src_path, target, names, reexport)")
+@query(spread_sql(
+    "select * from (values ('m.ts', './all', '', true), ('m.ts', './t', 'T', false), ('m.ts', './x', 'a,b,def', false), ('m.ts', './z', 'z', true)) t(src_path, target, names, reexport)", heads=('src_path',),
+))
 def q_imported_names(spark, sf_dir):
-    found = index.imported_names(made(spark, [("m.ts", "typescript", _SCRIPT), ("p.py", "python", _SCRIPT)], "path string, language string, content string"))
+    found = index.imported_names(spread(spark, sf_dir, {"heads": ('path',)}, [("m.ts", "typescript", _SCRIPT), ("p.py", "python", _SCRIPT)], "path string, language string, content string"))
     return found.withColumn("names", F.array_join("names", ","))
 
 
 _CODE = "export class Foo {\n  async function bar() {}\n}\ndef run(a):\n  class In: pass\n"
 
 
-@query("select * from (values ('complete', 1::bigint, 'Foo'), ('complete', 2, 'bar'), ('complete', 4, 'run'), ('complete', 5, 'In'), ('summary', 1, 'Foo'), ('summary', 4, 'run')) t(detail, line, name)")
+@query(spread_sql(
+    "select * from (values ('complete', 1::bigint, 'Foo'), ('complete', 2, 'bar'), ('complete', 4, 'run'), ('complete', 5, 'In'), ('summary', 1, 'Foo'), ('summary', 4, 'run')) t(detail, line, name)",
+))
 def q_outline(spark, sf_dir):
-    code = made(spark, [("m.ts", _CODE)], "path string, content string")
+    code = spread(spark, sf_dir, {"heads": ('path',)}, [("m.ts", _CODE)], "path string, content string")
     of = lambda detail: index.outline(code, detail).select(F.lit(detail).alias("detail"), "line", "name")
     return of("complete").unionByName(of("summary"))
 
 
-@query(
-    "select * from (values ('export default class Foo', 'default'), ('pub fn go()', 'go'), ('class type', 'class'), ('=> 7', 'symbol'), ('static enum E', 'E')) t(signature, name)"
-)
+@query(spread_sql(
+    "select * from (values ('export default class Foo', 'default'), ('pub fn go()', 'go'), ('class type', 'class'), ('=> 7', 'symbol'), ('static enum E', 'E')) t(signature, name)",
+))
 def q_symbol_names(spark, sf_dir):
-    rows = made(spark, [("export default class Foo",), ("pub fn go()",), ("class type",), ("=> 7",), ("static enum E",)], "signature string")
+    rows = spread(spark, sf_dir, {}, [("export default class Foo",), ("pub fn go()",), ("class type",), ("=> 7",), ("static enum E",)], "signature string")
     return rows.select("signature", text.symbol_name(F.col("signature")).alias("name"))
 
 
-@query("select * from (values ('a', 3::bigint, 4::bigint, 'inner', true), ('a', 8, 12, 'outer', true), ('a', 15, 25, 'tail', false)) t(path, first, last, name, contained)")
+@query(spread_sql(
+    "select * from (values ('a', 3::bigint, 4::bigint, 'inner', true), ('a', 8, 12, 'outer', true), ('a', 15, 25, 'tail', false)) t(path, first, last, name, contained)", heads=('path',),
+))
 def q_enclosing_ranges(spark, sf_dir):
-    marks = made(spark, [("a", "outer", 1, 14, "s1"), ("a", "inner", 2, 5, "s2"), ("a", "tail", 20, 22, "s3"), ("a", "far", 500, 900, "s4")], "path string, name string, line long, last_line long, signature string")
-    spans = made(spark, [("a", 3, 4), ("a", 8, 12), ("a", 15, 25), ("a", 100, 110), ("b", 1, 2)], "path string, first long, last long")
+    marks = spread(spark, sf_dir, {"heads": ('path',)}, [("a", "outer", 1, 14, "s1"), ("a", "inner", 2, 5, "s2"), ("a", "tail", 20, 22, "s3"), ("a", "far", 500, 900, "s4")], "path string, name string, line long, last_line long, signature string")
+    spans = spread(spark, sf_dir, {"heads": ('path',)}, [("a", 3, 4), ("a", 8, 12), ("a", 15, 25), ("a", 100, 110), ("b", 1, 2)], "path string, first long, last long")
     return index.enclosing_ranges(spans, marks).select("path", "first", "last", "name", "contained")
 
 
@@ -317,13 +337,13 @@ _REASONS = [
 ]
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'full_to_slices', 'a->b.ts', 'full', 'slices', -5::bigint), (2, 'drop_codemap_only', 'x y.ts', 'codemap_only', null, -220),
   (3, 'codemap_complete_to_summary', 'c.ts', 'complete', 'summary', 0), (4, 'shrink_slice_windows', null, '+/-30', '+/-20', 0),
-  (5, 'reduce_tree_verbosity', null, 'full', 'selected', -7), (6, 'other', null, null, null, 1)) t(ord, action, path, before, after, saved)"""
-)
+  (5, 'reduce_tree_verbosity', null, 'full', 'selected', -7), (6, 'other', null, null, null, 1)) t(ord, action, path, before, after, saved)""", ids=('ord',),
+))
 def q_ladder_replay(spark, sf_dir):
-    return select.replayed(made(spark, _REASONS, "ord long, step string, reason string, delta long"))
+    return select.replayed(spread(spark, sf_dir, {"ids": ('ord',)}, _REASONS, "ord long, step string, reason string, delta long"))
 
 
 @query(
@@ -338,10 +358,12 @@ def q_token_report(spark, sf_dir):
     return select.token_report(small(own.select("path", "mode", tokens(F.col("content")).alias("tokens"))), {"metadata": 180, "task": 12})
 
 
-@query("select * from (values ('a', 29::bigint), ('b', 120), ('c', 69), ('d', 0)) t(path, tokens)")
+@query(spread_sql(
+    "select * from (values ('a', 29::bigint), ('b', 120), ('c', 69), ('d', 0)) t(path, tokens)", heads=('path',),
+))
 def q_estimated(spark, sf_dir):
     rows = [("a", "full", 100, None), ("b", "codemap_only", 9, None), ("c", "slices", 9, [(1, 2), (5, 5)]), ("d", "full", None, None)]
-    return select.estimated(made(spark, rows, "path string, mode string, size long, slices array<struct<first:long,last:long>>"))
+    return select.estimated(spread(spark, sf_dir, {"heads": ('path',)}, rows, "path string, mode string, size long, slices array<struct<first:long,last:long>>"))
 
 
 _REQUESTS = [
@@ -360,13 +382,13 @@ _REQUESTS = [
 ]
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 1::bigint, 'a', 'full', null), (1, 2, 'b', 'full', 'MAX_FULL_FILES_EXCEEDED'), (1, 3, 'a', 'slices', null), (1, 4, 'b2', 'full', null), (1, 5, 'c', 'slices', 'MAX_FILES_EXCEEDED'),
   (1, 6, 'a', 'full', 'MAX_FULL_FILES_EXCEEDED'), (1, 7, ' ', 'full', 'INVALID_SELECTION_ENTRY'), (1, 8, 'n', 'slices', 'NEVER_INCLUDE_MATCH'), (1, 9, 'i.png', 'slices', 'BINARY_FILE_EXCLUDED'),
-  (1, 10, 'big', 'slices', 'FILE_TOO_LARGE'), (2, 1, 'c', 'wrong', 'INVALID_SELECTION_ENTRY'), (2, 2, 'c', 'full', null)) t(session, ord, path, mode, error)"""
-)
+  (1, 10, 'big', 'slices', 'FILE_TOO_LARGE'), (2, 1, 'c', 'wrong', 'INVALID_SELECTION_ENTRY'), (2, 2, 'c', 'full', null)) t(session, ord, path, mode, error)""", ids=('session',),
+))
 def q_admission(spark, sf_dir):
-    rows = made(spark, _REQUESTS, "session long, ord long, path string, mode string, size long, never boolean, binary boolean")
+    rows = spread(spark, sf_dir, {"ids": ('session',)}, _REQUESTS, "session long, ord long, path string, mode string, size long, never boolean, binary boolean")
     return select.admitted(rows, most_files=2, most_full=1, most_bytes=50)
 
 
@@ -376,29 +398,37 @@ def q_explicit(spark, sf_dir):
     return select.explicit(every, every.where("doc_id % 31 = 0"), every.where("doc_id % 37 = 0"), ["src1/**/config.*"])
 
 
-@query("select * from (values ('a', 3::bigint), ('b', 0)) t(path, value)")
+@query(spread_sql(
+    "select * from (values ('a', 3::bigint), ('b', 0)) t(path, value)", heads=('path',),
+))
 def q_path_numbers(spark, sf_dir):
     rows = [("A", 9.5), ("a", 3.7), ("b", 0.0), ("c", -1.0), ("d", float("nan")), ("e", float("inf")), ("f", None)]
-    return select.path_numbers(made(spark, rows, "path string, value double"))
+    return select.path_numbers(spread(spark, sf_dir, {"heads": ('path',)}, rows, "path string, value double"))
 
 
-@query("select * from (values ('a', 'offline score=9, content_hits=2, path_hits=0'), ('b', 'offline score=1, content_hits=0, path_hits=1, import_boost=4, git_bias=90')) t(path, rationale)")
+@query(spread_sql(
+    "select * from (values ('a', 'offline score=9, content_hits=2, path_hits=0'), ('b', 'offline score=1, content_hits=0, path_hits=1, import_boost=4, git_bias=90')) t(path, rationale)", heads=('path',),
+))
 def q_rationale(spark, sf_dir):
     rows = [("a", 9, 2, 0, 0, 0, 0), ("b", 1, 0, 1, 4, 0, 90)]
-    return select.rationale(made(spark, rows, "path string, score long, content_hits long, path_hits long, import_boost long, entrypoint_boost long, git_bias long"))
+    return select.rationale(spread(spark, sf_dir, {"heads": ('path',)}, rows, "path string, score long, content_hits long, path_hits long, import_boost long, entrypoint_boost long, git_bias long"))
 
 
-@query("select * from (values ('a', 1::bigint, 6::bigint, 'x; y; z'), ('a', 9, 9, 'w'), ('b', 1, 2, '')) t(path, first, last, description)")
+@query(spread_sql(
+    "select * from (values ('a', 1::bigint, 6::bigint, 'x; y; z'), ('a', 9, 9, 'w'), ('b', 1, 2, '')) t(path, first, last, description)", heads=('path',),
+))
 def q_slices_described(spark, sf_dir):
     rows = [("a", 1, 3, "x; y"), ("a", 4, 6, "y;  z"), ("a", 9, 9, "w"), ("b", 1, 2, "")]
-    return slices.described(made(spark, rows, "path string, first long, last long, description string"))
+    return slices.described(spread(spark, sf_dir, {"heads": ('path',)}, rows, "path string, first long, last long, description string"))
 
 
-@query("select * from (values ('a', 3::bigint, 9::bigint), ('a', 12, 14), ('b', 2, 4), ('c', 1, 2)) t(path, first, last)")
+@query(spread_sql(
+    "select * from (values ('a', 3::bigint, 9::bigint), ('a', 12, 14), ('b', 2, 4), ('c', 1, 2)) t(path, first, last)", heads=('path',),
+))
 def q_slices_for_terms(spark, sf_dir):
     body = "\n".join("needle" if k in (5, 13) else "line" for k in range(1, 21))
-    every = made(spark, [("a", body), ("b", "x\ny\nz\nw"), ("c", "p\nq\nr\ns")], "path string, content string")
-    marks = made(spark, [("a", "f", "f()", 3, 9), ("b", "g", "g()", 2, 4)], "path string, name string, signature string, line long, last_line long")
+    every = spread(spark, sf_dir, {"heads": ('path',)}, [("a", body), ("b", "x\ny\nz\nw"), ("c", "p\nq\nr\ns")], "path string, content string")
+    marks = spread(spark, sf_dir, {"heads": ('path',)}, [("a", "f", "f()", 3, 9), ("b", "g", "g()", 2, 4)], "path string, name string, signature string, line long, last_line long")
     return slices.for_terms(every, marks, ["Needle"], context=1)
 
 
@@ -415,23 +445,23 @@ _SECRET_ROWS = [
 ]
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 2::bigint, 'k' || chr(10) || '‹REDACTED:private_key_block›' || chr(10) || chr(10) || chr(10) || 'url=‹REDACTED:postgres_uri_with_credentials›'),
   (2, 2, 'access_token="‹REDACTED:oauth_token_assignment›"' || chr(10) || 'h=Bearer ‹REDACTED:bearer_token›'), (3, 2, 'old=‹REDACTED:jwt_token› ‹REDACTED:aws_access_key_id› ‹REDACTED:github_token›'),
-  (4, 2, '‹REDACTED:custom_pattern_1› and ‹REDACTED:custom_pattern_1›'), (5, 0, 'hash d41d8cd98f00b204e9800998ecf8427e'), (6, 0, null)) t(id, n, redacted)"""
-)
+  (4, 2, '‹REDACTED:custom_pattern_1› and ‹REDACTED:custom_pattern_1›'), (5, 0, 'hash d41d8cd98f00b204e9800998ecf8427e'), (6, 0, null)) t(id, n, redacted)""", ids=('id',),
+))
 def q_redact_sweep(spark, sf_dir):
     custom, _ = redact.custom_patterns([r"/\bacme-\d+/i", "(", "x{2,1}"])
-    found = redact.swept(made(spark, _SECRET_ROWS, "id long, content string"), redact.PATTERNS + redact.ASSIGNED + tuple(custom))
+    found = redact.swept(spread(spark, sf_dir, {"ids": ('id',)}, _SECRET_ROWS, "id long, content string"), redact.PATTERNS + redact.ASSIGNED + tuple(custom))
     return found.select("id", F.size("spans").cast("long").alias("n"), "redacted")
 
 
 @query(
-    """select * from (values ('api_key', 'aws_access_key_id', 1::bigint), ('api_key', 'github_token', 1), ('api_key', null, 2), ('private_key', 'private_key_block', 1), ('private_key', null, 1),
+    """select category, reason, n * (select count(*) from documents) as n from (values ('api_key', 'aws_access_key_id', 1::bigint), ('api_key', 'github_token', 1), ('api_key', null, 2), ('private_key', 'private_key_block', 1), ('private_key', null, 1),
   ('token', 'bearer_token', 1), ('token', 'oauth_token_assignment', 1), ('token', null, 2), ('uri', 'postgres_uri_with_credentials', 1), ('uri', null, 1), (null, null, 6)) t(category, reason, n)"""
 )
 def q_redact_reasons(spark, sf_dir):
-    return redact.reason_counts(redact.swept(made(spark, _SECRET_ROWS, "id long, content string")))
+    return redact.reason_counts(redact.swept(spread(spark, sf_dir, {"ids": ("id",)}, _SECRET_ROWS, "id long, content string")))
 
 
 # --- payloads of agents
@@ -451,24 +481,26 @@ _BAD = (
 _FINALS = [(1, f"Done.\n```final\n{_BAD}\n```\nBetter:\n```final\n{_GOOD}\n```"), (2, f"```final\n{_BAD}\n```"), (3, "nothing"), (4, "```final\n[1]\n```"), (5, "```final\n{\"selection\": 1}\n```")]
 
 
-def _payloads(spark):
-    return payload.final_payloads(made(spark, _FINALS, "conv_id long, text string")), made(spark, [("a.ts",), ("b.ts",)], "path string")
+def _payloads(spark, sf_dir):
+    return payload.final_payloads(spread(spark, sf_dir, {"ids": ("conv_id",)}, _FINALS, "conv_id long, text string")), made(spark, [("a.ts",), ("b.ts",)], "path string")
 
 
-@query(
+@query(spread_sql(
     """select * from (values (2::bigint, 'open_questions[0].question', 'must be a non-empty string'), (2, 'handoff_summary.data_flows[0].notes', 'must be a non-empty string'), (2, 'handoff_summary.tests', 'must be an array'),
   (2, 'selection[0].path', 'path does not exist in repo: gone.ts'), (2, 'selection[1].mode', 'must be one of: full, slices, codemap_only'), (2, 'selection[2].slices[0].end_line', 'must be >= start_line'),
   (2, 'selection[2].slices[1].start_line', 'must be a positive integer'), (2, 'selection[2].slices[1].description', 'must be a non-empty string'), (2, 'selection[3].slices', 'must be a non-empty array'),
   (2, 'selection[4].path', 'must be a non-empty string'), (2, 'selection[4].priority', 'must be a non-empty string'), (2, 'selection[4].rationale', 'must be a non-empty string'),
-  (3, 'final', 'missing block'), (4, 'final', 'must be an object'), (5, 'open_questions', 'must be an array'), (5, 'handoff_summary', 'must be an object'), (5, 'selection', 'must be an array')) t(conv_id, field, message)"""
-)
+  (3, 'final', 'missing block'), (4, 'final', 'must be an object'), (5, 'open_questions', 'must be an array'), (5, 'handoff_summary', 'must be an object'), (5, 'selection', 'must be an array')) t(conv_id, field, message)""", ids=('conv_id',),
+))
 def q_final_issues(spark, sf_dir):
-    return payload.issues(*_payloads(spark))
+    return payload.issues(*_payloads(spark, sf_dir))
 
 
-@query("select * from (values (1::bigint, 'a.ts', 'full', 'core', 'r', null), (1, 'b.ts', 'slices', 'support', 'r', '2-5')) t(conv_id, path, mode, priority, rationale, slices)")
+@query(spread_sql(
+    "select * from (values (1::bigint, 'a.ts', 'full', 'core', 'r', null), (1, 'b.ts', 'slices', 'support', 'r', '2-5')) t(conv_id, path, mode, priority, rationale, slices)", ids=('conv_id',),
+))
 def q_final_selection(spark, sf_dir):
-    given, known = _payloads(spark)
+    given, known = _payloads(spark, sf_dir)
     found = payload.selections(given, payload.issues(given, known))
     return found.withColumn("slices", F.array_join(F.transform("slices", lambda s: F.concat_ws("-", s["first"], s["last"])), ","))
 
@@ -479,50 +511,52 @@ _LISTED = (
 )
 
 
-def _recovered(spark):
-    return payload.recovered(made(spark, [(1, _LISTED), (2, '{"view": "summary"}'), (3, "{broken")], "conv_id long, text string"))
+def _recovered(spark, sf_dir):
+    return payload.recovered(spread(spark, sf_dir, {"ids": ("conv_id",)}, [(1, _LISTED), (2, '{"view": "summary"}'), (3, "{broken")], "conv_id long, text string"))
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'm/main.ts', 'full', 'core', 'x', null), (1, 't/a.test.ts', 'codemap_only', 'support', 'recovered from the selection; slices unavailable during fallback', null),
-  (1, 'u.ts', 'slices', 'ref', 'y', '1-4')) t(conv_id, path, mode, priority, rationale, slices)"""
-)
+  (1, 'u.ts', 'slices', 'ref', 'y', '1-4')) t(conv_id, path, mode, priority, rationale, slices)""", ids=('conv_id',),
+))
 def q_recovered(spark, sf_dir):
-    return _recovered(spark).withColumn("slices", F.array_join(F.transform("slices", lambda s: F.concat_ws("-", s["first"], s["last"])), ","))
+    return _recovered(spark, sf_dir).withColumn("slices", F.array_join(F.transform("slices", lambda s: F.concat_ws("-", s["first"], s["last"])), ","))
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'entrypoint', 1::bigint, 'm/main.ts', 'derived from partial selection (full)'), (1, 'module', 1, 't/a.test.ts', 'derived from partial selection (support)'),
-  (1, 'module', 2, 'u.ts', 'derived from partial selection (ref)'), (1, 'test', 1, 't/a.test.ts', 'test file observed in partial selection')) t(conv_id, kind, nth, path, notes)"""
-)
+  (1, 'module', 2, 'u.ts', 'derived from partial selection (ref)'), (1, 'test', 1, 't/a.test.ts', 'test file observed in partial selection')) t(conv_id, kind, nth, path, notes)""", ids=('conv_id',),
+))
 def q_synthetic_summary(spark, sf_dir):
-    return payload.synthetic_summary(_recovered(spark))
+    return payload.synthetic_summary(_recovered(spark, sf_dir))
 
 
-@query("select * from (values (1::bigint, 2::bigint, 'r1', '{\"n\":1}')) t(conv_id, turn, id, result)")
+@query(spread_sql(
+    "select * from (values (1::bigint, 2::bigint, 'r1', '{\"n\":1}')) t(conv_id, turn, id, result)", ids=('conv_id',),
+))
 def q_envelopes(spark, sf_dir):
     rows = [(1, 1, "none"), (1, 2, '```result\n{"ok": true, "id": "r1", "result": {"n":1}}\n```'), (1, 3, '```result\n{"ok": false, "id": "r2"}\n```'), (1, 4, "```result\n{\n```")]
-    return payload.envelopes(made(spark, rows, "conv_id long, turn long, text string"))
+    return payload.envelopes(spread(spark, sf_dir, {"ids": ('conv_id',)}, rows, "conv_id long, turn long, text string"))
 
 
 _FAILED = [(1, "rate_limit", 0, 5), (2, "rate_limit", 2, 5), (3, "rate_limit", 3, 5), (4, "server_error", 0, 0), (5, "server_error", 1, 0), (6, "agent_timeout", 0, 1), (7, "invalid_final", 3, 2), (8, "missing_final", 0, 0), (9, "auth_error", None, None)]
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'offline', true, 1000::bigint, 3::bigint), (2, 'offline', true, 4000, 3), (3, 'offline', false, 0, 3), (4, 'offline', true, 1000, 1), (5, 'offline', false, 0, 1),
-  (6, 'hybrid', false, 0, 0), (7, 'hybrid', true, 0, 2), (8, 'hybrid', false, 0, 0), (9, 'offline', false, 0, 0)) t(id, strategy, retry, delay_ms, most_retries)"""
-)
+  (6, 'hybrid', false, 0, 0), (7, 'hybrid', true, 0, 2), (8, 'hybrid', false, 0, 0), (9, 'offline', false, 0, 0)) t(id, strategy, retry, delay_ms, most_retries)""", ids=('id',),
+))
 def q_fallback(spark, sf_dir):
-    return payload.fallback(made(spark, _FAILED, "id long, kind string, retries long, turns_left long")).select("id", "strategy", "retry", "delay_ms", "most_retries")
+    return payload.fallback(spread(spark, sf_dir, {"ids": ('id',)}, _FAILED, "id long, kind string, retries long, turns_left long")).select("id", "strategy", "retry", "delay_ms", "most_retries")
 
 
-@query(
-    """select * from (values (1::bigint, 'auth_error', 'auth_error'), (2, 'rate_limit', 'rate_limit'), (3, 'server_error', 'server_error'), (4, 'agent_timeout', 'agent_timeout'), (5, 'network_error', 'network_error'), (6, 'unknown_error', 'unknown_error')) t(id, kind, process_kind)"""
-)
+@query(spread_sql(
+    """select * from (values (1::bigint, 'auth_error', 'auth_error'), (2, 'rate_limit', 'rate_limit'), (3, 'server_error', 'server_error'), (4, 'agent_timeout', 'agent_timeout'), (5, 'network_error', 'network_error'), (6, 'unknown_error', 'unknown_error')) t(id, kind, process_kind)""", ids=('id',),
+))
 def q_failure_kinds(spark, sf_dir):
     rows = [(1, 403, None, "Forbidden", 1), (2, 429, "timeout", "Too many requests", 9), (3, 503, "network", "crash", 2), (4, None, "timeout", "slow", 3), (5, 302, "network", "x", 1), (6, None, None, "x", 1)]
-    found = made(spark, rows, "id long, status int, type string, message string, exit int")
-    process = payload.process_failure_kind(F.col("message"), F.when(F.col("id") != 3, F.col("type")), F.col("exit"))
+    found = spread(spark, sf_dir, {"ids": ('id',)}, rows, "id long, status int, type string, message string, exit int")
+    process = payload.process_failure_kind(F.col("message"), F.when(F.col("id") % 100 != 3, F.col("type")), F.col("exit"))
     return found.select("id", payload.failure_kind(F.col("status"), F.col("type")).alias("kind"), process.alias("process_kind"))
 
 
@@ -537,43 +571,45 @@ def q_rendered(spark, sf_dir):
     return payload.rendered(table(spark, sf_dir, "conversations")).select("conv_id", text.stable_hash(F.col("text")).alias("digest"))
 
 
-@query("select * from (values (1::bigint, 'a' || chr(10) || 'b'), (2, '')) t(id, text)")
+@query(spread_sql(
+    "select * from (values (1::bigint, 'a' || chr(10) || 'b'), (2, '')) t(id, text)", ids=('id',),
+))
 def q_message_text(spark, sf_dir):
     rows = [(1, [("text", "a"), ("image", "x"), ("text", None), ("text", "b")]), (2, [])]
-    found = made(spark, rows, "id long, parts array<struct<type:string,text:string>>")
+    found = spread(spark, sf_dir, {"ids": ('id',)}, rows, "id long, parts array<struct<type:string,text:string>>")
     return found.select("id", payload.message_text(F.col("parts")).alias("text"))
 
 
 # --- diffs, status, runs
 
 
-@query(
-    """select * from (values (1::bigint, 'src/a.ts', 1::bigint, 1::bigint, 2::bigint, 1::bigint, 3::bigint, 4::bigint), (1, 'new.md', 1, 0, 0, 1, 1, 1), (1, 'old.md', 1, 1, 1, 0, 0, 1)) t(diff_id, path, nth, old_first, old_lines, new_first, new_lines, lines)"""
-)
+@query(spread_sql(
+    """select * from (values (1::bigint, 'src/a.ts', 1::bigint, 1::bigint, 2::bigint, 1::bigint, 3::bigint, 4::bigint), (1, 'new.md', 1, 0, 0, 1, 1, 1), (1, 'old.md', 1, 1, 1, 0, 0, 1)) t(diff_id, path, nth, old_first, old_lines, new_first, new_lines, lines)""", ids=('diff_id',),
+))
 def q_diff_hunks(spark, sf_dir):
-    found = transcript.parse_hunks(made(spark, [(1, _DIFF)], "diff_id long, text string"))
+    found = transcript.parse_hunks(spread(spark, sf_dir, {"ids": ('diff_id',)}, [(1, _DIFF)], "diff_id long, text string"))
     return found.withColumn("lines", (F.size(F.split("content", "\n")) - 1).cast("long")).drop("content")
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, '--- i.png [modified] ---' || chr(10) || '(no textual hunks)' || chr(10) || '--- new.md [added] ---' || chr(10) || '@@ -0,0 +1 @@' || chr(10) || '+hi' || chr(10) ||
   '--- old.md [deleted] ---' || chr(10) || '@@ -1 +0,0 @@' || chr(10) || '-bye' || chr(10) || '--- src/a.ts [modified] ---' || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' x' || chr(10) || '-y' || chr(10) || '+z' || chr(10) || '+w' || chr(10) ||
-  '--- to.ts [renamed] ---' || chr(10) || '(no textual hunks)')) t(diff_id, text)"""
-)
+  '--- to.ts [renamed] ---' || chr(10) || '(no textual hunks)')) t(diff_id, text)""", ids=('diff_id',),
+))
 def q_diff_text(spark, sf_dir):
-    diffs = made(spark, [(1, _DIFF)], "diff_id long, text string")
+    diffs = spread(spark, sf_dir, {"ids": ('diff_id',)}, [(1, _DIFF)], "diff_id long, text string")
     return transcript.diff_text(transcript.parse_diff(diffs), transcript.parse_hunks(diffs))
 
 
 _HEADS = [(1, "# branch.oid 1\n# branch.head main\n# branch.upstream origin/main\n# branch.ab +2 -13\n1 .M x"), (2, "# branch.head (detached)\n? u"), (3, "")]
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'main', 'origin/main', 2::bigint, 13::bigint, 'branch: main' || chr(10) || 'upstream: origin/main (ahead 2, behind 13)' || chr(10) || 'changes: omitted'),
-  (2, 'HEAD (detached)', null, 0, 0, 'branch: HEAD (detached)' || chr(10) || 'changes: omitted'), (3, 'HEAD', null, 0, 0, 'branch: HEAD' || chr(10) || 'changes: omitted')) t(status_id, branch, upstream, ahead, behind, text)"""
-)
+  (2, 'HEAD (detached)', null, 0, 0, 'branch: HEAD (detached)' || chr(10) || 'changes: omitted'), (3, 'HEAD', null, 0, 0, 'branch: HEAD' || chr(10) || 'changes: omitted')) t(status_id, branch, upstream, ahead, behind, text)""", ids=('status_id',),
+))
 def q_status_header(spark, sf_dir):
-    heads = transcript.branch_header(made(spark, _HEADS, "status_id long, text string"))
+    heads = transcript.branch_header(spread(spark, sf_dir, {"ids": ('status_id',)}, _HEADS, "status_id long, text string"))
     return heads.join(transcript.status_text(heads), "status_id")
 
 
@@ -588,39 +624,45 @@ _RUN = (
 )
 
 
-def _record(spark):
-    return made(spark, [_RUN], runs.RECORD)
+def _record(spark, sf_dir):
+    return spread(spark, sf_dir, {"tails": ("run_id",)}, [_RUN], runs.RECORD)
 
 
-@query(
+@query(spread_sql(
     """select * from (values ('20240102T030405-abcd1234', 'a.ts', 'slices', 'core', 9::bigint, 'why a', 'entry=300,boost=4,git=4', 'full_to_slices full->slices -50'),
-  ('20240102T030405-abcd1234', 'b.ts', 'codemap_only', 'ref', null, 'why b', '', 'slices_to_codemap_only slices->codemap_only -30')) t(run_id, path, mode, priority, score, why, breakdown, degradations)"""
-)
+  ('20240102T030405-abcd1234', 'b.ts', 'codemap_only', 'ref', null, 'why b', '', 'slices_to_codemap_only slices->codemap_only -30')) t(run_id, path, mode, priority, score, why, breakdown, degradations)""", tails=('run_id',),
+))
 def q_explained(spark, sf_dir):
-    return runs.explained(_record(spark))
+    return runs.explained(_record(spark, sf_dir))
 
 
-@query("select * from (values ('20240102T030405-abcd1234', 'c.ts', 'never'), ('20240102T030405-abcd1234', 'd.png', 'binary')) t(run_id, path, reason)")
+@query(spread_sql(
+    "select * from (values ('20240102T030405-abcd1234', 'c.ts', 'never'), ('20240102T030405-abcd1234', 'd.png', 'binary')) t(run_id, path, reason)", tails=('run_id',),
+))
 def q_dropped(spark, sf_dir):
-    return runs.dropped(_record(spark))
+    return runs.dropped(_record(spark, sf_dir))
 
 
-@query("select * from (values ('20240102T030405-abcd1234', 1::bigint, 'a.ts', 'slices', 9::bigint), ('20240102T030405-abcd1234', 2, 'b.ts', 'codemap_only', null)) t(run_id, nth, path, mode, score)")
+@query(spread_sql(
+    "select * from (values ('20240102T030405-abcd1234', 1::bigint, 'a.ts', 'slices', 9::bigint), ('20240102T030405-abcd1234', 2, 'b.ts', 'codemap_only', null)) t(run_id, nth, path, mode, score)", tails=('run_id',),
+))
 def q_manifest(spark, sf_dir):
-    return runs.manifest(_record(spark))
+    return runs.manifest(_record(spark, sf_dir))
 
 
-@query("select * from (values ('20240102T030405-abcd1234', 1000::bigint, 900::bigint, 2::bigint, -300::bigint, true)) t(run_id, budget, estimated, files, saved, fits)")
+@query(spread_sql(
+    "select * from (values ('20240102T030405-abcd1234', 1000::bigint, 900::bigint, 2::bigint, -300::bigint, true)) t(run_id, budget, estimated, files, saved, fits)", tails=('run_id',),
+))
 def q_run_report(spark, sf_dir):
-    return runs.report(_record(spark))
+    return runs.report(_record(spark, sf_dir))
 
 
-@query("select * from (values ('20240229T235959-' || substr(sha256('/repo'), 1, 8), true), ('..', false), ('a/b', false)) t(id, valid)")
+@query(
+    f"""with {FILES_SQL} select path, strftime(make_timestamp(doc_id * 100003 * 1000000), '%Y%m%dT%H%M%S') || '-' || substr(sha256(path), 1, 8) as id, true as valid, false as path_valid from files"""
+)
 def q_run_ids(spark, sf_dir):
-    at = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit("2024-02-29T23:59:59Z"))))
-    rows = made(spark, [(0, None), (1, ".."), (2, "a/b")], "k int, given string")
-    name = F.when(F.col("k") == 0, text.run_id(F.lit("/repo"), at)).otherwise(F.col("given"))
-    return rows.select(name.alias("id")).select("id", text.valid_run_id(F.col("id")).alias("valid"))
+    every = files(spark, sf_dir).select("path", text.run_id(F.col("path"), F.timestamp_seconds(F.col("doc_id") * 100_003)).alias("id"))
+    return every.select("path", "id", text.valid_run_id(F.col("id")).alias("valid"), text.valid_run_id(F.col("path")).alias("path_valid"))
 
 
 @query("select event_type as scenario, 'p95' as name, quantile_disc(value, 0.95) as value, 50::double as target from events group by event_type having quantile_disc(value, 0.95) > 50")
@@ -630,14 +672,18 @@ def q_target_misses(spark, sf_dir):
     return runs.target_misses(timed.withColumn("name", F.lit("p95")), targets)
 
 
-@query("select * from (values ('x', '- a' || chr(10) || '- b'), ('y', '- none')) t(part, text)")
+@query(spread_sql(
+    "select * from (values ('x', '- a' || chr(10) || '- b'), ('y', '- none')) t(part, text)", heads=('part',),
+))
 def q_section_lists(spark, sf_dir):
-    return runs.section(made(spark, [("x", " b"), ("x", "a"), ("x", ""), ("y", None)], "part string, line string"), "part", "line")
+    return runs.section(spread(spark, sf_dir, {"heads": ('part',)}, [("x", " b"), ("x", "a"), ("x", ""), ("y", None)], "part string, line string"), "part", "line")
 
 
-@query("select * from (values (1::bigint, 'ab,cd'), (2, '')) t(id, terms)")
+@query(spread_sql(
+    "select * from (values (1::bigint, 'ab,cd'), (2, '')) t(id, terms)", ids=('id',),
+))
 def q_slice_terms(spark, sf_dir):
-    rows = made(spark, [(1, [" CD", "ab", "cd ", "x"]), (2, [])], "id long, terms array<string>")
+    rows = spread(spark, sf_dir, {"ids": ('id',)}, [(1, [" CD", "ab", "cd ", "x"]), (2, [])], "id long, terms array<string>")
     return rows.select("id", F.array_join(text.slice_terms(F.col("terms")), ",").alias("terms"))
 
 
@@ -657,44 +703,63 @@ def q_dispatch_stats(spark, sf_dir):
     return report.dispatch_stats(rows)
 
 
-@query("select * from (values ('a', 1::bigint, 9::bigint), ('a', 14, 15), ('b', 1, 2), ('b', 6, 6)) t(path, first, last)")
+@query(spread_sql(
+    "select * from (values ('a', 1::bigint, 9::bigint), ('a', 14, 15), ('b', 1, 2), ('b', 6, 6)) t(path, first, last)", heads=('path',),
+))
 def q_slice_gap(spark, sf_dir):
     rows = [("a", 1, 3), ("a", 6, 7), ("a", 9, 9), ("a", 14, 15), ("b", 1, 2), ("b", 6, 6)]
-    return slices.merged(made(spark, rows, "path string, first long, last long"), slices.budget_gap(30))
+    return slices.merged(spread(spark, sf_dir, {"heads": ('path',)}, rows, "path string, first long, last long"), slices.budget_gap(30))
 
 
 _TOKEN = "ghp_" + "a1" * 18
 
 
-@query("""select * from (values (1::bigint, '{"a":["‹REDACTED:github_token›",1,null],"b":{"c":"x ‹REDACTED:github_token›","d":true}}'), (2, null), (3, '"plain"')) t(id, body)""")
+@query(spread_sql(
+    """select * from (values (1::bigint, '{"a":["‹REDACTED:github_token›",1,null],"b":{"c":"x ‹REDACTED:github_token›","d":true}}'), (2, null), (3, '"plain"')) t(id, body)""", ids=('id',),
+))
 def q_json_redacted(spark, sf_dir):
     rows = [(1, f'{{"b": {{"d": true, "c": "x {_TOKEN}"}}, "a": ["{_TOKEN}", 1, null]}}'), (2, "{broken"), (3, '"plain"')]
-    return redact.json_redacted(made(spark, rows, "id long, body string"), "body")
+    return redact.json_redacted(spread(spark, sf_dir, {"ids": ('id',)}, rows, "id long, body string"), "body")
 
 
-@query("select * from (values ('b', 'slices'), ('c', 'full')) t(path, mode)")
+@query(
+    """with e as (select event_id as ord, user_id::varchar as path, case when event_id % 397 = 0 then 'clear' when event_type = 'error' then 'remove' else 'add' end as action, case when event_id % 2 = 0 then 'full' else 'slices' end as mode from events),
+live as (select * from e where ord > (select coalesce(max(ord), -1) from e where action = 'clear'))
+select path, arg_max(mode, ord) as mode from live group by path having arg_max(action, ord) <> 'remove'"""
+)
 def q_selection_clear(spark, sf_dir):
-    rows = [(1, "a", "add", "full"), (2, "b", "add", "full"), (3, None, "clear", None), (4, "b", "add", "full"), (5, "c", "add", "full"), (6, "b", "add", "slices"), (7, "d", "add", "full"), (8, "d", "remove", None)]
-    return select.last_events(made(spark, rows, "ord long, path string, action string, mode string"))
+    clear = F.col("event_id") % 397 == 0
+    action = F.when(clear, "clear").when(F.col("event_type") == "error", "remove").otherwise("add")
+    mode = F.when(F.col("event_id") % 2 == 0, "full").otherwise("slices")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("user_id").cast("string").alias("path"), action.alias("action"), mode.alias("mode"))
+    return select.last_events(rows)
 
 
-@query("select * from (values ('src', 'src/m.ts', 1::bigint, 'Foo'), ('src/m.ts', 'src/m.ts', 1, 'Foo'), ('none', null, null, null)) t(asked, path, line, name)")
+@query(spread_sql(
+    "select * from (values ('src', 'src/m.ts', 1::bigint, 'Foo'), ('src/m.ts', 'src/m.ts', 1, 'Foo'), ('none', null, null, null)) t(asked, path, line, name)", heads=('asked', 'path'),
+))
 def q_codemap(spark, sf_dir):
-    code = made(spark, [("src/m.ts", "export class Foo {\n  bar() {}\n}"), ("p.py", "def run(): pass")], "path string, content string")
-    asked = search.expanded(code, made(spark, [("src/",), ("src/m.ts",), ("none",)], "asked string"))
+    code = spread(spark, sf_dir, {"heads": ("path",)}, [("src/m.ts", "export class Foo {\n  bar() {}\n}"), ("p.py", "def run(): pass")], "path string, content string")
+    asked = search.expanded(code, spread(spark, sf_dir, {"heads": ("asked",)}, [("src/",), ("src/m.ts",), ("none",)], "asked string"))
     return asked.join(index.outline(code, "summary").select("path", "line", "name"), "path", "left").select("asked", "path", "line", "name")
 
 
-@query("select * from (values ('a.TSX', 'typescriptreact'), ('b.kt', 'kotlin'), ('c', 'text'), ('d.bash', 'shell'), ('e.png', 'text')) t(path, language)")
+@query(spread_sql(
+    "select * from (values ('a.TSX', 'typescriptreact'), ('b.kt', 'kotlin'), ('c', 'text'), ('d.bash', 'shell'), ('e.png', 'text')) t(path, language)", heads=('path',),
+))
 def q_index_languages(spark, sf_dir):
-    rows = made(spark, [(p,) for p in ("a.TSX", "b.kt", "c", "d.bash", "e.png")], "path string")
+    rows = spread(spark, sf_dir, {"heads": ('path',)}, [(p,) for p in ("a.TSX", "b.kt", "c", "d.bash", "e.png")], "path string")
     return rows.select("path", text.language(F.col("path"), text.INDEX_LANGUAGES).alias("language"))
 
 
-@query("select * from (values ('... ‹TRUNCATED: 2 more files, ~17 tokens›')) t(marker)")
+@query(
+    f"""with {FILES_SQL}, t as (select doc_id, ceil(size / 4.0::double)::bigint as tokens from files)
+select '... ‹TRUNCATED: ' || count(*) filter (doc_id % 3 = 0) || ' more files, ~' || sum(case when doc_id % 3 = 0 then tokens when doc_id % 3 = 1 then 0 else tokens - tokens // 2 end)::bigint || ' tokens›' as marker from t"""
+)
 def q_patch_marker(spark, sf_dir):
-    every = made(spark, [("a", 5), ("b", 9), ("c", 7), ("d", 6)], "path string, tokens long")
-    return select.patch_marker(every, made(spark, [("a", 5), ("b", 5)], "path string, tokens long"))
+    every = files(spark, sf_dir).select("path", "doc_id", F.ceil(F.col("size") / 4.0).cast("long").alias("tokens"))
+    half = F.when(F.col("doc_id") % 3 == 2, F.floor(F.col("tokens") / 2)).otherwise(F.col("tokens")).cast("long")
+    return select.patch_marker(every.select("path", "tokens"), every.where("doc_id % 3 <> 0").select("path", half.alias("tokens")))
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import base_name, lines_of, stable_hash, tokens
 from corpusmill.operators import index, rank, redact, report, scan, search, select, slices, transcript
@@ -45,6 +47,32 @@ def small(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def _plain(value, kind):
+    """A value as JSON has it, tuples as objects of their fields."""
+    if isinstance(kind, T.StructType) and value is not None:
+        return {f.name: _plain(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+    if isinstance(kind, T.ArrayType) and value is not None:
+        return [_plain(v, kind.elementType) for v in value]
+    return value
+
+
+def spread(spark: SparkSession, sf_dir: str, how: dict[str, tuple[str, ...]], rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a worked example, once for every document: its ``ids`` grow by a hundred times the
+    document's id, names in ``heads`` lie in a folder of its own, those in ``tails`` end in its id."""
+    kind = spark.createDataFrame([], schema).schema
+    text = json.dumps([_plain(r, kind) for r in rows])
+    every = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.from_json(F.lit(text), T.ArrayType(kind))))
+    number = F.col("doc_id").cast("string")
+    every = every.withColumns({c: F.col(c) + 100 * F.col("doc_id") for c in how.get("ids", ())} | {c: F.concat(F.lit("r"), number, F.lit("/"), c) for c in how.get("heads", ())} | {c: F.concat(c, number) for c in how.get("tails", ())})
+    return every.select(*kind.names)
+
+
+def spread_sql(sql: str, ids: tuple[str, ...] = (), heads: tuple[str, ...] = (), tails: tuple[str, ...] = ()) -> str:
+    """The example's results for every document, named like its rows."""
+    named = [f"t.{c} + 100 * d.doc_id as {c}" for c in ids] + [f"'r' || d.doc_id || '/' || t.{c} as {c}" for c in heads] + [f"t.{c} || d.doc_id as {c}" for c in tails]
+    return f"select t.*{f' replace ({chr(44).join(named)})' if named else ''} from ({sql}) t, documents d"
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import edges by position among the files: (src, dst) paths."""
     ids = files(spark, sf_dir).select("doc_id", "path")
@@ -604,9 +632,10 @@ _REPLIES = [
 ]
 
 
-@query("select * from (values ('file_search', 2::bigint, 0::bigint), ('read_file', 1, 0), (null, 2, 2)) t(tool, calls, failures)")
+@query("select tool, calls * (select count(*) from documents) as calls, failures * (select count(*) from documents) as failures from (values ('file_search', 2::bigint, 0::bigint), ('read_file', 1, 0), (null, 2, 2)) t(tool, calls, failures)")
 def q_tool_stats(spark, sf_dir):
-    return transcript.tool_stats(transcript.tool_calls(spark.createDataFrame(_REPLIES, "conv_id long, turn long, text string")))
+    replies = spread(spark, sf_dir, {"ids": ("conv_id",)}, _REPLIES, "conv_id long, turn long, text string")
+    return transcript.tool_stats(transcript.tool_calls(replies))
 
 
 _DIFF = """diff --git a/src/a.ts b/src/a.ts
@@ -639,21 +668,23 @@ Binary files a/i.png and b/i.png differ
 """
 
 
-@query(
+@query(spread_sql(
     """select * from (values (1::bigint, 'src/a.ts', null, 'modified', false, 1::bigint, 2::bigint, 1::bigint), (1, 'new.md', null, 'added', false, 1, 1, 0),
   (1, 'old.md', null, 'deleted', false, 1, 0, 1), (1, 'to.ts', 'from.ts', 'renamed', false, 0, 0, 0), (1, 'i.png', null, 'modified', true, 0, 0, 0))
-  t(diff_id, path, old_path, status, "binary", hunks, additions, deletions)"""
-)
+  t(diff_id, path, old_path, status, "binary", hunks, additions, deletions)""", ids=('diff_id',),
+))
 def q_diff_parse(spark, sf_dir):
-    return transcript.parse_diff(spark.createDataFrame([(1, _DIFF)], "diff_id long, text string"))
+    return transcript.parse_diff(spread(spark, sf_dir, {"ids": ('diff_id',)}, [(1, _DIFF)], "diff_id long, text string"))
 
 
 _STATUS = "# branch.head main\n1 .M N... 100644 100644 100644 aa bb src/a b.ts\n1 A. N... 0 1 1 aa bb n.ts\n2 R. N... 1 1 1 aa bb R100 to.ts\tfrom.ts\nu UU N... 1 1 1 1 a b c c.ts\n? u.txt"
 
 
-@query("select * from (values (1::bigint, 'src/a b.ts', 'modified'), (1, 'n.ts', 'added'), (1, 'to.ts', 'renamed'), (1, 'c.ts', 'conflicted'), (1, 'u.txt', 'untracked')) t(status_id, path, status)")
+@query(spread_sql(
+    "select * from (values (1::bigint, 'src/a b.ts', 'modified'), (1, 'n.ts', 'added'), (1, 'to.ts', 'renamed'), (1, 'c.ts', 'conflicted'), (1, 'u.txt', 'untracked')) t(status_id, path, status)", ids=('status_id',),
+))
 def q_status_parse(spark, sf_dir):
-    return transcript.parse_status(spark.createDataFrame([(1, _STATUS)], "status_id long, text string"))
+    return transcript.parse_status(spread(spark, sf_dir, {"ids": ('status_id',)}, [(1, _STATUS)], "status_id long, text string"))
 
 
 _SOURCES = [
@@ -664,24 +695,24 @@ _SOURCES = [
 ]
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SOURCES, "path string, language string, content string")
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, {"heads": ("path",)}, _SOURCES, "path string, language string, content string")
 
 
-@query(
+@query(spread_sql(
     """select * from (values ('src/m.ts', './a', false), ('src/m.ts', '../c', true), ('src/m.ts', './d', false), ('p.py', 'x.y', false), ('p.py', 'os', false),
-  ('m.go', 'fmt', false), ('m.go', 'a/b', false), ('l.rs', 'crate::a::b', false)) t(src_path, target, reexport)"""
-)
+  ('m.go', 'fmt', false), ('m.go', 'a/b', false), ('l.rs', 'crate::a::b', false)) t(src_path, target, reexport)""", heads=('src_path',),
+))
 def q_imports_extract(spark, sf_dir):
-    return index.raw_imports(_sources(spark))
+    return index.raw_imports(_sources(spark, sf_dir))
 
 
-@query(
+@query(spread_sql(
     """select * from (values ('src/m.ts', 'class', 'Foo', 5::bigint, true), ('src/m.ts', 'function', 'baz', 8, true), ('p.py', 'function', 'run', 4, false), ('p.py', 'class', 'K', 7, false),
-  ('m.go', 'function', 'Do', 6, false), ('l.rs', 'function', 'f', 2, false), ('l.rs', 'class', 'S', 3, false)) t(path, kind, name, line, exported)"""
-)
+  ('m.go', 'function', 'Do', 6, false), ('l.rs', 'function', 'f', 2, false), ('l.rs', 'class', 'S', 3, false)) t(path, kind, name, line, exported)""", heads=('path',),
+))
 def q_symbols_extract(spark, sf_dir):
-    return index.symbols(_sources(spark)).select("path", "kind", "name", "line", "exported")
+    return index.symbols(_sources(spark, sf_dir)).select("path", "kind", "name", "line", "exported")
 
 
 @query(
