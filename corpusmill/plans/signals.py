@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import stable_hash
 from corpusmill.operators import rank, scopes, tasks
 from corpusmill.plans.registry import _RANKED, files, query, table
 from corpusmill.sources.corpus import FILES_SQL
+from corpusmill.sources.shared import shared_folder
+from corpusmill.sources.walk import read_tree
 
 #: Files that each task keeps.
 BEST = 20
@@ -101,3 +106,52 @@ def q_page_sections(spark, sf_dir):
 
 def pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language"), F.col("html").alias("content"))
+
+
+#: Ignore files of the documents' tree: folder and text.
+IGNORES = (("", "*.md\n!config.md\n/src2/\n"), ("src1", "de/\n!de/\n/fr\n"), ("src3", "# all but English\n*\n!en/\n!en/**\n"))
+
+
+def _written_tree(spark, sf_dir) -> str:
+    """The documents as files of a tree with ignore files."""
+    root = shared_folder(spark, "tree")
+    top = root.removeprefix("file://")
+
+    def write(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                os.makedirs(os.path.dirname(f"{top}/{path}"), exist_ok=True)
+                with open(f"{top}/{path}", "wb") as f:
+                    f.write((content or "").encode())
+            yield frame[["path"]]
+
+    rules = spark.createDataFrame([(f"{folder}/.gitignore".lstrip("/"), text) for folder, text in IGNORES], "path string, content string")
+    every = files(spark, sf_dir).select("path", "content").unionByName(rules)
+    every.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+_WALK_SQL = f"""{FILES_SQL}, kept as (
+  select path, content, size from files where (path not like '%.md' or path like '%/config.md') and not regexp_matches(path, '^src2/|^src1/fr/') and (path not like 'src3/%' or path like 'src3/en/%')
+    or path like 'src3/en/%' or path like 'src1/de/%'
+)"""
+
+
+@query(f"with {_WALK_SQL} select path, size, substr(sha256(content), 1, 12) as hash from kept")
+def q_walk_files(spark, sf_dir):
+    found = read_tree(spark, _written_tree(spark, sf_dir)).where("path not like '%.gitignore'")
+    return found.select("path", "size", stable_hash(F.col("content")).alias("hash"))
+
+
+@query(
+    f"""with {FILES_SQL}, dirs as (select distinct array_to_string(p[1:k], '/') || '/' as path from (select p, unnest(range(1, len(p))) as k from (select string_split(path, '/') as p from files)))
+select path from dirs where not regexp_matches(path, '^src2/|^src1/fr/') and (path not like 'src3/%' or path = 'src3/' or path like 'src3/en/%') union all select '/'"""
+)
+def q_walk_folders(spark, sf_dir):
+    listed = read_tree(spark, _written_tree(spark, sf_dir), ("path", "folder"), folders=True).where("folder")
+    return listed.groupBy("path").agg(F.count("*").alias("times")).where("times = 1").select("path")
+
+
+@query(f"with {_WALK_SQL} select path, size from kept where path like 'src1/%' and size <= 3000 and path like '%.py'")
+def q_walk_pushed(spark, sf_dir):
+    return read_tree(spark, _written_tree(spark, sf_dir), ("path", "size")).where("startswith(path, 'src1/') and endswith(path, '.py') and size <= 3000")
