@@ -77,6 +77,60 @@ INDEX_LANGUAGES = {
 }
 
 
+# Endings that name a language where a tree is walked.
+WALK_LANGUAGES = {
+    "c": "c",
+    "cpp": "cpp",
+    "cs": "csharp",
+    "go": "go",
+    "h": "c",
+    "hpp": "cpp",
+    "java": "java",
+    "js": "javascript",
+    "json": "json",
+    "kt": "kotlin",
+    "md": "markdown",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
+    "swift": "swift",
+    "toml": "toml",
+    "ts": "typescript",
+    "tsx": "typescriptreact",
+    "yaml": "yaml",
+    "yml": "yaml",
+}
+#: The same in a plain scan, and in a repository's summary.
+PIPELINE_LANGUAGES = WALK_LANGUAGES | {"cc": "cpp"}
+REPO_LANGUAGES = WALK_LANGUAGES | {"tsx": "typescript"}
+# Endings of languages whose declarations are read.
+CODEMAP_LANGUAGES = {
+    "c": "c",
+    "cc": "cpp",
+    "cjs": "javascript",
+    "cpp": "cpp",
+    "cs": "csharp",
+    "cxx": "cpp",
+    "go": "go",
+    "h": "c",
+    "hh": "cpp",
+    "hpp": "cpp",
+    "hxx": "cpp",
+    "java": "java",
+    "js": "javascript",
+    "jsx": "javascript",
+    "kt": "kotlin",
+    "kts": "kotlin",
+    "mjs": "javascript",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
+    "swift": "swift",
+    "ts": "typescript",
+    "tsx": "typescript",
+}
+
+
 def tokens(text: Column, chars_per_token: float = CHARS_PER_TOKEN) -> Column:
     """Estimated tokens: 0 for nothing, else characters by ratio, rounded up."""
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / F.lit(chars_per_token)).cast("long")
@@ -115,9 +169,9 @@ def module(path: Column) -> Column:
     return F.when(directory(path) == "", ".").otherwise(F.array_join(F.slice(parts, 1, 2), "/"))
 
 
-def language(path: Column, known: dict[str, str] = LANGUAGES) -> Column:
-    """The language that a path's ending names in a map of endings, else ``text``."""
-    found = F.lit("text")
+def language(path: Column, known: dict[str, str] = LANGUAGES, other: str | None = "text") -> Column:
+    """The language that a path's ending names in a map of endings, else ``other``."""
+    found = F.lit(other).cast("string")
     ext = extension(path)
     for name in sorted(set(known.values())):
         found = F.when(ext.isin([e for e, lang in known.items() if lang == name]), name).otherwise(found)
@@ -129,6 +183,21 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
+def safe_path(path: Column) -> Column:
+    """The normal path with its steps up taken; null if it is absolute, empty, or leads above the root."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    start = F.struct(F.array().cast("array<string>").alias("held"), F.lit(False).alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        up = part == ".."
+        held = F.when(up, F.slice(acc["held"], 1, F.greatest(F.size(acc["held"]) - 1, F.lit(0)))).otherwise(F.array_append(acc["held"], part))
+        return F.struct(held.alias("held"), (acc["out"] | (up & (F.size(acc["held"]) == 0))).alias("out"))
+
+    found = F.aggregate(parts, start, step)
+    bad = path.rlike(r"^([/\\]|[A-Za-z]:)") | found["out"] | (F.size(found["held"]) == 0)
+    return F.when(~bad, F.array_join(found["held"], "/"))
+
+
 def occurrences(text: Column, term: str) -> Column:
     """Non-overlapping occurrences of a literal (searched for as a pattern: faster than replacing it)."""
     if not term:
@@ -227,3 +296,9 @@ def largest_first(values: Column) -> Column:
     """The entries of a map from label to number: greatest value first, then by label."""
     entries = F.transform(F.map_entries(values), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("label"), e["value"].alias("value")))
     return F.transform(F.array_sort(entries), lambda e: F.struct(e["label"].alias("label"), e["value"].alias("value")))
+
+
+def run_pointer(text: Column) -> Column:
+    """The run that a pointer's text names by its last path segment; null if that is no run id."""
+    last = F.regexp_extract(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+$", "")), r"[/\\]+$", ""), r"([^/\\]*)$", 1)
+    return F.when(valid_run_id(last), last)

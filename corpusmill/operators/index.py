@@ -140,9 +140,14 @@ VERSION = 1
 
 
 def status(state: DataFrame, version: int = VERSION) -> DataFrame:
-    """One row: files, bytes, the latest time of a file, and whether the layout is current."""
-    return state.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("mtime").alias("latest")).withColumn(
-        "current", F.lit(version == VERSION)
+    """One row: files, bytes, the latest time of a file, and whether the layout of every record
+    is the current one (column ``layout``; a state without it is of layout 1)."""
+    layout = F.col("layout") if "layout" in state.columns else F.lit(1)
+    return state.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+        F.max("mtime").alias("latest"),
+        F.coalesce(F.every(layout == version), F.lit(True)).alias("current"),
     )
 
 

@@ -75,8 +75,8 @@ def path_terms(terms: dict[str, list[str]]) -> list[str]:
     return sorted({part for path in terms.get("path", ()) for part in words_of_identifier(path)})
 
 
-def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], entry: Column | None = None, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
-    """path, raw, hits and matched of the files of any score (or of all of them), with the
+def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], entry: Column | None = None, keep: tuple[str, ...] = (), unscored: bool = False) -> DataFrame:
+    """path, raw, hits and matched of the files of any score (``unscored``: of all), with the
     columns to ``keep``. The terms of a task are few, so each is one expression over the lower-cased text: no join."""
     weights, of_path = term_weights(terms), path_terms(terms)
     every = [(t, w, "text") for t, w in weights.items()] + [(t, PATH_WEIGHT, "path") for t in of_path]
@@ -101,7 +101,7 @@ def base_scores(files: DataFrame, text: Column, terms: dict[str, list[str]], ent
     # a filter on the score in the plan would repeat that work.
     lowered = F.array(F.struct(F.lower(text).alias("text"), F.lower("path").alias("path")))
     found = F.transform(F.transform(F.transform(lowered, counted), scored), raised)
-    shown = found if every else F.filter(found, lambda x: x["raw"] > 0)
+    shown = found if unscored else F.filter(found, lambda x: x["raw"] > 0)
     return files.select("path", *keep, F.explode(shown).alias("x")).select("path", "x.raw", "x.hits", "x.matched", *keep)
 
 
@@ -288,6 +288,11 @@ def search_text(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
     return rows.join(known, "path", "left_semi").groupBy("path").agg(F.lower(text).alias("text"))
 
 
+def indexed_scores(files: DataFrame, symbols: DataFrame, imports: DataFrame, terms: dict[str, list[str]], entry: Column | None = None) -> DataFrame:
+    """``base_scores`` over what the index knows of each file instead of its content: path, symbols and imports."""
+    return base_scores(search_text(files, symbols, imports), F.col("text"), terms, entry)
+
+
 def mentioned(files: DataFrame, task: str) -> DataFrame:
     """The paths that a task's text holds."""
     return files.select("path").distinct().where(F.contains(F.lit(task.lower().replace("\\", "/")), F.lower("path")))

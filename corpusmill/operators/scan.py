@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import base_name, directory, extension, glob_regex, language, lines_of, matches_any, module, stable_hash, tokens
+from corpusmill.functions.text import PIPELINE_LANGUAGES, base_name, directory, extension, glob_regex, language, lines_of, matches_any, module, stable_hash, tokens
 
 
 def classify(files: DataFrame, max_bytes: int, never=(), include=(), exclude=(), binary_endings=(), rules: DataFrame | None = None) -> DataFrame:
@@ -28,6 +28,22 @@ def classify(files: DataFrame, max_bytes: int, never=(), include=(), exclude=(),
     return known.withColumn("reason", F.when(F.col("ignored"), "ignored").otherwise(reason)).drop("ignored")
 
 
+# Folders and endings that a plain scan leaves out.
+PLAIN_SKIPPED = (".git", "node_modules", ".ctx", "dist")
+PLAIN_BINARY = ("png", "jpg", "jpeg", "gif", "webp", "pdf", "zip", "tar", "gz", "exe", "dll", "so", "dylib", "woff", "woff2")
+
+
+def plain(files: DataFrame, max_bytes: int, skip_binary: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A scan without ignore rules: the files (path, size, mtime and language) below no skipped
+    folder, and one row of counts: files, those left out by size, and those by their ending."""
+    below = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: p.isin(*PLAIN_SKIPPED))
+    large = F.col("size") > max_bytes
+    binary = extension(F.col("path")).isin(*PLAIN_BINARY) if skip_binary else F.lit(False)
+    every = files.where(~below)
+    kept = every.where(~large & ~binary).select("path", "size", "mtime", language(F.col("path"), PIPELINE_LANGUAGES).alias("language"))
+    return kept, every.agg(F.count_if(~large & ~binary).alias("files"), F.count_if(large).alias("by_size"), F.count_if(~large & binary).alias("by_binary"))
+
+
 def ignore_regex(rule: str) -> tuple[str, bool] | None:
     """(regex, negated) of a line of an ignore file, for paths below its folder, where a
     folder's path ends in a slash; null for a comment or an empty line."""

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import matches_any
+from corpusmill.functions.text import line_range, lines_of, matches_any
+from corpusmill.operators import slices
 
 # How many ranked files are taken in each mode, and limits of a selection.
 QUOTAS = (("full", 8), ("slices", 15), ("codemap_only", 30))
@@ -93,6 +94,26 @@ def constrained(entries: DataFrame, most_files: int = MOST_FILES, most_full: int
     return sliced.select("path", "mode", "size", "score").orderBy(F.desc("score"), F.desc("path")).limit(most_files)
 
 
+def with_slices(entries: DataFrame, intervals: DataFrame, most_slices: int, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """``constrained`` entries, and the intervals (path, first, last) of those in slices: merged
+    where they touch, and joined, closest first, to ``most_slices`` a file."""
+    kept = constrained(entries, **limits)
+    own = intervals.join(kept.where(F.col("mode") == "slices").select("path"), "path", "left_semi")
+    return kept, slices.capped(slices.merged(own), most_slices)
+
+
+def files_section(entries: DataFrame, intervals: DataFrame, files: DataFrame) -> DataFrame:
+    """path, mode, nth, first, last and text of what a selection shows: full files whole, of
+    sliced ones a row for each interval (its lines clamped to what the file has), of others no text."""
+    shown = entries.select("path", "mode").join(files.select("path", "content"), "path", "left")
+    nth = F.row_number().over(Window.partitionBy("path").orderBy("first", "last")).cast("long")
+    cut = shown.where(F.col("mode") == "slices").join(intervals.select("path", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), nth.alias("nth")), "path")
+    text = line_range(lines_of(F.col("content")), F.col("first"), F.col("last"))
+    none = F.lit(None).cast("int")
+    whole = shown.where(F.col("mode") != "slices").select("path", "mode", F.lit(None).cast("long").alias("nth"), none.alias("first"), none.alias("last"), F.when(F.col("mode") == "full", F.col("content")).alias("text"))
+    return whole.unionByName(cut.select("path", "mode", "nth", "first", "last", text.alias("text")))
+
+
 def ladder(entries: DataFrame, budget: int) -> DataFrame:
     """ord, path, step, delta and total of the degradation steps needed to fit the budget.
 

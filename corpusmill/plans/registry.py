@@ -214,9 +214,9 @@ def _base_sql() -> str:
 )"""
 
 
-def base_of(of: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+def base_of(of: DataFrame, keep: tuple[str, ...] = (), unscored: bool = False) -> DataFrame:
     entry = F.col("path").rlike(r"(^|/)(main|index|app|routes|server|cli)\.[^/]*$")
-    return rank.base_scores(of, F.concat_ws("\n", "path", "content"), _TERMS, entry, keep, every)
+    return rank.base_scores(of, F.concat_ws("\n", "path", "content"), _TERMS, entry, keep, unscored)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,7 +497,7 @@ def measured(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
     """path, id, hits and tokens of the chosen files, whose number the quotas bound: one scan."""
     own = files(spark, sf_dir).join(F.broadcast(chosen.select("path")), "path", "left_semi")
     own = own.withColumns({"full_tokens": tokens(F.col("content")), "slice_tokens": tokens(F.col("content"), 7.0)})
-    return small(base_of(own, ("doc_id", "full_tokens", "slice_tokens"), every=True).drop("raw", "matched"))
+    return small(base_of(own, ("doc_id", "full_tokens", "slice_tokens"), unscored=True).drop("raw", "matched"))
 
 
 def priorities(spark: SparkSession, sf_dir: str, chosen: DataFrame, own: DataFrame | None = None) -> DataFrame:
@@ -846,4 +846,4 @@ def q_json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"), F.sum(k).alias("k"))
 
 
-from corpusmill.plans import changes, more, signals  # noqa: E402, F401  (registers the rest)
+from corpusmill.plans import changes, more, pieces, signals  # noqa: E402, F401  (registers the rest)

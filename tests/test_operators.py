@@ -194,3 +194,12 @@ def test_import_hops(spark):
     assert hops(at("a"), edges, wanted=at("b")) == {"a": 0, "b": 1}
     assert hops(at("q"), edges, wanted=at("b")) == {"q": 0}
     assert hops(at(""), edges) == {}
+
+
+def test_base_scores_leave_out_files_without_a_term(spark):
+    files = spark.createDataFrame([("a/handler.ts", "x", 1), ("b.ts", "a handler here", 2), ("c.ts", None, 3)], "path string, content string, size int")
+    terms = rank.task_terms("handler")
+    found = rank.base_scores(files, F.col("content"), terms)
+    assert {r.path: (r.raw, r.hits) for r in found.collect()} == {"b.ts": (12.0, 1)}
+    kept = rank.base_scores(files, F.coalesce("content", F.lit("")), terms, keep=("size",), unscored=True).collect()
+    assert {r.path: (r.raw, r["size"]) for r in kept} == {"a/handler.ts": (0.0, 1), "b.ts": (12.0, 2), "c.ts": (0.0, 3)}
