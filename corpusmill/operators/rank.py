@@ -119,24 +119,34 @@ def import_boost(scores: DataFrame, edges: DataFrame, distinct: bool = True) ->
 MOST_HOPS = 6
 
 
-def import_hops(sources: DataFrame, edges: DataFrame, wanted: DataFrame | None = None, most: int = MOST_HOPS) -> DataFrame:
+def import_hops(sources: DataFrame, edges: DataFrame, wanted: list[str] | None = None, most: int = MOST_HOPS) -> DataFrame:
     """path and hops: how many imports lead from the nearest of some files (path) to each that
     they reach, 0 for themselves. A search by levels from all of them at once: each level is what the last one imports
-    and none before has reached, written down before the next. It ends where nothing new is reached, after
-    ``most`` levels, or as soon as all of the ``wanted`` paths (few; they are broadcast by size) are."""
+    and none before has reached, written down before the next. It ends where nothing new is reached or after ``most`` levels.
+
+    With ``wanted``, a few paths, only these are told: whether the next level holds them is looked up among the
+    edges that lead to them before it is worked out, so the last and largest levels need not be."""
     spark = edges.sparkSession
     top = shared_folder(spark, "hops")
     level = written(sources.select("path", F.lit(0).cast("long").alias("hops")).distinct(), f"{top}/0")
-    seen = level
+    seen, found = level, {}
+    if wanted is not None:
+        found = {r.path: 0 for r in level.where(F.col("path").isin(wanted)).collect()}
     for k in range(1, most + 1):
-        if wanted is not None and wanted.join(seen, "path", "left_anti").isEmpty():
-            break
-        met = edges.join(level.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct()
+        from_last = level.select(F.col("path").alias("src"))
+        if wanted is not None:
+            missing = [p for p in wanted if p not in found]
+            if missing:
+                near = edges.where(F.col("dst").isin(missing)).join(from_last, "src", "left_semi").select("dst").distinct()
+                found |= {r.dst: k for r in near.collect()}
+            if all(p in found for p in wanted):
+                break
+        met = edges.join(from_last, "src", "left_semi").select(F.col("dst").alias("path")).distinct()
         level = written(met.join(seen, "path", "left_anti").withColumn("hops", F.lit(k).cast("long")), f"{top}/{k}")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return seen
+    return seen if wanted is None else spark.createDataFrame(sorted(found.items()), "path string, hops long")
 
 
 def change_bias(changed: DataFrame, edges: DataFrame, tested: DataFrame, sizes: DataFrame, review: bool = False) -> DataFrame:

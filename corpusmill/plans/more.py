@@ -20,8 +20,7 @@ from corpusmill.plans.registry import (
     _SYMBOLS_SQL,
     REASON_SQL,
     files,
-    measured,
-    priorities,
+    planned,
     query,
     scanned,
     selection,
@@ -321,9 +320,7 @@ def q_index_status(spark, sf_dir):
 ) select * from run2 qualify coalesce(least(min(total) over (order by ord rows between unbounded preceding and 1 preceding), first_value(total - delta) over (order by ord)), total - delta) > 800"""
 )
 def q_full_ladder(spark, sf_dir):
-    chosen = selection(spark, sf_dir)
-    own = measured(spark, sf_dir, chosen)
-    entries = small(chosen.join(priorities(spark, sf_dir, chosen, own), "path").join(own, "path").select("path", "mode", "score", "full_tokens", "slice_tokens"))
+    entries = planned(spark, sf_dir).select("path", "mode", "score", "full_tokens", "slice_tokens")
     return select.full_ladder(entries.withColumn("detail", F.lit(None).cast("string")), 1000, reserve=200, fixed=480, tree={"full": 900, "selected": 300, "none": 0})
 
 

@@ -271,11 +271,14 @@ _FULL_SQL = """total as (
 _RANKED = f"{FILES_SQL}, {EDGES_SQL}, {_base_sql()}, {_BOOST_SQL}, {_BIAS_SQL}, {_FULL_SQL}"
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, links = base(spark, sf_dir).select("path", "raw").persist(), edges(spark, sf_dir).persist()  # read by several parts
-    found = small(rank.finished(scores, rank.import_boost(scores, links, distinct=False), bias(spark, sf_dir, links)))
+def ranked(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> DataFrame:
+    """The best files; ``links``: persisted edges that others use too."""
+    scores = base(spark, sf_dir).select("path", "raw").persist()  # read by several parts, like the edges
+    own = edges(spark, sf_dir).persist() if links is None else links
+    found = small(rank.finished(scores, rank.import_boost(scores, own, distinct=False), bias(spark, sf_dir, own)))
     scores.unpersist()
-    links.unpersist()
+    if links is None:
+        own.unpersist()
     return found
 
 
@@ -454,8 +457,8 @@ _MODES_SQL = """modes as (
 )"""
 
 
-def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small(select.modes(ranked(spark, sf_dir), files(spark, sf_dir)))
+def selection(spark: SparkSession, sf_dir: str, links: DataFrame | None = None) -> DataFrame:
+    return small(select.modes(ranked(spark, sf_dir, links), files(spark, sf_dir)))
 
 
 @query(f"with {_RANKED}, {_MODES_SQL} select path, nth, size, mode, priority from modes")
@@ -500,20 +503,23 @@ def measured(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
     return small(base_of(own, ("doc_id", "full_tokens", "slice_tokens"), unscored=True).drop("raw", "matched"))
 
 
-def priorities(spark: SparkSession, sf_dir: str, chosen: DataFrame, own: DataFrame | None = None) -> DataFrame:
-    own = measured(spark, sf_dir, chosen) if own is None else own
+def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selection with the score of each file and what is known of it, on edges read once."""
     links = edges(spark, sf_dir).persist()
-    hops = rank.import_hops(files(spark, sf_dir).where("doc_id % 19 = 0"), links, wanted=chosen.select("path"))
+    chosen = selection(spark, sf_dir, links)
+    own = measured(spark, sf_dir, chosen)
+    wanted = [r.path for r in chosen.collect()]
+    hops = rank.import_hops(files(spark, sf_dir).where("doc_id % 19 = 0"), links, wanted)
+    links.unpersist()
     at = lambda k: F.col("doc_id") % k == 0
     signals = own.join(hops, "path", "left").select("path", at(19).alias("explicit"), at(23).alias("mentioned"), at(17).alias("changed"), "hits", "hops")
-    signals = small(signals)
-    links.unpersist()
-    return select.priority_scores(chosen, signals)
+    scored = select.priority_scores(chosen, small(signals))
+    return small(chosen.join(scored, "path").join(own.select("path", "full_tokens", "slice_tokens"), "path"))
 
 
 @query(f"with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL} select path, score from prio")
 def q_priority(spark, sf_dir):
-    return priorities(spark, sf_dir, selection(spark, sf_dir))
+    return planned(spark, sf_dir).select("path", "score")
 
 
 @query(
@@ -522,8 +528,7 @@ select path, case when mode = 'full' and row_number() over (partition by mode or
 from fine order by score desc, path desc limit 40"""
 )
 def q_hard_constraints(spark, sf_dir):
-    chosen = selection(spark, sf_dir)
-    entries = chosen.join(priorities(spark, sf_dir, chosen), "path").select("path", "mode", "size", "score")
+    entries = planned(spark, sf_dir).select("path", "mode", "size", "score")
     return select.constrained(entries, most_files=40, most_full=5, most_bytes=20_000)
 
 
@@ -543,10 +548,7 @@ _LADDER_SQL = """entry as (
 
 @query(f"with recursive {_RANKED}, {_MODES_SQL}, {_PRIORITY_SQL}, {_LADDER_SQL} select ord, path, step, delta, total from run where total - delta > 8000 or ord > 1 qualify coalesce(min(total) over (order by ord rows between unbounded preceding and 1 preceding), total - delta) > 8000")
 def q_budget_ladder(spark, sf_dir):
-    chosen = selection(spark, sf_dir)
-    own = measured(spark, sf_dir, chosen)
-    entries = chosen.join(priorities(spark, sf_dir, chosen, own), "path").join(own.select("path", "full_tokens", "slice_tokens"), "path")
-    return select.ladder(small(entries.select("path", "mode", "score", "full_tokens", "slice_tokens")), 8000)
+    return select.ladder(planned(spark, sf_dir).select("path", "mode", "score", "full_tokens", "slice_tokens"), 8000)
 
 
 @query(

@@ -191,8 +191,8 @@ def test_import_hops(spark):
     assert hops(at("a"), edges) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5}
     assert hops(at("axx"), edges) == {"a": 0, "x": 0, "b": 1, "d": 1, "c": 2, "e": 2, "f": 3}
     assert hops(at("a"), edges, most=2) == {"a": 0, "b": 1, "c": 2}
-    assert hops(at("a"), edges, wanted=at("b")) == {"a": 0, "b": 1}
-    assert hops(at("q"), edges, wanted=at("b")) == {"q": 0}
+    assert hops(at("a"), edges, wanted=["b", "a", "d", "q"]) == {"a": 0, "b": 1, "d": 3}
+    assert hops(at("q"), edges, wanted=["b"]) == {}
     assert hops(at(""), edges) == {}
 
 
