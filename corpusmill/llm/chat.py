@@ -23,7 +23,8 @@ the digest over them needs.
 
 Defined results: a null text or role is empty; turns sort by number (null first), then
 role, then text, and repeated rows are turns each; rows with a null conv_id are one
-conversation; other columns are ignored; an empty table gives an empty tree.
+conversation; very long texts are taken whole, each in the memory of the task that reads it; other columns
+are ignored, whatever their names; an empty table gives an empty tree.
 """
 
 from __future__ import annotations

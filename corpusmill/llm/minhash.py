@@ -30,7 +30,7 @@ it already.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is
 linked with nothing; with fewer words than a shingle has, the whole sequence is the
-one shingle; rows of equal id share one component; rows with a null id stay alone,
+one shingle; very long texts give sets of all their shingles; rows of equal id share one component; rows with a null id stay alone,
 component null and kept; other columns are ignored; an empty table gives an empty
 result.
 """
@@ -127,8 +127,10 @@ def _sets(n: int):
         for frame in frames:
             for a in range(0, len(frame), 500):
                 part = frame.iloc[a : a + 500]
-                sets = shingle_sets(list(part["text"]), n)
-                yield pd.DataFrame({"rep": part["rep"], "shingles": [s.view(np.int64) for s in sets]})
+                sets = shingle_sets([t or "" for t in part["text"]], n)
+                # Another row of the same id may have no words: it has no set to link by.
+                held = [(rep, s.view(np.int64)) for rep, s in zip(part["rep"], sets, strict=True) if len(s)]
+                yield pd.DataFrame({"rep": np.array([h[0] for h in held], np.int64), "shingles": [h[1] for h in held]})
 
     return run
 

@@ -11,8 +11,8 @@ twice as many slots as blocks reach every block; a source of many blocks has its
 own after a hundredth more, and later slots are drawn for small sources alone.
 
 Defined results: a null text has no words and is never taken; documents of equal id
-are shuffled by size; rows repeated in full are taken each by itself; an empty table
-gives an empty mix; other columns are ignored.
+are shuffled by size; rows repeated in full are taken each by itself; a very long text lies in as many
+blocks as its words need; an empty table gives an empty mix; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,17 +175,18 @@ def apply(docs: DataFrame) -> DataFrame:
     taken = mix(sized, aims).groupBy("source_no", "row_no", "epoch", "doc_id", "same", "size")
     n_slots, _ = slots(aims)
     taken = taken.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("slot").alias("slot"))
-    taken = taken.withColumn("__at", F.struct("slot", "source_no", "epoch", "row_no")).drop("slot", "row_no", "epoch")
+    at = F.struct("slot", "source_no", "epoch", "row_no").alias("__at")
+    # Names of our own, so that documents may have columns of any other.
+    known = lambda: (F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"))
+    taken = taken.select(*known(), at, *[F.col(c).alias(f"__{c}") for c in ("source_no", "same", "size", "first", "last")])
     # A row of ``taken`` stands for one row of the documents, so equal rows are needed but once.
-    numbered = aims.select(F.col("source").alias("__source"), "source_no")
-    texts = docs.join(numbered, docs["source"].eqNullSafe(numbered["__source"])).withColumn("same", same)
-    texts = texts.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("no_id", F.col("doc_id").isNull())
-    keys = ["source_no", "id", "no_id", "same"]
-    taken = taken.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("no_id", F.col("doc_id").isNull()).drop("doc_id")
+    numbered = aims.select(F.col("source").alias("__source"), F.col("source_no").alias("__source_no"))
+    texts = docs.join(numbered, docs["source"].eqNullSafe(numbered["__source"])).select(*docs.columns, "__source_no", same.alias("__same"), *known())
+    keys = ["__source_no", "__id", "__no_id", "__same"]
     both = texts.dropDuplicates(keys).join(taken, keys)
     words = F.array_remove(F.split("text", f"[{SPACE}]+"), "")
-    part = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
-    text = F.when((F.col("first") == 0) & (F.col("last") == F.col("size")), F.col("text")).otherwise(part)
+    part = F.array_join(F.slice(words, (F.col("__first") + 1).cast("int"), (F.col("__last") - F.col("__first")).cast("int")), " ")
+    text = F.when((F.col("__first") == 0) & (F.col("__last") == F.col("__size")), F.col("text")).otherwise(part)
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -8,7 +8,7 @@ verdicts cover every row, without Python on the executors.
 
 Defined results: a null or empty text has no words and fails the base rules; rows
 with a null label are not learned from; without labels the list is empty and what
-passes the base rules is kept; repeated rows are judged each; other columns are
+passes the base rules is kept; very long texts are counted whole; repeated rows are judged each; other columns are
 ignored (``judge`` keeps them in ``apply``); an empty table gives an empty result.
 """
 

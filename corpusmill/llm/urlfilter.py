@@ -12,7 +12,7 @@ relative targets are resolved by host or folder.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no
 rule, takes no part in edges and is allowed; of rules of equal length on one page the
-one with the longer host wins, then block; repeated rows are judged each; extra
+one with the longer host wins, then block; very long urls and pages are read whole; repeated rows are judged each; extra
 columns are ignored; an empty table gives an empty result.
 """
 
