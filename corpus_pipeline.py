@@ -1,6 +1,12 @@
 """From raw documents to packed sequences: quality rules, near duplicates, personal
 data, mixing, packing. Each stage works on all that the one before it kept, and all
-but the last return the columns of ``documents``."""
+but the last return the columns of ``documents``.
+
+Defined results, besides those of the operators: a null or empty text fails the base quality rules and goes at
+the first stage; very long texts are taken whole by each; of rows equal in id and text the near-duplicate stage keeps one, and
+rows without an id stay; the mix may repeat a document, and cuts one only where a target ends; extra columns
+pass to the stage before the last, and columns that stages make for themselves begin with two underscores or are dropped before; an empty
+table passes all stages as an empty one."""
 
 from __future__ import annotations
 
