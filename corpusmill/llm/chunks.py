@@ -104,7 +104,8 @@ def _distinct_parts(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = list(dict.fromkeys(p for data in frame["data"] for p in parts(data or b"")))
-            yield pd.DataFrame({"key": np.array([_key(p, bits) for p in found], np.int64), "content": found})
+            if found:
+                yield pd.DataFrame({"key": [_key(p, bits) for p in found], "content": found})
 
     return f
 

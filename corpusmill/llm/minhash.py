@@ -130,7 +130,8 @@ def _sets(n: int):
                 sets = shingle_sets([t or "" for t in part["text"]], n)
                 # Another row of the same id may have no words: it has no set to link by.
                 held = [(rep, s.view(np.int64)) for rep, s in zip(part["rep"], sets, strict=True) if len(s)]
-                yield pd.DataFrame({"rep": np.array([h[0] for h in held], np.int64), "shingles": [h[1] for h in held]})
+                if held:
+                    yield pd.DataFrame({"rep": [h[0] for h in held], "shingles": [h[1] for h in held]})
 
     return run
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusmill.llm import chunks, common, resample
+from corpusmill.llm import chunks, common, minhash, resample, search
 
 NAMES = ("id", "same", "size", "first", "last", "slot", "source_no", "row_no", "epoch", "key", "rep", "kept", "n_words", "word_chars", "base_failed", "digest", "n", "block", "label", "quality", "row", "score", "rank", "comp", "target")
 
@@ -37,3 +37,13 @@ def test_empty_tables_stay_empty(name, spark, docs, sf_dir):
     assert applied(name, spark, docs.limit(0), sf_dir).collect() == []
 
 
+
+
+@pytest.mark.parametrize("text", [None, "", " \n"])
+def test_tables_of_texts_without_words(spark, sf_dir, text):
+    rows = spark.createDataFrame([(k, text, "en", "s", 0) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.keep_id, r.group_size) for r in chunks.exact_duplicates(rows).collect()} == {(4, 5)}
+    found = resample.importance(rows, common.table(spark, sf_dir, "benchmark")).collect()
+    assert {(r.n_features, r.weight, r["rank"]) for r in found} == {(0, 0, None)}
+    assert search.ranked(rows, common.table(spark, sf_dir, "benchmark")).collect() == []
+    assert minhash.near_duplicates(rows).where("kept").count() == 5
