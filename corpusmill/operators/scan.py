@@ -29,14 +29,14 @@ def classify(files: DataFrame, max_bytes: int, never=(), include=(), exclude=(),
 
 
 # Folders and endings that a plain scan leaves out.
-PLAIN_SKIPPED = (".git", "node_modules", ".ctx", "dist")
+PLAIN_SKIPPED = (".git", "node_modules", "dist")
 PLAIN_BINARY = ("png", "jpg", "jpeg", "gif", "webp", "pdf", "zip", "tar", "gz", "exe", "dll", "so", "dylib", "woff", "woff2")
 
 
-def plain(files: DataFrame, max_bytes: int, skip_binary: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A scan without ignore rules: the files (path, size, mtime and language) below no skipped
-    folder, and one row of counts: files, those left out by size, and those by their ending."""
-    below = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: p.isin(*PLAIN_SKIPPED))
+def plain(files: DataFrame, max_bytes: int, skip_binary: bool = True, skipped: tuple[str, ...] = PLAIN_SKIPPED) -> tuple[DataFrame, DataFrame]:
+    """A scan without ignore rules: the files (path, size, mtime and language) below no ``skipped``
+    folder (a tool adds its own), and one row of counts: files, those left out by size, and those by their ending."""
+    below = F.exists(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), lambda p: p.isin(*skipped))
     large = F.col("size") > max_bytes
     binary = extension(F.col("path")).isin(*PLAIN_BINARY) if skip_binary else F.lit(False)
     every = files.where(~below)
