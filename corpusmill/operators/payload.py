@@ -18,6 +18,13 @@ PAYLOAD = (
 )
 
 
+# What is told of a payload that is wrong, and of a selection that was recovered.
+NO_BLOCK, NO_OBJECT, NO_ARRAY, NO_ITEMS = "missing block", "must be an object", "must be an array", "must be a non-empty array"
+BLANK, NO_COUNT, ODD_PATH = "must be a non-empty string", "must be a positive integer", "must be a valid repo-relative path"
+ODD_MODE, ODD_PRIORITY = "must be one of: full, slices, codemap_only", "must be one of: core, support, ref"
+LOST_SLICES, DERIVED, SEEN_TEST = "; slices unavailable during fallback", "derived from partial selection (", "test file observed in partial selection"
+
+
 def repo_path(path: Column) -> Column:
     """Forward slashes, single, none at the end, without leading ``./``."""
     path = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./+", "")
@@ -29,7 +36,7 @@ def final_payloads(replies: DataFrame, fence: str = "final") -> DataFrame:
     blocks = F.regexp_extract_all("text", F.lit(rf"(?s)```{fence}\s*(.*?)```"), F.lit(1))
     body = F.get(blocks, F.size(blocks) - 1)
     fine = F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{")
-    error = F.when(F.size(blocks) == 0, "missing block").when(~fine, "must be an object")
+    error = F.when(F.size(blocks) == 0, NO_BLOCK).when(~fine, NO_OBJECT)
     return replies.select("conv_id", F.when(error.isNull(), F.from_json(body, PAYLOAD)).alias("payload"), error.alias("error"))
 
 
@@ -49,7 +56,7 @@ def _empty(value: Column) -> Column:
 def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
     """conv_id, field and message of all that is wrong with payloads; sound ones have no row."""
     p = F.col("payload")
-    blank, kind = "must be a non-empty string", "must be an array"
+    blank, kind = BLANK, NO_ARRAY
 
     def listed(items: Column, name: str, *fields: str) -> Column:
         """Issues of a list whose items need texts."""
@@ -69,8 +76,8 @@ def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
             here = lambda f: F.concat(at("slices["), k, F.lit(f"].{f}"))
             a, b = _whole(s["start_line"]), _whole(s["end_line"])
             return F.array(
-                _issue(here("start_line"), a.isNull(), "must be a positive integer"),
-                _issue(here("end_line"), b.isNull(), "must be a positive integer"),
+                _issue(here("start_line"), a.isNull(), NO_COUNT),
+                _issue(here("end_line"), b.isNull(), NO_COUNT),
                 _issue(here("description"), _empty(s["description"]), blank),
                 _issue(here("end_line"), F.coalesce(b < a, F.lit(False)), "must be >= start_line"),
             )
@@ -80,10 +87,10 @@ def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
         lines = F.when(sliced & (F.coalesce(F.size(x["slices"]), F.lit(0)) > 0), F.flatten(F.transform(x["slices"], of_slice))).otherwise(none)
         own = F.array(
             *[_issue(at(f), _empty(x[f]), blank) for f in ("path", "mode", "priority", "rationale")],
-            _issue(at("path"), whole & (path == ""), "must be a valid repo-relative path"),
-            _issue(at("mode"), on & ~known, "must be one of: full, slices, codemap_only"),
-            _issue(at("priority"), on & known & ~x["priority"].isin(*PRIORITIES), "must be one of: core, support, ref"),
-            _issue(at("slices"), sliced & (F.coalesce(F.size(x["slices"]), F.lit(0)) <= 0), "must be a non-empty array"),
+            _issue(at("path"), whole & (path == ""), ODD_PATH),
+            _issue(at("mode"), on & ~known, ODD_MODE),
+            _issue(at("priority"), on & known & ~x["priority"].isin(*PRIORITIES), ODD_PRIORITY),
+            _issue(at("slices"), sliced & (F.coalesce(F.size(x["slices"]), F.lit(0)) <= 0), NO_ITEMS),
         )
         return F.concat(own, lines)
 
@@ -96,7 +103,7 @@ def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
     )
     every = F.concat(
         listed(p["open_questions"], "open_questions", "question", "why_it_matters", "default_assumption"),
-        F.when(summary.isNull(), F.array(_issue(F.lit("handoff_summary"), F.lit(True), "must be an object"))).otherwise(notes),
+        F.when(summary.isNull(), F.array(_issue(F.lit("handoff_summary"), F.lit(True), NO_OBJECT))).otherwise(notes),
         entries,
     )
     whole = F.array(_issue(F.lit("final"), F.col("error").isNotNull(), F.col("error")))
@@ -134,7 +141,7 @@ def recovered(listings: DataFrame) -> DataFrame:
         "path",
         F.when(lost, "codemap_only").otherwise(F.col("e.mode")).alias("mode"),
         F.when(F.col("e.priority").isin(*PRIORITIES), F.col("e.priority")).otherwise("support").alias("priority"),
-        F.when(lost, F.concat(rationale, F.lit("; slices unavailable during fallback"))).otherwise(rationale).alias("rationale"),
+        F.when(lost, F.concat(rationale, F.lit(LOST_SLICES))).otherwise(rationale).alias("rationale"),
         F.when((F.col("e.mode") == "slices") & ~lost, ranges).alias("slices"),
     )
 
@@ -146,9 +153,9 @@ def synthetic_summary(selection: DataFrame, entrypoints: int = 8, modules: int =
     rank = lambda values, c: F.array_position(F.array(*map(F.lit, values)), F.col(c))
     kinds = F.array_compact(
         F.array(
-            F.when(entry, F.struct(F.lit("entrypoint").alias("kind"), F.concat(F.lit("derived from partial selection ("), "mode", F.lit(")")).alias("notes"))),
-            F.when(~entry, F.struct(F.lit("module").alias("kind"), F.concat(F.lit("derived from partial selection ("), "priority", F.lit(")")).alias("notes"))),
-            F.when(is_test_path(F.col("path")), F.struct(F.lit("test").alias("kind"), F.lit("test file observed in partial selection").alias("notes"))),
+            F.when(entry, F.struct(F.lit("entrypoint").alias("kind"), F.concat(F.lit(DERIVED), "mode", F.lit(")")).alias("notes"))),
+            F.when(~entry, F.struct(F.lit("module").alias("kind"), F.concat(F.lit(DERIVED), "priority", F.lit(")")).alias("notes"))),
+            F.when(is_test_path(F.col("path")), F.struct(F.lit("test").alias("kind"), F.lit(SEEN_TEST).alias("notes"))),
         )
     )
     order = Window.partitionBy("conv_id", "kind").orderBy(rank(PRIORITIES, "priority"), rank(MODES, "mode"), "path")

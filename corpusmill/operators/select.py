@@ -157,6 +157,7 @@ def full_ladder(entries: DataFrame, budget: int, reserve: int = 0, fixed: int =
     fit = max(0, budget - reserve)
     path = F.col("path")
     said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    # Names and reasons of the steps, which a replay reads back.
     step = lambda phase, name, reason, delta: F.struct(F.lit(phase).alias("phase"), F.lit(name).alias("step"), reason.alias("reason"), delta.cast("long").alias("delta"))
     steps = F.array(
         F.when(F.col("mode") == "full", step(1, "full_to_slices", said("degrade ", path, " full->slices"), F.col("slice_tokens") - F.col("full_tokens"))),
