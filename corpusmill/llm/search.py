@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Scratch, Written
 
 TOP = 50
-#: Documents of a shard, and those of a block at most.
-SHARD_DOCS, BLOCK_DOCS = 4096, 128
+#: Documents of a shard and their postings at most (a document with more is a shard of its own), and documents of a block at most.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 4096, 2_000_000, 128
 #: Distinct pairs of item and term in a block of items, about; bounds what all tasks get.
 MOST_PAIRS = 50_000
 #: Dimensions of the projections; one in so many documents is searched first.
@@ -77,11 +77,17 @@ class Items:
 
     def __init__(self, ids: list, terms: list[np.ndarray], weights: np.ndarray):
         self.ids, self.terms, self.weights = ids, terms, weights
-        beside: dict[int, set[int]] = {}
-        for one in terms:
+        holders: dict[int, list[int]] = {}
+        for item, one in enumerate(terms):
             for t in one.tolist():
-                beside.setdefault(t, set()).update(one.tolist())
-        self.beside = {t: np.array(sorted(found), np.int64) for t, found in beside.items()}
+                holders.setdefault(t, []).append(item)
+        # Terms of the same items share one list, so that a long item takes no more than its own length.
+        shared: dict[tuple[int, ...], np.ndarray] = {}
+        self.beside = {}
+        for t, own in holders.items():
+            if (key := tuple(own)) not in shared:
+                shared[key] = np.unique(np.concatenate([terms[i] for i in own])).astype(np.int64)
+            self.beside[t] = shared[key]
 
 
 class Best:
@@ -122,8 +128,8 @@ class Shard:
         most = np.zeros(size, np.int64)
         np.maximum.at(most, terms, values)
         self.most = most * items.weights
-        self.known: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
-        self.local = np.full(size, -1, np.int64)
+        self.known: dict[int, tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.room = np.zeros(size, np.int64)  # for the maxima of one block
         self.projected: np.ndarray | None = None
 
     def projections(self) -> np.ndarray:
@@ -153,20 +159,21 @@ class Shard:
             out += [one[k : k + BLOCK_DOCS] for k in range(0, len(one), BLOCK_DOCS)]
         return out
 
-    def blocks(self, term: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """The blocks of a term's list, and their summaries over the coordinates beside it."""
+    def blocks(self, term: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks of a term's list, and their summaries one after the other: where each starts,
+        coordinates beside the term that some document of the block holds, and their maxima."""
         if term not in self.known:
             cut = self.clustered(self.postings[self.upto[term] : self.upto[term + 1]])
-            beside = self.items.beside[term]
-            self.local[beside] = np.arange(len(beside))
-            summary = np.zeros((len(cut), len(beside)), np.int64)
-            for k, docs in enumerate(cut):
+            beside, columns, maxima = self.items.beside[term], [], []
+            for docs in cut:
                 at = _ranges(self.starts[docs], self.lengths[docs])
-                column = self.local[self.terms[at]]
-                held = column >= 0
-                np.maximum.at(summary[k], column[held], self.values[at[held]])
-            self.local[beside] = -1
-            self.known[term] = cut, summary
+                np.maximum.at(self.room, self.terms[at], self.values[at])
+                own = beside[self.room[beside] > 0]
+                columns.append(own)
+                maxima.append(self.room[own])
+                self.room[self.terms[at]] = 0
+            starts = np.cumsum([0, *map(len, columns[:-1])])
+            self.known[term] = cut, starts, np.concatenate(columns), np.concatenate(maxima)
         return self.known[term]
 
     def scores(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -182,13 +189,14 @@ class Shard:
         remaining = np.cumsum(self.most[terms][::-1])[::-1]
         own = np.zeros(len(weights), np.int64)
         own[terms] = weights[terms]
+        rest = own.copy()  # weights of this term and those after it
         seen = np.zeros(len(self.ids), bool)
         for k, term in enumerate(terms.tolist()):
             if remaining[k] < best.least:
                 break
-            cut, summary = self.blocks(term)
-            rest = terms[k:]
-            bounds = summary[:, np.searchsorted(self.items.beside[term], rest)] @ weights[rest]
+            cut, starts, columns, maxima = self.blocks(term)
+            bounds = np.add.reduceat(maxima * rest[columns], starts)
+            rest[term] = 0
             for b in np.argsort(-bounds, kind="stable").tolist():
                 if bounds[b] < best.least:
                     break
@@ -198,6 +206,19 @@ class Shard:
                     best.add(self.scores(docs, own), self.ids[docs], self.null[docs])
 
 
+def _shards(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows within the bounds of a shard."""
+    sizes = frame["terms"].map(len).tolist()
+    start, postings = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start == SHARD_DOCS or postings + n > SHARD_POSTINGS):
+            yield frame.iloc[start:k]
+            start, postings = k, 0
+        postings += n
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
 def _searched(items: Items, least: list[int], n_docs: int, n_terms: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The best documents of a task for each item."""
 
@@ -205,8 +226,7 @@ def _searched(items: Items, least: list[int], n_docs: int, n_terms: int) -> Call
         best = [Best(n) for n in least]
         for frame in frames:
             frame = frame[frame["terms"].map(len) > 0]
-            for a in range(0, len(frame), SHARD_DOCS):
-                part = frame.iloc[a : a + SHARD_DOCS]
+            for part in _shards(frame):
                 null = part["doc_id"].isna().to_numpy()
                 ids = part["doc_id"].fillna(0).to_numpy(np.int64)
                 lengths = part["terms"].map(len).to_numpy(np.int64)

@@ -86,7 +86,10 @@ def test_bounds_skip_and_lose_nothing(shape, monkeypatch):
         assert best.ids.tolist() == [k for k in order.tolist() if every[k] > 0]
         assert best.scores.tolist() == [every[k] for k in best.ids]
         assert sum(scored) < np.count_nonzero(every)
-    for term, (cut, summary) in shard.known.items():
+    for term, (cut, starts, columns, maxima) in shard.known.items():
+        summary = np.zeros((len(cut), len(items.beside[term])), np.int64)
+        for row, a, b in zip(summary, starts, [*starts[1:], len(columns)], strict=True):
+            row[np.searchsorted(items.beside[term], columns[a:b])] = maxima[a:b]
         assert sorted(np.concatenate(cut).tolist()) == sorted(shard.postings[shard.upto[term] : shard.upto[term + 1]].tolist())
         for docs, row in zip(cut, summary, strict=True):
             assert len(docs) <= shape[1]
@@ -102,3 +105,20 @@ def test_empty_tables(spark):
     assert search.ranked(spark.createDataFrame(docs, DOCS), no_items).collect() == []
     blank = spark.createDataFrame([(1, None, 0, "", 0, 0, ""), (2, "", 0, "", 0, 0, "")], DOCS)
     assert search.ranked(blank, spark.createDataFrame(items, ITEMS)).collect() == []
+
+
+def test_long_items_and_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 3000)
+    r = random.Random(6)
+    vocabulary = [f"v{k}" for k in range(20_000)]
+    docs = [(k, " ".join(r.choices(vocabulary, k=r.choice([5, 50, 5000]))), 0, "", 0, 0, "") for k in range(120)]
+    items = [(1, " ".join(vocabulary), 0, ""), (2, " ".join(vocabulary[:9000]), 0, ""), (3, "v1 v2 v3", 0, "")]
+    found = search.ranked(spark.createDataFrame(docs, DOCS).repartition(2), spark.createDataFrame(items, ITEMS))
+    assert Counter(map(tuple, found.collect())) == brute(docs, items)
+
+
+def test_shards_are_bounded(monkeypatch):
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 10)
+    monkeypatch.setattr(search, "SHARD_DOCS", 3)
+    frame = search.pd.DataFrame({"terms": [[0] * n for n in (4, 4, 4, 1, 1, 1, 1, 30, 2)]})
+    assert [[len(t) for t in part["terms"]] for part in search._shards(frame)] == [[4, 4], [4, 1, 1], [1, 1], [30], [2]]
