@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +72,17 @@ def term_weights(terms: dict[str, list[str]]) -> dict[str, int]:
     return dict(sorted(out.items()))
 
 
+def weights_of(tasks: DataFrame) -> DataFrame:
+    """task_id, term and weight of every task (task_id, text)."""
+
+    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, t, w) for i, text in zip(frame["task_id"], frame["text"], strict=True) for t, w in term_weights(task_terms(text or "")).items()]
+            yield pd.DataFrame(rows, columns=["task_id", "term", "weight"])
+
+    return tasks.select(F.col("task_id").cast("long").alias("task_id"), "text").mapInPandas(f, "task_id long, term string, weight int")
+
+
 def path_terms(terms: dict[str, list[str]]) -> list[str]:
     return sorted({part for path in terms.get("path", ()) for part in words_of_identifier(path)})
 

@@ -760,12 +760,21 @@ def q_patch_marker(spark, sf_dir):
 
 
 @query(
-    """select * from (values ('a', 'slices', 'support'), ('b', 'full', 'core'), ('big', 'slices', 'support'), ('c', 'codemap_only', 'ref')) t(path, mode, priority)"""
+    f"""with recursive {FILES_SQL}, top as (
+  select path, size, case doc_id % 4 when 0 then 'full' when 1 then 'slices' when 3 then 'codemap_only' end as hint, row_number() over (order by doc_id * 37 % 1009 desc, path) as n
+  from files order by doc_id * 37 % 1009 desc, path limit 53
+), run(n, path, mode, f, s, c) as (
+  select 0::bigint, null::varchar, 'start', 8, 15, 30 union all
+  select n, path, mode, f - (mode = 'full')::int, s - (mode = 'slices')::int, c - (mode = 'codemap_only')::int from (
+    select t.n, t.path, r.f, r.s, r.c, case when hint = 'full' and f > 0 and size <= 3000 then 'full' when hint = 'slices' and s > 0 then 'slices' when f > 0 and size <= 3000 then 'full' when s > 0 then 'slices' when c > 0 then 'codemap_only' end as mode
+    from run r join top t on t.n = r.n + 1) where mode is not null
+) select path, mode, case mode when 'full' then 'core' when 'slices' then 'support' else 'ref' end as priority from run where n > 0"""
 )
 def q_suggested_modes(spark, sf_dir):
-    rows = [("a", 9, 9.0, 1, "slices"), ("b", 8, 8.0, 1, None), ("big", 7, 7.0, 99, "full"), ("c", 6, 6.0, 1, "full"), ("d", 5, 5.0, 1, None)]
-    ranked = made(spark, rows, "path string, score long, raw double, size long, hint string")
-    return select.suggested_modes(ranked, (("full", 1), ("slices", 2), ("codemap_only", 1)), most_bytes=50)
+    hints = F.create_map(F.lit(0), F.lit("full"), F.lit(1), F.lit("slices"), F.lit(3), F.lit("codemap_only"))
+    score = F.col("doc_id") * 37 % 1009
+    ranked = files(spark, sf_dir).select("path", score.alias("score"), score.cast("double").alias("raw"), "size", hints[(F.col("doc_id") % 4).cast("int")].alias("hint"))
+    return select.suggested_modes(ranked, most_bytes=3000)
 
 
 @query(f"with {FILES_SQL}, {_LINES_SQL} select path, count(*)::bigint as lines from lines where line between 2 and 21 group by path")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import base_name, lines_of, stable_hash, tokens
+from corpusmill.functions.text import STOP_WORDS, base_name, lines_of, stable_hash, tokens
 from corpusmill.operators import index, rank, redact, report, scan, search, select, slices, transcript
 from corpusmill.sources.corpus import FILES_SQL, files_of_documents
 
@@ -186,15 +186,17 @@ def q_module_map(spark, sf_dir):
 _TERMS = rank.task_terms(TASK)
 _WEIGHTS = rank.term_weights(_TERMS)
 _PATH_TERMS = rank.path_terms(_TERMS)
-#: Written out by hand from the rules of term weights for ``TASK``.
-_WEIGHTS_SQL = (
-    "select * from (values ('auth', 21), ('find', 12), ('handler', 12), ('list', 22), ('login', 21), ('src', 21), ('thing', 22), ('thinglist', 10), ('ts', 21)) t(term, weight)"
-)
+# The same list as the ranking's stop words.
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-@query(_WEIGHTS_SQL)
+@query(
+    f"""with t as (select distinct item_id as task_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) as term from benchmark)
+select task_id, term, {rank.WEIGHTS['search'] * 2}::int as weight from t where len(term) > 1 and term not in ({_STOPS})"""
+)
 def q_term_weights(spark, sf_dir):
-    return spark.createDataFrame(sorted(_WEIGHTS.items()), "term string, weight int")
+    words = F.regexp_replace(F.lower("text"), "[^a-z]+", " ")  # a plain word counts as itself and as its part
+    return rank.weights_of(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), words.alias("text")))
 
 
 def _base_sql() -> str:
