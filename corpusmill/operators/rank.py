@@ -323,6 +323,9 @@ def mentioned(files: DataFrame, task: str) -> DataFrame:
 # Endings of tests beside a changed file's own.
 TEST_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".go", ".rs")
 
+#: Pairs of a stem and a folder's name that are broadcast at most; parts of the tests that one such pair meets.
+MOST_ASKED, TEST_PARTS = 100_000, 32
+
 
 def changed_paths(raw: DataFrame) -> DataFrame:
     """Changed paths, normalised, each once."""
@@ -334,8 +337,10 @@ def tests_of(changed: DataFrame, files: DataFrame) -> DataFrame:
     file lie; for a changed file without any, all test paths that hold its stem and, if it
     lies in named folders, the name of one of these.
 
-    The stem meets a test path by a gram of it (its first three characters, or all), so the
-    fallback is an equal join, not a product."""
+    A test path meets stems and names of folders by its substrings of their lengths, and changed files by both, so
+    the fallback is equal joins that give little more than the pairs of the result. Their number grows as the product of
+    changed files and tests that share stems: each stem and name is dealt to ``TEST_PARTS`` parts, and no pair is shuffled (few
+    bytes meet there and many rows come of them, so the number of tasks is set)."""
     known = files.select("path").distinct()
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
     own = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -350,14 +355,27 @@ def tests_of(changed: DataFrame, files: DataFrame) -> DataFrame:
     direct = placed.join(known.withColumnRenamed("path", "test_path"), "test_path").select("test_path", "path").distinct()
     left = changed.join(direct.select("path").distinct(), "path", "left_anti")
     low = F.lower(base_name(F.regexp_replace("path", r"\.[^./]*$", "")))
-    words = F.filter(F.split(F.lower(directory(F.col("path"))), "/"), lambda w: (F.length(w) > 1) & (w != "src"))
-    left = left.select("path", low.alias("stem"), words.alias("words")).where("stem <> ''").withColumn("gram", F.substring("stem", 1, 3))
+    words = F.array_distinct(F.filter(F.split(F.lower(directory(F.col("path"))), "/"), lambda w: (F.length(w) > 1) & (w != "src")))
+    left = left.select("path", low.alias("stem"), F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words).alias("words")).where("stem <> ''").distinct().persist()
+    asked = left.select("stem", F.explode("words").alias("word")).distinct().persist()
+    lengths = [r.n for r in asked.select(F.explode(F.array(F.length("stem"), F.length("word"))).alias("n")).distinct().collect()]  # no more than the longest name has characters
+    few = F.broadcast if asked.count() <= MOST_ASKED else lambda df: df
+
+    def parts(n: int) -> Column:
+        """The substrings of this length of the lower-cased test path."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - (n - 1))), lambda i: F.substring("low", i, F.lit(n)))
+
+    every = F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(parts, lengths))))
     tests = known.where(is_test_path(F.col("path"))).select(F.col("path").alias("test_path"), F.lower("path").alias("low"))
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - (k - 1))), lambda i: F.substring("low", i, F.lit(k)))
-    tests = tests.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
-    met = tests.join(left, "gram").where(F.contains("low", "stem"))
-    met = met.where((F.size("words") == 0) | F.exists("words", lambda w: F.contains(F.col("low"), w)))
-    return direct.unionByName(met.select("test_path", "path").distinct())
+    tests = tests.repartition(8 * TEST_PARTS, "test_path").withColumn("stem", every).join(few(asked.select("stem").distinct()), "stem", "left_semi")
+    tests = tests.withColumn("word", every).join(few(asked), ["stem", "word"], "left_semi")
+    tests = tests.withColumn("part", F.pmod(F.xxhash64("test_path"), F.lit(TEST_PARTS)))
+    each = left.select("path", "stem", F.posexplode("words").alias("nth", "word"), "words").select("path", "stem", "word", F.slice("words", F.lit(1), F.col("nth")).alias("before"))
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TEST_PARTS - 1).cast("long"))))
+    # A pair that several names make is taken at the first of them.
+    keys = ["stem", "word", "part"]
+    met = tests.repartition(8 * TEST_PARTS, *keys).join(each.repartition(8 * TEST_PARTS, *keys), keys).where(~F.exists("before", lambda w: F.contains(F.col("low"), w)))
+    return direct.unionByName(met.select("test_path", "path"))
 
 
 def test_candidates(changed: DataFrame) -> DataFrame:
