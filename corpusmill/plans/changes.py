@@ -121,11 +121,11 @@ def file_events(every: DataFrame) -> list[DataFrame]:
 def _run_index(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Checkpoint and changes of the index after the three batches, one micro-batch each."""
     top = shared_folder(spark, "index")
-    for k, events in enumerate(file_events(files(spark, sf_dir))):
-        events.coalesce(1).write.parquet(f"{top}/events/{k}")  # a file each, so that one is a batch
     checkpoint, _ = stateful.opened(spark, f"{top}/state")
-    stream = spark.readStream.schema(stateful.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/events")
-    stateful.follow(stream, checkpoint, f"{top}/changes").awaitTermination()
+    for k, events in enumerate(file_events(files(spark, sf_dir))):
+        events.write.parquet(f"{top}/events/{k}")
+        stream = spark.readStream.schema(stateful.EVENTS).option("recursiveFileLookup", True).parquet(f"{top}/events")
+        stateful.follow(stream, checkpoint, f"{top}/changes").awaitTermination()  # all files that have come are one batch
     return checkpoint, f"{top}/changes"
 
 

@@ -83,3 +83,20 @@ def test_batches_of_documents_equal_the_batch_merge(spark, sf_dir):
             state = index.merged(scan, scan.where("false"))
     found = stateful.indexed(spark, checkpoint)["files"].select("path", "size", "mtime", "hash")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, state.select("path", "size", "mtime", "hash").collect()))
+
+
+def test_batches_are_written_by_as_many_tasks_as_read_them(spark, sf_dir, monkeypatch):
+    parts = []
+    made = changes.file_events
+    more = lambda every: [e.repartition(3) for e in made(every)]
+    monkeypatch.setattr(changes, "file_events", more)
+    follow = stateful.follow
+
+    def followed(stream, *where):
+        parts.append(len(spark.read.schema(stateful.EVENTS).option("recursiveFileLookup", True).parquet(where[1].replace("/changes", "/events")).inputFiles()))
+        return follow(stream, *where)
+
+    monkeypatch.setattr(stateful, "follow", followed)
+    _, found = changes._run_index(spark, sf_dir)
+    assert parts == [3, 6, 9]
+    assert {r.ord for r in spark.read.parquet(found).select("ord").distinct().collect()} == {10, 20, 31, 32, 33}
