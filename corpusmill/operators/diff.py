@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.frames import pieces
+
 #: Lines shown around a change; changes searched for between two anchors.
 CONTEXT, MOST_CHANGES = 3, 400
 #: Fixed value: the mark below a last line without a line end.
@@ -189,7 +191,7 @@ def hunks(pairs: DataFrame) -> DataFrame:
     """path, old_path, status, nth (from 1), both ranges and content of every hunk; a file without hunks (renamed, or empty) is one row without them."""
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames):
             rows = []
             for path, old_path, status, old, new in frame.itertuples(index=False):
                 found = unified(old, new)
@@ -230,7 +232,7 @@ def applied(old: DataFrame, found: DataFrame) -> DataFrame:
     changed = told.where("status <> 'deleted'").join(base, "from", "left").select("path", "old", "contents")
 
     def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in pieces(frames):
             yield pd.DataFrame({"path": frame["path"], "content": [patched(o, list(c)) for o, c in zip(frame["old"], frame["contents"], strict=True)]})
 
     return rest.unionByName(changed.mapInPandas(f, "path string, content string"))
