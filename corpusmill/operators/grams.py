@@ -1,9 +1,10 @@
 """A search index of trigrams over lower-cased texts, kept in segments.
 
-A segment holds texts in the order of their ids and, for every trigram, which of them hold it: one row for each
-trigram and block of ids, built within the task that reads the block, so that no list
-grows without bound and nothing but the finished lists is shuffled (sorted by trigram, so that a lookup
-reads few row groups; offsets are delta-coded by Parquet). A search takes the rarest of the trigrams that a
+A segment holds texts in the order of their ids and, for every trigram, which of them hold it: rows of a
+trigram, a block of ids and the offsets there, built within the task that reads the texts, so that no list
+grows without bound and nothing but the finished lists is shuffled, once (sorted by trigram, so that a lookup
+reads few pages; offsets are delta-coded by Parquet). A block that two tasks share, or that holds more than a task
+keeps, has several rows for a trigram. A search takes the rarest of the trigrams that a
 match must hold, intersects their lists block by block, and looks for the pattern
 itself in those texts alone: few candidates are pushed to the scan as ranges of ids, which skips
 the pages between them; many are joined. Patterns without a trigram read all texts.
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from corpusmill.sources.shared import delete, folders
 BLOCK = 4096
 #: Trigrams intersected at most; texts of a page; ranges pushed to the scan at most.
 RAREST, PAGE_ROWS, MOST_RANGES = 4, 64, 200
+#: Pairs of a trigram and a text that a task keeps; lists that it gives back at once; ids that are broadcast at most.
+MOST_HELD, LISTS, MOST_BROADCAST = 4_000_000, 20_000, 1_000_000
 POSTINGS = "gram string, block long, offsets array<int>, n long"
 _META, _MANY = set("\\^$.|?*+()[]{}"), set("*?{")
 
@@ -73,26 +76,49 @@ def grams_of(pattern: str, regex: bool = False) -> list[str]:
     return sorted(g for g in found if g.isascii() and "\n" not in g and "\r" not in g)
 
 
-def _postings(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def f(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[int]] = {}
-        block = None
-
-        def flush() -> pd.DataFrame:
-            lists = [np.array(x, np.int32) for x in held.values()]
-            return pd.DataFrame({"gram": list(held), "block": block, "offsets": lists, "n": [len(x) for x in lists]})
-
-        for frame in frames:
-            for number, low in zip(frame["id"], frame["low"], strict=True):
-                if block != number // size:
-                    if held:
-                        yield flush()
-                    held, block = {}, number // size
-                low = low or ""
-                for gram in {low[k : k + 3] for k in range(len(low) - 2)}:
-                    held.setdefault(gram, []).append(number % size)
-        if held:
-            yield flush()
+def _coded(low: str | None) -> np.ndarray:
+    """The distinct trigrams of a text, three code points of 21 bits each."""
+    points = np.frombuffer((low or "").encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+
+
+def _told(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1)
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[k : k + 3] for k in range(0, len(text), 3)]
+
+
+def _postings(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at: list[int] = []
+        block, n = None, 0
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            if not n:
+                return
+            codes = np.concatenate(held)
+            order = np.argsort(codes, kind="stable")
+            codes, offsets = codes[order], np.repeat(np.array(at, np.int32), [len(x) for x in held])[order]
+            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            names, ends = _told(codes[first]), np.append(first, len(codes)).astype(np.int32)
+            for k in range(0, len(first), LISTS):
+                edge = ends[k : k + LISTS + 1]
+                found = pa.ListArray.from_arrays(edge - edge[0], offsets[edge[0] : edge[-1]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[k : k + LISTS], pa.string()), pa.array(np.full(len(found), block, np.int64)), found, pa.array(np.diff(edge).astype(np.int64))],
+                    ["gram", "block", "offsets", "n"],
+                )
+
+        for batch in batches:
+            for number, low in zip(batch.column("id").to_pylist(), batch.column("low"), strict=True):
+                if block != number // size or n > MOST_HELD:
+                    yield from lists()
+                    held, at, block, n = [], [], number // size, 0
+                held.append(_coded(low.as_py()))
+                at.append(number % size)
+                n += len(held[-1])
+        yield from lists()
 
     return f
 
@@ -119,15 +145,16 @@ class GramIndex:
         older = self.segments()
         number = max(older, default=0) + 1
         top = f"{self.folder}/segment-{number}"
-        replaced = files.select("path") if gone is None else files.select("path").unionByName(gone.select("path"))
-        dead = [self._read("texts", s).join(replaced, "path", "left_semi").select(F.lit(s).alias("segment"), "id") for s in older]
-        none = self.spark.createDataFrame([], "segment int, id long")
-        reduce(DataFrame.unionByName, dead, none).write.parquet(f"{self.folder}/next/dead")
         texts = files.select(F.monotonically_increasing_id().alias("id"), "path", "content")
         texts.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.folder}/next/texts")
         stored = self.spark.read.parquet(f"{self.folder}/next/texts")
-        lists = stored.select("id", F.lower("content").alias("low")).mapInPandas(_postings(self.block), POSTINGS)
-        lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.option("parquet.writer.version", "v2").parquet(f"{self.folder}/next/postings")
+        replaced = stored.select("path") if gone is None else stored.select("path").unionByName(gone.select("path"))
+        dead = [self._read("texts", s).join(replaced, "path", "left_semi").select(F.lit(s).alias("segment"), "id") for s in older]
+        none = self.spark.range(0).select(F.lit(0).alias("segment"), "id")
+        reduce(DataFrame.unionByName, dead, none).write.parquet(f"{self.folder}/next/dead")
+        lists = stored.select("id", F.lower("content").alias("low")).mapInArrow(_postings(self.block), POSTINGS)
+        # By hash, as ranges are sampled first, which makes all lists twice.
+        lists.repartition("gram").sortWithinPartitions("gram", "block").write.option("parquet.writer.version", "v2").parquet(f"{self.folder}/next/postings")
         where = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p)
         # A segment that is not whole is never seen: it gets its name last.
         where(top).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(where(f"{self.folder}/next"), where(top))
@@ -143,21 +170,25 @@ class GramIndex:
         other.add(self.files())
         return other
 
-    def _ids(self, segment: int, grams: list[str]) -> DataFrame:
-        """Ids of a segment's texts that hold all of the rarest of the trigrams."""
+    def _ids(self, segment: int, grams: list[str]) -> tuple[DataFrame, int]:
+        """Ids of a segment's texts that hold all of the rarest of the trigrams, and how many there may be.
+        The lists of a trigram in a block are one, in however many rows they are kept."""
         postings = self._read("postings", segment).where(F.col("gram").isin(grams))
         sizes = {r.gram: r.n for r in postings.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row for each asked trigram
         rarest = sorted(grams, key=lambda g: (sizes.get(g, 0), g))[:RAREST]
-        lists = postings.where(F.col("gram").isin(rarest)).groupBy("block").agg(F.collect_list("offsets").alias("lists"))
-        both = F.aggregate(F.slice("lists", 2, len(rarest)), F.get("lists", F.lit(0)), lambda a, b: F.array_intersect(a, b))
-        met = lists.where(F.size("lists") == len(rarest)).select("block", F.explode(both).alias("offset"))
-        return met.select((F.col("block") * self.block + F.col("offset")).alias("id"))
+        lists = postings.where(F.col("gram").isin(rarest)).groupBy("block").agg(
+            *[F.flatten(F.collect_list(F.when(F.col("gram") == g, F.col("offsets")))).alias(f"list_{k}") for k, g in enumerate(rarest)]
+        )
+        both = reduce(F.array_intersect, [F.col(f"list_{k}") for k in range(len(rarest))])
+        met = lists.select("block", F.explode(both).alias("offset"))
+        return met.select((F.col("block") * self.block + F.col("offset")).alias("id")), sizes.get(rarest[0], 0)
 
     def _candidates(self, segment: int, grams: list[str]) -> DataFrame:
         """id, path and content of the segment's texts that may match, replaced ones left out."""
-        texts = self._read("texts", segment)
+        texts, dead = self._read("texts", segment), self._live(segment)
         if grams:
-            ids = self._ids(segment, grams)
+            ids, most = self._ids(segment, grams)
+            ids = ids if dead is None else ids.join(dead, "id", "left_anti")
             few = [r.id for r in ids.orderBy("id").limit(MOST_RANGES * PAGE_ROWS + 1).collect()]
             runs: list[list[int]] = []
             for one in few:
@@ -167,10 +198,8 @@ class GramIndex:
                     runs.append([one, one])
             if len(few) <= MOST_RANGES * PAGE_ROWS and len(runs) <= MOST_RANGES:
                 ranges = [F.col("id").between(a, b) for a, b in runs] or [F.lit(False)]
-                texts = texts.where(reduce(lambda a, b: a | b, ranges)).where(F.col("id").isin(few))
-            else:
-                texts = texts.join(ids, "id", "left_semi")
-        dead = self._live(segment)
+                return texts.where(reduce(lambda a, b: a | b, ranges)).where(F.col("id").isin(few))
+            return texts.join(F.broadcast(ids) if most <= MOST_BROADCAST else ids, "id", "left_semi")
         return texts if dead is None else texts.join(dead, "id", "left_anti")
 
     def candidates(self, pattern: str, regex: bool = False) -> DataFrame:

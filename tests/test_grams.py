@@ -69,3 +69,37 @@ def test_only_pages_with_candidates_are_read(spark, tmp_path):
     assert [r.path for r in found.collect()] == ["p12345"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(id,12345)" in plan
+
+
+def test_blocks_of_several_tasks_and_each_text_taken_once(spark, tmp_path, monkeypatch):
+    taken, made = spark.sparkContext.accumulator(0), grams._postings
+
+    def counted(size):
+        def f(frames):
+            def each():
+                for frame in frames:
+                    taken.add(len(frame) if hasattr(frame, "columns") and not hasattr(frame, "num_rows") else frame.num_rows)
+                    yield frame
+
+            yield from made(size)(each())
+
+        return f
+
+    monkeypatch.setattr(grams, "_postings", counted)
+    conf = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "10000")
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("p"), "id").alias("path"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.when(F.col("id") % 3 == 0, F.lit(" needle")).otherwise("")).alias("content"))
+        index = grams.GramIndex(spark, str(tmp_path / "i"))
+        index.add(rows)
+        assert index._read("texts", 1).rdd.mapPartitions(lambda x: [any(True for _ in x)]).filter(bool).count() > 1
+        assert taken.value == 2000
+        assert index.hits("needle").count() == 667
+    finally:
+        hadoop.unset("parquet.block.size")
+        for k, v in before.items():
+            spark.conf.set(k, v)
