@@ -11,7 +11,7 @@ from corpusmill.functions.text import lines_of, stable_hash
 from corpusmill.operators import diff, grams, transcript
 from corpusmill.plans.registry import files, query, table
 from corpusmill.sources.corpus import FILES_SQL
-from corpusmill.sources.shared import shared_folder
+from corpusmill.sources.shared import shared_folder, written
 from corpusmill.streaming import sessions, stateful
 
 #: Files of fewer lines stay as they are in the edited version.
@@ -198,8 +198,8 @@ def q_gram_updated(spark, sf_dir):
     every = files(spark, sf_dir)
     found = grams.GramIndex(spark, shared_folder(spark, "grams"))
     found.add(every.select("path", "content"))
-    pairs = diff.paired(every.select("path", "content"), edited(every))
-    gone = pairs.where("status = 'deleted'").select("path").unionByName(pairs.where("old_path is not null").select(F.col("old_path").alias("path")))
+    pairs = written(diff.paired(every.select("path", "content"), edited(every)).drop("old"), shared_folder(spark, "pairs"))
+    gone = pairs.select(F.explode(F.array_compact(F.array(F.when(F.col("status") == "deleted", F.col("path")), "old_path"))).alias("path"))
     found.add(pairs.where("status <> 'deleted'").select("path", F.col("new").alias("content")), gone)
     return _searched(found)
 
