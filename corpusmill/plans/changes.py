@@ -206,6 +206,8 @@ def q_gram_updated(spark, sf_dir):
 
 #: Sessions over events: idle for a day they end; events come up to eight days late.
 CAPS = sessions.Caps(files=3, full=1, bytes=60_000, turns=6, idle_ms=86_400_000)
+#: Files of a batch at most, and rows of a file on average at least.
+BATCH_FILES, FILE_ROWS = 32, 1000
 
 
 def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,16 +222,18 @@ def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in files of eight days each, every tenth of them a file late, and at last one that moves the watermark beyond all."""
+    """The events in batches of eight days each, every tenth of them a batch late, and at last one that moves the watermark beyond all."""
     top = shared_folder(spark, "sessions")
     every = edit_events(spark, sf_dir)
     file = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8) + (F.col("ord") % 10 == 0).cast("int")
-    numbers = [r.file for r in every.select(file.alias("file")).distinct().orderBy("file").collect()]  # a few for each month
-    for k in numbers:
-        every.where(file == k).coalesce(1).write.parquet(f"{top}/events/{k:05d}")
+    sizes = {r.file: r["count"] for r in every.groupBy(file.alias("file")).count().orderBy("file").collect()}  # a few for each month
+    # All batches are of as many files, none of them empty, so that a trigger takes one batch.
+    parts = max(1, min(BATCH_FILES, min(sizes.values(), default=0) // FILE_ROWS))
+    for k in sizes:
+        every.where(file == k).repartition(parts).write.parquet(f"{top}/events/{k:05d}")
     end = spark.createDataFrame([("", 0, None, None, None, None, None)], sessions.EVENTS).withColumn("ts", F.to_timestamp(F.lit("2100-01-01")))
     end.coalesce(1).write.parquet(f"{top}/events/99999")
-    stream = spark.readStream.schema(sessions.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/events")
+    stream = spark.readStream.schema(sessions.EVENTS).option("maxFilesPerTrigger", parts).option("recursiveFileLookup", True).parquet(f"{top}/events")
     sessions.follow(sessions.sessions(stream, CAPS, "9 days"), f"{top}/state", f"{top}/found").awaitTermination()
     return spark.read.parquet(f"{top}/found").where("session <> ''")
 

@@ -8,7 +8,9 @@ emits its snapshot and clears its state, and the next event begins a new one. Sn
 state that a later stream begins with.
 
 A session is one key: its events are taken one after the other, which is what its caps are about;
-its state is bounded by them, and by the events of the watermark's delay."""
+its state is bounded by them, and by the events of the watermark's delay. Each read, write or timer of a session is
+a call from its task to Spark's, and these calls are most of the work: a session has one value, read and written
+once when events come and once when its timer ends, and one timer, at the first time at which there is something to do."""
 
 from __future__ import annotations
 
@@ -65,25 +67,31 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "held string, last_ms long, turn int")
-        self.waiting = handle.getListState("waiting", "ms long, ord long, action string, path string, mode string, size long")
+        # waiting: [ms, ord, action, path, mode, size] of each event held back.
+        self.now = handle.getValueState("now", "held string, last_ms long, turn int, timer long, waiting string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.now.update((initialState.held, initialState.at_ms, initialState.turn))
-        self.handle.registerTimer(initialState.at_ms + self.caps.idle_ms)
+        due = initialState.at_ms + self.caps.idle_ms
+        self.now.update((initialState.held, initialState.at_ms, initialState.turn, due, "[]"))
+        self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         come = [(r.ms, r.ord, r.action, r.path, r.mode, r.size) for r in rows]
-        self.waiting.appendList(come)
+        held, last, turn, timer, waiting = self.now.get() or ("{}", None, 0, None, "[]")
         # Expired at once where the watermark has passed them already, else when it does.
-        self.handle.registerTimer(max(min(x[0] for x in come), timerValues.getCurrentWatermarkInMs() + 1))
+        due = max(min(x[0] for x in come), timerValues.getCurrentWatermarkInMs() + 1)
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer := due)
+        self.now.update((held, last, turn, timer, json.dumps(json.loads(waiting) + come)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs()
-        every = sorted(self.waiting.get(), key=lambda x: (x[0], x[1])) if self.waiting.exists() else []
+        held, last, turn, _, waiting = self.now.get() or ("{}", None, 0, None, "[]")
+        held, every = json.loads(held), sorted(json.loads(waiting), key=lambda x: (x[0], x[1]))
         ready, later = [x for x in every if x[0] <= upto], [x for x in every if x[0] > upto]
-        held, last, turn = (json.loads(s[0]), s[1], s[2]) if self.now.exists() and (s := self.now.get()) else ({}, None, 0)
         row = lambda kind, ms, **more: Row(**{c.split()[0]: None for c in FOUND.split(", ")} | {"session": key[0], "kind": kind, "at_ms": ms, "turn": turn} | more)
         for ms, number, action, path, mode, size in ready:
             if last is not None and ms - last > self.caps.idle_ms:
@@ -93,17 +101,13 @@ class Sessions(StatefulProcessor):
             yield row("event", ms, ord=number, path=path, mode=mode, error=judged(held, turn, action, path, mode, size, self.caps))
         if last is not None and upto >= last + self.caps.idle_ms and not (later and later[0][0] - last <= self.caps.idle_ms):
             yield row("closed", last, held=json.dumps(held, sort_keys=True))
-            last = None
-        if last is None:
-            self.now.clear()
+            held, last, turn = {}, None, 0
+        dues = [x[0] for x in later[:1]] + ([] if last is None else [last + self.caps.idle_ms])
+        if dues:
+            self.now.update((json.dumps(held), last, turn, min(dues), json.dumps(later)))
+            self.handle.registerTimer(min(dues))
         else:
-            self.now.update((json.dumps(held), last, turn))
-            self.handle.registerTimer(last + self.caps.idle_ms)
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0])
-        elif every:
-            self.waiting.clear()
+            self.now.clear()
 
 
 def sessions(events: DataFrame, caps: Caps = Caps(), delay: str = "1 hour", begun: DataFrame | None = None) -> DataFrame:

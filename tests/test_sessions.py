@@ -74,3 +74,66 @@ def test_admission_equals_the_batch(spark, sf_dir, tmp_path, parts):
     batches = [[tuple(r) for r in every.where(F.col("ord") % parts == k).collect()] for k in range(parts)]
     rows = run(spark, tmp_path, batches, delay="100 days", caps=caps)
     assert {r.ord: r.error for r in rows if r.kind == "event"} == expected
+
+
+class Calls:
+    """The value and the timers of one session; counts what is asked of them."""
+
+    def __init__(self):
+        self.n, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def clear(self):
+        self.n, self.value = self.n + 1, None
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+def test_a_session_has_one_value_and_one_timer(spark):
+    from types import SimpleNamespace
+
+    of = lambda ord, ms: SimpleNamespace(ms=ms, ord=ord, action="add", path=f"p{ord}", mode="slices", size=1)
+    at = lambda upto: SimpleNamespace(getCurrentWatermarkInMs=lambda: upto)
+    calls, one = Calls(), sessions.Sessions(CAPS)
+    one.init(calls)
+    one.handleInputRows(("s",), iter([of(2, 5_000), of(3, 6_000)]), at(0))
+    one.handleInputRows(("s",), iter([of(1, 4_000)]), at(0))
+    one.handleInputRows(("s",), iter([of(4, 90_000)]), at(0))
+    assert calls.timers == {4_000} and calls.n <= 10
+    calls.n, calls.timers = 0, set()  # Spark deletes a timer that has ended
+    rows = list(one.handleExpiredTimer(("s",), at(70_000), None))
+    assert [(r.kind, r.ord, r.at_ms) for r in rows] == [("event", 1, 4_000), ("event", 2, 5_000), ("event", 3, 6_000), ("closed", None, 6_000)]
+    assert calls.timers == {90_000} and calls.n == 3
+
+
+def test_batches_are_of_as_many_files(spark, sf_dir, monkeypatch):
+    from corpusmill.plans import changes
+
+    found = []
+    monkeypatch.setattr(changes, "FILE_ROWS", 2)
+
+    def follow(stream, state, path):
+        top = state.removesuffix("/state")
+        found.extend(spark.read.option("recursiveFileLookup", True).parquet(f"{top}/events").inputFiles())
+        raise InterruptedError
+
+    monkeypatch.setattr(changes.sessions, "follow", follow)
+    with pytest.raises(InterruptedError):
+        changes._run_sessions(spark, sf_dir)
+    each = {k: sum(f"/{k}/" in x for x in found) for k in {x.split("/")[-2] for x in found}}
+    assert each.pop("99999") == 1 and len(set(each.values())) == 1 and max(each.values()) > 1
