@@ -34,10 +34,11 @@ def repo_path(path: Column) -> Column:
 def final_payloads(replies: DataFrame, fence: str = "final") -> DataFrame:
     """conv_id, payload and error (missing or malformed) of the last fenced block of each reply text."""
     blocks = F.regexp_extract_all("text", F.lit(rf"(?s)```{fence}\s*(.*?)```"), F.lit(1))
-    body = F.get(blocks, F.size(blocks) - 1)
-    fine = F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{")
-    error = F.when(F.size(blocks) == 0, NO_BLOCK).when(~fine, NO_OBJECT)
-    return replies.select("conv_id", F.when(error.isNull(), F.from_json(body, PAYLOAD)).alias("payload"), error.alias("error"))
+    # Each step is named before the next takes it more than once, so that texts are searched and parsed once.
+    rows = replies.select("conv_id", F.col("text").isNull().alias("none"), F.get(F.reverse(blocks), F.lit(0)).alias("body"))
+    rows = rows.select("conv_id", "none", "body", (F.try_parse_json("body").isNotNull() & F.trim("body").startswith("{")).alias("fine"))
+    error = F.when(~F.col("none") & F.col("body").isNull(), NO_BLOCK).when(~F.col("fine"), NO_OBJECT)
+    return rows.select("conv_id", F.from_json(F.when(F.col("fine"), F.col("body")), PAYLOAD).alias("payload"), error.alias("error"))
 
 
 def _whole(value: Column) -> Column:
@@ -68,7 +69,7 @@ def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
     def of_entry(x: Column, i: Column) -> Column:
         at = lambda f: F.concat(F.lit("selection["), i, F.lit(f"].{f}"))
         whole = ~(_empty(x["path"]) | _empty(x["mode"]) | _empty(x["priority"]) | _empty(x["rationale"]))
-        path, known = repo_path(x["path"]), x["mode"].isin(*MODES)
+        path, known = x["given"], x["mode"].isin(*MODES)
         # Checks end at the first that makes the rest pointless.
         on = whole & (path != "")
 
@@ -95,7 +96,8 @@ def issues(payloads: DataFrame, files: DataFrame) -> DataFrame:
         return F.concat(own, lines)
 
     chosen, summary = p["selection"], p["handoff_summary"]
-    entries = F.when(chosen.isNull(), F.array(_issue(F.lit("selection"), F.lit(True), kind))).otherwise(F.flatten(F.transform(chosen, of_entry)))
+    chosen = F.transform(chosen, lambda x: F.struct(*[x[f].alias(f) for f in ("path", "mode", "priority", "rationale", "slices")], repo_path(x["path"]).alias("given")))
+    entries = F.when(p["selection"].isNull(), F.array(_issue(F.lit("selection"), F.lit(True), kind))).otherwise(F.flatten(F.transform(chosen, of_entry)))
     notes = F.concat(
         *[listed(summary[f], f"handoff_summary.{f}", "path", "notes") for f in ("entrypoints", "key_modules", "tests")],
         listed(summary["data_flows"], "handoff_summary.data_flows", "name", "notes"),

@@ -31,6 +31,7 @@ from corpusmill.plans.registry import (
     table,
 )
 from corpusmill.sources.corpus import FILES_SQL
+from corpusmill.sources.shared import shared_folder, written
 
 
 def made(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -498,6 +499,7 @@ def q_final_issues(spark, sf_dir):
 ))
 def q_final_selection(spark, sf_dir):
     given, known = _payloads(spark, sf_dir)
+    given = written(given, shared_folder(spark, "payloads"))  # read three times
     found = payload.selections(given, payload.issues(given, known))
     return found.withColumn("slices", F.array_join(F.transform("slices", lambda s: F.concat_ws("-", s["first"], s["last"])), ","))
 
