@@ -46,11 +46,13 @@ def replaced(rows: DataFrame, changed: DataFrame, new_rows: DataFrame) -> DataFr
 
 def resolve_imports(raw: DataFrame, known: DataFrame, endings=(".ts", ".py", ".go", ".rs", ".js")) -> DataFrame:
     """Raw imports (src_path, base) to the first existing candidate: base, then base with an
-    ending, then an index file; unresolved ones are dropped."""
+    ending, then an index file; unresolved ones are dropped. Candidates are made once for each
+    base, not for each import of it."""
     tails = ["", *endings, *[f"/index{e}" for e in endings]]
-    spread = raw.select("src_path", "base", F.posexplode(F.array(*[F.concat("base", F.lit(t)) for t in tails])).alias("pos", "path"))
-    found = spread.join(known.select("path").distinct(), "path")
-    return found.groupBy("src_path", "base").agg(F.min_by("path", "pos").alias("imported_path"))
+    bases = raw.select("base").distinct()
+    spread = bases.select("base", F.posexplode(F.array(*[F.concat("base", F.lit(t)) for t in tails])).alias("pos", "path"))
+    found = spread.join(known.select("path").distinct(), "path").groupBy("base").agg(F.min_by("path", "pos").alias("imported_path"))
+    return raw.select("src_path", "base").distinct().join(found, "base").select("src_path", "base", "imported_path")
 
 
 _JS = r"(?m)^\s*(?:import|export)\b[^'\"\n;]*?\bfrom\s*['\"]([^'\"\n]+)['\"]"
