@@ -73,10 +73,15 @@ def spread_sql(sql: str, ids: tuple[str, ...] = (), heads: tuple[str, ...] = (),
     return f"select t.*{f' replace ({chr(44).join(named)})' if named else ''} from ({sql}) t, documents d"
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Import edges by position among the files: (src, dst) paths."""
+def edges(spark: SparkSession, sf_dir: str, among: DataFrame | None = None) -> DataFrame:
+    """Import edges by position among the files: (src, dst) paths; only those between ``among``, a few files (path), if given."""
     ids = files(spark, sf_dir).select("doc_id", "path")
     n = ids.count()
+    if among is not None:
+        few = F.broadcast(small(ids.join(F.broadcast(among.select("path")), "path", "left_semi")).select("doc_id", "path"))
+        src, dst = few.select(F.col("doc_id").alias("a"), F.col("path").alias("src")), few.select(F.col("doc_id").alias("b"), F.col("path").alias("dst"))
+        pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).where("a <> b")
+        return pairs.join(src, "a").join(dst, "b").select("src", "dst").distinct()
     pairs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % n).alias("a"), (F.col("l_partkey") % n).alias("b")).where("a <> b").distinct()
     if n <= MOST_BROADCAST:  # ids and paths of so many files take some 10 MB
         ids = F.broadcast(ids)
@@ -577,7 +582,8 @@ def q_patch_cap(spark, sf_dir):
 
 @query(f"with {_RANKED}, {_MODES_SQL} select src, dst from edges where src in (select path from modes) and dst in (select path from modes) order by src, dst limit 20")
 def q_data_flows(spark, sf_dir):
-    return select.data_flows(edges(spark, sf_dir), selection(spark, sf_dir))
+    selected = selection(spark, sf_dir)
+    return select.data_flows(edges(spark, sf_dir, selected), selected)
 
 
 @query(
