@@ -6,6 +6,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -311,8 +312,34 @@ def search_text(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> Dat
 
 
 def indexed_scores(files: DataFrame, symbols: DataFrame, imports: DataFrame, terms: dict[str, list[str]], entry: Column | None = None) -> DataFrame:
-    """``base_scores`` over what the index knows of each file instead of its content: path, symbols and imports."""
-    return base_scores(search_text(files, symbols, imports), F.col("text"), terms, entry)
+    """``base_scores`` over what the index knows of each file (``search_text``) instead of its content: path, symbols and imports;
+    ``entry`` is a column of the path. No term holds a line's end, so terms are counted in each row where it is made, rows without any term
+    go no further, and only counts are grouped: no text is put together. A row of symbols may hold several (``scopes.symbols``)."""
+    weights, of_path = term_weights(terms), path_terms(terms)
+    zero = F.lit(0).cast("long")
+    names = [f"n{k}" for k in range(len(weights))]
+
+    any_term = "|".join(map(re.escape, weights))
+
+    def counted(df: DataFrame, *values: str | Column, own: bool = False) -> DataFrame:
+        low = df.select("path", F.lower(F.concat_ws("\n", *values)).alias("low"))
+        low = low if own else low.where(F.col("low").rlike(any_term) if weights else F.lit(False))
+        each = [F.when(F.contains("low", F.lit(t)), occurrences(F.col("low"), t)).otherwise(zero).alias(n) for n, t in zip(names, weights, strict=True)]
+        return low.select("path", F.lit(own).alias("own"), *each)
+
+    # Every file has a row, so that what the index does not know stays out.
+    rows = counted(files.where("path is not null"), "path", own=True)
+    rows = rows.unionByName(counted(symbols, "name", "signature")).unionByName(counted(imports, "target", F.array_join("names", "\n")))
+    sums = rows.groupBy("path").agg(F.max("own").alias("own"), *[F.sum(n).alias(n) for n in names]).where("own")
+    in_path = {f"p{k}": t for k, t in enumerate(of_path)}
+    sums = sums.withColumns({n: occurrences(F.lower("path"), t) for n, t in in_path.items()})
+    every = [(n, t, w) for n, (t, w) in zip(names, weights.items(), strict=True)] + [(n, t, PATH_WEIGHT) for n, t in in_path.items()]
+    seen = {t: reduce(Column.__or__, [F.col(n) > 0 for n, other, _ in every if other == t]) for t in sorted({t for _, t, _ in every})}
+    k = sum((F.when(there, 1).otherwise(0) for there in seen.values()), F.lit(0))
+    raw = sum((F.col(n) * w for n, _, w in every), zero) + F.when(k > 1, BREADTH_WEIGHT * k).otherwise(0) + F.when(F.lit(False) if entry is None else entry, ENTRYPOINT_WEIGHT).otherwise(0)
+    hits = sum((F.col(n) for n, _, _ in every), zero)
+    matched = F.array_compact(F.array(*[F.when(there, F.lit(t)) for t, there in seen.items()]).cast("array<string>"))
+    return sums.select("path", raw.cast("double").alias("raw"), hits.alias("hits"), matched.alias("matched")).where("raw > 0")
 
 
 def mentioned(files: DataFrame, task: str) -> DataFrame:

@@ -135,12 +135,9 @@ select path, (terms + case when seen > 1 then 6 * seen else 0 end)::double as ra
 
 @query(f"with {_indexed_sql()}")
 def q_rank_indexed(spark, sf_dir):
-    code = code_of_orders(spark, sf_dir)
-    symbols = scopes.scopes(code).select("path", "name", "signature", "line")
-    imports = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("orders/"), "l_orderkey").alias("path"), F.concat(F.lit("parts/"), "l_partkey").alias("target"), F.array(F.concat(F.lit("part"), "l_linenumber")).alias("names")
-    )
-    return rank.indexed_scores(code.select("path"), symbols, imports, _TERMS).drop("matched")
+    path, items = F.concat(F.lit("orders/"), "l_orderkey").alias("path"), table(spark, sf_dir, "lineitem")
+    imports = items.select(path, F.concat(F.lit("parts/"), "l_partkey").alias("target"), F.array(F.concat(F.lit("part"), "l_linenumber")).alias("names"))
+    return rank.indexed_scores(items.select("l_orderkey").distinct().select(path), scopes.symbols(code_of_orders(spark, sf_dir)), imports, _TERMS).drop("matched")
 
 
 @query(

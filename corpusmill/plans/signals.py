@@ -44,7 +44,11 @@ def q_rank_tasks(spark, sf_dir):
 
 def code_of_orders(spark, sf_dir):
     """A source file for each order, of a language by its key: a class or heading, and in it a method or heading for each line item."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    # Few rows of an order lie together: they are shuffled as they are, not as lists of one or two. Items are small beside
+    # the work on the texts that come of them, so the number of tasks is set, not left to their bytes.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey")
+    rows = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
     key, case = F.col("l_orderkey").cast("string"), F.col("l_orderkey") % 3
 
     def text(top: str, after: str, before: str, between: str, end: str, last: str = "") -> Column:
