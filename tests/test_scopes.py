@@ -115,3 +115,26 @@ def test_innermost_of_scopes_that_share_lines(spark):
     points = spark.createDataFrame([("a", k) for k in range(1, 20)], "path string, at long")
     got = {r.at: r.name for r in scopes.innermost(points, found).collect()}
     assert [got[k] for k in (1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 15, 16, 18)] == ["Foo", "Foo", "bar", "inner", "inner", "bar", "size", "Foo", "x", "tail", "tail", "I", None]
+
+
+def test_every_scope_of_a_file_counts(spark):
+    n = scopes.GIVEN + 1500
+    files = spark.createDataFrame([("a", "html", "<h1>top" + "".join(f"<h2>s{k}" for k in range(2, n + 1))), ("b", "python", "".join(f"def f{k}(): pass\n" for k in range(1, 1501)))], "path string, language string, content string")
+    found = scopes.scopes(files)
+    assert {(r.path, r.n) for r in found.groupBy("path").agg({"line": "count"}).toDF("path", "n").collect()} == {("a", n), ("b", 1500)}
+    got = {(r.path, r.at): r.name for r in scopes.innermost(spark.createDataFrame([("a", n + 1), ("b", 1500)], "path string, at long"), found).collect()}
+    assert got == {("a", n + 1): f"s{n}", ("b", 1500): "f1500"}
+    assert {r.path: len(r.name.split("\n")) for r in scopes.symbols(files).collect()} == {"a": n, "b": 1500}
+
+
+def test_sections_of_a_page_with_many_headings(spark, duck, tmp_path):
+    from corpusmill.plans import registry
+
+    html = "".join(f"<h{1 + k * k % 6}>s{k}</h{1 + k * k % 6}><p>mention {k}</p>" for k in range(1400))
+    spark.createDataFrame([(1, html), (2, "<h1>one<p>section"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    own = duck.cursor()
+    own.execute(f"create temp view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("q_page_sections", "q_page_outline"):
+        got = sorted(map(repr, map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())))
+        assert got == sorted(map(repr, own.execute(registry.SQL[name]).fetchall()))
+        assert len(got) == 1401
