@@ -10,8 +10,9 @@ from corpusmill.operators.index import enclosing_ranges
 
 
 def merged(intervals: DataFrame, gap: int = 1) -> DataFrame:
-    """path, first and last of intervals merged where the next starts at most ``gap`` after the end."""
-    order = Window.partitionBy("path").orderBy("first", "last")
+    """path, first and last of intervals merged where the next starts at most ``gap`` after the end.
+    An interval without an end comes after the others of its start, one without a start after all."""
+    order = Window.partitionBy("path").orderBy(F.asc_nulls_last("first"), F.asc_nulls_last("last"))
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("first") <= reach + gap, 0).otherwise(1)
     island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
