@@ -23,10 +23,10 @@ def merged(intervals: DataFrame, gap: int = 1) -> DataFrame:
 def capped(disjoint: DataFrame, most: int) -> DataFrame:
     """At most ``most`` intervals a path: the closest neighbours are joined first (the left
     ones of equal gaps), which is to close the smallest gaps."""
-    order = Window.partitionBy("path").orderBy("first")
+    order = Window.partitionBy("path").orderBy(F.asc_nulls_last("first"))
     gap = F.col("first") - F.lag("last").over(order)
     ranked = disjoint.select("path", "first", "last").withColumn("gap", gap).withColumn("n", F.count("*").over(Window.partitionBy("path")))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.col("gap").asc_nulls_last(), "first"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.asc_nulls_last("gap"), F.asc_nulls_last("first")))
     kept = F.when(F.col("gap").isNull() | (nth > F.col("n") - most), 1).otherwise(0)
     ranked = ranked.withColumn("fresh", kept)
     island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))

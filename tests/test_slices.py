@@ -34,7 +34,7 @@ def equal_to_sql(spark, duck, folder, name, of, schema, rows):
     return got
 
 
-@pytest.mark.parametrize("name", ["q_slice_merge"])
+@pytest.mark.parametrize("name", ["q_slice_merge", "q_slice_cap"])
 def test_intervals_without_ends_or_starts(spark, duck, tmp_path, name):
     items = [(1, 4, 8.0), (1, 4, None), (1, 7, None), (1, 150, 4.0), (1, None, 4.0), (2, 9, None), (2, 9, 40.0), (2, 60, None), (2, 15, 4.0)]
     items += [(3, 10 * k + k * k, q) for k in range(9) for q in (None, 4.0, 12.0)] + [(3, None, None)]
