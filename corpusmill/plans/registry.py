@@ -780,7 +780,7 @@ select path, min(first) as first, max(last) as last from (select *, sum(fresh) o
 )
 def q_term_slices(spark, sf_dir):
     every = files(spark, sf_dir)
-    sizes = every.select("path", F.size(lines_of(F.col("content"))).cast("long").alias("n"))
+    sizes = every.groupBy("path").agg(F.max(F.size(lines_of(F.col("content")))).cast("long").alias("n"))
     return slices.for_hits(search.hits(every, TERM).select("path", "line"), sizes, context=3)
 
 

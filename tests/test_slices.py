@@ -40,3 +40,10 @@ def test_intervals_without_ends_or_starts(spark, duck, tmp_path, name):
     items += [(3, 10 * k + k * k, q) for k in range(9) for q in (None, 4.0, 12.0)] + [(3, None, None)]
     got = equal_to_sql(spark, duck, tmp_path, name, "lineitem", "l_orderkey long, l_partkey long, l_quantity double", items)
     assert "('1', 5, 8)" not in got and "('1', 5, None)" not in got and "('1', 5, 7)" in got
+
+
+def test_windows_of_documents_that_share_a_path(spark, duck, tmp_path):
+    long = "\n".join("a mention" if k in (2, 20, 33) else "x" for k in range(1, 41))
+    docs = [(1, "a mention\nx\nx", "en", "s"), (1, long, "en", "s"), (2, "x\nmention", "en", "s"), (3, None, "en", "s"), (4, "", "en", "s")]
+    got = equal_to_sql(spark, duck, tmp_path, "q_term_slices", "documents", "doc_id long, text string, lang string, source string", docs)
+    assert len(got) == 4
